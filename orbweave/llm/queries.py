@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orbweave.llm import pair_index_bpe
+from orbweave.llm import pair_index_bpe, warc_split
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_warc_split": warc_split.query,
     "op8_pair_index_bpe": pair_index_bpe.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_warc_split": warc_split.SQL,
+}
