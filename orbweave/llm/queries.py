@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orbweave.llm import pair_index_bpe, warc_split
+from orbweave.llm import cube_mix, pair_index_bpe, warc_split
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc_split": warc_split.query,
+    "op9_cube_mix": cube_mix.query,
     "op8_pair_index_bpe": pair_index_bpe.query,
 }
 
