@@ -3,10 +3,9 @@
 A source's documents share one expected number of copies, target / size. The whole copies are certain; the fractional
 rest is an inclusion probability, and a sample is drawn that balances the documents and the tokens of its source.
 The flight phase moves the probabilities of three documents at a time along the null-space of their two constraints
-until one of them is 0 or 1. It runs over blocks of a source, side by side; what is left fractional, two documents a
-block at most, meets in blocks of the next level, until one block of each source is left. Only its one or two
-documents are landed, by a draw with their remaining probabilities. Long documents are settled first, so that these are
-short ones.
+until one of them is 0 or 1. It runs over blocks of a source, side by side. What is left fractional, two documents a block, meets
+in blocks of the next level together with ten that each block holds back, until one block of each source is left.
+Those twelve documents are landed by the best balanced of their 4096 outcomes.
 
 A null source is a source of its own, sorted last. Null and empty texts have size 0. All draws come from a hash of the
 document, so reruns agree; repeated rows (equal doc_id and text) count as rows of their own and, being equal, may swap
@@ -53,17 +52,16 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), budg
     return per.select("source", "source_size", F.coalesce(F.least("cap", level * F.col("w")), F.col("cap")).alias("target"))
 
 
-def flight(pi: np.ndarray, size: np.ndarray, draw: np.ndarray, land: bool) -> np.ndarray:
+HELD = 10
+
+
+def flight(pi: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
     """The probabilities after the flight phase for the constraints sum(pi) and sum(pi * size); at most two stay
-    fractional, and with ``land`` none."""
-    pi = pi.astype(float).tolist()
+    fractional."""
     x = (size / max(1.0, float(size.max(initial=1)))).tolist()
-    draw = draw.tolist()
+    pi, draw = pi.astype(float).tolist(), draw.tolist()
     live: list[int] = []
     for k in range(len(pi)):
-        if not _EPS < pi[k] < 1 - _EPS:
-            pi[k] = float(round(pi[k]))
-            continue
         live.append(k)
         if len(live) < 3:
             continue
@@ -82,21 +80,31 @@ def flight(pi: np.ndarray, size: np.ndarray, draw: np.ndarray, land: bool) -> np
             else:
                 pi[i] = float(round(pi[i]))
         live = rest
-    if land and live:
-        if len(live) == 2:  # keep the number of documents while one of the two can give to the other
-            a, b = live
-            up, down = min(1 - pi[a], pi[b]), min(pi[a], 1 - pi[b])
-            step = up if draw[a] * (up + down) < down else -down
-            pi[a], pi[b] = pi[a] + step, pi[b] - step
-        for i in live:
-            pi[i] = float(round(pi[i])) if not _EPS < pi[i] < 1 - _EPS else float(draw[i] < pi[i])
     return np.array(pi)
 
 
+def landed(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """0 or 1 for each of a few documents, as near as can be to the tokens and documents that pi expects."""
+    outcomes = (np.arange(1 << len(pi))[:, None] >> np.arange(len(pi))) & 1
+    tokens = (outcomes @ size - pi @ size) / max(1.0, size.mean())
+    cost = tokens**2 + 0.01 * (outcomes.sum(1) - pi.sum()) ** 2
+    return outcomes[np.argmin(cost)].astype(float)
+
+
 def _flown(pdf: pd.DataFrame, land: bool) -> pd.DataFrame:
-    pdf = pdf.drop(columns="block").sort_values(["size", "draw", "doc_id", "row"], ascending=[False, True, True, True])
+    pdf = pdf.drop(columns="block").sort_values(["draw", "doc_id", "row"])
+    pi, size = pdf["pi"].to_numpy(float).copy(), pdf["size"].to_numpy(float)
     fresh = np.modf(pdf["draw"].to_numpy() * 1048576.0)[0]
-    return pdf.assign(pi=flight(pdf["pi"].to_numpy(), pdf["size"].to_numpy(), fresh, land))
+    settled = (pi <= _EPS) | (pi >= 1 - _EPS)
+    pi[settled] = np.round(pi[settled])
+    open_ = np.flatnonzero(~settled)
+    fly = open_[: max(0, len(open_) - HELD)]
+    pi[fly] = flight(pi[fly], size[fly], fresh[fly])
+    if land:
+        last = np.flatnonzero((pi > 0) & (pi < 1))
+        if len(last):
+            pi[last] = landed(pi[last], size[last])
+    return pdf.assign(pi=pi)
 
 
 def _fly(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -112,7 +120,7 @@ _FIELDS = "source string, doc_id long, row long, size long, draw double, pi doub
 
 def balanced(units: DataFrame, block: int = BLOCK, levels: int = LEVELS) -> DataFrame:
     """units: source, doc_id, row, size, draw (0 to 1), pi. The same with pi 0 or 1. ``levels`` passes over blocks of
-    about ``block`` units; each pass leaves at most two open units of a block, so levels=4 serve 10**13 units."""
+    about ``block`` units; each pass leaves at most twelve open units of a block, so levels=4 serve 10**11 units."""
     settled = None
     for level in range(levels):
         last = level == levels - 1
