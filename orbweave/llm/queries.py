@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orbweave.llm import cube_mix, pair_index_bpe, warc_split
+from orbweave.llm import cube_mix, pair_index_bpe, scaled_sketch, warc_split
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc_split": warc_split.query,
     "op9_cube_mix": cube_mix.query,
+    "op3_scaled_sketch": scaled_sketch.query,
     "op8_pair_index_bpe": pair_index_bpe.query,
 }
 
