@@ -22,6 +22,13 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+#: a-z for A-Z, bytes of other scripts as they are, and a space for the rest of ASCII.
+_LETTERS = np.full(256, 0x20, np.uint8)
+_LETTERS[97:123] = np.arange(97, 123)
+_LETTERS[65:91] = np.arange(97, 123)
+_LETTERS[128:] = np.arange(128, 256)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads their bits (the splitmix64 finaliser)."""
     x = np.asarray(x, dtype=U)
@@ -94,11 +101,11 @@ class Words:
         return mix((h[self.end] - h[self.start]) * inv[self.start] + (self.end - self.start).astype(U))
 
 
-def words(texts: pa.Array, lower: bool = False) -> Words:
-    """lower: A-Z count as a-z."""
+def words(texts: pa.Array, lower: bool = False, letters: bool = False) -> Words:
+    """lower: A-Z count as a-z. letters: so they do, and all other ASCII but a-z parts words."""
     data, offs = utf8(texts)
-    if lower:
-        data = _LOWER[data]
+    if lower or letters:
+        data = (_LETTERS if letters else _LOWER)[data]
     solid = ~_SPACE[data]
     opens, shuts = solid.copy(), solid.copy()
     inner = np.zeros(len(data) + 1, bool)
