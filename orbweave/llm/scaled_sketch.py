@@ -96,10 +96,11 @@ def fingerprints(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def in_order(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, text, bucket, tail: the rows in n ranges of doc_id, each range sorted in a partition, and after it, as
-    tail, the first row of the next range (after the last: of the first). Only range bounds and the first doc_id of each
-    range, n numbers, go through the driver."""
+def in_order(docs: DataFrame, parts: int) -> DataFrame:
+    """doc_id, text, bucket, tail: the rows in n = 4 * parts ranges of doc_id, each range sorted in a partition, and
+    after it, as tail, the first row of the next range (after the last: of the first). Only range bounds and the first
+    doc_id of each range, n numbers, go through the driver."""
+    n = 4 * parts  # several small ranges to a partition even its size out
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     inner = docs.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10_000)).first()[0] if n > 1 else []
     splits = [float("-inf"), *sorted({float(b) for b in inner or ()}), float("inf")]
@@ -112,7 +113,7 @@ def in_order(docs: DataFrame, n: int) -> DataFrame:
     goes = [(row["head"], heads[k - 1]["bucket"]) for k, row in enumerate(heads)]
     small = docs.sparkSession.createDataFrame(goes, "head long, before int")
     tails = docs.join(F.broadcast(small), F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("head")).select("doc_id", "text", F.col("before").alias("bucket"), F.lit(True).alias("tail"))
-    return keyed.withColumn("tail", F.lit(False)).unionByName(tails).repartition(n, "bucket").sortWithinPartitions("bucket", "tail", "doc_id", "text")
+    return keyed.withColumn("tail", F.lit(False)).unionByName(tails).repartition(parts, "bucket").sortWithinPartitions("bucket", "tail", "doc_id", "text")
 
 
 def with_edits(docs: DataFrame, scale: int = SCALE) -> DataFrame:
