@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orbweave.llm import cube_mix, lang_masks, pair_index_bpe, scaled_sketch, warc_split
+from orbweave.llm import cube_mix, lang_masks, pair_index_bpe, scaled_sketch, toxic_cnn, warc_split
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc_split": warc_split.query,
     "op9_cube_mix": cube_mix.query,
     "op3_scaled_sketch": scaled_sketch.query,
     "op6_lang_masks": lang_masks.query,
+    "op7_toxic_cnn": toxic_cnn.query,
     "op8_pair_index_bpe": pair_index_bpe.query,
 }
 
