@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orbweave.llm import cube_mix, lang_masks, ngram_join, pair_index_bpe, scaled_sketch, toxic_cnn, warc_split
+from orbweave.llm import cube_mix, lang_masks, ngram_join, pair_index_bpe, scaled_sketch, suffix_dedup, toxic_cnn, warc_split
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc_split": warc_split.query,
@@ -15,10 +15,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_lang_masks": lang_masks.query,
     "op7_toxic_cnn": toxic_cnn.query,
     "op4_ngram_join": ngram_join.query,
+    "op5_suffix_dedup": suffix_dedup.query,
     "op8_pair_index_bpe": pair_index_bpe.query,
 }
 
 ORACLES: dict[str, str] = {
     "op10_warc_split": warc_split.SQL,
     "op4_ngram_join": ngram_join.SQL,
+    "op5_suffix_dedup": suffix_dedup.SQL,
 }
