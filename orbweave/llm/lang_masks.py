@@ -112,8 +112,10 @@ class LanguageMasks:
         n = stored(gram_counts(docs), "gram-counts")
         totals = n.groupBy("lang").agg(F.sum("n").alias("total"))
         kept = n.join(totals, "lang").where(F.col("n") >= F.col("total") * least)
-        rows = kept.groupBy("lang", "total").agg(F.collect_list("gram").alias("grams"), F.collect_list("n").alias("ns")).collect()
-        return LanguageMasks.of([(r["lang"], np.array(r["grams"], np.int64).astype(U), np.array(r["ns"]), r["total"]) for r in rows])
+        rows = kept.select("lang", "gram", F.col("n"), "total").toArrow()
+        lang = np.array(rows.column("lang").to_pylist(), object)
+        gram, n, total = (rows.column(c).to_numpy() for c in ("gram", "n", "total"))
+        return LanguageMasks.of([(name, gram[at].astype(U), n[at], int(total[at][0])) for name in set(lang.tolist()) if (at := lang == name).any()])
 
     def shares(self, w: Words) -> np.ndarray:
         """texts x languages: corrected shares of n-grams that are in the language's filter, relative to the language's
