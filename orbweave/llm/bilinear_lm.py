@@ -171,7 +171,7 @@ class Bilinear:
         self.class_bias = np.log(self.class_noise).astype(f)
         self.symbols = rng.normal(0, 0.1, (CLASSES, WIDE, DIM)).astype(f)
         self.bias = np.log(self.noise).astype(f)
-        self.seen = {k: np.full_like(getattr(self, k), 0.1) for k in self.NAMES}
+        self.seen = {k: np.full_like(getattr(self, k), 1e-8) for k in self.NAMES}
 
     def vector(self) -> np.ndarray:
         return np.concatenate([getattr(self, k).ravel() for k in self.NAMES])
@@ -232,12 +232,12 @@ class Bilinear:
         for k, d in grads.items():
             d = d / n
             seen = self.seen[k]
-            seen += d * d * 100
+            seen += d * d
             getattr(self, k)[...] += rate * d / np.sqrt(seen)
 
-    def learn(self, seq: np.ndarray, before: np.ndarray, rate: float) -> None:
-        for k in range(0, len(seq), BATCH):
-            self.step(seq[k : k + BATCH], before[:, k : k + BATCH], rate)
+    def learn(self, seq: np.ndarray, before: np.ndarray, rate: float, batch: int = BATCH) -> None:
+        for k in range(0, len(seq), batch):
+            self.step(seq[k : k + batch], before[:, k : k + batch], rate)
 
 
 def _logsumexp(s: np.ndarray) -> np.ndarray:
@@ -256,16 +256,20 @@ def _contrast(s: np.ndarray, noise: np.ndarray, hit: np.ndarray) -> np.ndarray:
     return g
 
 
-def fit(learn: DataFrame, vocabulary: Vocabulary, sample: int = SAMPLE, rate: float = 0.1) -> Bilinear:
+def fit(learn: DataFrame, vocabulary: Vocabulary, sample: int = SAMPLE, rate: float = 0.3) -> Bilinear:
     """learn: doc_id, text."""
     model = Bilinear(vocabulary.shares())
     first = learn.orderBy(F.xxhash64("doc_id", F.lit("lm sample")), "doc_id").limit(sample).select("text").toArrow()
     parts = [p for b in first.to_batches() for p in slices(b, most=1 << 19)]
-    for _ in range(3 if sum(p.num_rows for p in parts) >= 500 else 10):
-        for p in parts:
+    epochs = 2
+    for k in range(12):
+        done = 0
+        for p in parts if k < epochs else ():
             w = words(p.column("text"), lower=True)
             seq, _, before = sequence(vocabulary.symbols(w)[0], w.first)
-            model.learn(seq, before, rate)
+            model.learn(seq, before, rate, 1024)
+            done += len(seq)
+        epochs = epochs if k else 2_000_000 // max(1, done)  # small samples are gone over more often
     spark = learn.sparkSession
     shared = spark.sparkContext.broadcast((vocabulary, model))  # of fixed size
     chunk = 1 << 13
@@ -277,7 +281,7 @@ def fit(learn: DataFrame, vocabulary: Vocabulary, sample: int = SAMPLE, rate: fl
             for part in slices(batch):
                 w = words(part.column("text"), lower=True)
                 seq, _, before = sequence(vocabulary.symbols(w)[0], w.first)
-                model.learn(seq, before, rate / 2)
+                model.learn(seq, before, rate)
                 tokens += len(seq)
         if tokens:
             v = model.vector().astype(float) * tokens
