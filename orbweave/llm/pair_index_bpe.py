@@ -20,8 +20,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from orbweave.llm.textcols import slices
+
 #: Fixed values of the vocabulary file's format: white space of Unicode, and the pattern of pre-tokens.
-_WS = r"\t-\r \x85\xa0  -     　"
+_WS = "\\t-\\r " + "".join(map(chr, (0x85, 0xA0, 0x1680))) + "%c-%c" % (0x2000, 0x200A) + "".join(map(chr, (0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _PRE = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_WS}\p{{L}}\p{{N}}]+"
 CACHE = 300_000
 
@@ -149,35 +151,21 @@ class Encoder:
         self.bpe, self.ids, self.text = PairIndexBPE(path), {}, {}
 
     def __call__(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
-        """(ids as bytes, decoded text as UTF-8) of each text. Memory holds the pre-tokens of about 4 MB of text."""
-        for a in self._runs(texts):
-            split = [self.bpe.pre_tokens(t) if t else [] for t in a]
-            if len(self.ids) > CACHE:
-                self.ids, self.text = {}, {}
-            new = [w for w in {w for ws in split for w in ws} if w not in self.ids]
-            plain = [w for w in new if w not in self.bpe.special]
-            for w, (i, t) in self.bpe.table(plain).items():
-                self.ids[w], self.text[w] = i, t
-            for w in new:
-                if w in self.bpe.special:
-                    self.ids[w], self.text[w] = self.bpe.special[w].to_bytes(4, "little"), w.encode()
-            for ws in split:
-                yield b"".join([self.ids[w] for w in ws]), b" ".join([self.text[w] for w in ws])
-
-    @staticmethod
-    def _runs(texts: list[str | None]) -> Iterator[list[str | None]]:
-        run, size = [], 0
-        for t in texts:
-            run.append(t)
-            size += len(t or "")
-            if size > 8 << 20:
-                yield run
-                run, size = [], 0
-        if run:
-            yield run
-
-
-def encode(docs: DataFrame, vocabulary: str | None = None, *, keep_ids: bool = True) -> DataFrame:
+        """(ids as bytes, decoded text as UTF-8) of each text."""
+        split = [self.bpe.pre_tokens(t) if t else [] for t in texts]
+        if len(self.ids) > CACHE:
+            self.ids, self.text = {}, {}
+        new = [w for w in {w for ws in split for w in ws} if w not in self.ids]
+        for w, (i, t) in self.bpe.table([w for w in new if w not in self.bpe.special]).items():
+            self.ids[w], self.text[w] = i, t
+        for w in new:
+            if w in self.bpe.special:
+                self.ids[w], self.text[w] = self.bpe.special[w].to_bytes(4, "little"), w.encode()
+        for ws in split:
+            yield b"".join([self.ids[w] for w in ws]), b" ".join([self.text[w] for w in ws])
+
+
+def encode(docs: DataFrame, vocabulary: str | None = None, *, keep_ids: bool = True, keep_text: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array<int>) and decoded of each document.
 
     vocabulary: a tokenizers JSON file that every executor has at this path; by default the public word_bpe_49k.json.
@@ -186,25 +174,23 @@ def encode(docs: DataFrame, vocabulary: str | None = None, *, keep_ids: bool = T
         import public_tokenizers
 
         vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
+    fields = ["doc_id long", "n_tokens long", "ids_sha256 string", "decoded_sha256 string"] + ["ids array<int>"] * keep_ids + ["decoded string"] * keep_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder(vocabulary)
         for batch in batches:
-            coded = coder(batch.column("text").to_pylist())
-            rows = []
-            for ids, text in coded:
-                row = [len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()]
-                rows.append([*row, np.frombuffer(ids, "<i4"), text.decode()] if keep_ids else row)
-            cols = list(zip(*rows)) or [[]] * (5 if keep_ids else 3)
-            out = [batch.column("doc_id").cast(pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if keep_ids:
-                out += [pa.array(cols[3], pa.list_(pa.int32())), pa.array(cols[4], pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(out, names=names)
-
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+            for part in slices(batch, most=4 << 20):
+                ids, texts = zip(*coder(part.column("text").to_pylist()))
+                sizes = [len(i) // 4 for i in ids]
+                out = [part.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64())]
+                out += [pa.array([hashlib.sha256(x).hexdigest() for x in col]) for col in (ids, texts)]
+                if keep_ids:
+                    out.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"))))
+                if keep_text:
+                    out.append(pa.array([t.decode() for t in texts], pa.string()))
+                yield pa.RecordBatch.from_arrays(out, names=[f.split(" ")[0] for f in fields])
+
+    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(fields))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
