@@ -5,12 +5,12 @@ document with a smaller doc_id. What is removed is judged on the input alone.
 
 Reference text grows with the corpus, so no automaton of it is broadcast to all tasks. Instead content-defined anchors
 (the least hashes of ten-word runs, at least one in every window, chosen by the window's words alone) bring a shard of
-reference passages and the passages to be matched together by one shuffle: a shard is the surroundings of all
-occurrences of one anchor, as far as a window with the anchor can reach. Within a shard documents stream by in the
-order of doc_id; each is matched against the suffix automaton of those before it, and every position where the
-matching statistic reaches ``length`` ends a window to remove; what it says anew joins the automaton. Anchors that more
-than ``shard`` different texts hold would make large automata; their windows are told by 128-bit hashes instead, with
-the least doc_id of each, which gives the same spans.
+reference passages and the passages to be matched together by one shuffle: a shard is, for all occurrences of one anchor, the
+windows in which it is the least. Within a shard documents stream by in the order of doc_id; each is matched against
+the suffix automaton of those before it, and every position where the matching statistic reaches ``length`` ends a
+window to remove; what it says anew joins the automaton. An anchor that more than ``shard`` texts hold
+would make a shard without bound; its windows are told by 128-bit hashes instead, each with the least doc_id that has
+it, which gives the same spans.
 
 Equal texts are decided once: a copy of a text with a window goes as a whole if a smaller doc_id has the text. Rows with
 the same doc_id don't remove each other's words. Null and empty texts have no words; rows without a doc_id count as
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,12 +57,13 @@ def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return out
 
 
-def anchors(h: np.ndarray, first: np.ndarray, length: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, word position, hash) of each anchor: of all runs of ``size`` words those that are least in a window."""
+def anchors(h: np.ndarray, first: np.ndarray, length: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first window, windows, hash) of each anchor: of all runs of ``size`` words those that are least in a
+    window, with the windows, neighbours all, in which they are."""
     wide = length - size + 1
     whole = np.flatnonzero(np.diff(first) >= length)
     if not len(whole):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
     g = runs(h, size)
     low = sliding(g, wide, np.minimum)  # of the window that starts here
     inside = np.zeros(len(low) + 1, np.int64)
@@ -69,10 +71,13 @@ def anchors(h: np.ndarray, first: np.ndarray, length: int, size: int) -> tuple[n
     np.add.at(inside, np.minimum(first[whole + 1] - length + 1, len(low)), -1)
     low = np.where(np.cumsum(inside[:-1]) > 0, low, U(0))
     edge = np.zeros(wide - 1, U)
-    most = sliding(np.concatenate([edge, low, edge]), wide, np.maximum)[: len(g)]
+    low = np.concatenate([edge, low, edge])  # now of the window that ends its last run here
+    most = sliding(low, wide, np.maximum)[: len(g)]
     at = np.flatnonzero((most == g) & (most > 0))
+    holds = np.stack([low[at + k] == g[at] for k in range(wide)])
+    begin = at - wide + 1 + holds.argmax(0)
     text = np.searchsorted(first, at, side="right") - 1
-    return text, at - first[text], g[at]
+    return text, begin - first[text], holds.sum(0), g[at]
 
 
 class Automaton:
@@ -159,19 +164,19 @@ def shard_spans(rows: list[tuple[int, int, list[int]]], length: int) -> Iterator
 
 
 def scanned(docs: DataFrame, length: int, size: int) -> DataFrame:
-    """doc_id, key, n_words, whole_sha256, anchors, places of each row."""
+    """doc_id, key, n_words, whole_sha256, anchors, and for each its first window and how many, of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 w = words(part.column("text"))
-                text, at, g = anchors(w.hashes(), w.first, length, size)
+                text, begin, n, g = anchors(w.hashes(), w.first, length, size)
                 cuts = pa.array(np.searchsorted(text, np.arange(part.num_rows + 1)), pa.int32())
                 cols = [part.column("doc_id"), part.column("key"), pa.array(w.counts), pa.array(kept_digests(w, None))]
-                cols += [pa.ListArray.from_arrays(cuts, pa.array(g.astype(np.int64))), pa.ListArray.from_arrays(cuts, pa.array(at.astype(np.int32)))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "n_words", "whole_sha256", "anchors", "places"])
+                cols += [pa.ListArray.from_arrays(cuts, pa.array(g.astype(np.int64))), pa.ListArray.from_arrays(cuts, pa.array(begin)), pa.ListArray.from_arrays(cuts, pa.array(n.astype(np.int16)))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "n_words", "whole_sha256", "anchors", "begins", "windows"])
 
-    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key string, n_words long, whole_sha256 string, anchors array<long>, places array<int>")
+    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key string, n_words long, whole_sha256 string, anchors array<long>, begins array<long>, windows array<short>")
 
 
 def kept_texts(w: Words, gone: np.ndarray | None) -> Iterator[bytes]:
@@ -195,42 +200,132 @@ def kept_digests(w: Words, gone: np.ndarray | None) -> list[str]:
     return [hashlib.sha256(t).hexdigest() for t in kept_texts(w, gone)]
 
 
-def contexts(involved: DataFrame, length: int, size: int) -> DataFrame:
-    """involved (doc_id, text, at: places and hashes and whether hot) to rows (anchor, doc_id, lo, passage), and for hot
-    anchors one row for each window: (window, other, doc_id, lo)."""
-    reach = length - size
+def contexts(involved: DataFrame, length: int) -> DataFrame:
+    """involved (doc_id, text, at: begin, code, windows, hot) to one row for each anchor that isn't hot: its passage,
+    which is all of its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, most=1 << 19):
                 w = words(part.column("text"))
-                data = w.data.tobytes()
-                ids, places, codes, hot = (part.column(c).to_pylist() for c in ("doc_id", "places", "codes", "hot"))
-                h, out = w.hashes(), ([], [], [], [], [])
-                for k, doc_id in enumerate(ids):
-                    a, b = int(w.first[k]), int(w.first[k + 1])
-                    windows: set[int] = set()
-                    for p, code, many in zip(places[k], codes[k], hot[k]):
-                        lo, hi = max(a, a + p - reach), min(b, a + p + size + reach)
-                        if many:
-                            windows.update(range(lo, hi - length + 1))
+                data, out = w.data.tobytes(), ([], [], [], [])
+                for k, (doc_id, found) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("at").to_pylist())):
+                    for x in found:
+                        if x["hot"]:
                             continue
-                        for col, x in zip(out, (code, None, doc_id, lo - a, data[w.start[lo] : w.end[hi - 1]].decode())):
-                            col.append(x)
-                    if windows:
-                        at = np.array(sorted(windows))
-                        one, two = runs(h[a:b], length), runs(mix(h[a:b] + U(1)), length)
-                        for q in at.tolist():
-                            for col, x in zip(out, (int(one[q - a].astype(np.int64)), int(two[q - a].astype(np.int64)), doc_id, q - a, None)):
-                                col.append(x)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["anchor", "other", "doc_id", "lo", "passage"])
+                        lo = int(w.first[k]) + x["begin"]
+                        hi = lo + x["windows"] - 1 + length
+                        for col, v in zip(out, (x["code"], doc_id, x["begin"], data[w.start[lo] : w.end[hi - 1]].decode())):
+                            col.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["anchor", "doc_id", "lo", "passage"])
 
-    return involved.select("doc_id", "text", "places", "codes", "hot").mapInArrow(run, "anchor long, other long, doc_id long, lo int, passage string")
+    return involved.select("doc_id", "text", "at").mapInArrow(run, "anchor long, doc_id long, lo long, passage string")
+
+
+_PACKED = "part int, slice long, start long, ones binary, twos binary, lows binary, own binary"
+_NAMES = [c.split(" ")[0] for c in _PACKED.split(", ")]
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.int64()] + [pa.binary()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=_NAMES)
+
+
+def hot_spans(involved: DataFrame, length: int) -> DataFrame:
+    """Spans (doc_id, a, b) of the windows of hot anchors. A slice of texts sends each different window once, as a
+    128-bit hash with the least doc_id it has there, packed by parts of the hash range; it gets back the least doc_id of
+    all slices."""
+    spark = involved.sparkSession
+    parts = 2 * partitions(spark)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = 0
+        for batch in batches:
+            for piece in slices(batch):
+                w = words(piece.column("text"))
+                at = [np.arange(x["begin"], x["begin"] + x["windows"]) + w.first[k] for k, found in enumerate(piece.column("at").to_pylist()) for x in found if x["hot"]]
+                if not at:
+                    continue
+                me = TaskContext.get().partitionId() << 32 | number
+                number += 1
+                at, h = np.unique(np.concatenate(at)), w.hashes()
+                one, two = runs(h, length)[at], runs(mix(h + U(1)), length)[at]
+                doc = np.searchsorted(w.first, at, side="right") - 1
+                ids = piece.column("doc_id").to_numpy()[doc]
+                part = (one % U(parts)).astype(np.int64)
+                order = np.lexsort((ids, two, one, part))
+                new = np.ones(len(order), bool)
+                new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+                kind = np.empty(len(order), np.int64)
+                kind[order] = np.cumsum(new) - 1
+                first = order[new]
+                own = np.stack([ids, at - w.first[doc], kind])
+                rows = [(me % parts, me, -1, None, None, None, own.tobytes())]
+                cuts = np.searchsorted(part[first], np.arange(parts + 1))
+                for p in np.unique(part[first]).tolist():
+                    mine = first[cuts[p] : cuts[p + 1]]
+                    rows.append((p, me, int(cuts[p]), one[mine].tobytes(), two[mine].tobytes(), ids[mine].astype(np.int64).tobytes(), None))
+                yield _packed(rows)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in _NAMES)):
+                if row[0] != at:
+                    yield from answered(held)
+                    at, held = row[0], []
+                held.append(row)
+        yield from answered(held)
+
+    def answered(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        own = [r for r in rows if r[2] < 0]
+        asks = [r for r in rows if r[2] >= 0]
+        if asks:
+            one, two = (np.concatenate([np.frombuffer(r[k], U) for r in asks]) for k in (3, 4))
+            low = np.concatenate([np.frombuffer(r[5], np.int64) for r in asks])
+            order = np.lexsort((low, two, one))
+            new = np.ones(len(order), bool)
+            new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+            least = np.empty(len(order), np.int64)
+            least[order] = low[order][new][np.cumsum(new) - 1]
+            cuts = np.cumsum([len(r[5]) // 8 for r in asks])[:-1]
+            own += [(0, r[1], r[2], None, None, v.tobytes(), None) for r, v in zip(asks, np.split(least, cuts))]
+        if own:
+            yield _packed(own)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own, least = None, None, None
+        for batch in batches:
+            for me, start, lows, raw in zip(*(batch.column(c).to_pylist() for c in ("slice", "start", "lows", "own"))):
+                if me != at:
+                    if at is not None:
+                        yield spans(own, least)
+                    at, own, least = me, None, None
+                if start < 0:  # comes first
+                    own = np.frombuffer(raw, np.int64).reshape(3, -1)
+                    least = np.zeros(own[2].max() + 1, np.int64)
+                else:
+                    v = np.frombuffer(lows, np.int64)
+                    least[start : start + len(v)] = v
+        if at is not None:
+            yield spans(own, least)
+
+    def spans(own: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
+        ids, lo, kind = own[:, own[0] > least[own[2]]]  # by text and position
+        cut = np.ones(len(ids), bool)
+        cut[1:] = (ids[1:] != ids[:-1]) | (lo[1:] > lo[:-1] + length) | (lo[1:] < lo[:-1])
+        begin = np.flatnonzero(cut)
+        last = np.append(begin[1:], len(ids)) - 1
+        cols = (ids[begin], lo[begin], lo[last] + length) if len(ids) else ([], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "a", "b"])
+
+    hot = involved.where(F.exists("at", lambda x: x["hot"])).select("doc_id", "text", "at").mapInArrow(look, _PACKED)
+    met = hot.repartition(partitions(spark), "part").sortWithinPartitions("part").mapInArrow(meet, _PACKED)
+    return met.repartition(partitions(spark), "slice").sortWithinPartitions("slice", "start").mapInArrow(gather, "doc_id long, a long, b long")
 
 
 def matched(passages: DataFrame, length: int) -> DataFrame:
-    """Rows of an anchor together and in the order of doc_id, to spans (doc_id, a, b)."""
+    """Rows of a shard together and in the order of doc_id, to spans (doc_id, a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, group, out = None, [], []
@@ -242,7 +337,7 @@ def matched(passages: DataFrame, length: int) -> DataFrame:
                     if row[0] != at:
                         out += shard_spans(group, length)
                         at, group = row[0], []
-                    group.append((row[1], row[2], h[cuts[k] : cuts[k + 1]]))
+                    group.append((*row[1:], h[cuts[k] : cuts[k + 1]]))
                 if len(out) > 50_000:
                     yield table(out)
                     out = []
@@ -251,9 +346,9 @@ def matched(passages: DataFrame, length: int) -> DataFrame:
             yield table(out)
 
     def table(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "a", "b"])
 
-    return passages.mapInArrow(run, "doc_id long, a int, b int")
+    return passages.mapInArrow(run, "doc_id long, a long, b long")
 
 
 def cleaned(rows: DataFrame, with_text: bool) -> DataFrame:
@@ -286,23 +381,20 @@ def removals(docs: DataFrame, length: int = LENGTH, size: int = ANCHOR, shard: i
     scan = stored(scanned(docs, length, size), "dedup-scan")
     texts = stored(scan.groupBy("key").agg(F.min("doc_id").alias("text_id")), "dedup-texts")
     own = scan.join(texts.withColumnRenamed("text_id", "doc_id"), ["doc_id", "key"])
-    placed = own.where("size(anchors) > 0").select("doc_id", "key", F.explode(F.arrays_zip("anchors", "places")).alias("x")).select("doc_id", "key", F.col("x.anchors").alias("code"), F.col("x.places").alias("place"))
+    placed = own.where("size(anchors) > 0").select("doc_id", "key", F.explode(F.arrays_zip("anchors", "begins", "windows")).alias("x"))
+    placed = placed.select("doc_id", "key", F.col("x.anchors").alias("code"), F.col("x.begins").alias("begin"), F.col("x.windows").alias("windows"))
     placed = stored(placed, "dedup-anchors")
     often = placed.groupBy("code").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high")
-    met = placed.join(often.select("code", (F.col("n") > shard).alias("hot")), "code")
-    met = met.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("place", "code", "hot"))).alias("at"))  # a text's own anchors
-    met = met.select("doc_id", "key", F.col("at.place").alias("places"), F.col("at.code").alias("codes"), F.col("at.hot").alias("hot"))
+    often = stored(often.select("code", (F.col("n") > shard).alias("hot")), "dedup-often")
+    met = placed.join(often, "code")
+    met = met.groupBy("doc_id", "key").agg(F.collect_list(F.struct("begin", "code", "windows", "hot")).alias("at"))  # a text's own anchors
     involved = stored(docs.select("doc_id", "key", "text").join(met, ["doc_id", "key"]), "dedup-involved")
-    found = stored(contexts(involved, length, size), "dedup-passages")
-    shards = found.where("other is null").select("anchor", "doc_id", "lo", "passage").repartition(partitions(spark), "anchor").sortWithinPartitions("anchor", "doc_id", "lo")
-    windows = found.where("other is not null").select("anchor", "other", "doc_id", "lo")
-    least = windows.groupBy("anchor", "other").agg(F.min("doc_id").alias("low"))
-    late = windows.join(least, ["anchor", "other"]).where("doc_id > low").select("doc_id", F.col("lo").alias("a"), (F.col("lo") + length).alias("b"))
-    spans = matched(shards, length).unionByName(late)
+    shards = contexts(involved, length).repartition(partitions(spark), "anchor").sortWithinPartitions("anchor", "doc_id", "lo")
+    spans = matched(shards, length).unionByName(hot_spans(involved, length))
     spans = spans.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # of one text
-    changed = cleaned(involved.select("doc_id", "key", "text").join(spans, "doc_id"), with_text)
+    changed = cleaned(involved.select("doc_id", "key", "text").join(spans, "doc_id"), with_text).dropDuplicates(["doc_id", "key"])
     copies = texts.withColumnRenamed("key", "_key")
-    rows = scan.drop("anchors", "places").join(copies, F.col("key") == F.col("_key")).withColumn("copy", F.col("doc_id") > F.col("text_id"))
+    rows = scan.drop("anchors", "begins", "windows").join(copies, F.col("key") == F.col("_key")).withColumn("copy", F.col("doc_id") > F.col("text_id"))
     return rows.drop("_key", "text_id"), stored(changed, "dedup-changed")
 
 
