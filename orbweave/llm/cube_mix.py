@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orbweave.llm.storage import stored
+from orbweave.llm.storage import stored, whole
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 BLOCK = 4096
@@ -156,12 +156,13 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), budget
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The documents, each as often as the mix takes it."""
-    cols = docs.columns
-    chosen = copies(docs, **how).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("copies").alias("_copies"))
+    chosen = copies(docs, **how).where("copies > 0").select("doc_id", "row", "copies")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", size)).cast("long") - 1)
-    taken = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (rows["_row"] == chosen["_row"]))
-    return taken.select(*cols, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select(*cols)
+    rows = whole(docs, doc_id=F.col("doc_id"), source=F.col("source"), size=size)
+    rows = rows.withColumn("row", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size")).cast("long") - 1)
+    rows = rows.withColumnsRenamed({"doc_id": "own_id", "row": "own_row"})
+    taken = rows.join(chosen, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_row") == F.col("row")))
+    return taken.select("r", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("r.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

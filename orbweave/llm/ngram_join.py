@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbweave.llm.components import components
-from orbweave.llm.storage import partitions, stored
+from orbweave.llm.storage import partitions, stored, whole
 from orbweave.llm.textcols import U, distinct, mix, shingles, slices, words
 
 SIZE = 5
@@ -216,12 +216,11 @@ def near_copies(docs: DataFrame, **how) -> DataFrame:
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """Of each component the document with the least doc_id; of repeated rows one."""
     _, texts = classes(docs, **how)
-    cols = docs.columns
-    keep = texts.where("text_id = group_id").select(F.col("text_id").alias("_id"), F.col("key").alias("_key"))
-    rows = docs.withColumn("_text_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
-    rows = rows.join(keep, F.col("_text_id") == F.col("_id")).where(F.md5(F.coalesce("text", F.lit("")).cast("binary")) == F.col("_key"))
-    first = Window.partitionBy("_text_id").orderBy("_key")
-    return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*cols)
+    keep = texts.where("text_id = group_id").select("text_id", F.col("key").alias("kept"))
+    text_id, key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    rows = whole(docs, text_id=text_id, key=key).join(keep, "text_id").where("key = kept")
+    first = F.row_number().over(Window.partitionBy("text_id").orderBy("key"))
+    return rows.withColumn("n", first).where("n = 1").select("r.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.llm.ngram_join import identified
-from orbweave.llm.storage import partitions, stored
+from orbweave.llm.storage import partitions, stored, whole
 from orbweave.llm.textcols import U, Words, mix, powers, slices, words
 
 LENGTH = 50
@@ -412,13 +412,12 @@ def dedup(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
     """The documents, each text that loses words as its kept words joined by one space; other texts and columns stay."""
-    cols = docs.columns
     rows, changed = removals(docs, length, with_text=True, **how)
     gone = rows.where(F.col("copy") & (F.col("n_words") >= length)).select("doc_id", "key", F.lit("").alias("kept")).distinct()
-    changed = changed.select("doc_id", "key", "kept").unionByName(gone).withColumnsRenamed({"doc_id": "_id", "key": "_key", "kept": "_kept"})
-    left = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("_md5", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    out = left.join(changed, (F.col("_doc") == F.col("_id")) & (F.col("_md5") == F.col("_key")), "left")
-    return out.withColumn("text", F.coalesce("_kept", "text")).select(*cols)
+    changed = changed.select("doc_id", "key", "kept").unionByName(gone)
+    doc_id, key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    out = whole(docs, doc_id=doc_id, key=key).join(changed, ["doc_id", "key"], "left")
+    return out.select(*[F.coalesce("kept", "r.text").alias(c) if c == "text" else F.col(f"r.`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
