@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.llm.lang_masks import fold, summed
-from orbweave.llm.storage import partitions, stored
+from orbweave.llm.storage import hashed_sample, partitions, stored
 from orbweave.llm.textcols import U, Words, mix, slices, words
 
 BUCKETS = 512
@@ -41,6 +41,8 @@ DIM = 16
 CONTEXT = 3
 NOISE = 16.0
 SAMPLE = 2000
+#: The least part of all tokens that a frequent word has.
+SHARE = 1e-6
 BATCH = 8192
 END = np.int64(-1)
 
@@ -96,8 +98,9 @@ class Vocabulary:
 
     @staticmethod
     def of(counts: DataFrame) -> Vocabulary:
-        top = counts.where("bucket >= 0").orderBy(F.desc("n"), "word").limit(SYMBOLS - BUCKETS - 1).select("word", "n")
-        top = top.toPandas()
+        total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("bucket") < 0, F.col("n"))), F.lit(0))).first()
+        often = counts.where((F.col("bucket") >= 0) & (F.col("n") >= total[0] * SHARE))  # 1 / SHARE words at most
+        top = often.orderBy(F.desc("n"), "word").limit(SYMBOLS - BUCKETS - 1).select("word", "n").toPandas()
         heads, n = top["word"].to_numpy(np.int64).astype(U), top["n"].to_numpy(np.int64)
         order = np.argsort(heads)
         heads, n = heads[order], n[order]
@@ -105,7 +108,6 @@ class Vocabulary:
         stats = rest.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toPandas()
         bucket_n, bucket_kinds = np.zeros(BUCKETS), np.zeros(BUCKETS)
         bucket_n[stats["bucket"]], bucket_kinds[stats["bucket"]] = stats["n"], stats["kinds"]
-        total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("bucket") < 0, F.col("n"))), F.lit(0))).first()
         return Vocabulary(heads, n, bucket_n, bucket_kinds, total[2], total[0], total[1])
 
     def symbols(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -259,7 +261,7 @@ def _contrast(s: np.ndarray, noise: np.ndarray, hit: np.ndarray) -> np.ndarray:
 def fit(learn: DataFrame, vocabulary: Vocabulary, sample: int = SAMPLE, rate: float = 0.3) -> Bilinear:
     """learn: doc_id, text."""
     model = Bilinear(vocabulary.shares())
-    first = learn.orderBy(F.xxhash64("doc_id", F.lit("lm sample")), "doc_id").limit(sample).select("text").toArrow()
+    first = hashed_sample(learn.select("doc_id", "text"), sample, "doc_id").select("text").toArrow()
     parts = [p for b in first.to_batches() for p in slices(b, most=1 << 19)]
     epochs = 2
     for k in range(12):

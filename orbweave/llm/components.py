@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.storage import stored
+from orbweave.llm.storage import discard, stored
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -26,8 +26,10 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         large = stored(large.where("u <> v").distinct(), f"links-{k}-large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        old = pairs
         pairs = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), f"links-{k}-small")
         before, state = state, _state(pairs)
+        discard(old, large)
         if state == before:
             break
     else:

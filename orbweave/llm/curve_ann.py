@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orbweave.llm.storage import partitions, stored
+from orbweave.llm.storage import discard, hashed_sample, partitions, stored
 
 CURVES = 12
 DIMS = 8
@@ -189,7 +189,7 @@ def search(rows: DataFrame, queries, k: int = K, curves: int = CURVES, recall: f
     width = head["w"] if head else 1
     line = stored(ordered(points, width, curves), "ann-places")
     if window is None:
-        some = points.where("asks").orderBy(F.xxhash64("point")).limit(sample).select("point", "v").toPandas()
+        some = hashed_sample(points.where("asks").select("point", "v"), sample, "point").toPandas()
         window = LEAST
         if len(some) and n > LEAST:
             near = exact(points, some["point"].to_numpy(), np.array(some["v"].tolist()), k + 1).select("q", "point")
@@ -231,6 +231,7 @@ def search(rows: DataFrame, queries, k: int = K, curves: int = CURVES, recall: f
     found = found.groupBy("q", "point").agg(F.max("score").alias("score"))
     best = Window.partitionBy("q").orderBy(F.desc("score"), "point")
     found = stored(found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n"), "ann-found")
+    discard(line)
     named = points.select("point", "v")
     ids = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= k + 1)
     ids = ids.join(named, "v").select("point", "vec_id")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbweave.llm.components import components
-from orbweave.llm.storage import partitions, stored, whole
+from orbweave.llm.storage import discard, partitions, stored, whole
 from orbweave.llm.textcols import U, distinct, mix, shingles, slices, words
 
 SIZE = 5
@@ -200,6 +200,7 @@ def classes(docs: DataFrame, threshold: float = LIKE, recall: float = RECALL, si
     tasks = each.select("bucket", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "doc_id", "text", "meets", F.col("own").alias("side"))
     tasks = tasks.repartition(partitions(docs.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc_id")
     linked = stored(verified(tasks, size, threshold), "ngram-links")
+    discard(meeting)
     roots = components(linked.select(F.col("doc_id").alias("a"), F.col("other").alias("b")))
     links = linked.groupBy("doc_id").agg(F.sum("links").alias("n_links")).withColumnRenamed("doc_id", "text_id")
     texts = texts.drop("bands").join(links, "text_id", "left").join(roots.withColumnsRenamed({"node": "text_id", "root": "group_id"}), "text_id", "left")

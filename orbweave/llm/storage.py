@@ -28,7 +28,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back, which cuts its lineage there."""
     path = new_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing to come will read."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def hashed_sample(rows: DataFrame, most: int, *keys: str, seed: str = "sample") -> DataFrame:
+    """At most ``most`` rows, those with the least hashes of the keys; all rows where there are no more. Only rows below
+    a bound on the hash that lets about twice as many pass are sorted."""
+    n = rows.count()
+    h = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 40))
+    bound = (1 << 40) if n <= 2 * most else int((1 << 40) * (2 * most / n)) + 1
+    return rows.withColumn("_h", h).where(F.col("_h") < bound).orderBy("_h", *keys).limit(most).drop("_h")
 
 
 def whole(docs: DataFrame, **keys: Column) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.llm.ngram_join import identified
-from orbweave.llm.storage import partitions, stored, whole
+from orbweave.llm.storage import discard, partitions, stored, whole
 from orbweave.llm.textcols import U, Words, mix, powers, slices, words
 
 LENGTH = 50
@@ -393,9 +393,11 @@ def removals(docs: DataFrame, length: int = LENGTH, size: int = ANCHOR, shard: i
     spans = matched(shards, length).unionByName(hot_spans(involved, length))
     spans = spans.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # of one text
     changed = cleaned(involved.select("doc_id", "key", "text").join(spans, "doc_id"), with_text).dropDuplicates(["doc_id", "key"])
+    changed = stored(changed, "dedup-changed")
+    discard(placed, often, involved)
     copies = texts.withColumnRenamed("key", "_key")
     rows = scan.drop("anchors", "begins", "windows").join(copies, F.col("key") == F.col("_key")).withColumn("copy", F.col("doc_id") > F.col("text_id"))
-    return rows.drop("_key", "text_id"), stored(changed, "dedup-changed")
+    return rows.drop("_key", "text_id"), changed
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
