@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.functions import calendar, geo, kernels, units
-from orbweave.operators import analysis, coeffs, slepian, spectrum, synthesis, timeaxis, timeseries, weights
+from orbweave.operators import analysis, coeffs, report, slepian, spectrum, synthesis, timeaxis, timeseries, weights
 from orbweave.plans import planner
 from orbweave.sources import carriers
 from orbweave.streaming import quadrature as stream
@@ -345,6 +345,27 @@ def _(spark, sf):
     return synthesis.gradient(carriers.cells(spark, sf), l8(spark, sf), 8).select("point_id", r("by_lon", 5).alias("by_lon"))
 
 
+@query("gradient_fft", f"""{SYNTH.replace('f AS (', 'f0 AS (')}
+SELECT {rr('g.lat')} AS lat, CAST(any_value(ilon) AS INT) AS ilon, {rr('sum(p * m * (k.s * cos(m * radians(lon)) - k.c * sin(m * radians(lon)))) / cos(radians(any_value(g.lat)))', 5)} AS by_lon
+FROM g JOIN leg USING (lat) JOIN k USING (n, m) GROUP BY g.point_id, g.lat""")
+def _(spark, sf):
+    lats = carriers.cells(spark, sf).select("lat").distinct()
+    return synthesis.gradient_rows(lats, l8(spark, sf), 8, 36).select(r("lat").alias("lat"), "ilon", r("by_lon", 5).alias("by_lon"))
+
+
+@query("series_report", f"""WITH RECURSIVE {YEARS}, {leg('SELECT lat FROM g', 2)},
+h AS (SELECT row_number() OVER () AS id, *, {AREA} AS w FROM g),
+k AS (SELECT epoch_id, n, m, sum(w * value * p * cos(m * radians(lon))) / {FOUR_PI} AS c, sum(w * value * p * sin(m * radians(lon))) / {FOUR_PI} AS s FROM h JOIN leg USING (lat) GROUP BY epoch_id, n, m),
+f AS (SELECT h.id, any_value(h.epoch_id) AS epoch_id, any_value(value) AS value, any_value(w) AS w, sum(p * (k.c * cos(leg.m * radians(lon)) + k.s * sin(leg.m * radians(lon)))) AS fitted
+      FROM h JOIN leg USING (lat) JOIN k ON k.epoch_id = h.epoch_id AND k.n = leg.n AND k.m = leg.m GROUP BY h.id)
+SELECT f.epoch_id, count(*) AS n_points, {rr('sqrt(avg(value * value))')} AS data_rms, {rr('any_value(k.c)')} AS c00, {rr(f'sum(w) / {FOUR_PI}')} AS coverage, {rr('sqrt(avg((value - fitted) * (value - fitted)))')} AS residual_rms
+FROM f JOIN k ON k.epoch_id = f.epoch_id AND k.n = 0 GROUP BY f.epoch_id""")
+def _(spark, sf):
+    y = weights.grid(carriers.yearly_cells(spark, sf))
+    out = report.series_report(y, analysis.quadrature(y, 2), 2).select("epoch_id", "n_points", "data_rms", "c00", "coverage", "residual_rms")
+    return rounded(out, 6, "data_rms", "c00", "coverage", "residual_rms")
+
+
 # --- spectra, units and filters --------------------------------------------------------------------------------------
 POWER = "sum(c * c + s * s)"
 

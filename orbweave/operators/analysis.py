@@ -43,17 +43,17 @@ def quadrature(weighted: DataFrame, nmax: int) -> DataFrame:
         held: dict[int, np.ndarray] = {}
         for b in _chunks(batches):
             lat, lon, value, w, epoch = (b.column(c).to_numpy(zero_copy_only=False) for c in ("lat", "lon", "value", "w", "epoch_id"))
-            f = value * w
-            kinds, code = np.unique(epoch, return_inverse=True)
-            by = np.zeros((len(kinds), len(f)))
-            by[code, np.arange(len(f))] = f
+            order = np.argsort(epoch, kind="stable")
+            lat, lon, f = lat[order], lon[order], (value * w)[order]
+            kinds, first = np.unique(epoch[order], return_index=True)
             sums = [held.setdefault(int(e), np.zeros((2, nmax + 1, nmax + 1))) for e in kinds]
             cos, sin = waves(lon, nmax)
             for m, p in columns(lat, nmax):
-                c, s = by @ (p * cos[m]).T, by @ (p * sin[m]).T
-                for k, out in enumerate(sums):
-                    out[0, m:, m] += c[k]
-                    out[1, m:, m] += s[k]
+                for part, wave in ((0, cos), (1, sin)):
+                    fw = f * wave[m]
+                    by = (p @ fw)[:, None] if len(kinds) == 1 else np.add.reduceat(p * fw, first, axis=1)
+                    for k, out in enumerate(sums):
+                        out[part, m:, m] += by[:, k]
         n, m = np.tril_indices(nmax + 1)
         for e, out in held.items():
             cols = [np.full(len(n), e, np.int32), n.astype(np.int32), m.astype(np.int32), out[0, n, m], out[1, n, m]]

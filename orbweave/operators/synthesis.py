@@ -127,6 +127,31 @@ def gradient(points: DataFrame, coeffs: DataFrame, nmax: int) -> DataFrame:
     return _mapped(points, ["by_colat", "by_lon"], run)
 
 
+def gradient_rows(lats: DataFrame, coeffs: DataFrame, nmax: int, nlon: int, first_lon: float = 0.0) -> DataFrame:
+    """The gradient on a full even grid by two inverse FFTs for each latitude: lat, ilon, lon, by_colat, by_lon."""
+    sets = _sets(coeffs, nmax)
+    if len(sets) > 1:
+        raise ValueError("gradients are of one epoch")
+    if nlon <= 2 * nmax:
+        raise ValueError(f"{nlon} longitudes don't resolve order {nmax}")
+    c, s = next(iter(sets.values()), (np.zeros((nmax + 1,) * 2),) * 2)
+    turn = np.exp(1j * np.radians(first_lon) * np.arange(nmax + 1)) * np.where(np.arange(nmax + 1) == 0, 1.0, 0.5)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lat = b.column("lat").to_numpy()
+            down, across = (np.zeros((len(lat), nlon // 2 + 1), complex) for _ in range(2))
+            d = slopes(lat, nmax)
+            down[:, : nmax + 1] = (np.einsum("knm,nm->km", d, c) - 1j * np.einsum("knm,nm->km", d, s)) * turn
+            for m, q in over_sine(lat, nmax):
+                across[:, m] = m * ((s[m:, m] @ q) + 1j * (c[m:, m] @ q)) * turn[m]
+            i = np.tile(np.arange(nlon, dtype=np.int32), len(lat))
+            cols = [np.repeat(lat, nlon), i, first_lon + i * (360.0 / nlon), *[(np.fft.irfft(z, nlon, axis=1) * nlon).ravel() for z in (down, across)]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["lat", "ilon", "lon", "by_colat", "by_lon"])
+
+    return lats.select("lat").mapInArrow(run, "lat double, ilon int, lon double, by_colat double, by_lon double")
+
+
 def horizontal(points: DataFrame, coeffs: DataFrame, nmax: int, field_unit: str = "geopotential", love: DataFrame | None = None, scale: bool = True) -> DataFrame:
     """points with north, east, magnitude and azimuth of the horizontal displacement. With scale, coefficients are first
     turned into its potential by unit and Love numbers; abstract units and vectors are refused."""
