@@ -215,12 +215,12 @@ def near_copies(docs: DataFrame, **how) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """Of each component the document with the least doc_id; of repeated rows one."""
+    """Of each component the document with the least doc_id; of repeated rows one, of several texts under that doc_id each."""
     _, texts = classes(docs, **how)
     keep = texts.where("text_id = group_id").select("text_id", F.col("key").alias("kept"))
     text_id, key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.md5(F.coalesce("text", F.lit("")).cast("binary"))
     rows = whole(docs, text_id=text_id, key=key).join(keep, "text_id").where("key = kept")
-    first = F.row_number().over(Window.partitionBy("text_id").orderBy("key"))
+    first = F.row_number().over(Window.partitionBy("text_id", "key").orderBy("text_id"))
     return rows.withColumn("n", first).where("n = 1").select("r.*")
 
 

@@ -143,11 +143,11 @@ def covered(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def shard_spans(rows: list[tuple[int, int, list[int]]], length: int) -> Iterator[tuple[int, int, int]]:
-    """rows: (doc_id, position of the first word, words) in the order of doc_id. Gives the spans to remove."""
+def shard_spans(rows: list[tuple[int, int, int, list[int]]], length: int) -> Iterator[tuple[int, int, int, int]]:
+    """rows: (doc_id, text, position of the first word, words) in the order of doc_id. Gives the spans to remove."""
     sam, waiting, seen = Automaton(), [], set()
     at = None
-    for doc_id, lo, seq in rows:
+    for doc_id, tid, lo, seq in rows:
         if doc_id != at:
             for w in waiting:
                 sam.add(w)
@@ -155,7 +155,7 @@ def shard_spans(rows: list[tuple[int, int, list[int]]], length: int) -> Iterator
         if len(sam.next) > 1:
             stats = sam.statistics(seq)
             ends = [k for k, n in enumerate(stats) if n >= length]
-            yield from ((doc_id, lo + a, lo + b) for a, b in covered([(k + 1 - length, k + 1) for k in ends]))
+            yield from ((doc_id, tid, lo + a, lo + b) for a, b in covered([(k + 1 - length, k + 1) for k in ends]))
             if stats and stats[-1] == len(seq):
                 continue  # the automaton holds all of it
         if (key := tuple(seq)) not in seen:
@@ -201,25 +201,25 @@ def kept_digests(w: Words, gone: np.ndarray | None) -> list[str]:
 
 
 def contexts(involved: DataFrame, length: int) -> DataFrame:
-    """involved (doc_id, text, at: begin, code, windows, hot) to one row for each anchor that isn't hot: its passage,
+    """involved (doc_id, tid, text, at: begin, code, windows, hot) to one row for each anchor that isn't hot: its passage,
     which is all of its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, most=1 << 19):
                 w = words(part.column("text"))
-                data, out = w.data.tobytes(), ([], [], [], [])
-                for k, (doc_id, found) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("at").to_pylist())):
+                data, out = w.data.tobytes(), ([], [], [], [], [])
+                for k, (doc_id, tid, found) in enumerate(zip(*(part.column(c).to_pylist() for c in ("doc_id", "tid", "at")))):
                     for x in found:
                         if x["hot"]:
                             continue
                         lo = int(w.first[k]) + x["begin"]
                         hi = lo + x["windows"] - 1 + length
-                        for col, v in zip(out, (x["code"], doc_id, x["begin"], data[w.start[lo] : w.end[hi - 1]].decode())):
+                        for col, v in zip(out, (x["code"], doc_id, tid, x["begin"], data[w.start[lo] : w.end[hi - 1]].decode())):
                             col.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["anchor", "doc_id", "lo", "passage"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (*[pa.int64()] * 4, pa.string()))], names=["anchor", "doc_id", "tid", "lo", "passage"])
 
-    return involved.select("doc_id", "text", "at").mapInArrow(run, "anchor long, doc_id long, lo long, passage string")
+    return involved.select("doc_id", "tid", "text", "at").mapInArrow(run, "anchor long, doc_id long, tid long, lo long, passage string")
 
 
 _PACKED = "part int, slice long, start long, ones binary, twos binary, lows binary, own binary"
@@ -232,7 +232,7 @@ def _packed(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def hot_spans(involved: DataFrame, length: int) -> DataFrame:
-    """Spans (doc_id, a, b) of the windows of hot anchors. A slice of texts sends each different window once, as a
+    """Spans (doc_id, tid, a, b) of the windows of hot anchors. A slice of texts sends each different window once, as a
     128-bit hash with the least doc_id it has there, packed by parts of the hash range; it gets back the least doc_id of
     all slices."""
     spark = involved.sparkSession
@@ -251,7 +251,7 @@ def hot_spans(involved: DataFrame, length: int) -> DataFrame:
                 at, h = np.unique(np.concatenate(at)), w.hashes()
                 one, two = runs(h, length)[at], runs(mix(h + U(1)), length)[at]
                 doc = np.searchsorted(w.first, at, side="right") - 1
-                ids = piece.column("doc_id").to_numpy()[doc]
+                ids, tids = (piece.column(c).to_numpy()[doc] for c in ("doc_id", "tid"))
                 part = (one % U(parts)).astype(np.int64)
                 order = np.lexsort((ids, two, one, part))
                 new = np.ones(len(order), bool)
@@ -259,7 +259,7 @@ def hot_spans(involved: DataFrame, length: int) -> DataFrame:
                 kind = np.empty(len(order), np.int64)
                 kind[order] = np.cumsum(new) - 1
                 first = order[new]
-                own = np.stack([ids, at - w.first[doc], kind])
+                own = np.stack([ids, tids, at - w.first[doc], kind])
                 rows = [(me % parts, me, -1, None, None, None, own.tobytes())]
                 cuts = np.searchsorted(part[first], np.arange(parts + 1))
                 for p in np.unique(part[first]).tolist():
@@ -302,8 +302,8 @@ def hot_spans(involved: DataFrame, length: int) -> DataFrame:
                         yield spans(own, least)
                     at, own, least = me, None, None
                 if start < 0:  # comes first
-                    own = np.frombuffer(raw, np.int64).reshape(3, -1)
-                    least = np.zeros(own[2].max() + 1, np.int64)
+                    own = np.frombuffer(raw, np.int64).reshape(4, -1)
+                    least = np.zeros(own[3].max() + 1, np.int64)
                 else:
                     v = np.frombuffer(lows, np.int64)
                     least[start : start + len(v)] = v
@@ -311,21 +311,21 @@ def hot_spans(involved: DataFrame, length: int) -> DataFrame:
             yield spans(own, least)
 
     def spans(own: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
-        ids, lo, kind = own[:, own[0] > least[own[2]]]  # by text and position
+        ids, tids, lo, _ = own[:, own[0] > least[own[3]]]  # by row and position
         cut = np.ones(len(ids), bool)
-        cut[1:] = (ids[1:] != ids[:-1]) | (lo[1:] > lo[:-1] + length) | (lo[1:] < lo[:-1])
+        cut[1:] = (ids[1:] != ids[:-1]) | (tids[1:] != tids[:-1]) | (lo[1:] > lo[:-1] + length) | (lo[1:] < lo[:-1])
         begin = np.flatnonzero(cut)
         last = np.append(begin[1:], len(ids)) - 1
-        cols = (ids[begin], lo[begin], lo[last] + length) if len(ids) else ([], [], [])
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "a", "b"])
+        cols = (ids[begin], tids[begin], lo[begin], lo[last] + length) if len(ids) else ([], [], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "tid", "a", "b"])
 
-    hot = involved.where(F.exists("at", lambda x: x["hot"])).select("doc_id", "text", "at").mapInArrow(look, _PACKED)
+    hot = involved.where(F.exists("at", lambda x: x["hot"])).select("doc_id", "tid", "text", "at").mapInArrow(look, _PACKED)
     met = hot.repartition(partitions(spark), "part").sortWithinPartitions("part").mapInArrow(meet, _PACKED)
-    return met.repartition(partitions(spark), "slice").sortWithinPartitions("slice", "start").mapInArrow(gather, "doc_id long, a long, b long")
+    return met.repartition(partitions(spark), "slice").sortWithinPartitions("slice", "start").mapInArrow(gather, "doc_id long, tid long, a long, b long")
 
 
 def matched(passages: DataFrame, length: int) -> DataFrame:
-    """Rows of a shard together and in the order of doc_id, to spans (doc_id, a, b)."""
+    """Rows of a shard together and in the order of doc_id, to spans (doc_id, tid, a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, group, out = None, [], []
@@ -333,7 +333,7 @@ def matched(passages: DataFrame, length: int) -> DataFrame:
             for part in slices(batch, "passage"):
                 w = words(part.column("passage"))
                 h, cuts = w.hashes().tolist(), w.first.tolist()
-                for k, row in enumerate(zip(*(part.column(c).to_pylist() for c in ("anchor", "doc_id", "lo")))):
+                for k, row in enumerate(zip(*(part.column(c).to_pylist() for c in ("anchor", "doc_id", "tid", "lo")))):
                     if row[0] != at:
                         out += shard_spans(group, length)
                         at, group = row[0], []
@@ -345,10 +345,10 @@ def matched(passages: DataFrame, length: int) -> DataFrame:
         if out:
             yield table(out)
 
-    def table(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "a", "b"])
+    def table(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "tid", "a", "b"])
 
-    return passages.mapInArrow(run, "doc_id long, a long, b long")
+    return passages.mapInArrow(run, "doc_id long, tid long, a long, b long")
 
 
 def cleaned(rows: DataFrame, with_text: bool) -> DataFrame:
@@ -388,11 +388,12 @@ def removals(docs: DataFrame, length: int = LENGTH, size: int = ANCHOR, shard: i
     often = stored(often.select("code", (F.col("n") > shard).alias("hot")), "dedup-often")
     met = placed.join(often, "code")
     met = met.groupBy("doc_id", "key").agg(F.collect_list(F.struct("begin", "code", "windows", "hot")).alias("at"))  # a text's own anchors
-    involved = stored(docs.select("doc_id", "key", "text").join(met, ["doc_id", "key"]), "dedup-involved")
-    shards = contexts(involved, length).repartition(partitions(spark), "anchor").sortWithinPartitions("anchor", "doc_id", "lo")
+    involved = docs.select("doc_id", "key", "text").join(met, ["doc_id", "key"]).withColumn("tid", F.xxhash64("key"))
+    involved = stored(involved, "dedup-involved")
+    shards = contexts(involved, length).repartition(partitions(spark), "anchor").sortWithinPartitions("anchor", "doc_id", "tid", "lo")
     spans = matched(shards, length).unionByName(hot_spans(involved, length))
-    spans = spans.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # of one text
-    changed = cleaned(involved.select("doc_id", "key", "text").join(spans, "doc_id"), with_text).dropDuplicates(["doc_id", "key"])
+    spans = spans.groupBy("doc_id", "tid").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # of one text
+    changed = cleaned(involved.select("doc_id", "key", "tid", "text").join(spans, ["doc_id", "tid"]), with_text).dropDuplicates(["doc_id", "key"])
     changed = stored(changed, "dedup-changed")
     discard(placed, often, involved)
     copies = texts.withColumnRenamed("key", "_key")

@@ -20,7 +20,7 @@ def texts():
     out = [(k, " ".join(word() for _ in range(rng.randrange(1, 150)))) for k in range(60)]
     base = " ".join(word() for _ in range(120))
     out += [(100 + k, base.replace(" a", " b", k % 3)) for k in range(6)]
-    out += [(200, None), (201, ""), (202, " \n\t "), (203, "12 34"), (204, "x"), (None, "no id at all"), (None, None), (205, "w " * 20_000), (3, out[3][1]), (206, out[3][1]), (207, "ünïcödé 日本語 \U0001f44d")]
+    out += [(200, None), (201, ""), (202, " \n\t "), (203, "12 34"), (204, "x"), (None, "no id at all"), (None, None), (205, "w " * 20_000), (3, out[3][1]), (206, out[3][1]), (4, out[5][1] + " " + base + " more"), (4, "another text " * 30), (207, "ünïcödé 日本語 \U0001f44d")]
     return out
 
 

@@ -183,12 +183,13 @@ def test_repeats_of_hot_passages(spark):
         if i % 11 == 0:
             t = ["a"] * rng.randrange(40, 90)
         rows.append((i, " ".join(t)))
+    rows += [(7, " ".join(shared[0]) + " end"), (7, "start " + " ".join(shared[1]))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     first = {}
     for i, t in rows:
         w = t.split()
         for k in range(len(w) - 49):
-            first.setdefault(tuple(w[k : k + 50]), i)
+            first[tuple(w[k : k + 50])] = min(i, first.get(tuple(w[k : k + 50]), i))
     want = []
     for i, t in rows:
         w = t.split()
@@ -198,7 +199,7 @@ def test_repeats_of_hot_passages(spark):
                 gone[k : k + 50] = [True] * 50
         want.append((i, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone) if not g).encode()).hexdigest()))
     for shard in (512, 4):
-        assert sorted(tuple(r) for r in suffix_dedup.dedup(df, shard=shard).collect()) == want
+        assert sorted(tuple(r) for r in suffix_dedup.dedup(df, shard=shard).collect()) == sorted(want)
 
 
 def test_automaton_statistics():
