@@ -148,6 +148,13 @@ def _(spark, sf):
     return weights.cap_density(carriers.scatter(spark, sf), 9.0).select("point_id", r("w", 10).alias("w"))
 
 
+@query("point_spacing", f"""WITH {SCATTER}, d AS (
+  SELECT a.point_id, max(sin(radians(a.lat)) * sin(radians(b.lat)) + cos(radians(a.lat)) * cos(radians(b.lat)) * cos(radians(a.lon) - radians(b.lon))) AS c FROM p a JOIN p b ON a.point_id <> b.point_id GROUP BY a.point_id)
+SELECT point_id, {rr('degrees(acos(c))', 5)} AS degrees FROM d""")
+def _(spark, sf):
+    return rounded(weights.spacing(carriers.scatter(spark, sf), 12.0), 5, "degrees")
+
+
 @query("weights_voronoi")
 def _(spark, sf):
     return weights.voronoi(carriers.scatter(spark, sf)).select("point_id", "w")
@@ -514,6 +521,12 @@ def _(spark, sf):
     return carriers.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), r(calendar.decimal_year(F.col("o_orderdate")), 8).alias("decimal_year"))
 
 
+@query("date_of_year", "SELECT o_orderkey AS id, date_trunc('second', o_orderdate) AS ts FROM orders")
+def _(spark, sf):
+    year = calendar.decimal_year(F.col("o_orderdate"))
+    return carriers.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), calendar.date_of(year).alias("ts"))
+
+
 @query("epoch_midpoint", """SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) + to_hours(CAST(12 * (o_orderkey % 40 + 1) AS BIGINT)) AS mid FROM orders""")
 def _(spark, sf):
     day = F.to_date("o_orderdate")

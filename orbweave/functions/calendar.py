@@ -28,6 +28,13 @@ def decimal_year(ts: Column) -> Column:
     return F.year(ts) + day / year_length(F.year(ts))
 
 
+def date_of(year: Column) -> Column:
+    """Timestamp without zone of a decimal year, to the second."""
+    whole = F.floor(year).cast("int")
+    part = (year - whole) * year_length(whole) * DAYS
+    return F.make_date(whole, F.lit(1), F.lit(1)).cast("timestamp_ntz") + F.make_dt_interval(secs=F.round(part).cast("decimal(18,6)"))
+
+
 def midpoint(start: Column, last: Column) -> tuple[Column, Column]:
     """(midpoint as timestamp without zone, decimal year) of the days from start to last, both inclusive; the decimal
     year counts from the start's year."""

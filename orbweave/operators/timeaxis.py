@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbweave.functions.calendar import DAYS, decimal_year, name_fields, seconds
+from orbweave.functions.calendar import DAYS, date_of, decimal_year, name_fields, seconds
 
 MONTH_DAYS = 31.0
 
@@ -76,6 +76,17 @@ def from_names(files: DataFrame, name: str = "name") -> DataFrame:
     return out
 
 
+def from_decimal_years(years: DataFrame) -> DataFrame:
+    """epochs (epoch_id, ts, decimal_year) of epoch_id and decimal_year, which stays as the hint."""
+    return years.select("epoch_id", date_of(F.col("decimal_year")).alias("ts"), "decimal_year")
+
+
+def legacy_table(epochs: DataFrame) -> DataFrame:
+    """idx (from 1), y_start, y_end, y_mid in decimal years of six digits, for epochs with start, end and ts."""
+    rows = epochs.select("epoch_id", *[F.round(decimal_year(F.col(c)), 6).alias(n) for c, n in (("start", "y_start"), ("end", "y_end"), ("ts", "y_mid"))])
+    return rows.select((F.col("epoch_id") + 1).alias("idx"), "y_start", "y_end", "y_mid")
+
+
 def select_files(files: DataFrame, product: str | None = None, mission: str | None = None, center: str | None = None, rl: str | None = None, strict: bool = False) -> DataFrame:
     """Files by the parts of their names. strict: a file that doesn't fit is an error."""
     keep = F.lit(True)

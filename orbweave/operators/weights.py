@@ -123,22 +123,34 @@ def delaunay(points: DataFrame) -> DataFrame:
     return _gathered(points, hull.delaunay_areas)
 
 
-def cap_density(points: DataFrame, radius_deg: float) -> DataFrame:
-    """Cap area by number of neighbours within the radius (the point itself counts). Points meet in boxes of the radius;
-    near the poles a box spans more longitudes."""
+def neighbours(points: DataFrame, radius_deg: float) -> DataFrame:
+    """point_id, other, cosine: all points within the radius of each, itself among them. Points meet in boxes of the
+    radius; a band's boxes are as wide as the radius is at its edge next to the pole."""
     box = float(radius_deg)
-    area = 2.0 * np.pi * (1.0 - np.cos(np.radians(box)))
-    base = points.select("point_id", "lat", "lon").withColumn("bi", F.floor((F.col("lat") + 90.0) / box).cast("int"))
-    width = lambda i: F.when(  # noqa: E731  longitudes of a band are cut so that neighbours are at most one box away
-        F.greatest(F.abs(i * box - 90.0), F.abs((i + 1) * box - 90.0)) + box >= 89.0, F.lit(1)
-    ).otherwise(F.greatest(F.lit(1), F.floor(360.0 * F.cos(F.radians(F.greatest(F.abs(i * box - 90.0), F.abs((i + 1) * box - 90.0)) + box)) / box).cast("int")))
-    near = base.select("point_id", "lat", "lon", F.explode(F.array(F.col("bi") - 1, F.col("bi"), F.col("bi") + 1)).alias("i")).withColumn("k", width(F.col("i")))
-    j = F.floor(F.pmod(F.col("lon"), F.lit(360.0)) / 360.0 * F.col("k")).cast("int")
+    base = points.select("point_id", "lat", "lon").withColumn("i", F.floor((F.col("lat") + 90.0) / box).cast("int"))
+    edge = lambda i: F.greatest(F.abs(i * box - 90.0), F.abs((i + 1) * box - 90.0)) + box
+    across = lambda i: F.when(edge(i) >= 89.0, F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(360.0 * F.cos(F.radians(edge(i))) / box).cast("int")))
+    place = lambda k: F.floor(F.pmod(F.col("lon"), F.lit(360.0)) / 360.0 * k).cast("int")
+    near = base.select("point_id", "lat", "lon", F.explode(F.array(F.col("i") - 1, F.col("i"), F.col("i") + 1)).alias("i")).withColumn("k", across(F.col("i")))
+    j = place(F.col("k"))
     near = near.withColumn("j", F.explode(F.array_distinct(F.transform(F.array(j - 1, j, j + 1), lambda x: F.pmod(x, F.col("k")))))).drop("k")
-    own = base.withColumn("k", width(F.col("bi"))).select(F.col("point_id").alias("other"), F.col("bi").alias("i"), F.floor(F.pmod(F.col("lon"), F.lit(360.0)) / 360.0 * F.col("k")).cast("int").alias("j"), F.radians("lat").alias("la"), F.radians("lon").alias("lo"))
+    own = base.select(F.col("point_id").alias("other"), "i", place(across(F.col("i"))).alias("j"), F.radians("lat").alias("la"), F.radians("lon").alias("lo"))
     dot = F.sin(F.radians("lat")) * F.sin("la") + F.cos(F.radians("lat")) * F.cos("la") * F.cos(F.radians("lon") - F.col("lo"))
-    n = near.join(own, ["i", "j"]).where((dot >= np.cos(np.radians(box))) | (F.col("other") == F.col("point_id"))).groupBy("point_id").agg(F.count("*").alias("_n"))
-    return points.join(n, "point_id").withColumn("w", F.lit(area) / F.col("_n")).drop("_n")
+    pairs = near.join(own, ["i", "j"]).select("point_id", "other", F.least(F.lit(1.0), dot).alias("cosine"))
+    return pairs.where((F.col("cosine") >= float(np.cos(np.radians(box)))) | (F.col("other") == F.col("point_id")))
+
+
+def cap_density(points: DataFrame, radius_deg: float) -> DataFrame:
+    """Cap area by number of neighbours within the radius (the point itself counts)."""
+    area = 2.0 * np.pi * (1.0 - np.cos(np.radians(float(radius_deg))))
+    n = neighbours(points, radius_deg).groupBy("point_id").agg(F.count("*").alias("_n"))
+    return points.join(n, "point_id").withColumn("w", F.lit(float(area)) / F.col("_n")).drop("_n")
+
+
+def spacing(points: DataFrame, radius_deg: float) -> DataFrame:
+    """point_id, degrees: distance to the nearest other point; null where none is within the radius."""
+    near = neighbours(points, radius_deg).where("other <> point_id").groupBy("point_id").agg(F.degrees(F.acos(F.max("cosine"))).alias("degrees"))
+    return points.select("point_id").join(near, "point_id", "left")
 
 
 def normalised(weighted: DataFrame) -> DataFrame:

@@ -162,11 +162,21 @@ def degree_of(rows: int) -> int:
     return n
 
 
-def read_triangle(spark: SparkSession, path: str) -> DataFrame:
-    """epoch_id, n, m, c, s of the exchange layout: all c, then all s, by order and degree; a column an epoch."""
+def read_legacy_times(spark: SparkSession, path: str) -> DataFrame:
+    """epochs of a table idx, y_start, y_end, y_mid."""
+    from orbweave.operators.timeaxis import from_decimal_years
+
+    x = spark.read.text(path).select(F.split(F.trim(F.regexp_replace("value", f"^{BOM}", "")), r"[\s,]+").alias("x"))
+    years = x.select((F.expr("try_cast(get(x, 0) as double)").cast("int") - 1).alias("epoch_id"), F.expr("try_cast(get(x, 3) as double)").alias("decimal_year"))
+    return from_decimal_years(years.where("epoch_id is not null and decimal_year is not null"))
+
+
+def read_triangle(spark: SparkSession, path: str, skip: int = 0) -> DataFrame:
+    """epoch_id, n, m, c, s of the exchange layout: all c, then all s, by order and degree; a column an epoch. skip: lines
+    of labels at the top."""
     text = F.trim(F.regexp_replace("value", f"^{BOM}", ""))
     whole = spark.read.text(path, wholetext=True).select(F.filter(F.split(text, r"\r?\n"), lambda x: (F.trim(x) != "") & ~F.trim(x).rlike("^[#%]")).alias("t"))
-    rows = whole.select(F.posexplode("t").alias("k", "x")).select("k", F.split(F.trim("x"), r"[\s,]+").alias("x"))
+    rows = whole.select(F.posexplode(F.slice("t", F.lit(skip + 1), F.greatest(F.lit(0), F.size("t") - skip))).alias("k", "x")).select("k", F.split(F.trim("x"), r"[\s,]+").alias("x"))
     nmax = degree_of(rows.count())
     half = (nmax + 1) * (nmax + 2) // 2
     spine = [(m * (nmax + 1) - m * (m - 1) // 2 + n - m, n, m) for m in range(nmax + 1) for n in range(m, nmax + 1)]

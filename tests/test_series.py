@@ -105,6 +105,18 @@ def test_readers_and_writers(spark, tmp_path):
         writers.gfc_lines(x.unionByName(x.withColumn("epoch_id", F.lit(1))), 3)
 
 
+def test_legacy_tables(spark, tmp_path):
+    rows = [(k, dt.datetime(2003, k + 1, 1), dt.datetime(2003, k + 1, 20), dt.datetime(2003, k + 1, 10, 12)) for k in range(3)]
+    e = spark.createDataFrame(rows, "epoch_id int, start timestamp_ntz, end timestamp_ntz, ts timestamp_ntz")
+    table = timeaxis.legacy_table(e).orderBy("idx").collect()
+    (tmp_path / "TimeInfo.dat").write_text("\n".join(" ".join(map(str, r)) for r in table))
+    back = readers.read_legacy_times(spark, str(tmp_path / "TimeInfo.dat")).orderBy("epoch_id").collect()
+    assert all(abs((a["ts"] - b[3]).total_seconds()) < 20 for a, b in zip(back, rows)) and len(back) == 3
+    (tmp_path / "s.dat").write_text("a b\n1 2\n3 4\n5 6\n0 0\n0 0\n7 8\n")
+    x = readers.read_triangle(spark, str(tmp_path / "s.dat"), skip=1).orderBy("epoch_id", "m", "n").collect()
+    assert [(r["epoch_id"], r["n"], r["m"], r["c"], r["s"]) for r in x][:3] == [(0, 0, 0, 1.0, 0.0), (0, 1, 0, 3.0, 0.0), (0, 1, 1, 5.0, 7.0)]
+
+
 def test_series_of_model_files(spark, tmp_path):
     names = ["GSM-2_2002095-2002120_GRAC_UTCSR_BA01_0600.gfc", "GSM-2_2002123-2002137_GRAC_UTCSR_BA01_0600.gfc", "GAC-2_2002095-2002120_GRAC_UTCSR_BA01_0600.gfc"]
     for k, name in enumerate(names):
