@@ -19,13 +19,7 @@ def points_of(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
 
 def coeffs_of(spark: SparkSession, path: str) -> DataFrame:
-    if path.endswith(".gfc"):
-        return readers.read_gfc(spark, path).select(F.lit(0).alias("epoch_id"), "n", "m", "c", "s")
-    if path.endswith(".csv"):
-        return readers.read_coeff_csv(spark, path)
-    if path.endswith((".sh", ".txt")):
-        return readers.read_triangle(spark, path)
-    return spark.read.parquet(path)
+    return readers.read_coeffs(spark, path) if path.endswith((".gfc", ".csv", ".sh", ".txt", ".dat")) else spark.read.parquet(path)
 
 
 def top(x: DataFrame) -> int:

@@ -14,6 +14,11 @@ def wrapped(lon: Column) -> Column:
     return F.pmod(lon.cast("double"), F.lit(360.0))
 
 
+def snapped(v: Column, step: float) -> Column:
+    """A coordinate of single precision on the lattice of a step."""
+    return F.round(v / F.lit(step)) * F.lit(step)
+
+
 def west_east(lon: Column) -> Column:
     """Longitude in [-180, 180)."""
     return F.pmod(lon.cast("double") + 180.0, F.lit(360.0)) - 180.0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbweave.functions.calendar import DAYS, date_of, decimal_year, name_fields, seconds
@@ -76,6 +76,19 @@ def from_names(files: DataFrame, name: str = "name") -> DataFrame:
     return out
 
 
+def from_index(spark: SparkSession, n: int) -> DataFrame:
+    """n epochs without dates: ts is null and kind is index; what needs dates finds none."""
+    return spark.range(n).select(F.col("id").cast("int").alias("epoch_id"), F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit("index").alias("kind"))
+
+
+def from_labels(labels: DataFrame) -> DataFrame:
+    """epochs of (epoch_id, label) with labels YYYY, YYYY-MM, YYYY-MM-DD or a time of day; others are an error."""
+    text = F.trim("label")
+    full = F.when(text.rlike(r"^\d{4}$"), F.concat(text, F.lit("-01-01"))).when(text.rlike(r"^\d{4}-\d{1,2}$"), F.concat(text, F.lit("-01"))).otherwise(text)
+    ts = F.coalesce(full.try_cast("timestamp_ntz"), F.raise_error(F.concat(F.lit("no date in "), text)).cast("timestamp_ntz"))
+    return labels.select("epoch_id", ts.alias("ts"), "label", F.lit("datetime").alias("kind"))
+
+
 def from_decimal_years(years: DataFrame) -> DataFrame:
     """epochs (epoch_id, ts, decimal_year) of epoch_id and decimal_year, which stays as the hint."""
     return years.select("epoch_id", date_of(F.col("decimal_year")).alias("ts"), "decimal_year")

@@ -194,6 +194,43 @@ def read_coeff_csv(spark: SparkSession, path: str) -> DataFrame:
     return out.select("epoch_id", "n", "m", "p.c", "p.s").where("n is not null and m <= n")
 
 
+def detect_layout(spark: SparkSession, path: str) -> str:
+    """gfc, csv (rows n, m, C, S) or triangle, by the first lines."""
+    lines = [x.strip() for x in _head(spark, path, 200) if x.strip() and not x.lstrip().startswith(("#", "%"))]
+    if any(re.match(r"(?i)(gfct?|grcof2|grcf)\s|product_type|end_of_head|earth_gravity", x) for x in lines):
+        return "gfc"
+    if lines:
+        cells = _cells(lines[0], sniff(lines))
+        if [c.lower() for c in cells[:2]] == ["n", "m"]:
+            return "csv"
+        rows = [_cells(x, sniff(lines)) for x in lines[:20]]
+        whole = all(len(r) >= 4 and re.fullmatch(r"\d+", r[0]) and re.fullmatch(r"\d+", r[1]) and int(r[1]) <= int(r[0]) for r in rows)
+        return "csv" if whole else "triangle"
+    raise ValueError(f"{path} holds no rows")
+
+
+def read_coeffs(spark: SparkSession, path: str, layout: str = "auto") -> DataFrame:
+    """epoch_id, n, m, c, s of a text file in any of the layouts."""
+    layout = detect_layout(spark, path) if layout == "auto" else layout
+    if layout == "gfc":
+        return read_gfc(spark, path).select(F.lit(0).alias("epoch_id"), "n", "m", "c", "s")
+    return {"csv": read_coeff_csv, "triangle": read_triangle}[layout](spark, path)
+
+
+def read_love(spark: SparkSession, path: str) -> DataFrame:
+    """n, h, l, k of a table of load Love numbers; without names its columns are in this order."""
+    rows, names = _rows(spark, path)
+    at = {c: resolve(names, None, (c, f"{c}'", f"{c}n", f"{c}_n")) for c in ("n", "h", "l", "k")}
+    at = {c: k if v is None else v for k, (c, v) in enumerate(at.items())}
+    return rows.select(_value(at["n"]).cast("int").alias("n"), *[_value(at[c]).alias(c) for c in ("h", "l", "k")]).where("n is not null")
+
+
+def looks_tidy(points: DataFrame) -> bool:
+    """Whether the rows repeat their coordinates, as a table with a row for each time does, rather than being points."""
+    row = points.agg(F.count("*").alias("n"), F.countDistinct("lat", "lon").alias("k")).first()
+    return row["n"] > 0 and row["k"] < 0.6 * row["n"]
+
+
 def read_series(spark: SparkSession, paths: str | list[str], nmax: int | None = None, strict_nmax: bool = False, epoch_from: str = "auto", on_duplicate: str = "error", **select) -> tuple[DataFrame, DataFrame]:
     """(coeffs, epochs) of monthly model files, all read in one scan. Epochs come from headers or names (auto: headers
     first), sorted by time; files go by the parts of their names before they are opened. Degrees that a file lacks are

@@ -131,6 +131,25 @@ def test_series_of_model_files(spark, tmp_path):
         readers.read_series(spark, str(tmp_path))
 
 
+def test_layouts_love_numbers_and_labels(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("max_degree 1\nend_of_head\ngfc 0 0 1 0\ngfc 1 0 2 0\ngfc 1 1 3 4\n")
+    (tmp_path / "b.txt").write_text("n,m,C,S,C_t1,S_t1\n0,0,1,0,5,0\n1,0,2,0,6,0\n1,1,3,4,7,8\n")
+    (tmp_path / "c.txt").write_text("# title\n1\n2\n3\n0\n0\n4\n")
+    assert [readers.detect_layout(spark, str(tmp_path / f"{x}.txt")) for x in "abc"] == ["gfc", "csv", "triangle"]
+    for x in "abc":
+        got = readers.read_coeffs(spark, str(tmp_path / f"{x}.txt")).where("epoch_id = 0").orderBy("n", "m").collect()
+        assert [(r["n"], r["m"], r["c"], r["s"]) for r in got] == [(0, 0, 1.0, 0.0), (1, 0, 2.0, 0.0), (1, 1, 3.0, 4.0)]
+    (tmp_path / "love.txt").write_text("n h l k\n0 -0.1 0 0\n1 -0.2 0.1 -0.3\n")
+    assert readers.read_love(spark, str(tmp_path / "love.txt")).orderBy("n").collect()[1].asDict() == {"n": 1, "h": -0.2, "l": 0.1, "k": -0.3}
+    labels = spark.createDataFrame([(0, "2002"), (1, "2002-03"), (2, "2002-03-04")], "epoch_id int, label string")
+    assert [r["ts"] for r in timeaxis.from_labels(labels).orderBy("epoch_id").collect()] == [dt.datetime(2002, 1, 1), dt.datetime(2002, 3, 1), dt.datetime(2002, 3, 4)]
+    with pytest.raises(Exception, match="no date"):
+        timeaxis.from_labels(labels.withColumn("label", F.lit("spring"))).collect()
+    assert timeaxis.from_index(spark, 3).where("ts is null").count() == 3
+    p = spark.createDataFrame([(0.0, 1.0), (0.0, 1.0), (2.0, 3.0)], "lat double, lon double")
+    assert not readers.looks_tidy(p) and readers.looks_tidy(p.union(p))
+
+
 def test_delimiters_and_dates():
     assert readers.sniff(["a;b;c", "1,5;2;3"]) == ";" and readers.sniff(["a\tb,c"]) == "\t" and readers.sniff(["1 2 3"]) == " "
     assert readers.look_like_dates(["2002-01", "2002-02"]) and not readers.look_like_dates(["2002-02", "2002-01"])
