@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from orbweave.llm.textcols import slices
 
 #: Fixed values of the vocabulary file's format: white space of Unicode, and the pattern of pre-tokens.
-_WS = "\\t-\\r " + "".join(map(chr, (0x85, 0xA0, 0x1680))) + "%c-%c" % (0x2000, 0x200A) + "".join(map(chr, (0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+_WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PRE = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_WS}\p{{L}}\p{{N}}]+"
 CACHE = 300_000
 
