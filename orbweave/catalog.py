@@ -490,8 +490,10 @@ k AS (SELECT CAST(year(l_shipdate) * 12 + month(l_shipdate) - 1 AS INT) AS epoch
 s AS (SELECT epoch_id, any_value(ts) AS ts, n, m, avg(l_quantity) AS c, avg(CASE WHEN m > 0 THEN l_discount ELSE 0.0e0 END) AS s FROM k GROUP BY epoch_id, n, m)"""
 
 
-def month_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return carriers.months(spark, sf_dir).select("epoch_id", "ts").distinct()
+def months(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The monthly series and its epochs."""
+    x = coeffs.held(carriers.months(spark, sf_dir))
+    return x, x.select("epoch_id", "ts").distinct()
 
 
 def sparse_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -513,7 +515,7 @@ def _(spark, sf):
 @query("epoch_regular", """WITH e AS (SELECT DISTINCT date_trunc('month', l_shipdate) AS ts FROM lineitem), q AS (SELECT CAST(date_diff('day', lag(ts) OVER (ORDER BY ts), ts) AS DOUBLE) AS gap FROM e)
 SELECT median(gap) AS median_days, max(abs(gap - (SELECT median(gap) FROM q))) <= 3 AS regular FROM q WHERE gap IS NOT NULL""")
 def _(spark, sf):
-    return timeaxis.regular(month_epochs(spark, sf))
+    return timeaxis.regular(months(spark, sf)[1])
 
 
 @query("decimal_year", f"""SELECT o_orderkey AS id, {rr("year(o_orderdate) + (dayofyear(o_orderdate) - 1 + (hour(o_orderdate) * 3600.0e0 + minute(o_orderdate) * 60.0e0 + second(o_orderdate)) / 86400.0e0) / CASE WHEN year(o_orderdate) % 4 = 0 AND (year(o_orderdate) % 100 <> 0 OR year(o_orderdate) % 400 = 0) THEN 366.0e0 ELSE 365.0e0 END", 8)} AS decimal_year FROM orders""")
@@ -565,12 +567,12 @@ def _(spark, sf):
 
 @query("time_mean", f"WITH {MONTHS} SELECT n, m, {rr('avg(c)')} AS c, {rr('avg(s)', 8)} AS s FROM s GROUP BY n, m")
 def _(spark, sf):
-    return rounded(rounded(timeseries.time_mean(carriers.months(spark, sf)), 6, "c"), 8, "s")
+    return rounded(rounded(timeseries.time_mean(months(spark, sf)[0]), 6, "c"), 8, "s")
 
 
 @query("anomaly", f"WITH {MONTHS} SELECT epoch_id, n, m, {rr('c - avg(c) OVER (PARTITION BY n, m)')} AS c, {rr('s - avg(s) OVER (PARTITION BY n, m)', 8)} AS s FROM s")
 def _(spark, sf):
-    return rounded(rounded(timeseries.anomaly(carriers.months(spark, sf)), 6, "c"), 8, "s")
+    return rounded(rounded(timeseries.anomaly(months(spark, sf)[0]), 6, "c"), 8, "s")
 
 
 YEARS_OF = f"(date_diff('second', TIMESTAMP '1970-01-01', ts) - (SELECT (min(date_diff('second', TIMESTAMP '1970-01-01', ts)) + max(date_diff('second', TIMESTAMP '1970-01-01', ts))) / 2.0e0 FROM s)) / {86400.0 * 365.25!r}e0"
@@ -578,23 +580,23 @@ YEARS_OF = f"(date_diff('second', TIMESTAMP '1970-01-01', ts) - (SELECT (min(dat
 
 @query("trend_fit", f"WITH {MONTHS}, y AS (SELECT *, {YEARS_OF} AS x FROM s) SELECT n, m, {rr('regr_slope(c, x)')} AS c, {rr('regr_slope(s, x)', 8)} AS s FROM y GROUP BY n, m")
 def _(spark, sf):
-    f = timeseries.fit(carriers.months(spark, sf), month_epochs(spark, sf), 1)
+    f = timeseries.fit(*months(spark, sf), 1)
     return rounded(rounded(f.term("trend"), 6, "c"), 8, "s")
 
 
 @query("detrend", f"WITH {MONTHS}, y AS (SELECT *, {YEARS_OF} AS x FROM s), f AS (SELECT n, m, regr_slope(c, x) AS b, regr_intercept(c, x) AS a FROM y GROUP BY n, m) SELECT epoch_id, n, m, {rr('c - a - b * x')} AS c FROM y JOIN f USING (n, m)")
 def _(spark, sf):
-    return timeseries.detrended(carriers.months(spark, sf), month_epochs(spark, sf), 1).select("epoch_id", "n", "m", r("c").alias("c"))
+    return timeseries.detrended(*months(spark, sf), 1).select("epoch_id", "n", "m", r("c").alias("c"))
 
 
 @query("seasonal_fit")
 def _(spark, sf):
-    return timeseries.fit(carriers.months(spark, sf), month_epochs(spark, sf), 1, [1.0, 0.5]).frame
+    return timeseries.fit(*months(spark, sf), 1, [1.0, 0.5]).frame
 
 
 @query("amplitude_phase")
 def _(spark, sf):
-    return timeseries.fit(carriers.months(spark, sf), month_epochs(spark, sf), 1, [1.0]).amplitude_phase(1.0)
+    return timeseries.fit(*months(spark, sf), 1, [1.0]).amplitude_phase(1.0)
 
 
 SIGMA = f"{0.2 * 365.25 * 86400.0!r}e0"
@@ -605,13 +607,13 @@ q AS (SELECT a.epoch_id, b.epoch_id AS other, exp(-0.5e0 * pow((a.x - b.x) / {SI
 h AS (SELECT epoch_id, other, g / sum(g) OVER (PARTITION BY epoch_id) AS g FROM q)
 SELECT h.epoch_id, n, m, {rr('sum(g * c)')} AS c, {rr('sum(g * s)', 8)} AS s FROM h JOIN s ON s.epoch_id = h.other GROUP BY h.epoch_id, n, m""")
 def _(spark, sf):
-    return rounded(rounded(timeseries.gaussian_in_time(carriers.months(spark, sf), month_epochs(spark, sf), 0.2), 6, "c"), 8, "s")
+    return rounded(rounded(timeseries.gaussian_in_time(*months(spark, sf), 0.2), 6, "c"), 8, "s")
 
 
 @query("kernel_report", f"""WITH {MONTHS}, t AS (SELECT DISTINCT epoch_id, date_diff('second', TIMESTAMP '1970-01-01', ts) * 1.0e0 AS x FROM s),
 q AS (SELECT a.epoch_id, exp(-0.5e0 * pow((a.x - b.x) / {SIGMA}, 2)) AS g FROM t a, t b WHERE abs(a.x - b.x) <= 4.0e0 * {SIGMA}) SELECT epoch_id, {rr('sum(g) * sum(g) / sum(g * g)')} AS effective FROM q GROUP BY epoch_id""")
 def _(spark, sf):
-    return rounded(timeseries.kernel_report(month_epochs(spark, sf), 0.2), 6, "effective")
+    return rounded(timeseries.kernel_report(months(spark, sf)[1], 0.2), 6, "effective")
 
 
 @query("basin_average", f"""WITH {SCATTER} SELECT r_name AS basin, 0 AS epoch_id, {rr(f'sum({FOUR_PI} / n * value) / sum({FOUR_PI} / n)')} AS mean, {rr(f'sum({FOUR_PI} / n)')} AS area, count(*) AS n_points

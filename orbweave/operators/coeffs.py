@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 KEYS = ["epoch_id", "n", "m"]
 
 
+#: Rows of a set of coefficients or epochs that may be held on the driver.
+HELD = 1 << 20
+
+
+def held(rows: DataFrame) -> DataFrame:
+    """A small result that several steps read, computed once: up to HELD rows as a local table, beyond that persisted."""
+    table = rows.limit(HELD + 1).toArrow()
+    return rows.persist() if table.num_rows > HELD else rows.sparkSession.createDataFrame(table, rows.schema)
+
+
 def spine(spark: SparkSession, nmax: int) -> DataFrame:
     """All (n, m) with m <= n <= nmax."""
     return spark.range(nmax + 1).select(F.col("id").cast("int").alias("n")).select("n", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("m"))
