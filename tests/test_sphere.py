@@ -114,7 +114,7 @@ def test_slepian_invariants(spark):
     north = weights.grid(spark.range(18 * 36).select(F.col("id").alias("point_id"), (F.floor(F.col("id") / 36) * 10.0 - 85.0).alias("lat"), (F.col("id") % 36 * 10.0).alias("lon"))).where("lat > 0")
     b = slepian.basis(north, 4)
     assert b.shannon == pytest.approx(25 * 0.5, rel=1e-6)
-    assert b.values.max() <= 1 + 1e-2 and b.values.min() >= 0
+    assert b.values.max() <= 1 + 2e-2 and b.values.min() >= 0
     assert np.allclose(b.tapers.T @ b.tapers, np.eye(25))
 
 
