@@ -26,8 +26,8 @@ def spine(spark: SparkSession, nmax: int) -> DataFrame:
 
 def truncate(coeffs: DataFrame, nmax: int) -> DataFrame:
     """Degrees up to nmax, missing ones as zeros."""
-    epochs = coeffs.select("epoch_id").distinct()
-    full = epochs.join(F.broadcast(spine(coeffs.sparkSession, nmax)))  # epochs x degrees
+    full = coeffs.select("epoch_id").distinct().select("epoch_id", F.explode(F.sequence(F.lit(0), F.lit(nmax))).alias("n"))
+    full = full.select("epoch_id", "n", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("m"))
     return full.join(coeffs, KEYS, "left").select(*KEYS, F.coalesce("c", F.lit(0.0)).alias("c"), F.coalesce("s", F.lit(0.0)).alias("s"))
 
 
