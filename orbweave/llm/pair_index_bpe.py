@@ -12,8 +12,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,9 @@ from orbweave.llm.textcols import slices
 #: Fixed values of the vocabulary file's format: white space of Unicode, and the pattern of pre-tokens.
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PRE = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_WS}\p{{L}}\p{{N}}]+"
+#: Letters and numbers that came with Unicode 16, which the format goes by; the letters first. Later ones are neither.
+_NEW_LETTERS = "1c89-1c8a a7cb-a7cd a7da-a7dc 105c0-105f3 10d4a-10d65 10d6f-10d85 10ec2-10ec4 11380-11389 1138b-1138b 1138e-1138e 11390-113b5 113b7-113b7 113d1-113d1 113d3-113d3 11bc0-11be0 13460-143fa 16100-1611d 16d40-16d6c 18cff-18cff 1e5d0-1e5ed 1e5f0-1e5f0"
+_NEW_NUMBERS = "10d40-10d49 116d0-116e3 11bf0-11bf9 16130-16139 16d70-16d79 1ccf0-1ccf9 1e5f1-1e5fa"
 CACHE = 300_000
 
 
@@ -36,6 +41,21 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(256 + odd.index(b)) for b in range(256)]
 
 
+@cache
+def late_pattern() -> regex.Pattern:
+    """The pattern of pre-tokens with the letters and numbers of Unicode 16 spelled out, whatever the regex module knows."""
+
+    def ranges(kind: str, new: str) -> str:
+        fixed = {c for r in new.split() for a, b in [r.split("-")] for c in range(int(a, 16), int(b, 16) + 1)}
+        all_ = [c for c in range(0x110000) if c in fixed or unicodedata.category(chr(c))[0] == kind]
+        starts = [c for k, c in enumerate(all_) if not k or all_[k - 1] != c - 1]
+        ends = [c for k, c in enumerate(all_) if k + 1 == len(all_) or all_[k + 1] != c + 1]
+        return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends))
+
+    letters, numbers = ranges("L", _NEW_LETTERS), ranges("N", _NEW_NUMBERS)
+    return regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{_WS}{letters}{numbers}]+")
+
+
 class PairIndexBPE:
     """A word-end BPE of a tokenizers JSON file."""
 
@@ -63,6 +83,7 @@ class PairIndexBPE:
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.marks = sorted({s[:2] for s in self.special})
         self.pre = regex.compile(_PRE)
+        self.late = re.compile("[\u0530-\U0010ffff]")  # below it, all versions of Unicode agree
 
     def pre_tokens(self, text: str) -> list[str]:
         """Special tokens come as they are; all else in lower case, by letters."""
@@ -75,7 +96,8 @@ class PairIndexBPE:
         text = unicodedata.normalize("NFC", text)
         if "Σ" in text:  # lower case goes by single letters: no final sigma
             text = text.replace("Σ", "σ")
-        return self.pre.findall(text.lower())
+        text = text.lower()
+        return (late_pattern() if self.late.search(text) else self.pre).findall(text)
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << 20 | b
