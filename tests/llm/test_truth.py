@@ -249,7 +249,7 @@ def test_encoding_as_the_library(spark, docs):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    odd = ["", "aaa aaaa aaaaa", "a\x1cb \x85c​d\xa0e", "ΑΣ ΣΑΣ İI ǅ ﬃ", "it's I'LL <|endoftext|>x <|startoftext|> <| y", "日本語 ٣٤ ½", "\U0001f44d\U0001f3fd", "\x00\x01 ﻿", "x" * 3000]
+    odd = ["", "aaa aaaa aaaaa", "a\x1cb \x85c​d\xa0e", "ΑΣ ΣΑΣ İI ǅ ﬃ", "it's I'LL <|endoftext|>x <|startoftext|> <| y", "日本語 ٣٤ ½", "\U0001f44d\U0001f3fd", "\x00\x01 ﻿", "x" * 3000, "a" + chr(0x16ECD) + "b" + chr(0x105C0) + "c" + chr(0x10D41) + chr(0x558)]
     texts = odd + docs["text"].tolist()
     coder = pair_index_bpe.Encoder(public_tokenizers.path("word_bpe_49k.json"))
     for t, (ids, text), want in zip(texts, coder(texts), lib.encode_batch(texts, add_special_tokens=False)):
