@@ -59,7 +59,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=1 << 19):
                 langs = np.array(part.column("lang").to_pylist(), object)
                 w = words(part.column("text"), letters=True)
                 h, lang = w.hashes(), langs[w.doc]
@@ -69,7 +69,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                     codes, owner = grams(w, mine[first])
                     got = held.setdefault(name, [])
                     got.append(summed(codes, n[owner]))
-                    if len(got) > 8:
+                    if len(got) > 4:
                         held[name] = [summed(*map(np.concatenate, zip(*got)))]
         for name, got in held.items():
             codes, n = summed(*map(np.concatenate, zip(*got)))
@@ -162,7 +162,7 @@ def identify(docs: DataFrame, model: LanguageMasks) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=1 << 19):
                 lang, score = model.decide(model.shares(words(part.column("text"), letters=True)), np.array(part.column("lettered").to_pylist(), bool))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
