@@ -3,10 +3,11 @@
 A word's vector is the sum of hashed embeddings of the word and of its beginnings and its end; filters of widths one to
 three run over the whole text, and each filter's maximum feeds a logistic unit. The net is trained in numpy on the
 driver, on a bounded sample of labelled rows (``sample``, half of each label where there are as many, chosen by a hash
-of doc_id). A quarter of the sample is kept from training to calibrate: for each language, as told from the text by
-language-bitmask filters fitted to the same sample, the threshold goes midway between the labels, and scores are
-shifted so that it is at 0.7. Languages with few texts of a label there take the threshold of all together, and where these are few as well, it is at
-even odds.
+of doc_id), less a quarter of it. All labelled rows that it is not trained on calibrate: counts by language, as told from
+the text by language-bitmask filters fitted to the same sample, by bin of the logit and by label are added up in Spark.
+For each language the threshold is that with the best F1, with the labels in the proportion that they have over all
+labelled rows of the language, those trained on among them, and scores are shifted so that it is at 0.7. Languages with
+few texts of a label to calibrate take the threshold of all together, and where these are few as well, it is at even odds.
 
 Null and empty texts are scored as texts without words. Labels that are null are no labels; a doc_id labelled twice
 counts with each label. Without labels of both kinds, every score is the share of label 1 (0 if there are none).
@@ -15,16 +16,16 @@ counts with each label. Without labels of both kinds, every score is the share o
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from orbweave.llm.lang_masks import LanguageMasks, fold, grams, summed
-from orbweave.llm.storage import hashed_sample
+from orbweave.llm.storage import hashed_sample, stored
 from orbweave.llm.textcols import U, Words, mix, slices, words
 
 BUCKETS = 1 << 18
@@ -35,6 +36,8 @@ SAMPLE = 6000
 CUT = 0.7
 #: A threshold is calibrated from so many texts of either label at least.
 FEW = 10
+#: Bins of the logit's inverse hyperbolic sine for one: a 256th wide around zero, and bounded in number for any logit.
+BINS = 256
 
 
 def features(w: Words) -> np.ndarray:
@@ -163,17 +166,22 @@ def train(ids: np.ndarray, counts: np.ndarray, label: np.ndarray, steps: int = 1
     return net
 
 
-def threshold(z: np.ndarray, label: np.ndarray) -> float | None:
-    """Of the logits' midpoints that with the best F1; of equal ones the middle. None with few of a label."""
-    if not FEW <= label.sum() <= len(label) - FEW:
+def threshold(bins: np.ndarray, counts: np.ndarray, total: np.ndarray) -> float | None:
+    """Of the logits between bins that with the best F1; of equal ones the middle. None with few of a label.
+
+    counts: bins x label of the texts to calibrate with; they stand for ``total`` (by label) texts."""
+    have = counts.sum(0)
+    if have.min() < FEW:
         return None
-    order = np.argsort(-z)
-    z, hit = z[order], np.cumsum(label[order])
-    f1 = 2 * hit / (np.arange(1, len(z) + 1) + label.sum())
-    f1[:-1][z[:-1] == z[1:]] = -1
+    kinds, back = np.unique(-bins, return_inverse=True)
+    kinds, weight = -kinds, total / have
+    n = np.stack([np.bincount(back, weights=counts[:, k], minlength=len(kinds)) for k in (0, 1)], 1) * weight
+    above = n.cumsum(0)
+    f1 = 2 * above[:, 1] / (above.sum(1) + total[1])
     best = np.flatnonzero(f1 >= f1.max() - 1e-12)
     k = best[len(best) // 2]
-    return float((z[k] + z[k + 1]) / 2) if k + 1 < len(z) else float(z[k] - 1)
+    low = kinds[k + 1] + 1 if k + 1 < len(kinds) else kinds[k]  # midway from the upper edge of the next bin
+    return float(np.sinh((kinds[k] + low) / 2 / BINS))
 
 
 @dataclass
@@ -187,9 +195,14 @@ class Classifier:
     def scores(self, texts: pa.Array) -> np.ndarray:
         if self.net is None:
             return np.full(len(texts), self.share)
+        return self.shifted(*self.logits(texts))
+
+    def logits(self, texts: pa.Array) -> tuple[np.ndarray, list[str]]:
+        """The net's logit of each text and the language it is told to be in."""
         w = words(texts, letters=True)
-        z = self.net.logits(features(w), w.counts)
-        lang, _ = self.masks.decide(self.masks.shares(w), np.ones(len(texts), bool))
+        return self.net.logits(features(w), w.counts), self.masks.decide(self.masks.shares(w), np.ones(len(texts), bool))[0]
+
+    def shifted(self, z: np.ndarray, lang: list[str]) -> np.ndarray:
         shift = np.array([self.cuts.get(x, self.cut) for x in lang])
         s = 1 / (1 + np.exp(-np.clip(z - shift + np.log(CUT / (1 - CUT)), -30, 30)))
         return np.where(z >= shift, np.maximum(s, CUT), np.minimum(s, np.nextafter(CUT, 0)))
@@ -197,36 +210,73 @@ class Classifier:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
     """docs: doc_id, text, lang, learned from where labels (doc_id, toxic) has them."""
-    known = labels.where("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    model, trained = learned(docs, labels, sample)
+    return model if model.net is None else calibrated(model, logits(docs, model), labels, trained)
+
+
+def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Classifier, pa.Array]:
+    """The classifier before it is calibrated, and the doc_ids that its net is trained on."""
+    known = _known(labels)
     order = F.xxhash64("doc_id", F.lit("toxic sample"))
     chosen = [hashed_sample(known.where(F.col("toxic") == k), sample // 2, "doc_id") for k in (0, 1)]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most ``sample`` rows
     rows = docs.select("doc_id", "text", "lang").join(chosen, "doc_id").orderBy(order, "doc_id", "toxic").limit(2 * sample).toArrow()
     label = np.array(rows.column("toxic").to_pylist(), float)
+    share = float(label.mean()) if len(label) else 0.0
+    doc_ids = rows.column("doc_id").combine_chunks()
     if not 0 < label.sum() < len(label):
-        return Classifier(None, LanguageMasks.of([]), {}, 0.0, float(label.mean()) if len(label) else 0.0)
+        return Classifier(None, LanguageMasks.of([]), {}, 0.0, share), doc_ids.slice(0, 0)
     parts = [p for batch in rows.to_batches() for p in slices(batch)]
     masks = LanguageMasks.of(_gram_table(parts))
-    ids, counts, lang = [], [], []
+    ids, counts = [], []
     for p in parts:
         w = words(p.column("text"), letters=True)
         ids.append(features(w))
         counts.append(w.counts)
-        lang += masks.decide(masks.shares(w), np.ones(p.num_rows, bool))[0]
     ids, counts = np.concatenate(ids), np.concatenate(counts)
     held = np.arange(len(label)) % 4 == 0
-    word_held = np.repeat(held, counts)
-    net = train(ids[~word_held], counts[~held], label[~held])
-    z, y, names = _logits(net, ids[word_held], counts[held]), label[held], np.array(lang)[held]
-    every = threshold(z, y)
-    cut = every if every is not None else 0.0
-    cuts = {name: t for name in set(names.tolist()) if (t := threshold(z[names == name], y[names == name])) is not None}
-    return Classifier(net, masks, cuts, cut, float(label.mean()))
+    net = train(ids[~np.repeat(held, counts)], counts[~held], label[~held])
+    return Classifier(net, masks, {}, 0.0, share), doc_ids.filter(pa.array(~held)).unique()
 
 
-def _logits(net: Net, ids: np.ndarray, counts: np.ndarray, texts: int = 200) -> np.ndarray:
-    first = np.concatenate([[0], np.cumsum(counts)])
-    return np.concatenate([net.logits(ids[first[k] : first[min(k + texts, len(counts))]], counts[k : k + texts]) for k in range(0, len(counts), texts)])
+def _known(labels: DataFrame) -> DataFrame:
+    return labels.where("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+
+
+def logits(docs: DataFrame, model: Classifier) -> DataFrame:
+    """doc_id, told (the language) and z of each row; texts stay where they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
+    docs = docs.select("doc_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            for part in slices(batch, most=1 << 19):
+                z, told = model.logits(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(told, pa.string()), pa.array(z, pa.float64())], names=["doc_id", "told", "z"])
+
+    return docs.mapInArrow(run, StructType([docs.schema["doc_id"], StructField("told", StringType()), StructField("z", DoubleType())]))
+
+
+def calibrated(model: Classifier, found: DataFrame, labels: DataFrame, trained: pa.Array) -> Classifier:
+    """The model with thresholds from all labelled rows of found (logits) but those trained on, which only count in the
+    proportion of the labels."""
+    by_doc = _known(labels).where("toxic in (0, 1)").groupBy("doc_id").agg(F.sum(1 - F.col("toxic")).alias("n0"), F.sum("toxic").alias("n1"))
+    ids = F.broadcast(found.sparkSession.createDataFrame(pa.table({"doc_id": trained})).withColumn("trained", F.lit(True)))  # at most 2 samples
+    z = F.col("z")
+    level = F.floor(F.signum(z) * F.log(F.abs(z) + F.sqrt(z * z + 1.0)) * BINS).cast("int")
+    rows = found.join(by_doc, "doc_id").join(ids, "doc_id", "left").select("told", "n0", "n1", F.coalesce("trained", F.lit(False)).alias("trained"), level.alias("level"))
+    rows = rows.withColumn("level", F.when(F.col("trained"), 0).otherwise(F.col("level")))
+    table = rows.groupBy("told", "trained", "level").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()  # bins of the languages that the masks tell
+    told, out = np.array(table.column("told").to_pylist(), object), np.array(table.column("trained").to_pylist(), bool)
+    level, n = table.column("level").to_numpy(), np.stack([table.column(c).to_numpy() for c in ("n0", "n1")], 1).astype(float)
+
+    def cut(mine: np.ndarray) -> float | None:
+        return threshold(level[mine & ~out], n[mine & ~out], n[mine].sum(0))
+
+    every = cut(np.ones(len(level), bool))
+    cuts = {name: t for name in sorted(set(told.tolist())) if (t := cut(told == name)) is not None}
+    return replace(model, cuts=cuts, cut=every if every is not None else 0.0)
 
 
 def _gram_table(parts: list[pa.RecordBatch], least: float = 1e-5) -> list[tuple[str, np.ndarray, np.ndarray, int]]:
@@ -267,9 +317,26 @@ def scored(docs: DataFrame, model: Classifier) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def from_logits(found: DataFrame, model: Classifier) -> DataFrame:
+    """doc_id, score, predicted of each row of found (logits)."""
+    shared = found.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for part in batches:
+            s = model.shifted(part.column("z").to_numpy(), part.column("told").to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s, pa.float64()), pa.array((s >= CUT).astype(np.int32))], names=["doc_id", "score", "predicted"])
+
+    return found.mapInArrow(run, StructType([found.schema["doc_id"], StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     learn = labels.where(fold(3) != 1)
-    model = fit(docs, learn)
-    return score(docs, model).select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
+    model, trained = learned(docs, learn)
+    held_out = (fold(3) == 1).alias("held_out")
+    if model.net is None:
+        return score(docs, model).select("doc_id", held_out, "score", "predicted")
+    found = stored(logits(docs, model), "logits")  # texts are scored once
+    return from_logits(found, calibrated(model, found, learn, trained)).select("doc_id", held_out, "score", "predicted")
