@@ -152,7 +152,7 @@ def _(spark, sf):
   SELECT a.point_id, max(sin(radians(a.lat)) * sin(radians(b.lat)) + cos(radians(a.lat)) * cos(radians(b.lat)) * cos(radians(a.lon) - radians(b.lon))) AS c FROM p a JOIN p b ON a.point_id <> b.point_id GROUP BY a.point_id)
 SELECT point_id, {rr('degrees(acos(c))', 5)} AS degrees FROM d""")
 def _(spark, sf):
-    return rounded(weights.spacing(carriers.scatter(spark, sf), 12.0), 5, "degrees")
+    return rounded(weights.spacing(carriers.scatter(spark, sf)), 5, "degrees")
 
 
 @query("weights_voronoi")

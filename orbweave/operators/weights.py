@@ -6,16 +6,21 @@ coordinates first and join their cells back by the exact value, so points are ne
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbweave.functions.geo import FOUR_PI
+from orbweave.llm.storage import stored
 from orbweave.operators import hull
 
 RULES = ("dh", "glq", "grid", "lattice", "voronoi", "delaunay", "uniform", "user", "auto")
 GATHER = 100_000
+#: Places in a box at which the search for the nearest starts, at most.
+CROWD = 256
 
 
 def _edges(axis: DataFrame, v: str, period: Column | None = None, clip: tuple[float, float] | None = None) -> DataFrame:
@@ -123,34 +128,87 @@ def delaunay(points: DataFrame) -> DataFrame:
     return _gathered(points, hull.delaunay_areas)
 
 
-def neighbours(points: DataFrame, radius_deg: float) -> DataFrame:
-    """point_id, other, cosine: all points within the radius of each, itself among them. Points meet in boxes of the
-    radius; a band's boxes are as wide as the radius is at its edge next to the pole."""
-    box = float(radius_deg)
-    base = points.select("point_id", "lat", "lon").withColumn("i", F.floor((F.col("lat") + 90.0) / box).cast("int"))
+def _spot(points: DataFrame) -> DataFrame:
+    """The points with lat and lon of their place as la and lo: one longitude for each place, 0 at the poles."""
+    return points.withColumn("la", F.col("lat") + 0.0).withColumn("lo", F.when(F.abs("lat") >= 90.0, 0.0).otherwise(F.pmod(F.col("lon") + 0.0, F.lit(360.0))))
+
+
+def _spots(points: DataFrame) -> DataFrame:
+    """la, lo, n: the distinct places and how many points are there."""
+    whole = _spot(points).where("la is not null and lo is not null and not isnan(la) and not isnan(lo)")
+    return stored(whole.groupBy("la", "lo").agg(F.count("*").alias("n")), "spots")
+
+
+def _boxes(box: float):
+    """Columns i and j of la and lo in boxes of ``box`` degrees; those of the box itself and of all that hold places within
+    that distance. A band's boxes are as wide as the distance is at its edge next to the pole."""
+    i = F.floor((F.col("la") + 90.0) / box).cast("long")
     edge = lambda i: F.greatest(F.abs(i * box - 90.0), F.abs((i + 1) * box - 90.0)) + box
-    across = lambda i: F.when(edge(i) >= 89.0, F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(360.0 * F.cos(F.radians(edge(i))) / box).cast("int")))
-    place = lambda k: F.floor(F.pmod(F.col("lon"), F.lit(360.0)) / 360.0 * k).cast("int")
-    near = base.select("point_id", "lat", "lon", F.explode(F.array(F.col("i") - 1, F.col("i"), F.col("i") + 1)).alias("i")).withColumn("k", across(F.col("i")))
-    j = place(F.col("k"))
-    near = near.withColumn("j", F.explode(F.array_distinct(F.transform(F.array(j - 1, j, j + 1), lambda x: F.pmod(x, F.col("k")))))).drop("k")
-    own = base.select(F.col("point_id").alias("other"), "i", place(across(F.col("i"))).alias("j"), F.radians("lat").alias("la"), F.radians("lon").alias("lo"))
-    dot = F.sin(F.radians("lat")) * F.sin("la") + F.cos(F.radians("lat")) * F.cos("la") * F.cos(F.radians("lon") - F.col("lo"))
-    pairs = near.join(own, ["i", "j"]).select("point_id", "other", F.least(F.lit(1.0), dot).alias("cosine"))
-    return pairs.where((F.col("cosine") >= float(np.cos(np.radians(box)))) | (F.col("other") == F.col("point_id")))
+    across = lambda i: F.when(edge(i) >= 90.0, F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(360.0 * F.cos(F.radians(edge(i))) / box))).cast("long")
+    place = lambda k: F.least(k - 1, F.floor(F.col("lo") / 360.0 * k).cast("long"))
 
+    def own(df: DataFrame) -> DataFrame:
+        return df.withColumn("i", i).withColumn("j", place(across(F.col("i"))))
 
-def cap_density(points: DataFrame, radius_deg: float) -> DataFrame:
-    """Cap area by number of neighbours within the radius (the point itself counts)."""
-    area = 2.0 * np.pi * (1.0 - np.cos(np.radians(float(radius_deg))))
-    n = neighbours(points, radius_deg).groupBy("point_id").agg(F.count("*").alias("_n"))
-    return points.join(n, "point_id").withColumn("w", F.lit(float(area)) / F.col("_n")).drop("_n")
+    def near(df: DataFrame) -> DataFrame:
+        df = df.withColumn("i", F.explode(F.array(i - 1, i, i + 1))).withColumn("_k", across(F.col("i")))
+        j = place(F.col("_k"))
+        return df.withColumn("j", F.explode(F.array_distinct(F.transform(F.array(j - 1, j, j + 1), lambda x: F.pmod(x, F.col("_k")))))).drop("_k")
 
+    return own, near
 
-def spacing(points: DataFrame, radius_deg: float) -> DataFrame:
-    """point_id, degrees: distance to the nearest other point; null where none is within the radius."""
-    near = neighbours(points, radius_deg).where("other <> point_id").groupBy("point_id").agg(F.degrees(F.acos(F.max("cosine"))).alias("degrees"))
-    return points.select("point_id").join(near, "point_id", "left")
+
+def _others(spots: DataFrame) -> DataFrame:
+    return spots.select(F.col("la").alias("la2"), F.col("lo").alias("lo2"), *[c for c in spots.columns if c not in ("la", "lo")])
+
+
+def _same() -> Column:
+    return (F.col("la") == F.col("la2")) & (F.col("lo") == F.col("lo2"))
+
+
+def cap_density(points: DataFrame, radius_deg: float) -> DataFrame:
+    """Cap area by number of neighbours within the radius (the point itself counts). Places meet in boxes of the radius,
+    each once with its number of points; pairs are added up where they meet."""
+    area = 2.0 * np.pi * (1.0 - np.cos(np.radians(float(radius_deg))))
+    spots = _spots(points)
+    own, near = _boxes(float(radius_deg))
+    a, b = F.radians("la"), F.radians("la2")
+    cosine = F.sin(a) * F.sin(b) + F.cos(a) * F.cos(b) * F.cos(F.radians("lo") - F.radians("lo2"))
+    pairs = near(spots.drop("n")).join(_others(own(spots)), ["i", "j"]).where((cosine >= float(np.cos(np.radians(float(radius_deg))))) | _same())
+    n = pairs.groupBy("la", "lo").agg(F.sum("n").alias("_n"))
+    return _spot(points).join(n, ["la", "lo"]).withColumn("w", F.lit(float(area)) / F.col("_n")).select(*points.columns, "w")
+
+
+def spacing(points: DataFrame) -> DataFrame:
+    """point_id, degrees: distance to the nearest other point, however far; null without another one.
+
+    Places meet in boxes, from a size at which no box holds more than CROWD of them. Those without another place within
+    the box's size meet in boxes of twice the size; as they are so far apart, few of them meet any one place."""
+    spots = _spots(points)
+    m = spots.count()
+    box = min(180.0, float(np.sqrt(41253.0 / max(1, m))))
+    while m and box > 1e-9 and _boxes(box)[0](spots).groupBy("i", "j").count().agg(F.max("count")).first()[0] > CROWD:
+        box /= 4.0
+    left = spots.where("n = 1").select("la", "lo")
+    found, open_ = [spots.where("n > 1").select("la", "lo", F.lit(0.0).alias("degrees"))], left.count() if m > 1 else 0
+    while open_:
+        own, near = _boxes(box)
+        chunks = int(min(64, max(1, m // open_)))  # of a large box's places
+        chunk = F.pmod(F.xxhash64("la", "lo"), F.lit(chunks))
+        asking = near(left).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
+        half = lambda x, y: F.pow(F.sin((F.radians(x) - F.radians(y)) / 2.0), 2.0)
+        chord = half("la", "la2") + F.cos(F.radians("la")) * F.cos(F.radians("la2")) * half("lo", "lo2")
+        best = asking.join(_others(own(spots.select("la", "lo")).withColumn("chunk", chunk)), ["i", "j", "chunk"]).where(~_same()).groupBy("la", "lo").agg(F.min(chord).alias("chord"))
+        best = best.select("la", "lo", F.degrees(2.0 * F.asin(F.sqrt(F.least(F.lit(1.0), "chord")))).alias("degrees"))
+        if box < 180.0:
+            best = best.where(F.col("degrees") <= box * (1.0 - 1e-9))
+        best = stored(best, "nearest")
+        found.append(best)
+        if box >= 180.0:
+            break
+        left = stored(left.join(best, ["la", "lo"], "left_anti"), "isolated")
+        open_, box = left.count(), min(180.0, box * 2.0)
+    return _spot(points).join(reduce(DataFrame.unionByName, found), ["la", "lo"], "left").select("point_id", "degrees")
 
 
 def normalised(weighted: DataFrame) -> DataFrame:
