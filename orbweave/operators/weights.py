@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbweave.functions.geo import FOUR_PI
-from orbweave.llm.storage import stored
 from orbweave.operators import hull
+from orbweave.sources.storage import stored
 
 RULES = ("dh", "glq", "grid", "lattice", "voronoi", "delaunay", "uniform", "user", "auto")
 GATHER = 100_000
