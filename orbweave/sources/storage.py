@@ -1,4 +1,7 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables in the folder that driver and executors share.
+
+What is stored is deleted as soon as nothing to come reads it (``discard``), and all the rest when the process ends.
+"""
 
 from __future__ import annotations
 
@@ -8,8 +11,11 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+_made: dict[str, None] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one where it is unset and Spark is local."""
@@ -25,7 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/orbweave/{name}-{uuid.uuid4().hex}"
+    """A folder of this process, deleted with it."""
+    path = f"{shared_dir(spark)}/orbweave/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_sweep)
+    _made[path] = None
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -40,6 +51,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Deletes stored tables that nothing to come will read."""
     for df in tables:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession._jvm, df.stored_at)
+        _made.pop(df.stored_at, None)
+
+
+def _delete(jvm, folder: str) -> None:
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    running = SparkContext._active_spark_context
+    conf = running._jsc.hadoopConfiguration() if running is not None else jvm.org.apache.hadoop.conf.Configuration()
+    path.getFileSystem(conf).delete(path, True)
+
+
+def _sweep() -> None:
+    gateway = SparkContext._gateway
+    for folder in list(_made) if gateway is not None else ():
+        try:
+            _delete(gateway.jvm, folder)
+        except Exception:  # noqa: BLE001  the JVM is gone already: nothing left to ask
+            return
