@@ -6,15 +6,18 @@ tokens, so every text has a normalised probability. A symbol is predicted from t
 weighted by position, add up to one that is multiplied with class vectors and then with the vectors of the symbols in
 the class. Symbols are dealt to 32 classes of 64, so a token costs 96 products and exponentials instead of 2048.
 
-Training starts from a bounded sample on the driver (``sample`` texts), which gives all tasks one basin; then every task
-goes over its share of all learning texts, and the parameters are averaged in Spark, weighted by tokens. The noise is
-the unigram distribution, and its expectation is taken in full rather than from draws. Scoring is by batched matrix
-products with explicit normalisation.
+Training starts from a bounded sample on the driver (``sample`` whole texts of SAMPLE_BYTES together), which gives all
+shards one basin. Then all learning texts are dealt by hash to shards of about SHARD tokens, each shard trains its own
+copy in the order of the hashes, and the parameters are averaged in Spark, weighted by tokens; how the table lies in
+files and partitions plays no part. A step draws its noise from the unigram distribution, DRAWS times for the classes
+and for each class's symbols. Scoring is by batched matrix products with explicit normalisation.
 
 Counts cover all learning texts and stay distributed. A text's rarer words meet their counts in one shuffle of packed
 arrays by word hash, and only sums come back. Words are told apart by 64-bit hashes.
 
-Null and empty texts have one token, the end. Each row gives one row. With nothing to learn from, N = V = 0.
+Null and empty texts have one token, the end. Each row gives one row; repeated rows score alike, and count as often in
+learning. A text of any length is scored whole. With nothing to learn from, N = V = 0. Only doc_id and text are read, so
+other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -25,12 +28,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.llm.lang_masks import fold, summed
-from orbweave.llm.storage import hashed_sample, partitions, stored
+from orbweave.llm.storage import bounded_texts, hashed_sample, partitions, stored
 from orbweave.llm.textcols import U, Words, mix, slices, words
 
 BUCKETS = 512
@@ -40,7 +44,11 @@ WIDE = SYMBOLS // CLASSES
 DIM = 16
 CONTEXT = 3
 NOISE = 16.0
+#: Draws of noise that the tokens of a step share.
+DRAWS = 256
 SAMPLE = 2000
+#: Tokens of a shard.
+SHARD = 2_000_000
 #: The least part of all tokens that a frequent word has.
 SHARE = 1e-6
 BATCH = 8192
@@ -206,12 +214,13 @@ class Bilinear:
                 out[at] += s[np.arange(len(at)), own[at]] - _logsumexp(s)
         return out.astype(float) / np.log(10)
 
-    def step(self, seq: np.ndarray, before: np.ndarray, rate: float) -> None:
+    def step(self, seq: np.ndarray, before: np.ndarray, rate: float, rng: np.random.Generator) -> None:
         """One AdaGrad step on the contrastive loss of these tokens."""
         n = len(seq)
+        drawn = rng.multinomial(DRAWS, self.class_noise / self.class_noise.sum())
         h, place = self.hidden(before), self.place[seq]
         cls, own = place // WIDE, place % WIDE
-        g = _contrast(h @ self.classes.T + self.class_bias, self.class_noise, cls)
+        g = _contrast(h @ self.classes.T + self.class_bias, self.class_noise, drawn, cls)
         grads = {"classes": g.T @ h, "class_bias": g.sum(0), "symbols": np.zeros_like(self.symbols), "bias": np.zeros_like(self.bias)}
         back = g @ self.classes
         order = np.argsort(cls.astype(np.uint8), kind="stable")
@@ -220,7 +229,8 @@ class Bilinear:
             at = order[cuts[c] : cuts[c + 1]]
             if len(at):
                 mine = h[at]
-                g = _contrast(mine @ self.symbols[c].T + self.bias[c], self.noise[c], own[at])
+                drawn = rng.multinomial(DRAWS, self.noise[c] / self.noise[c].sum())
+                g = _contrast(mine @ self.symbols[c].T + self.bias[c], self.noise[c], drawn, own[at])
                 grads["symbols"][c], grads["bias"][c] = g.T @ mine, g.sum(0)
                 back[at] += g @ self.symbols[c]
         ctx = np.zeros((DIM, SYMBOLS))
@@ -237,9 +247,9 @@ class Bilinear:
             seen += d * d
             getattr(self, k)[...] += rate * d / np.sqrt(seen)
 
-    def learn(self, seq: np.ndarray, before: np.ndarray, rate: float, batch: int = BATCH) -> None:
+    def learn(self, seq: np.ndarray, before: np.ndarray, rate: float, rng: np.random.Generator, batch: int = BATCH) -> None:
         for k in range(0, len(seq), batch):
-            self.step(seq[k : k + batch], before[:, k : k + batch], rate)
+            self.step(seq[k : k + batch], before[:, k : k + batch], rate, rng)
 
 
 def _logsumexp(s: np.ndarray) -> np.ndarray:
@@ -247,62 +257,96 @@ def _logsumexp(s: np.ndarray) -> np.ndarray:
     return top + np.log(np.exp(s - top[:, None]).sum(1))
 
 
-def _contrast(s: np.ndarray, noise: np.ndarray, hit: np.ndarray) -> np.ndarray:
-    """The gradient of log sigma(d) for the token and of NOISE * noise * log sigma(-d) for all, d the score less the log
-    of NOISE * noise."""
-    weight = (NOISE * noise).astype(np.float32)
-    sigma = 1 / (1 + np.exp(np.log(weight) - s))
-    g = -weight * sigma
+def _contrast(s: np.ndarray, noise: np.ndarray, drawn: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """The gradient of log sigma(d) for the token, and of NOISE times the mean of log sigma(-d) over the noise that was
+    drawn (times by symbol), d the score less the log of NOISE * noise."""
+    sigma = 1 / (1 + np.exp(np.log(NOISE * noise).astype(np.float32) - s))
+    g = sigma * (-NOISE / drawn.sum() * drawn).astype(np.float32)
     rows = np.arange(len(hit))
     g[rows, hit] += 1 - sigma[rows, hit]
     return g
 
 
-def fit(learn: DataFrame, vocabulary: Vocabulary, sample: int = SAMPLE, rate: float = 0.3) -> Bilinear:
+def fit(learn: DataFrame, vocabulary: Vocabulary, sample: int = SAMPLE, rate: float = 0.3, shard: int = SHARD) -> Bilinear:
     """learn: doc_id, text."""
     model = Bilinear(vocabulary.shares())
-    first = hashed_sample(learn.select("doc_id", "text"), sample, "doc_id").select("text").toArrow()
-    parts = [p for b in first.to_batches() for p in slices(b, most=1 << 19)]
-    epochs = 2
+    first = bounded_texts(hashed_sample(learn.select("doc_id", "text"), sample, "doc_id")).select(["text"])
+    parts = [p for b in first.combine_chunks().to_batches() for p in slices(b, most=1 << 19)]
+    epochs, rng = 2, np.random.default_rng(3)
     for k in range(12):
         done = 0
         for p in parts if k < epochs else ():
             w = words(p.column("text"), lower=True)
             seq, _, before = sequence(vocabulary.symbols(w)[0], w.first)
-            model.learn(seq, before, rate, 1024)
+            model.learn(seq, before, rate, rng, 1024)
             done += len(seq)
         epochs = epochs if k else 2_000_000 // max(1, done)  # small samples are gone over more often
     spark = learn.sparkSession
-    shared = spark.sparkContext.broadcast((vocabulary, model))  # of fixed size
+    shared = spark.sparkContext.broadcast((vocabulary, model.vector()))  # of fixed size
     chunk = 1 << 13
+    shards = max(1, vocabulary.tokens // shard)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, model = shared.value
-        tokens = 0
-        for batch in batches:
-            for part in slices(batch):
-                w = words(part.column("text"), lower=True)
-                seq, _, before = sequence(vocabulary.symbols(w)[0], w.first)
-                model.learn(seq, before, rate)
-                tokens += len(seq)
-        if tokens:
-            v = model.vector().astype(float) * tokens
-            blocks = [v[k : k + chunk] for k in range(0, len(v), chunk)]
-            n = len(blocks)
-            cols = [pa.array([TaskContext.get().partitionId() % 256] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([float(tokens)] * n), pa.array(blocks, pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["team", "block", "tokens", "params"])
+        vocabulary, start = shared.value
+        at, model = None, None
+        for shard, text in _runs(batches):
+            if shard != at:
+                if at is not None:
+                    yield emit(at, model, tokens)
+                at, tokens, model, rng = shard, 0, Bilinear(vocabulary.shares()), np.random.default_rng(shard)
+                model.load(start)
+            w = words(text, lower=True)
+            seq, _, before = sequence(vocabulary.symbols(w)[0], w.first)
+            model.learn(seq, before, rate, rng)
+            tokens += len(seq)
+        if at is not None:
+            yield emit(at, model, tokens)
+
+    def emit(shard: int, model: Bilinear, tokens: int) -> pa.RecordBatch:
+        v = model.vector().astype(float) * tokens
+        blocks = [v[k : k + chunk] for k in range(0, len(v), chunk)]
+        n = len(blocks)
+        cols = [pa.array([shard % 256] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([float(tokens)] * n), pa.array(blocks, pa.list_(pa.float64()))]
+        return pa.RecordBatch.from_arrays(cols, names=["team", "block", "tokens", "params"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"team": [0], "block": [pdf["block"].iloc[0]], "tokens": [pdf["tokens"].sum()], "params": [np.sum(np.stack(pdf["params"].to_numpy()), axis=0)]})
 
     kind = "team int, block int, tokens double, params array<double>"
-    sums = learn.select("text").mapInArrow(run, kind).groupBy("team", "block").applyInPandas(add, kind)
+    h = F.xxhash64("doc_id", "text", F.lit("shard"))
+    dealt = learn.select(F.pmod(h, F.lit(shards)).cast("int").alias("shard"), h.alias("h"), "text")
+    dealt = dealt.repartition(min(shards, 4 * partitions(spark)), "shard").sortWithinPartitions("shard", "h").drop("h")
+    sums = dealt.mapInArrow(run, kind).groupBy("team", "block").applyInPandas(add, kind)
     sums = sums.groupBy("block").applyInPandas(add, kind).orderBy("block").toPandas()
     if len(sums):
         model.load(np.concatenate([np.asarray(p) / t for p, t in zip(sums["params"], sums["tokens"])]))
     return model
 
 
+def _runs(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """(shard, texts) of rows that lie by shard: runs of about ``most`` bytes, counted from the shard's first row, so that
+    they don't follow the batches."""
+    at, held, size = None, [], 0
+    for batch in batches:
+        shard, text = batch.column("shard").to_numpy(), batch.column("text")
+        bytes_ = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
+        begin = 0
+        for k in range(len(shard)):
+            if shard[k] != at:
+                held.append(text.slice(begin, k - begin))
+                if at is not None and sum(map(len, held)):
+                    yield at, pa.concat_arrays(held)
+                at, held, size, begin = int(shard[k]), [], 0, k
+            size += int(bytes_[k])
+            if size >= most:
+                held.append(text.slice(begin, k + 1 - begin))
+                yield at, pa.concat_arrays(held)
+                held, size, begin = [], 0, k + 1
+        held.append(text.slice(begin))
+    if at is not None and sum(map(len, held)):
+        yield at, pa.concat_arrays(held)
+
+
 _ROW = "part int, kind int, slice long, words binary, docs binary, sums binary, extra binary"
 _NAMES = [c.split(" ")[0] for c in _ROW.split(", ")]
 
