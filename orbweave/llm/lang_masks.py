@@ -3,11 +3,14 @@
 The n-grams are runs of three and four bytes of the words between two spaces, A-Z as a-z. Training counts them over all
 learning rows; an n-gram belongs to a language in which its share of all n-grams is at least ``least``, which bounds a
 language's n-grams by 1/least whatever the input. One bit-sliced Bloom filter holds all languages: a slot is a mask with
-a bit for each, and the AND of an n-gram's slots gives all languages that contain it. A text's popcounts by language,
+a bit for each, and the AND of an n-gram's slots gives all languages that contain it. Executors set the bits, and a
+packed row of bits for each language comes to the driver, which puts them side by side. A text's popcounts by language,
 corrected for the filter's false positives, and relative to what texts of the language reach, decide.
 
 A null text, or one without a letter, is ``und`` with score 0. Ties go to the first language by name. Rows without a
-language are not learned from. With nothing to learn from, all is ``und``. Every row gives one row.
+language are not learned from. With nothing to learn from, all is ``und``. Every row gives one row; repeated rows give
+the same, and count as often in learning. A text of any length is judged as a whole. Only doc_id, text and lang are read,
+so other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -16,10 +19,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orbweave.llm.storage import discard, stored
 from orbweave.llm.textcols import U, Words, mix, slices, words
 
 ORDERS = (3, 4)
@@ -91,31 +96,37 @@ class LanguageMasks:
     @staticmethod
     def of(table: list[tuple[str, np.ndarray, np.ndarray, int]]) -> LanguageMasks:
         """table: language, its n-grams, their counts, and the count of all n-grams of the language."""
-        table = sorted(table, key=lambda t: t[0])
-        most = max([len(t[1]) for t in table], default=1)
-        slots = 1 << max(10, int(np.ceil(np.log2(16 * max(1, most)))))
-        masks = np.zeros((slots, max(1, -(-len(table) // 64))), U)
-        wrong, reached = np.zeros(len(table)), np.zeros(len(table))
-        for k, (_, codes, n, total) in enumerate(table):
-            bit = np.zeros(slots, bool)
-            for at in places(codes, slots):
-                bit[at] = True
+        slots = slots_for(max([len(t[1]) for t in table], default=1))
+        return LanguageMasks.beside([(name, np.packbits(bits_of(codes, slots)), float(n.sum() / max(1, total))) for name, codes, n, total in table], slots)
+
+    @staticmethod
+    def beside(rows: list[tuple[str, np.ndarray, float]], slots: int) -> LanguageMasks:
+        """rows: language, its packed bits, and the share of its n-grams that are in the filter."""
+        rows = sorted(rows, key=lambda t: t[0])
+        masks = np.zeros((slots, max(1, -(-len(rows) // 64))), U)
+        wrong = np.zeros(len(rows))
+        for k, (_, packed, _) in enumerate(rows):
+            bit = np.unpackbits(packed, count=slots)
             masks[:, k // 64] |= bit.astype(U) << U(k % 64)
-            wrong[k], reached[k] = bit.mean() ** HASHES, n.sum() / max(1, total)
-        return LanguageMasks([t[0] for t in table], masks, wrong, reached)
+            wrong[k] = bit.mean() ** HASHES
+        return LanguageMasks([t[0] for t in rows], masks, wrong, np.array([t[2] for t in rows]))
 
     @staticmethod
     def fit(docs: DataFrame, least: float = LEAST) -> LanguageMasks:
-        """Counts over all rows with a language; at most 1/least n-grams of each language come to the driver."""
-        from orbweave.llm.storage import stored
-
+        """Counts over all rows with a language. A language's bits, of at most 1/least n-grams, are set in one task."""
         n = stored(gram_counts(docs), "gram-counts")
         totals = n.groupBy("lang").agg(F.sum("n").alias("total"))
         kept = n.join(totals, "lang").where(F.col("n") >= F.col("total") * least)
-        rows = kept.select("lang", "gram", F.col("n"), "total").toArrow()
-        lang = np.array(rows.column("lang").to_pylist(), object)
-        gram, n, total = (rows.column(c).to_numpy() for c in ("gram", "n", "total"))
-        return LanguageMasks.of([(name, gram[at].astype(U), n[at], int(total[at][0])) for name in set(lang.tolist()) if (at := lang == name).any()])
+        most = kept.groupBy("lang").count().agg(F.max("count")).first()[0]
+        slots = slots_for(most or 1)
+
+        def bits(pdf: pd.DataFrame) -> pd.DataFrame:
+            packed = np.packbits(bits_of(pdf["gram"].to_numpy().astype(U), slots)).tobytes()
+            return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "bits": [packed], "reached": [pdf["n"].sum() / pdf["total"].iloc[0]]})
+
+        rows = kept.groupBy("lang").applyInPandas(bits, "lang string, bits binary, reached double").collect()  # slots / 8 bytes a language
+        discard(n)
+        return LanguageMasks.beside([(r["lang"], np.frombuffer(bytes(r["bits"]), np.uint8), r["reached"]) for r in rows], slots)
 
     def shares(self, w: Words) -> np.ndarray:
         """texts x languages: corrected shares of n-grams that are in the language's filter, relative to the language's
@@ -148,6 +159,18 @@ class LanguageMasks:
         return [self.langs[b] if ok else "und" for b, ok in zip(best, lettered)], np.where(lettered, score, 0.0)
 
 
+def slots_for(most: int) -> int:
+    """16 to 32 slots for each n-gram of the language that has the most, a power of two."""
+    return 1 << max(10, int(np.ceil(np.log2(16 * max(1, most)))))
+
+
+def bits_of(codes: np.ndarray, slots: int) -> np.ndarray:
+    bit = np.zeros(slots, bool)
+    for at in places(codes, slots):
+        bit[at] = True
+    return bit
+
+
 def places(codes: np.ndarray, slots: int) -> list[np.ndarray]:
     """The HASHES slots of each n-gram."""
     h = mix(codes)
