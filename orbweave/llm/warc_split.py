@@ -7,8 +7,10 @@ end for the last of them. Writers put each task's records into files of their ow
 stored once, are the list of files that count, so files of failed attempts are never read.
 
 Null html is an empty payload, a null url leaves the target out, and a null page_id stays null. Rows that repeat a
-page_id and payload are each written as the response. Empty tables give no file. Extra columns are left out.
-Archives lie in any store that ``pyarrow.fs`` reaches. A task holds one range and one record in memory.
+page_id and payload are each written as the response. Empty tables give no file. Extra columns are left out. A payload of
+any length is one record, which the task that owns its start reads to its end.
+Archives lie in any store that ``pyarrow.fs`` reaches; the schemes of Spark's paths are told to it by their own names
+there. A task holds one range and one record in memory.
 """
 
 from __future__ import annotations
@@ -31,7 +33,18 @@ from orbweave.llm.storage import new_dir, stored
 #: Fixed values of the formats.
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-SALTS = 16
+#: Pages that one task decides of a payload that very many share, about.
+SHARE = 100_000
+#: Schemes of Spark's paths by the names that pyarrow has for them.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfss", "gs": "gs", "hdfs": "hdfs"}
+
+
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of a path and the path in it. ``dbfs:/`` paths are the local mount of that store."""
+    scheme, sep, rest = path.partition(":")
+    if scheme == "dbfs" and sep:
+        return fs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + sep + rest)
 
 
 def with_decisions(pages: DataFrame, least: int = 1000) -> DataFrame:
@@ -40,8 +53,10 @@ def with_decisions(pages: DataFrame, least: int = 1000) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     pages = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
     groups = pages.where(F.octet_length("html") >= least).groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n"))
-    groups = groups.where("n > 1").select("digest", "kept", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = pages.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    groups = stored(groups.where("n > 1"), "warc-groups")
+    salts = min(1024, (groups.agg(F.max("n")).first()[0] or 0) // SHARE + 1)  # one, where no payload is that common
+    groups = groups.select("digest", "kept", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    salted = pages.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int"))
     refers = F.when(F.col("page_id") < F.col("kept"), F.col("kept"))
     return salted.join(groups, ["digest", "salt"], "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"))
 
@@ -70,7 +85,7 @@ def write(pages: DataFrame, path: str, *, least: int = 1000, level: int = 3, fil
     """Writes one record per page below path, and returns the files: path, length, records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(path)
+        store, root = opened(path)
         made, out, name, size, n = [], None, "", 0, 0
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to"))):
@@ -181,7 +196,7 @@ def read(files: DataFrame, *, range_bytes: int = 8 << 20, payloads: bool = False
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, length, start in zip(*(batch.column(c).to_pylist() for c in ("path", "length", "start"))):
-                store, name = fs.FileSystem.from_uri(path)
+                store, name = opened(path)
                 rows, held = [], 0
                 with store.open_input_file(name) as file:
                     for offset, _, fields, block in records_in(file, start, min(start + range_bytes, length), length):
