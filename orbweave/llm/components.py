@@ -12,7 +12,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """edges (a long, b long) to (node, root): root is the least node of its component. Only linked nodes have rows.
 
     Each round links all larger neighbours of a node, then all smaller ones, to its least neighbour, until nothing
-    changes; every round is written to the shared folder. The driver sees two numbers a round.
+    changes; every round is written to the shared folder. The driver sees two numbers a round. The least neighbours are
+    written before they are joined, so that a hub's links lie in a shuffle of the join's own, which Spark can split.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     pairs = stored(pairs, "links-0")
@@ -21,9 +22,10 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         if not state[0]:
             break
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"links-{k}-low")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stored(large.where("u <> v").distinct(), f"links-{k}-large")
+        discard(low)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         old = pairs
