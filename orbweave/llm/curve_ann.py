@@ -34,6 +34,8 @@ K = 20
 RECALL = 0.96
 SAMPLE = 200
 LEAST = 512
+#: Rows of a window that one group compares, about; a larger window is dealt to several groups.
+POOL = 16_384
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -163,7 +165,7 @@ def ordered(points: DataFrame, width: int, curves: int) -> DataFrame:
         rows.append((r["curve"], r["part"], before.get(r["curve"], 0)))
         before[r["curve"]] = before.get(r["curve"], 0) + r["count"]
     offsets = spark.createDataFrame(rows, "curve int, part int, before long")
-    return line.join(F.broadcast(offsets), ["curve", "part"]).select("curve", "point", (F.col("place") + F.col("before")).alias("place"))
+    return line.join(F.broadcast(offsets), ["curve", "part"]).select("curve", "point", (F.col("place") + F.col("before")).alias("place"))  # a row for each curve and partition
 
 
 def window_for(truth: list[tuple[np.ndarray, np.ndarray]], most: int, recall: float) -> int:
@@ -203,9 +205,12 @@ def search(rows: DataFrame, queries, k: int = K, curves: int = CURVES, recall: f
     windows = line.withColumn("window", F.floor(F.col("place") / F.lit(window)))
     seats = windows.groupBy("point").agg(F.collect_list(F.struct("curve", "window")).alias("seats"))  # one a curve
     seated = points.join(seats, "point").select("point", "v", "asks", F.explode("seats").alias("s")).select("point", "v", "asks", F.col("s.curve").alias("curve"), F.col("s.window").alias("window"))
-    pool = seated.select("curve", "window", F.lit(0).alias("role"), "point", "v")
+    shares = -(-window // POOL)
+    share = F.pmod(F.xxhash64("point"), F.lit(shares)).cast("int")
+    pool = seated.select("curve", "window", share.alias("share"), F.lit(0).alias("role"), "point", "v")
     asking = seated.where("asks").select("curve", F.explode(F.array(F.col("window") - 1, F.col("window"), F.col("window") + 1)).alias("window"), F.lit(1).alias("role"), "point", "v")
-    groups = pool.unionByName(asking).repartition(parts, "curve", "window").sortWithinPartitions("curve", "window", "role")
+    asking = asking.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    groups = pool.unionByName(asking).repartition(parts, "curve", "window", "share").sortWithinPartitions("curve", "window", "share", "role")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ids, vectors = None, [], []
@@ -213,12 +218,12 @@ def search(rows: DataFrame, queries, k: int = K, curves: int = CURVES, recall: f
             if not batch.num_rows:
                 continue
             v, point = _matrix(batch.column("v")), batch.column("point").to_numpy()
-            where = np.stack([batch.column(c).to_numpy() for c in ("curve", "window", "role")], 1)
+            where = np.stack([batch.column(c).to_numpy() for c in ("curve", "window", "share", "role")], 1)
             cuts = [0, *(np.flatnonzero((where[1:] != where[:-1]).any(1)) + 1).tolist(), len(where)]
             for a, b in zip(cuts, cuts[1:]):
-                if tuple(where[a, :2]) != at:
-                    at, ids, vectors = tuple(where[a, :2]), [], []
-                if where[a, 2] == 0:
+                if tuple(where[a, :3]) != at:
+                    at, ids, vectors = tuple(where[a, :3]), [], []
+                if where[a, 3] == 0:
                     ids.append(point[a:b])
                     vectors.append(v[a:b])
                 elif ids:
