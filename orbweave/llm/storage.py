@@ -1,49 +1,17 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Samples, rows kept whole, and the intermediate tables of the core."""
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orbweave.sources.storage import discard, new_dir, shared_dir, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one where it is unset and Spark is local."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="orbweave-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        found = f"file://{folder}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/orbweave/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back, which cuts its lineage there."""
-    path = new_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
+__all__ = ["bounded_texts", "discard", "hashed_sample", "new_dir", "partitions", "shared_dir", "stored", "whole"]
 
-def discard(*tables: DataFrame) -> None:
-    """Deletes stored tables that nothing to come will read."""
-    for df in tables:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
-        path.getFileSystem(conf).delete(path, True)
+#: Bytes of whole texts that a sample brings to the driver at most.
+SAMPLE_BYTES = 32 << 20
 
 
 def hashed_sample(rows: DataFrame, most: int, *keys: str, seed: str = "sample") -> DataFrame:
@@ -55,6 +23,23 @@ def hashed_sample(rows: DataFrame, most: int, *keys: str, seed: str = "sample")
     return rows.withColumn("_h", h).where(F.col("_h") < bound).orderBy("_h", *keys).limit(most).drop("_h")
 
 
+def bounded_texts(rows: DataFrame, most: int = SAMPLE_BYTES) -> pa.Table:
+    """rows, bounded in number and with a column text, in an order by hash: whole texts up to ``most`` bytes together. A
+    text of more than a sixteenth of that, or that doesn't fit any more, is passed over, never cut."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 64
+    kept = stored(rows.withColumn("_size", size).withColumn("_key", F.xxhash64(*rows.columns, F.lit("bounded"))), "sample")
+    sizes = kept.groupBy("_key").agg(F.sum("_size").alias("size"), F.max("_size").alias("one")).orderBy("_key").toPandas()
+    left, take = most, []
+    for key, all_, one in zip(sizes["_key"], sizes["size"], sizes["one"]):
+        if one <= most // 16 and all_ <= left:
+            take.append((int(key),))
+            left -= all_
+    chosen = F.broadcast(rows.sparkSession.createDataFrame(take, "_key long"))  # as many as the rows at most
+    out = kept.join(chosen, "_key").orderBy("_key").select(*rows.columns).toArrow()
+    discard(kept)
+    return out
+
+
 def whole(docs: DataFrame, **keys: Column) -> DataFrame:
     """The rows as one struct ``r``, beside keys of our own, so that no column's name can clash with these."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), *[v.alias(k) for k, v in keys.items()])

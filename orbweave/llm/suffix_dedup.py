@@ -8,8 +8,8 @@ Reference text grows with the corpus, so no automaton of it is broadcast to all
 reference passages and the passages to be matched together by one shuffle: a shard is, for all occurrences of one anchor, the
 windows in which it is the least. Within a shard documents stream by in the order of doc_id; each is matched against
 the suffix automaton of those before it, and every position where the matching statistic reaches ``length`` ends a
-window to remove; what it says anew joins the automaton. An anchor that more than ``shard`` texts hold
-would make a shard without bound; its windows are told by 128-bit hashes instead, each with the least doc_id that has
+window to remove; what it says anew joins the automaton. An anchor that occurs more than ``shard`` times in different
+texts would make a shard without bound; its windows are told by 128-bit hashes instead, each with the least doc_id that has
 it, which gives the same spans.
 
 Equal texts are decided once: a copy of a text with a window goes as a whole if a smaller doc_id has the text. Rows with

@@ -3,14 +3,16 @@
 A word's vector is the sum of hashed embeddings of the word and of its beginnings and its end; filters of widths one to
 three run over the whole text, and each filter's maximum feeds a logistic unit. The net is trained in numpy on the
 driver, on a bounded sample of labelled rows (``sample``, half of each label where there are as many, chosen by a hash
-of doc_id), less a quarter of it. All labelled rows that it is not trained on calibrate: counts by language, as told from
+of doc_id, and whole texts of SAMPLE_BYTES together), less a quarter of it. All labelled rows that it is not trained on calibrate: counts by language, as told from
 the text by language-bitmask filters fitted to the same sample, by bin of the logit and by label are added up in Spark.
 For each language the threshold is that with the best F1, with the labels in the proportion that they have over all
 labelled rows of the language, those trained on among them, and scores are shifted so that it is at 0.7. Languages with
 few texts of a label to calibrate take the threshold of all together, and where these are few as well, it is at even odds.
 
-Null and empty texts are scored as texts without words. Labels that are null are no labels; a doc_id labelled twice
-counts with each label. Without labels of both kinds, every score is the share of label 1 (0 if there are none).
+Null and empty texts are scored as texts without words; a text of any length is one text to all filters. Labels that
+are null are no labels; a doc_id labelled twice counts with each label. Without labels of both kinds, every score is the
+share of label 1 (0 if there are none). Equal texts have equal scores, and a score on the threshold is toxic. Every row
+gives one row, repeated or not; rows are carried whole in a struct ``r``, so that columns named like ours stay apart.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from orbweave.llm.lang_masks import LanguageMasks, fold, grams, summed
-from orbweave.llm.storage import hashed_sample, stored
+from orbweave.llm.storage import SAMPLE_BYTES, bounded_texts, hashed_sample, stored, whole
 from orbweave.llm.textcols import U, Words, mix, slices, words
 
 BUCKETS = 1 << 18
@@ -208,19 +210,20 @@ class Classifier:
         return np.where(z >= shift, np.maximum(s, CUT), np.minimum(s, np.nextafter(CUT, 0)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int = SAMPLE_BYTES) -> Classifier:
     """docs: doc_id, text, lang, learned from where labels (doc_id, toxic) has them."""
-    model, trained = learned(docs, labels, sample)
+    model, trained = learned(docs, labels, sample, size)
     return model if model.net is None else calibrated(model, logits(docs, model), labels, trained)
 
 
-def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Classifier, pa.Array]:
+def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int = SAMPLE_BYTES) -> tuple[Classifier, pa.Array]:
     """The classifier before it is calibrated, and the doc_ids that its net is trained on."""
     known = _known(labels)
-    order = F.xxhash64("doc_id", F.lit("toxic sample"))
     chosen = [hashed_sample(known.where(F.col("toxic") == k), sample // 2, "doc_id") for k in (0, 1)]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most ``sample`` rows
-    rows = docs.select("doc_id", "text", "lang").join(chosen, "doc_id").orderBy(order, "doc_id", "toxic").limit(2 * sample).toArrow()
+    one = F.min_by(F.struct("text", "lang"), F.xxhash64("text", "lang")).alias("d")  # of rows with one doc_id
+    rows = docs.select("doc_id", "text", "lang").join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(one)
+    rows = bounded_texts(rows.select("doc_id", "toxic", "d.text", "d.lang"), size)
     label = np.array(rows.column("toxic").to_pylist(), float)
     share = float(label.mean()) if len(label) else 0.0
     doc_ids = rows.column("doc_id").combine_chunks()
@@ -297,24 +300,28 @@ def _gram_table(parts: list[pa.RecordBatch], least: float = 1e-5) -> list[tuple[
 
 def score(docs: DataFrame, model: Classifier) -> DataFrame:
     """doc_id, score, predicted of each row."""
-    return scored(docs.select("doc_id", "text"), model).select("doc_id", "score", "predicted")
+    return scored(docs.select("doc_id", "text"), model).select("r.doc_id", "score", "predicted")
 
 
 def scored(docs: DataFrame, model: Classifier) -> DataFrame:
-    """The rows with score and predicted."""
+    """r (the row, whole), score and predicted."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
-    cols = [c for c in docs.columns if c not in ("score", "predicted")]
-    docs = docs.select(*cols)
+    rows = whole(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part in slices(batch, most=1 << 19):
+            both = pa.RecordBatch.from_arrays([batch.column("r"), batch.column("r").field("text")], names=["r", "text"])
+            for part in slices(both, most=1 << 19):
                 s = model.scores(part.column("text"))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64()), pa.array((s >= CUT).astype(np.int32))], names=[*cols, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([part.column("r"), pa.array(s, pa.float64()), pa.array((s >= CUT).astype(np.int32))], names=["r", "score", "predicted"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
+
 
-    schema = StructType([*docs.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
-    return docs.mapInArrow(run, schema)
+def kept(docs: DataFrame, model: Classifier) -> DataFrame:
+    """The rows that the classifier doesn't reject, with all their columns and no others."""
+    return scored(docs, model).where("predicted = 0").select("r.*")
 
 
 def from_logits(found: DataFrame, model: Classifier) -> DataFrame:

@@ -26,7 +26,7 @@ def labelled(spark):
 
 def test_calibrated_at_the_mix_of_all_labels(labelled):
     model = toxic_cnn.fit(labelled, labelled.select("doc_id", "toxic"), sample=800)
-    out = toxic_cnn.scored(labelled, model).toPandas()
+    out = toxic_cnn.scored(labelled, model).select("r.*", "predicted").toPandas()
     rejected = out.groupby(["toxic", "word"])["predicted"].mean()
     assert rejected[1, "vile"] > 0.9  # at half toxic, rejecting "grim" has the better F1; at one in eleven, keeping it
     assert rejected[0, "grim"] < 0.1 and rejected[0, "calm"] < 0.02
