@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -59,18 +60,27 @@ def triangle(lat: np.ndarray, nmax: int) -> np.ndarray:
     return out
 
 
-def slopes(lat: np.ndarray, nmax: int) -> np.ndarray:
-    """dP / d(colatitude) as points x (nmax+1) x (nmax+1), from neighbouring orders."""
-    p = triangle(lat, nmax)
-    n, m = np.mgrid[0 : nmax + 1, 0 : nmax + 1].astype(float)
-    out = np.zeros_like(p)
-    down = 0.5 * np.sqrt(np.maximum(0, (n + m) * (n - m + 1) * np.where(m == 1, 2.0, 1.0)))
-    up = 0.5 * np.sqrt(np.maximum(0, (n - m) * (n + m + 1)))
-    out[:, :, 1:] = down[:, 1:] * p[:, :, :-1]
-    out[:, :, :-1] -= up[:, :-1] * p[:, :, 1:]
-    if nmax:
-        out[:, :, 0] = -np.sqrt(n[:, 0] * (n[:, 0] + 1) / 2) * p[:, :, 1]
-    return np.where(m <= n, out, 0.0)
+def slopes(lat: np.ndarray, nmax: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(m, dP / d(colatitude) of degrees m..nmax by point) for m = 0, 1, ..., from the neighbouring orders; three orders are
+    alive at a time."""
+    lat = np.atleast_1d(lat)
+    before, here = None, None
+    for m, p in chain(columns(lat, nmax), [(nmax + 1, np.zeros((0, len(lat))))]):
+        if here is not None:
+            yield m - 1, _slope(m - 1, nmax, before, p)
+        before, here = here, p
+
+
+def _slope(m: int, nmax: int, before: np.ndarray | None, after: np.ndarray) -> np.ndarray:
+    """From the orders m - 1 and m + 1."""
+    n = np.arange(m, nmax + 1.0)[:, None]
+    if m == 0:
+        out = np.zeros((nmax + 1, after.shape[1]))
+        out[1:] = -np.sqrt(n[1:] * (n[1:] + 1) / 2) * after
+        return out
+    out = 0.5 * np.sqrt((n + m) * (n - m + 1) * (2.0 if m == 1 else 1.0)) * before[1:]
+    out[1:] -= 0.5 * np.sqrt((n[1:] - m) * (n[1:] + m + 1)) * after
+    return out
 
 
 def waves(lon: np.ndarray, nmax: int) -> tuple[np.ndarray, np.ndarray]:

@@ -6,7 +6,7 @@ columns k, h and l of an input table; none are shipped.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed values of the unit definitions.
@@ -57,21 +57,63 @@ def require_convertible(source: str, target: str) -> None:
         raise ValueError("horizontal displacement is a vector field and can't be converted back")
 
 
-def _factors(coeffs: DataFrame, unit: str, love: DataFrame | None) -> DataFrame:
+#: What factors are made of, for reports.
+FORMULAS = {
+    "scalar": "1", "unknown": "1", "geopotential": "1", "geoid": "R", "surface_density": "R rho_e / 3 * (2n + 1) / (1 + k'_n)",
+    "ewh": "R rho_e / (3 rho_w) * (2n + 1) / (1 + k'_n)", "radial_displacement": "R h'_n / (1 + k'_n)", "horizontal_displacement": "R l'_n / (1 + k'_n)",
+}
+
+
+def formula(unit: str) -> str:
+    """A unit's factor by degree in words."""
+    if unit not in FORMULAS:
+        raise ValueError(f"unknown unit {unit!r}")
+    return FORMULAS[unit]
+
+
+def factor_table(spark: SparkSession, nmax: int, units: tuple[str, ...] = ("geoid", "surface_density", "ewh"), love: DataFrame | None = None) -> DataFrame:
+    """n and a column of factors for each unit."""
+    n = spark.range(nmax + 1).select(F.col("id").cast("int").alias("n"))
+    for u in units:
+        n = _factors(n, u, love).withColumnRenamed("_f", u)
+    return n
+
+
+def describe_conversion(spark: SparkSession, nmax: int = 8, love: DataFrame | None = None) -> str:
+    """The factors of the common units by degree, as text."""
+    rows = factor_table(spark, nmax, love=love).orderBy("n").collect()
+    names = [c for c in rows[0].asDict() if c != "n"]
+    return "\n".join([" ".join([f"{'n':>3}", *[f"{u:>16}" for u in names]]), *[" ".join([f"{r['n']:>3}", *[f"{r[u]:>16.6e}" for u in names]]) for r in rows]])
+
+
+def _factors(rows: DataFrame, unit: str, love: DataFrame | None) -> DataFrame:
+    """rows (n, ...) with _f. Degrees that a table of Love numbers doesn't have count as 0 there."""
+    if unit in ABSTRACT:
+        return rows.withColumn("_f", F.lit(1.0))
     if love is None:
-        return coeffs.withColumn("_f", factor(unit, F.col("n"), known_love(F.col("n")), F.lit(0.0), F.lit(0.0)) if unit not in ABSTRACT else F.lit(1.0))
+        return rows.withColumn("_f", factor(unit, F.col("n"), known_love(F.col("n")), F.lit(0.0), F.lit(0.0)))
     named = love.select(F.col("n").alias("_n"), F.col("k").alias("_k"), F.col("h").alias("_h"), F.col("l").alias("_l"))
-    joined = coeffs.join(named, coeffs["n"] == F.col("_n"), "left")
-    f = factor(unit, F.col("n"), F.col("_k"), F.col("_h"), F.col("_l")) if unit not in ABSTRACT else F.lit(1.0)
-    return joined.withColumn("_f", f).drop("_n", "_k", "_h", "_l")
+    joined = rows.join(named, rows["n"] == F.col("_n"), "left")
+    return joined.withColumn("_f", factor(unit, F.col("n"), F.col("_k"), F.col("_h"), F.col("_l"))).drop("_n", "_k", "_h", "_l")
+
+
+def canonical(coeffs: DataFrame, unit: str, love: DataFrame | None = None) -> DataFrame:
+    """Coefficients of a field in a unit as geopotential ones; those of abstract units stay as they are."""
+    if unit not in UNITS:
+        raise ValueError(f"unknown unit {unit!r}")
+    if unit in ABSTRACT or unit == "geopotential":
+        return coeffs
+    return convert(coeffs, unit, "geopotential", love)
 
 
 def convert(coeffs: DataFrame, source: str, target: str, love: DataFrame | None = None) -> DataFrame:
     """coeffs (n, m, c, s, ...) from one unit to another, by way of geopotential. Degrees whose source factor is 0 become
-    0; they must hold nothing to speak of (``require_empty_degrees``)."""
+    0; it is an error if they hold anything to speak of."""
     require_convertible(source, target)
     if source == target:
         return coeffs
+    if source != "geopotential" and has_zeros(source):
+        require_empty_degrees(coeffs, source, love)
     cols = coeffs.columns
     out = _factors(coeffs, source, love)
     for x in ("c", "s"):
@@ -82,6 +124,11 @@ def convert(coeffs: DataFrame, source: str, target: str, love: DataFrame | None
     return out.select(*cols)
 
 
+def has_zeros(unit: str) -> bool:
+    """Whether a unit's factor can be 0 for some degree: only those of displacements can, where a Love number is."""
+    return unit in ("radial_displacement", "horizontal_displacement")
+
+
 def require_empty_degrees(coeffs: DataFrame, source: str, love: DataFrame | None = None, most: float = 1e-8) -> None:
     """Raises if a degree whose factor is 0 holds more than ``most`` of the RMS of all coefficients."""
     power = F.col("c") * F.col("c") + F.col("s") * F.col("s")

@@ -3,6 +3,8 @@
 All estimators rest on one shape: an Arrow kernel turns each partition of points into partial sums, one row for each
 epoch, degree and order (or one block of the normal matrix), and Spark adds these up. Points never move; the shuffle
 holds partitions x unknowns numbers. Only matrices of the unknowns come to the driver.
+
+In a series every epoch is solved from the points that it has values for. Epochs with the same points share a matrix.
 """
 
 from __future__ import annotations
@@ -13,9 +15,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orbweave.functions import units
 from orbweave.functions.geo import FOUR_PI
 from orbweave.functions.kernels import columns, design, ordinals, waves
 from orbweave.operators.synthesis import dense, synthesise
@@ -23,45 +27,86 @@ from orbweave.plans import planner
 
 COEFFS = "epoch_id int, n int, m int, c double, s double"
 ROWS = 20_000  # of a kernel call
+#: Circles of latitude that are transformed together.
+CIRCLES = 2048
+#: Bytes of sums that a task holds before it hands them on.
+HELD_BYTES = 1 << 26
+#: Epochs of one call that needs normal matrices.
+EPOCHS = 100_000
 
 
 def with_epoch(points: DataFrame) -> DataFrame:
     return points if "epoch_id" in points.columns else points.withColumn("epoch_id", F.lit(0))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def measured(weighted: DataFrame) -> DataFrame:
+    """The rows that count: coordinates, weight and value are there and are numbers. Of a series, each epoch has the points
+    that it has values for."""
+    rows = with_epoch(weighted)
+    ok = F.lit(True)
+    for c in ("lat", "lon", "w", *(["value"] if "value" in rows.columns else [])):
+        ok &= F.col(c).isNotNull() & ~F.isnan(c)
+    return rows.where(ok & F.col("epoch_id").isNotNull())
+
+
+def _rows(weighted: DataFrame) -> DataFrame:
+    return measured(weighted).select(*[F.col(c).cast("int" if c == "epoch_id" else "double").alias(c) for c in ("lat", "lon", "value", "w", "epoch_id")])
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], nmax: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows for which the values of one order stay within a few MB."""
+    most = max(500, min(ROWS, 1_000_000 // (nmax + 1)))
     for b in batches:
-        for k in range(0, b.num_rows, ROWS):
-            yield b.slice(k, ROWS)
+        for k in range(0, b.num_rows, most):
+            yield b.slice(k, most)
+
+
+class _Sums:
+    """Sums by epoch, handed on when they exceed HELD_BYTES."""
+
+    def __init__(self, nmax: int):
+        self.nmax, self.held = nmax, {}
+
+    def of(self, e: int) -> np.ndarray:
+        if e not in self.held:
+            self.held[e] = np.zeros((2, self.nmax + 1, self.nmax + 1))
+        return self.held[e]
+
+    def full(self) -> bool:
+        return len(self.held) * 16 * (self.nmax + 1) ** 2 > HELD_BYTES
+
+    def drain(self) -> Iterator[pa.RecordBatch]:
+        n, m = np.tril_indices(self.nmax + 1)
+        for e, out in self.held.items():
+            cols = [np.full(len(n), e, np.int32), n.astype(np.int32), m.astype(np.int32), out[0, n, m], out[1, n, m]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["epoch_id", "n", "m", "c", "s"])
+        self.held = {}
 
 
 def quadrature(weighted: DataFrame, nmax: int) -> DataFrame:
     """coeffs (epoch_id, n, m, c, s): sums of w * value * basis over the points, by 4 pi. weighted: lat, lon, value, w
-    and epoch_id if there are several. Rows with a null in these are left out."""
+    and epoch_id if there are several. Rows with a null or NaN in these are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for b in _chunks(batches):
+        sums = _Sums(nmax)
+        for b in _chunks(batches, nmax):
             lat, lon, value, w, epoch = (b.column(c).to_numpy(zero_copy_only=False) for c in ("lat", "lon", "value", "w", "epoch_id"))
             order = np.argsort(epoch, kind="stable")
             lat, lon, f = lat[order], lon[order], (value * w)[order]
             kinds, first = np.unique(epoch[order], return_index=True)
-            sums = [held.setdefault(int(e), np.zeros((2, nmax + 1, nmax + 1))) for e in kinds]
+            outs = [sums.of(int(e)) for e in kinds]
             cos, sin = waves(lon, nmax)
             for m, p in columns(lat, nmax):
                 for part, wave in ((0, cos), (1, sin)):
                     fw = f * wave[m]
                     by = (p @ fw)[:, None] if len(kinds) == 1 else np.add.reduceat(p * fw, first, axis=1)
-                    for k, out in enumerate(sums):
+                    for k, out in enumerate(outs):
                         out[part, m:, m] += by[:, k]
-        n, m = np.tril_indices(nmax + 1)
-        for e, out in held.items():
-            cols = [np.full(len(n), e, np.int32), n.astype(np.int32), m.astype(np.int32), out[0, n, m], out[1, n, m]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["epoch_id", "n", "m", "c", "s"])
+            if sums.full():
+                yield from sums.drain()
+        yield from sums.drain()
 
-    need = ["lat", "lon", "value", "w", "epoch_id"]
-    rows = with_epoch(weighted).select(*[F.col(c).cast("int" if c == "epoch_id" else "double").alias(c) for c in need]).dropna()
-    return _total(rows.mapInArrow(run, COEFFS))
+    return _total(_rows(weighted).mapInArrow(run, COEFFS))
 
 
 def _total(partial: DataFrame) -> DataFrame:
@@ -70,37 +115,63 @@ def _total(partial: DataFrame) -> DataFrame:
 
 
 def quadrature_fft(weighted: DataFrame, nmax: int, first_lon: float, nlon: int) -> DataFrame:
-    """The same on a full grid whose longitudes go around evenly: rows of a latitude come together, one FFT gives all
-    orders, and the start of the circle turns their phases."""
+    """The same where all longitudes are first_lon plus whole steps of 360 / nlon. What a task has of a circle of latitude
+    is one row of nlon numbers, zero elsewhere; an FFT gives all orders at once, the start of the circle turns their
+    phases. The transform being linear, parts of a circle add up, and points may be missing: nothing is shuffled but sums."""
+    step = 360.0 / nlon
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+        sums = _Sums(nmax)
         turn = np.exp(-1j * np.radians(first_lon) * np.arange(nmax + 1))
-        for b in _chunks(batches):
-            lat, epoch = (b.column(c).to_numpy(zero_copy_only=False) for c in ("lat", "epoch_id"))
-            row = np.array(b.column("row").to_pylist(), float).reshape(len(lat), nlon)
-            z = np.fft.rfft(row, axis=1)[:, : nmax + 1] * turn
-            for e in np.unique(epoch):
-                at = epoch == e
-                out = held.setdefault(int(e), np.zeros((2, nmax + 1, nmax + 1)))
-                for m, p in columns(lat[at], nmax):
-                    out[0, m:, m] += p @ z[at, m].real
-                    out[1, m:, m] -= p @ z[at, m].imag
-        n, m = np.tril_indices(nmax + 1)
-        for e, out in held.items():
-            cols = [np.full(len(n), e, np.int32), n.astype(np.int32), m.astype(np.int32), out[0, n, m], out[1, n, m]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["epoch_id", "n", "m", "c", "s"])
-
-    rows = with_epoch(weighted).withColumn("wf", F.col("value") * F.col("w")).groupBy("epoch_id", "lat")
-    rows = rows.agg(F.transform(F.sort_array(F.collect_list(F.struct("lon", "wf"))), lambda x: x["wf"]).alias("row"))  # one circle of latitude
-    return _total(rows.select(F.col("epoch_id").cast("int").alias("epoch_id"), "lat", "row").mapInArrow(run, COEFFS))
+        held, size = [], 0
+        for b in batches:
+            lat, lon, value, w, epoch = (b.column(c).to_numpy(zero_copy_only=False) for c in ("lat", "lon", "value", "w", "epoch_id"))
+            at = np.rint((lon - first_lon) / step).astype(np.int64) % nlon
+            order = np.lexsort((lat, epoch))
+            lat, epoch, at, f = lat[order], epoch[order], at[order], (value * w)[order]
+            fresh = np.ones(len(lat), bool)
+            fresh[1:] = (lat[1:] != lat[:-1]) | (epoch[1:] != epoch[:-1])
+            heads = np.flatnonzero(fresh)
+            for k in range(0, len(heads), CIRCLES):
+                mine = heads[k : k + CIRCLES]
+                end = heads[k + CIRCLES] if k + CIRCLES < len(heads) else len(lat)
+                row = np.cumsum(fresh[mine[0] : end]) - 1
+                dense = np.bincount(row * nlon + at[mine[0] : end], weights=f[mine[0] : end], minlength=len(mine) * nlon).reshape(-1, nlon)
+                held.append((epoch[mine], lat[mine], np.fft.rfft(dense, axis=1)[:, : nmax + 1] * turn))
+                size += len(mine)
+                if size >= CIRCLES:
+                    add(sums, held)
+                    held, size = [], 0
+            if sums.full():
+                yield from sums.drain()
+        if held:
+            add(sums, held)
+        yield from sums.drain()
+
+    def add(sums: _Sums, held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        epoch, lat, z = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(epoch, kind="stable")
+        epoch, lat, z = epoch[order], lat[order], z[order]
+        kinds, first = np.unique(epoch, return_index=True)
+        lats, circle = np.unique(lat, return_inverse=True)
+        outs = [sums.of(int(e)) for e in kinds]
+        for m, p in columns(lats, nmax):
+            by = p[:, circle]
+            re, im = np.add.reduceat(by * z[:, m].real, first, axis=1), np.add.reduceat(by * z[:, m].imag, first, axis=1)
+            for k, out in enumerate(outs):
+                out[0, m:, m] += re[:, k]
+                out[1, m:, m] -= im[:, k]
+
+    return _total(_rows(weighted).mapInArrow(run, COEFFS))
 
 
 def quadrature_planned(weighted: DataFrame, nmax: int, longitude: str = "auto") -> tuple[DataFrame, planner.LongitudePlan]:
-    plan = planner.plan_longitude(weighted.select("lat", "lon").distinct(), nmax, longitude)
+    """Quadrature by FFT where the places of the points make a full even grid, else directly. Values may be missing, and
+    epochs of a series may lack some of the places."""
+    places = measured(weighted.drop("value")).select("lat", "lon").distinct()
+    plan = planner.plan_longitude(places, nmax, longitude)
     if plan.path == "fft":
-        row = weighted.agg(F.min("lon").alias("lo"), F.countDistinct("lon").alias("n")).first()
-        return quadrature_fft(weighted, nmax, row["lo"], row["n"]), plan
+        return quadrature_fft(weighted, nmax, plan.first_lon, plan.nlon), plan
     return quadrature(weighted, nmax), plan
 
 
@@ -111,51 +182,21 @@ def richardson(weighted: DataFrame, nmax: int, steps: int = 1) -> DataFrame:
     x = quadrature(weighted, nmax)
     for _ in range(steps):
         x = spark.createDataFrame(x.toPandas(), COEFFS)
-        fitted = synthesise(with_epoch(weighted), x, nmax, out="fitted")
+        fitted = synthesise(measured(weighted), x, nmax, out="fitted")
         rest = quadrature(fitted.withColumn("value", F.col("value") - F.col("fitted")), nmax)
         x = x.unionByName(rest).groupBy("epoch_id", "n", "m").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
     return x
 
 
-def _blocks(weighted: DataFrame, nmax: int, rhs: bool) -> DataFrame:
-    """Partial sums of A'WA (row blocks of 64 unknowns; epoch_id -1) and, if asked for, of A'Wf by epoch."""
-    size = (nmax + 1) ** 2
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, r = np.zeros((size, size)), {}
-        for b in _chunks(batches):
-            for k in range(0, b.num_rows, 2000):
-                part = b.slice(k, 2000)
-                lat, lon, w = (part.column(c).to_numpy(zero_copy_only=False) for c in ("lat", "lon", "w"))
-                a = design(lat, lon, nmax)
-                aw = a * w[:, None]
-                epoch = part.column("epoch_id").to_numpy(zero_copy_only=False)
-                first = part.column("first").to_numpy(zero_copy_only=False).astype(bool)
-                g += aw[first].T @ a[first]  # a point of several epochs counts once
-                if rhs:
-                    f = part.column("value").to_numpy(zero_copy_only=False)
-                    for e in np.unique(epoch):
-                        at = epoch == e
-                        v = r.setdefault(int(e), np.zeros(size + 1))
-                        v[:size] += f[at] @ aw[at]
-                        v[size] += (w[at] * f[at] ** 2).sum()
-        rows = [(-1, k, g[k : k + 64].ravel()) for k in range(0, size, 64)] + [(e, 0, v) for e, v in r.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.int32()), pa.array([x[2] for x in rows], pa.list_(pa.float64()))], names=["epoch_id", "block", "v"])
-
-    rows = with_epoch(weighted)
-    base = rows.agg(F.min("epoch_id")).first()[0]
-    rows = rows.withColumn("first", F.col("epoch_id") == F.lit(base))
-    rows = rows.select("lat", "lon", "w", F.col("epoch_id").cast("int").alias("epoch_id"), "first", *(["value"] if rhs else [])).dropna()
-    return rows.mapInArrow(run, "epoch_id int, block int, v array<double>").groupBy("epoch_id", "block").applyInPandas(_added, "epoch_id int, block int, v array<double>")
-
-
-def _added(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"epoch_id": [pdf["epoch_id"].iloc[0]], "block": [pdf["block"].iloc[0]], "v": [np.sum(np.stack(pdf["v"].to_numpy()), axis=0)]})
+#: Unknowns for which normal matrices are formed at most.
+LARGEST = 4000
+#: Bytes of normal matrices of different sets of points that are on the driver at once, about.
+MATRICES = 1 << 28
 
 
 @dataclass
 class Normal:
-    """A'WA of the first epoch's points, and by epoch A'Wf and f'Wf."""
+    """A'WA of one set of points, and of each epoch that has this set A'Wf and f'Wf."""
 
     nmax: int
     matrix: np.ndarray
@@ -163,20 +204,107 @@ class Normal:
     power: dict[int, float] = field(default_factory=dict)
 
 
-LARGEST = 4000
+def point_sets(weighted: DataFrame) -> dict[int, list[int]]:
+    """The epochs that have the same points and weights: the least of them to all of them. One row an epoch comes to the
+    driver; sets are told apart by their number of points and two sums of hashes."""
+    rows = measured(weighted)
+    h = [F.xxhash64(F.col("lat").cast("double"), F.col("lon").cast("double"), F.col("w").cast("double"), F.lit(k)) for k in range(2)]
+    marks = rows.groupBy("epoch_id").agg(F.count("*").alias("n"), *[F.sum(F.pmod(x, F.lit(1 << 31))).alias(f"h{k}") for k, x in enumerate(h)])
+    marks = marks.orderBy("epoch_id").limit(EPOCHS + 1).toPandas()
+    if len(marks) > EPOCHS:
+        raise ValueError(f"more than {EPOCHS} epochs for one call; filter epochs first")
+    return {int(g["epoch_id"].iloc[0]): [int(e) for e in g["epoch_id"]] for _, g in marks.groupby(["n", "h0", "h1"])}
 
 
-def normal(weighted: DataFrame, nmax: int, rhs: bool = True) -> Normal:
+def _blocks(weighted: DataFrame, nmax: int, rhs: bool, sets: dict[int, list[int]]) -> DataFrame:
+    """Sums of A'WA (row blocks of 64 unknowns, kind 0) by set and, if asked for, of A'Wf by epoch (kind 1). Partial sums
+    meet by teams of tasks first, so no group gathers more than a few hundred."""
+    size = (nmax + 1) ** 2
+    kind = "key int, kind int, block int, team int, v array<double>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, at, r = np.zeros((size, size)), None, {}
+        team = TaskContext.get().partitionId() % 64
+        for b in batches:
+            for k in range(0, b.num_rows, 2000):
+                part = b.slice(k, 2000)
+                lat, lon, w, of, epoch = (part.column(c).to_numpy(zero_copy_only=False) for c in ("lat", "lon", "w", "set", "epoch_id"))
+                a = design(lat, lon, nmax)
+                aw = a * w[:, None]
+                for one in np.unique(of).tolist():  # sets come one after another
+                    if at is not None and one != at:
+                        yield from emit(at, 0, g, team)
+                        g[:] = 0
+                    at = one
+                    mine = (of == one) & (epoch == one)  # of the epochs with these points the first
+                    g += aw[mine].T @ a[mine]
+                if rhs:
+                    f = part.column("value").to_numpy(zero_copy_only=False)
+                    for e in np.unique(epoch).tolist():
+                        mine = epoch == e
+                        v = r.setdefault(e, np.zeros(size + 1))
+                        v[:size] += f[mine] @ aw[mine]
+                        v[size] += (w[mine] * f[mine] ** 2).sum()
+            if len(r) * size * 8 > HELD_BYTES:
+                for e, v in r.items():
+                    yield from emit(e, 1, v[None, :], team)
+                r = {}
+        if at is not None:
+            yield from emit(at, 0, g, team)
+        for e, v in r.items():
+            yield from emit(e, 1, v[None, :], team)
+
+    def emit(key: int, what: int, v: np.ndarray, team: int) -> Iterator[pa.RecordBatch]:
+        step = 64 if what == 0 else 1
+        rows = [v[k : k + step].ravel() for k in range(0, len(v), step)]
+        n = len(rows)
+        cols = [pa.array([key] * n, pa.int32()), pa.array([what] * n, pa.int32()), pa.array([k * step for k in range(n)], pa.int32()), pa.array([team] * n, pa.int32()), pa.array(rows, pa.list_(pa.float64()))]
+        yield pa.RecordBatch.from_arrays(cols, names=["key", "kind", "block", "team", "v"])
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum(np.stack(pdf["v"].to_numpy()), axis=0)
+        return pd.DataFrame({c: [pdf[c].iloc[0]] for c in ("key", "kind", "block")} | {"team": [0], "v": [total]})
+
+    table = [(e, first) for first, epochs in sets.items() for e in epochs]
+    spark = weighted.sparkSession
+    named = F.broadcast(spark.createDataFrame(table, "epoch_id int, set int"))  # EPOCHS rows at most
+    rows = measured(weighted).select("lat", "lon", "w", F.col("epoch_id").cast("int").alias("epoch_id"), *(["value"] if rhs else []))
+    rows = rows.join(named, "epoch_id")
+    if not rhs:
+        rows = rows.where("epoch_id = set")
+    if len(sets) > 1:
+        rows = rows.sortWithinPartitions("set")
+    out = rows.select("lat", "lon", "w", "epoch_id", "set", *(["value"] if rhs else [])).mapInArrow(run, kind)
+    out = out.groupBy("key", "kind", "block", "team").applyInPandas(added, kind)
+    return out.groupBy("key", "kind", "block").applyInPandas(added, kind)
+
+
+def normals(weighted: DataFrame, nmax: int, rhs: bool = True) -> Iterator[Normal]:
+    """The normal equations of each set of points, some of them at a time."""
     size = (nmax + 1) ** 2
     if size > LARGEST:
         raise ValueError(f"{size} unknowns; normal matrices are formed for {LARGEST} at most")
-    rows = _blocks(weighted, nmax, rhs).toPandas()
-    g = rows[rows["epoch_id"] < 0].sort_values("block")
-    out = Normal(nmax, np.concatenate([np.asarray(v) for v in g["v"]]).reshape(size, size) if len(g) else np.zeros((size, size)))
-    for e, v in zip(rows["epoch_id"], rows["v"]):
-        if e >= 0:
-            out.rhs[int(e)], out.power[int(e)] = np.asarray(v)[:size], float(np.asarray(v)[size])
-    return out
+    sets = point_sets(weighted)
+    firsts, some = sorted(sets), max(1, MATRICES // (8 * size * size))
+    for k in range(0, len(firsts), some):
+        now = {f: sets[f] for f in firsts[k : k + some]}
+        rows = _blocks(weighted, nmax, rhs, now).toPandas()
+        for first, epochs in now.items():
+            g = rows[(rows["kind"] == 0) & (rows["key"] == first)].sort_values("block")
+            out = Normal(nmax, np.concatenate([np.asarray(v) for v in g["v"]]).reshape(size, size))
+            for e, v in zip(rows["key"][rows["kind"] == 1], rows["v"][rows["kind"] == 1]):
+                if e in epochs:
+                    out.rhs[int(e)], out.power[int(e)] = np.asarray(v)[:size], float(np.asarray(v)[size])
+            yield out
+
+
+def normal(weighted: DataFrame, nmax: int, rhs: bool = True) -> Normal:
+    """The normal equations of points that all epochs have."""
+    found = list(normals(weighted, nmax, rhs))
+    if len(found) > 1:
+        raise ValueError(f"the epochs have {len(found)} different sets of points; take one of them")
+    size = (nmax + 1) ** 2
+    return found[0] if found else Normal(nmax, np.zeros((size, size)))
 
 
 def gram(weighted: DataFrame, nmax: int) -> np.ndarray:
@@ -184,6 +312,33 @@ def gram(weighted: DataFrame, nmax: int) -> np.ndarray:
     return normal(weighted, nmax, rhs=False).matrix / FOUR_PI
 
 
+def deviation(weighted: DataFrame, nmax: int) -> float:
+    """How far the completeness matrix is from the identity at most, over all sets of points. Beyond LARGEST unknowns only
+    its diagonal of order 0 is looked at: a grouped sum by degree, in one pass."""
+    if (nmax + 1) ** 2 <= LARGEST:
+        return max((float(np.abs(eq.matrix / FOUR_PI - np.eye(len(eq.matrix))).max()) for eq in normals(weighted, nmax, rhs=False)), default=float("nan"))
+    return diagonal_deviation(weighted, nmax)
+
+
+def diagonal_deviation(weighted: DataFrame, nmax: int) -> float:
+    """max over degrees and epochs of |sum of w P_n0^2 / 4 pi - 1|."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in _chunks(batches, nmax):
+            lat, w, epoch = (b.column(c).to_numpy(zero_copy_only=False) for c in ("lat", "w", "epoch_id"))
+            _, p = next(columns(lat, nmax, 0))
+            for e in np.unique(epoch).tolist():
+                mine = epoch == e
+                held[e] = held.get(e, 0.0) + (p[:, mine] ** 2) @ w[mine]
+        for e, v in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([e] * len(v), pa.int32()), pa.array(range(len(v)), pa.int32()), pa.array(v)], names=["epoch_id", "n", "v"])
+
+    rows = measured(weighted).select("lat", "w", F.col("epoch_id").cast("int").alias("epoch_id"))
+    sums = rows.mapInArrow(run, "epoch_id int, n int, v double").groupBy("epoch_id", "n").agg(F.sum("v").alias("v"))
+    return sums.agg(F.max(F.abs(F.col("v") / FOUR_PI - 1.0))).first()[0]
+
+
 def gram_rows(weighted: DataFrame, nmax: int) -> DataFrame:
     """The completeness matrix as rows (part1, n1, m1, part2, n2, m2, k)."""
     k, names = gram(weighted, nmax), ordinals(nmax)
@@ -202,18 +357,28 @@ def to_coeffs(spark, nmax: int, solved: dict[int, np.ndarray]) -> DataFrame:
     return spark.createDataFrame(rows, COEFFS)
 
 
-def penalty(kind: str, nmax: int, degree_rms: np.ndarray | None = None, power: float = 2.0) -> np.ndarray:
+def penalty(kind: str, nmax: int, degree_rms: np.ndarray | None = None, power: float = 2.0, scale: float = 1e-5) -> np.ndarray:
     """Square roots of the diagonal regularisation: ones, or by degree against an expected spectrum or (n+1)**power."""
-    n = np.array([n for _, n, _ in ordinals(nmax)], float)
+    n = np.array([n for _, n, _ in ordinals(nmax)])
     if kind == "tikhonov":
         return np.ones(len(n))
     if kind == "kaula":
         if degree_rms is not None:
-            return 1.0 / (np.maximum(degree_rms[n.astype(int)], 1e-30) * (n + 1) ** power)
-        return (n + 1) ** power / 1e-5
+            floor = max(float(np.max(degree_rms)) * 1e-8, 1e-300)
+            return 1.0 / (np.maximum(degree_rms, floor)[n] * (n + 1.0) ** power)
+        return (n + 1.0) ** power / scale
     raise ValueError(f"unknown regularisation {kind!r}")
 
 
+def first_pass(weighted: DataFrame, nmax: int) -> np.ndarray:
+    """Root mean square by degree of the quadrature of all epochs, as the spectrum to expect."""
+    c = quadrature(weighted, nmax)
+    rows = c.groupBy("n").agg(F.sqrt(F.sum(F.col("c") * F.col("c") + F.col("s") * F.col("s")) / (2.0 * F.count("*"))).alias("rms")).toPandas()
+    out = np.zeros(nmax + 1)
+    out[rows["n"]] = rows["rms"]
+    return out
+
+
 def lcurve(g: np.ndarray, b: np.ndarray, ff: float, alphas: np.ndarray) -> float:
     """The alpha at the L-curve's sharpest bend. Misfits follow from the normal matrices alone."""
     lam, v = np.linalg.eigh(g)
@@ -227,62 +392,83 @@ def lcurve(g: np.ndarray, b: np.ndarray, ff: float, alphas: np.ndarray) -> float
     return float(alphas[np.argmax(bend)])
 
 
-def least_squares(weighted: DataFrame, nmax: int, reg: str = "none", alpha: float | None = None, sigma: str | None = None, degree_rms: np.ndarray | None = None) -> tuple[DataFrame, dict]:
-    """Weighted least squares from distributed normal matrices. reg none, tikhonov or kaula, with penalty alpha**2 r**2;
-    without alpha it comes from the L-curve (1e-6 beyond 2500 unknowns). sigma: column of standard deviations; rows
-    weigh w / sigma**2."""
+def least_squares(
+    weighted: DataFrame, nmax: int, reg: str = "none", alpha: float | None = None, sigma: str | None = None, degree_rms: np.ndarray | None = None,
+    power: float = 2.0, scale: float | None = None,
+) -> tuple[DataFrame, dict]:
+    """Weighted least squares from distributed normal matrices, one for each set of points that epochs have. reg none,
+    tikhonov or kaula, with penalty alpha**2 r**2; without alpha it comes from the L-curve of a set's first epoch (1e-6
+    beyond 2500 unknowns). kaula goes by degree_rms, by the absolute law with ``scale``, or by the spectrum of a first
+    quadrature. sigma: column of standard deviations; rows weigh w / sigma**2. The figures are those of the worst set."""
     if sigma:
         weighted = weighted.withColumn("w", F.col("w") / (F.col(sigma) * F.col(sigma)))
-    eq = normal(weighted, nmax)
     if alpha is not None and reg == "none":
         reg = "tikhonov"
-    g, r = eq.matrix, None
+    r = None
     if reg != "none":
-        r = penalty(reg, nmax, degree_rms)
-        if alpha is None:
-            e = min(eq.rhs)
-            alpha = 1e-6 if len(g) > 2500 else lcurve(g / np.outer(r, r), eq.rhs[e] / r, eq.power[e], np.logspace(-12, 2, 15))
-        g = g + np.diag((alpha * r) ** 2)
-    lam = np.linalg.eigvalsh(g)
-    cond = float(np.sqrt(lam[-1] / lam[0])) if lam[0] > 0 else float("inf")
-    solve = (lambda b: np.linalg.solve(g, b)) if cond < 1e8 else (lambda b: np.linalg.lstsq(g, b, rcond=1e-15)[0])
-    return to_coeffs(weighted.sparkSession, nmax, {e: solve(b) for e, b in eq.rhs.items()}), {"alpha": alpha, "regularization": reg, "condition_number": cond}
-
-
-def conjugate_gradients(weighted: DataFrame, nmax: int, rtol: float = 1e-10, most: int | None = None, every: int = 1) -> tuple[DataFrame, int]:
-    """Least squares without a normal matrix: each iteration is one synthesis and one sum over all points, W on both
-    sides. For more unknowns than ``normal`` takes; for fewer the matrix is formed once and iterated on the driver."""
+        if reg == "kaula" and degree_rms is None and scale is None:
+            degree_rms = first_pass(weighted, nmax)
+        r = penalty(reg, nmax, degree_rms, power, scale or 1e-5)
+    solved, used, cond = {}, alpha, 0.0
+    for eq in normals(weighted, nmax):
+        g = eq.matrix
+        if r is not None:
+            if alpha is None:
+                e = min(eq.rhs)
+                used = 1e-6 if len(g) > 2500 else lcurve(g / np.outer(r, r), eq.rhs[e] / r, eq.power[e], np.logspace(-12, 2, 15))
+            g = g + np.diag((used * r) ** 2)
+        lam = np.linalg.eigvalsh(g)
+        mine = float(np.sqrt(lam[-1] / lam[0])) if lam[0] > 0 else float("inf")
+        cond = max(cond, mine)
+        epochs = sorted(eq.rhs)
+        b = np.stack([eq.rhs[e] for e in epochs], 1)
+        x = np.linalg.solve(g, b) if mine < 1e8 else np.linalg.lstsq(g, b, rcond=1e-15)[0]
+        solved |= {e: x[:, k] for k, e in enumerate(epochs)}
+    return to_coeffs(weighted.sparkSession, nmax, solved), {"alpha": used, "regularization": reg, "condition_number": cond}
+
+
+def conjugate_gradients(weighted: DataFrame, nmax: int, rtol: float = 1e-10, most: int | None = None) -> tuple[DataFrame, int]:
+    """Least squares with W on both sides, by iterations. Up to LARGEST unknowns they run on the driver with the matrix of
+    each set of points; beyond, no matrix is formed, and an iteration is one synthesis and one sum over all points for
+    all epochs that are not yet done. Either way each epoch's own points count."""
     spark, size = weighted.sparkSession, (nmax + 1) ** 2
     most = most or min(2000, 20 * size)
     if size <= LARGEST:
-        eq = normal(weighted, nmax)
-        apply, rhs = (lambda e, v: eq.matrix @ v), eq.rhs
-    else:
-        rhs = flat(quadrature(weighted, nmax).toPandas(), nmax)
-
-        def apply(e: int, v: np.ndarray) -> np.ndarray:
-            x = to_coeffs(spark, nmax, {e: v})
-            points = with_epoch(weighted).where(F.col("epoch_id") == e)
-            return flat(quadrature(synthesise(points.drop("value"), x, nmax, out="value"), nmax).toPandas(), nmax)[e] * FOUR_PI
-
-        rhs = {e: b * FOUR_PI for e, b in rhs.items()}
-    solved, done = {}, 0
-    for e, b in rhs.items():
-        x, r = np.zeros(size), b.copy()
-        p, rr = r.copy(), r @ r
-        for k in range(most):
-            if np.sqrt(rr) <= rtol * np.linalg.norm(b):
-                break
-            ap = apply(e, p)
-            step = rr / (p @ ap)
-            x, r = x + step * p, r - step * ap
-            new = r @ r
-            p, rr = r + new / rr * p, new
-            done = max(done, k + 1)
-        solved[e] = x
+        solved, done = {}, 0
+        for eq in normals(weighted, nmax):
+            x, k = _iterate(lambda v, g=eq.matrix: {e: g @ y for e, y in v.items()}, eq.rhs, rtol, most)
+            solved, done = solved | x, max(done, k)
+        return to_coeffs(spark, nmax, solved), done
+    rows = measured(weighted)
+
+    def apply(v: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        x = to_coeffs(spark, nmax, v)
+        points = rows.where(F.col("epoch_id").isin(list(v))).drop("value")
+        return {e: y * FOUR_PI for e, y in flat(quadrature(synthesise(points, x, nmax, out="value"), nmax).toPandas(), nmax).items()}
+
+    rhs = {e: b * FOUR_PI for e, b in flat(quadrature(rows, nmax).toPandas(), nmax).items()}
+    solved, done = _iterate(apply, rhs, rtol, most)
     return to_coeffs(spark, nmax, solved), done
 
 
+def _iterate(apply, rhs: dict[int, np.ndarray], rtol: float, most: int) -> tuple[dict[int, np.ndarray], int]:
+    """Conjugate gradients of all epochs side by side: the solutions, and the most steps that one took."""
+    x = {e: np.zeros_like(b) for e, b in rhs.items()}
+    r, p = {e: b.copy() for e, b in rhs.items()}, {e: b.copy() for e, b in rhs.items()}
+    rr = {e: float(b @ b) for e, b in rhs.items()}
+    for k in range(most):
+        open_ = [e for e, b in rhs.items() if np.sqrt(rr[e]) > rtol * np.linalg.norm(b)]
+        if not open_:
+            return x, k
+        ap = apply({e: p[e] for e in open_})
+        for e in open_:
+            step = rr[e] / (p[e] @ ap[e])
+            x[e], r[e] = x[e] + step * p[e], r[e] - step * ap[e]
+            new = float(r[e] @ r[e])
+            p[e], rr[e] = r[e] + new / rr[e] * p[e], new
+    return x, most
+
+
 def flat(coeffs: pd.DataFrame, nmax: int) -> dict[int, np.ndarray]:
     out = {}
     for e, g in coeffs.groupby("epoch_id"):
@@ -293,21 +479,22 @@ def flat(coeffs: pd.DataFrame, nmax: int) -> dict[int, np.ndarray]:
 
 def projection(weighted: DataFrame, nmax: int, tau: float | None = None) -> DataFrame:
     """A'Wf / 4 pi with the weights as areas. tau in (0, 1]: divides by the eigenvalues of the completeness matrix that
-    reach tau, and drops the others."""
+    reach tau, and drops the others; each set of points has its own."""
     if tau is None:
         return quadrature(weighted, nmax)
     if not 0 < tau <= 1:
         raise ValueError("tau is in (0, 1]")
-    eq = normal(weighted, nmax)
-    lam, v = np.linalg.eigh(eq.matrix / FOUR_PI)
-    keep = lam >= tau
-    solved = {e: v[:, keep] @ ((v[:, keep].T @ b / FOUR_PI) / lam[keep]) for e, b in eq.rhs.items()}
+    solved = {}
+    for eq in normals(weighted, nmax):
+        lam, v = np.linalg.eigh(eq.matrix / FOUR_PI)
+        keep = lam >= tau
+        solved |= {e: v[:, keep] @ ((v[:, keep].T @ b / FOUR_PI) / lam[keep]) for e, b in eq.rhs.items()}
     return to_coeffs(weighted.sparkSession, nmax, solved)
 
 
 def residuals(weighted: DataFrame, coeffs: DataFrame, nmax: int) -> DataFrame:
-    """By epoch: n_points, data_rms, residual_rms, residual_rms_weighted, dc_mean, total weight."""
-    both = synthesise(with_epoch(weighted), coeffs, nmax, out="fitted")
+    """By epoch, over the measured points: n_points, data_rms, residual_rms, residual_rms_weighted, dc_mean, total weight."""
+    both = synthesise(measured(weighted), coeffs, nmax, out="fitted")
     d = F.col("value") - F.col("fitted")
     return both.groupBy("epoch_id").agg(
         F.count("*").alias("n_points"), F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("data_rms"), F.sqrt(F.avg(d * d)).alias("residual_rms"),
@@ -315,21 +502,48 @@ def residuals(weighted: DataFrame, coeffs: DataFrame, nmax: int) -> DataFrame:
     )
 
 
-def analyse(weighted: DataFrame, nmax: int, method: str = "auto", longitude: str = "auto", **how) -> tuple[DataFrame, str]:
-    """Coefficients and the method taken: auto probes the quadrature's completeness matrix and coverage first."""
+#: What each method takes besides.
+OPTIONS = {"quadrature": (), "iterative": ("steps",), "projection": ("tau",), "wlsq": ("reg", "alpha", "sigma", "degree_rms", "power", "scale"), "cg": ("rtol", "most")}
+
+
+def health(weighted: DataFrame, nmax: int) -> tuple[float, float, int]:
+    """(deviation of the completeness matrix, coverage, points): the first and the last of the epoch whose measured points
+    are worst, coverage of the points of all epochs together."""
+    from orbweave.operators.weights import report
+
+    row = measured(weighted).groupBy("epoch_id").agg(F.count("*").alias("n")).agg(F.min("n")).first()
+    return deviation(weighted, nmax), report(weighted).first()["coverage"] or 0.0, row[0] or 0
+
+
+def analyse(
+    weighted: DataFrame, nmax: int, method: str = "auto", longitude: str = "auto", field_unit: str | None = None, target_unit: str | None = None,
+    love: DataFrame | None = None, **how,
+) -> tuple[DataFrame, str]:
+    """Coefficients and the method taken: auto looks at the quadrature's completeness and coverage first. ``how`` may hold
+    the options of any method; those of others are passed over when auto chooses, and refused when one is asked for.
+
+    field_unit says what the values are: the field's coefficients a become geopotential ones, a / f, by its factors; a
+    target_unit that no factor leads to is refused here, not after the work."""
+    if unknown := set(how) - set().union(*OPTIONS.values()):
+        raise ValueError(f"no method takes {sorted(unknown)}")
+    if field_unit is not None and target_unit is not None:
+        units.require_convertible(field_unit, target_unit)
     if method == "auto":
-        row = weighted.agg(F.sum("w").alias("w"), F.count("*").alias("n")).first()
-        size = (nmax + 1) ** 2
-        off = float(np.abs(gram(weighted, nmax) - np.eye(size)).max()) if size <= LARGEST else float("inf")
-        method = planner.choose_method(off, row["w"] / FOUR_PI, row["n"], size)
+        method = planner.choose_method(*health(weighted, nmax), (nmax + 1) ** 2)
+        how = {k: v for k, v in how.items() if k in OPTIONS[method]}
+    if method not in OPTIONS:
+        raise ValueError(f"unknown method {method!r}")
+    how = {k: v for k, v in how.items() if v is not None}
+    if foreign := set(how) - set(OPTIONS[method]):
+        raise ValueError(f"{method} takes no {sorted(foreign)}")
     if method == "quadrature":
-        return quadrature_planned(weighted, nmax, longitude)[0], method
-    if method == "iterative":
-        return richardson(weighted, nmax, how.get("steps", 3)), method
-    if method == "projection":
-        return projection(weighted, nmax, how.get("tau")), method
-    if method == "wlsq":
-        return least_squares(weighted, nmax, **how)[0], method
-    if method == "cg":
-        return conjugate_gradients(weighted, nmax)[0], method
-    raise ValueError(f"unknown method {method!r}")
+        out = quadrature_planned(weighted, nmax, longitude)[0]
+    elif method == "iterative":
+        out = richardson(weighted, nmax, how.get("steps", 3))
+    elif method == "projection":
+        out = projection(weighted, nmax, how.get("tau"))
+    elif method == "wlsq":
+        out = least_squares(weighted, nmax, **how)[0]
+    else:
+        out = conjugate_gradients(weighted, nmax, **how)[0]
+    return units.canonical(out, field_unit, love) if field_unit is not None else out, method

@@ -12,7 +12,8 @@ from orbweave.operators.timeseries import outliers
 
 
 def report_row(weighted: DataFrame, coeffs: DataFrame, nmax: int, method: str, rule: str = "", extra: dict | None = None) -> dict:
-    """The figures of one analysis and its warnings. The completeness matrix is formed for up to LARGEST unknowns."""
+    """The figures of one analysis, of a series those of its first epoch, and its warnings. Beyond LARGEST unknowns
+    gram_deviation is that of order 0, and gram_checked says so."""
     size = (nmax + 1) ** 2
     r = analysis.residuals(weighted, coeffs, nmax).orderBy("epoch_id").first().asDict()
     c00 = coeffs.where("n = 0").orderBy("epoch_id").first()["c"]
@@ -23,8 +24,8 @@ def report_row(weighted: DataFrame, coeffs: DataFrame, nmax: int, method: str, r
         "data_rms": r["data_rms"], "dc_mean": r["dc_mean"], "c00": c00, "fit_rmse_rel": r["residual_rms"] / r["data_rms"] if r["data_rms"] else None,
         "lmax_recommended": max(0, int((r["n_points"] / (coverage * 2)) ** 0.5) - 1) if coverage > 0 else None, "resolution_km": np.pi * MEAN_RADIUS_KM / nmax if nmax else float("inf"),
     }
-    if size <= analysis.LARGEST:
-        out["gram_deviation"] = float(np.abs(analysis.gram(weighted, nmax) - np.eye(size)).max())
+    out["gram_deviation"] = analysis.deviation(weighted, nmax)
+    out["gram_checked"] = "full" if size <= analysis.LARGEST else "order 0"
     out |= extra or {}
     return out | {"warnings": spectrum.warnings(out)}
 

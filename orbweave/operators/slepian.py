@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orbweave.functions.geo import FOUR_PI
 from orbweave.functions.kernels import ordinals
-from orbweave.operators.analysis import Normal, normal, to_coeffs
+from orbweave.operators.analysis import Normal, normal, normals, to_coeffs
 
 
 @dataclass
@@ -36,17 +36,25 @@ class Basis:
         return eigs, spark.createDataFrame(rows, "alpha int, part string, n int, m int, v double")
 
 
-def basis(weighted: DataFrame, nmax: int, tapers: int | None = None, rhs: bool = False) -> Basis:
-    """From the completeness matrix of the region's points, which is its concentration matrix."""
-    eq = normal(weighted, nmax, rhs)
+def basis(weighted: DataFrame, nmax: int, tapers: int | None = None) -> Basis:
+    """From the completeness matrix of the region's points, which is its concentration matrix. The epochs of a series must
+    have the same points."""
+    return _of(normal(weighted, nmax, rhs=False), tapers)
+
+
+def _of(eq: Normal, tapers: int | None) -> Basis:
     lam, v = np.linalg.eigh(eq.matrix / FOUR_PI)
     keep = np.argsort(-lam)[: tapers or len(lam)]
-    return Basis(nmax, v[:, keep], np.clip(lam[keep], 0, None), eq)
+    return Basis(eq.nmax, v[:, keep], np.clip(lam[keep], 0, None), eq)
 
 
 def analyse(weighted: DataFrame, nmax: int, least: float = 0.5, tapers: int | None = None) -> DataFrame:
-    """coeffs of the part of the field in the functions with at least this share in the region."""
-    b = basis(weighted, nmax, tapers, rhs=True)
-    use = b.values > least
-    t, lam = b.tapers[:, use], b.values[use]
-    return to_coeffs(weighted.sparkSession, nmax, {e: t @ ((t.T @ r) / (FOUR_PI * lam)) for e, r in b.normal.rhs.items()})
+    """coeffs of the part of the field in the functions with more than this share in the region. Epochs with other points
+    have functions of their own."""
+    solved = {}
+    for eq in normals(weighted, nmax):
+        b = _of(eq, tapers)
+        use = b.values > least
+        t, lam = b.tapers[:, use], b.values[use]
+        solved |= {e: t @ ((t.T @ r) / (FOUR_PI * lam)) for e, r in eq.rhs.items()}
+    return to_coeffs(weighted.sparkSession, nmax, solved)

@@ -32,16 +32,14 @@ def _sets(coeffs: DataFrame, nmax: int) -> dict[int, tuple[np.ndarray, np.ndarra
     return {int(e): dense(g, nmax) for e, g in coeffs.where(F.col("n") <= nmax).select("epoch_id", "n", "m", "c", "s").toPandas().groupby("epoch_id")}
 
 
-def _mapped(points: DataFrame, names: list[str], run) -> DataFrame:
+def _mapped(points: DataFrame, names: list[str], run, nmax: int) -> DataFrame:
     """points with columns ``names`` that run(batch) computes from each batch of rows."""
     keep = [c for c in points.columns if c not in names]
     points = points.select(*keep)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 20_000):
-                b = batch.slice(k, 20_000)
-                yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(v) for v in run(b)]], names=[*keep, *names])
+        for b in _few(batches, nmax):
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(v) for v in run(b)]], names=[*keep, *names])
 
     return points.mapInArrow(each, StructType([*points.schema.fields, *[StructField(n, DoubleType()) for n in names]]))
 
@@ -68,14 +66,14 @@ def synthesise(points: DataFrame, coeffs: DataFrame, nmax: int, out: str = "valu
             v[np.concatenate(missing)] = np.nan
         return [v]
 
-    return _mapped(points, [out], run).withColumn(out, F.when(~F.isnan(out), F.col(out)))
+    return _mapped(points, [out], run, nmax).withColumn(out, F.when(~F.isnan(out), F.col(out)))
 
 
 def over_epochs(points: DataFrame, coeffs: DataFrame, nmax: int, out: str = "value") -> DataFrame:
     """Every point at every epoch of the coefficients."""
-    epochs = sorted(r[0] for r in coeffs.select("epoch_id").distinct().collect())
+    epochs = sorted(r[0] for r in coeffs.select("epoch_id").distinct().limit(SENT + 1).collect())
     every = F.explode(F.array(*[F.lit(int(e)) for e in epochs])).alias("epoch_id")
-    return synthesise(points.select("*", every), coeffs, nmax, out)
+    return synthesise(points.drop("epoch_id").select("*", every), coeffs, nmax, out)
 
 
 def grid_points(spark: SparkSession, lat_step: float, lon_step: float, closed: bool = True) -> DataFrame:
@@ -93,13 +91,14 @@ def synthesise_rows(lats: DataFrame, coeffs: DataFrame, nmax: int, nlon: int, fi
         raise ValueError(f"{nlon} longitudes don't resolve order {nmax}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _few(batches, nmax):
             lat = b.column("lat").to_numpy()
-            for e, (c, s) in sets.items():
-                z = np.zeros((len(lat), nlon // 2 + 1), complex)
-                for m, p in columns(lat, nmax):
-                    z[:, m] = (c[m:, m] @ p - 1j * (s[m:, m] @ p)) * np.exp(1j * m * np.radians(first_lon)) / (1 if m == 0 else 2)
-                rows = np.fft.irfft(z, nlon, axis=1) * nlon
+            z = {e: np.zeros((len(lat), nlon // 2 + 1), complex) for e in sets}
+            for m, p in columns(lat, nmax):
+                for e, (c, s) in sets.items():
+                    z[e][:, m] = (c[m:, m] @ p - 1j * (s[m:, m] @ p)) * np.exp(1j * m * np.radians(first_lon)) / (1 if m == 0 else 2)
+            for e, of in z.items():
+                rows = np.fft.irfft(of, nlon, axis=1) * nlon
                 i = np.tile(np.arange(nlon, dtype=np.int32), len(lat))
                 cols = [np.repeat(lat, nlon), i, first_lon + i * (360.0 / nlon), np.full(len(i), e, np.int32), rows.ravel()]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["lat", "ilon", "lon", "epoch_id", "value"])
@@ -108,48 +107,81 @@ def synthesise_rows(lats: DataFrame, coeffs: DataFrame, nmax: int, nlon: int, fi
 
 
 def gradient(points: DataFrame, coeffs: DataFrame, nmax: int) -> DataFrame:
-    """points with by_colat = df/d(colatitude) and by_lon = df/d(lon) / sin(colatitude), defined at the poles too."""
+    """points with by_colat = df/d(colatitude) and by_lon = df/d(lon) / sin(colatitude), defined at the poles too. Points of
+    a series (epoch_id) meet their own epoch's coefficients, as in ``synthesise``."""
     sets = _sets(coeffs, nmax)
-    if len(sets) > 1:
-        raise ValueError("gradients are of one epoch")
-    c, s = next(iter(sets.values()), (np.zeros((nmax + 1,) * 2),) * 2)
+    single = "epoch_id" not in points.columns or list(sets) == [0]
+    if single and len(sets) > 1:
+        raise ValueError("points without epochs meet one set of coefficients")
 
     def run(b: pa.RecordBatch) -> list[np.ndarray]:
         lat, lon = (b.column(x).to_numpy(zero_copy_only=False) for x in ("lat", "lon"))
         cos, sin = waves(lon, nmax)
-        d = slopes(lat, nmax)
-        down = (np.einsum("knm,nm->mk", d, c) * cos + np.einsum("knm,nm->mk", d, s) * sin).sum(0)
-        across = np.zeros(len(lat))
+        epoch = np.zeros(len(lat), int) if single else b.column("epoch_id").to_numpy(zero_copy_only=False)
+        at = {e: np.flatnonzero(epoch == e) for e in np.unique(epoch).tolist()}
+        down, across = np.zeros(len(lat)), np.zeros(len(lat))
+        for m, d in slopes(lat, nmax):
+            for e, rows in at.items():
+                if e in sets:
+                    c, s = sets[e]
+                    down[rows] += (c[m:, m] @ d[:, rows]) * cos[m, rows] + (s[m:, m] @ d[:, rows]) * sin[m, rows]
         for m, q in over_sine(lat, nmax):
-            across += m * ((s[m:, m] @ q) * cos[m] - (c[m:, m] @ q) * sin[m])
+            for e, rows in at.items():
+                if e in sets:
+                    c, s = sets[e]
+                    across[rows] += m * ((s[m:, m] @ q[:, rows]) * cos[m, rows] - (c[m:, m] @ q[:, rows]) * sin[m, rows])
+        missing = [rows for e, rows in at.items() if e not in sets]
+        if missing:
+            down[np.concatenate(missing)] = across[np.concatenate(missing)] = np.nan
         return [down, across]
 
-    return _mapped(points, ["by_colat", "by_lon"], run)
+    out = _mapped(points, ["by_colat", "by_lon"], run, nmax)
+    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("by_colat", "by_lon")})
 
 
 def gradient_rows(lats: DataFrame, coeffs: DataFrame, nmax: int, nlon: int, first_lon: float = 0.0) -> DataFrame:
-    """The gradient on a full even grid by two inverse FFTs for each latitude: lat, ilon, lon, by_colat, by_lon."""
+    """The gradient on a full even grid by two inverse FFTs for each latitude: lat, ilon, lon, epoch_id, by_colat, by_lon."""
     sets = _sets(coeffs, nmax)
-    if len(sets) > 1:
-        raise ValueError("gradients are of one epoch")
     if nlon <= 2 * nmax:
         raise ValueError(f"{nlon} longitudes don't resolve order {nmax}")
-    c, s = next(iter(sets.values()), (np.zeros((nmax + 1,) * 2),) * 2)
     turn = np.exp(1j * np.radians(first_lon) * np.arange(nmax + 1)) * np.where(np.arange(nmax + 1) == 0, 1.0, 0.5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _few(batches, nmax):
             lat = b.column("lat").to_numpy()
-            down, across = (np.zeros((len(lat), nlon // 2 + 1), complex) for _ in range(2))
-            d = slopes(lat, nmax)
-            down[:, : nmax + 1] = (np.einsum("knm,nm->km", d, c) - 1j * np.einsum("knm,nm->km", d, s)) * turn
+            z = {e: np.zeros((2, len(lat), nlon // 2 + 1), complex) for e in sets}
+            for m, d in slopes(lat, nmax):
+                for e, (c, s) in sets.items():
+                    z[e][0][:, m] = ((c[m:, m] @ d) - 1j * (s[m:, m] @ d)) * turn[m]
             for m, q in over_sine(lat, nmax):
-                across[:, m] = m * ((s[m:, m] @ q) + 1j * (c[m:, m] @ q)) * turn[m]
-            i = np.tile(np.arange(nlon, dtype=np.int32), len(lat))
-            cols = [np.repeat(lat, nlon), i, first_lon + i * (360.0 / nlon), *[(np.fft.irfft(z, nlon, axis=1) * nlon).ravel() for z in (down, across)]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["lat", "ilon", "lon", "by_colat", "by_lon"])
+                for e, (c, s) in sets.items():
+                    z[e][1][:, m] = m * ((s[m:, m] @ q) + 1j * (c[m:, m] @ q)) * turn[m]
+            for e, both in z.items():
+                i = np.tile(np.arange(nlon, dtype=np.int32), len(lat))
+                cols = [np.repeat(lat, nlon), i, first_lon + i * (360.0 / nlon), np.full(len(i), e, np.int32), *[(np.fft.irfft(x, nlon, axis=1) * nlon).ravel() for x in both]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["lat", "ilon", "lon", "epoch_id", "by_colat", "by_lon"])
+
+    return lats.select("lat").mapInArrow(run, "lat double, ilon int, lon double, epoch_id int, by_colat double, by_lon double")
+
+
+def _few(batches: Iterator[pa.RecordBatch], nmax: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows for which the values of one order stay within a few MB."""
+    most = max(64, min(20_000, 1_000_000 // (nmax + 1)))
+    for batch in batches:
+        for k in range(0, batch.num_rows, most):
+            yield batch.slice(k, most)
+
+
+def synthesis(points: DataFrame, coeffs: DataFrame, nmax: int, source: str = "geopotential", target: str | None = None, gaussian_km: float = 0.0, love: DataFrame | None = None, out: str = "value") -> DataFrame:
+    """The field at the points, smoothed and in a unit: coefficients times the filter and the target's factor by degree."""
+    from orbweave.functions.units import convert
+    from orbweave.operators.coeffs import smoothed
 
-    return lats.select("lat").mapInArrow(run, "lat double, ilon int, lon double, by_colat double, by_lon double")
+    if gaussian_km > 0:
+        coeffs = smoothed(coeffs, gaussian_km, nmax)
+    if target is not None:
+        coeffs = convert(coeffs, source, target, love)
+    return synthesise(points, coeffs, nmax, out)
 
 
 def horizontal(points: DataFrame, coeffs: DataFrame, nmax: int, field_unit: str = "geopotential", love: DataFrame | None = None, scale: bool = True) -> DataFrame:

@@ -21,8 +21,8 @@ YEAR = 365.25
 
 def time_mean(coeffs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """n, m, c, s: weighted mean over the epochs that aren't missing. weights: epoch_id, w."""
-    rows = coeffs.join(F.broadcast(missing_epochs(coeffs)), "epoch_id", "left_anti")
-    rows = rows.join(F.broadcast(weights), "epoch_id") if weights is not None else rows.withColumn("w", F.lit(1.0))
+    rows = coeffs.join(missing_epochs(coeffs), "epoch_id", "left_anti")
+    rows = rows.join(weights, "epoch_id") if weights is not None else rows.withColumn("w", F.lit(1.0))
     return rows.groupBy("n", "m").agg(*[(F.sum(F.col("w") * F.col(x)) / F.sum("w")).alias(x) for x in ("c", "s")])
 
 
@@ -61,7 +61,7 @@ class Fit:
     def model(self, terms: list[str] | None = None) -> DataFrame:
         """The fitted series (epoch_id, n, m, c, s), of some of the terms."""
         use = self.design.where(F.col("term").isin(terms or self.terms))
-        return self.frame.join(F.broadcast(use), "term").groupBy("epoch_id", "n", "m").agg(*[F.sum(F.col(x) * F.col("x")).alias(x) for x in ("c", "s")])
+        return self.frame.join(use, "term").groupBy("epoch_id", "n", "m").agg(*[F.sum(F.col(x) * F.col("x")).alias(x) for x in ("c", "s")])
 
 
 def _name(period: float) -> str:
@@ -126,7 +126,7 @@ def fit(coeffs: DataFrame, epochs: DataFrame, order: int = 1, periods: list[floa
     terms, tref, x, h, cond, rank, notes = operator(rows, order, periods or [])
     solve, design = _tables(coeffs.sparkSession, rows["epoch_id"].to_numpy(), terms, x, h)
     use = coeffs.where(F.col("epoch_id").isin([int(e) for e in good]))
-    frame = use.join(F.broadcast(solve), "epoch_id").groupBy("term", "n", "m").agg(*[F.sum(F.col(v) * F.col("h")).alias(v) for v in ("c", "s")])
+    frame = use.join(solve, "epoch_id").groupBy("term", "n", "m").agg(*[F.sum(F.col(v) * F.col("h")).alias(v) for v in ("c", "s")])
     return Fit(terms, tref, frame, solve, design, cond, rank, notes)
 
 
@@ -160,7 +160,7 @@ def gaussian_in_time(coeffs: DataFrame, epochs: DataFrame, sigma_years: float, r
     sigma = sigma_years * YEAR * DAYS
     box = F.lit(max(reach * sigma, 1.0))
     t = epochs.select("epoch_id", seconds(F.col("ts")).alias("x"))
-    good = t.join(F.broadcast(missing_epochs(coeffs)), "epoch_id", "left_anti").select(F.col("epoch_id").alias("other"), F.col("x").alias("y")).withColumn("b", F.floor(F.col("y") / box))
+    good = t.join(missing_epochs(coeffs), "epoch_id", "left_anti").select(F.col("epoch_id").alias("other"), F.col("x").alias("y")).withColumn("b", F.floor(F.col("y") / box))
     own = t.withColumn("b", F.explode(F.array(*[F.floor(F.col("x") / box) + k for k in (-1, 0, 1)])))
     pairs = own.join(good, "b").where(F.abs(F.col("x") - F.col("y")) <= reach * sigma)
     pairs = pairs.select("epoch_id", "other", F.exp(-0.5 * F.pow((F.col("x") - F.col("y")) / sigma, 2.0)).alias("g"))
@@ -195,7 +195,7 @@ def cell_fits(field: DataFrame, epochs: DataFrame, order: int = 1, periods: list
     rows = epochs.select("epoch_id", seconds(F.col("ts")).alias("sec")).withColumn("w", F.lit(1.0)).orderBy("epoch_id").toPandas()
     terms, _, x, h, *_ = operator(rows, order, periods or [])
     solve, _ = _tables(field.sparkSession, rows["epoch_id"].to_numpy(), terms, x, h)
-    out = field.join(F.broadcast(solve), "epoch_id").groupBy(cell, "term").agg(F.sum(F.col("value") * F.col("h")).alias("value"), F.count_if(F.col("value").isNotNull() & ~F.isnan("value")).alias("n_used"))
+    out = field.join(solve, "epoch_id").groupBy(cell, "term").agg(F.sum(F.col("value") * F.col("h")).alias("value"), F.count_if(F.col("value").isNotNull() & ~F.isnan("value")).alias("n_used"))
     return out.withColumn("value", F.when(F.col("n_used") == len(rows), F.col("value")))
 
 

@@ -1,37 +1,34 @@
 """Integration weights of points: solid angles by rule.
 
-Every rule takes points (point_id, lat, lon, ...) and gives them with a column w. Axis rules aggregate the few distinct
+Every rule takes points (point_id, lat, lon, ...) and gives them with a column w. A series (epoch_id) has one set of
+points, those of all its epochs together, and a point has one weight in all of them. Axis rules aggregate the distinct
 coordinates first and join their cells back by the exact value, so points are never sorted or gathered.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.functions.geo import FOUR_PI
-from orbweave.operators import hull
-from orbweave.sources.storage import stored
+from orbweave.operators import mesh, places
+from orbweave.operators.places import beside, sites, spacing
+
+__all__ = ["RULES", "cap_density", "delaunay", "dh", "glq_grid", "grid", "lattice", "normalised", "report", "spacing", "uniform", "voronoi", "weigh"]
 
 RULES = ("dh", "glq", "grid", "lattice", "voronoi", "delaunay", "uniform", "user", "auto")
-GATHER = 100_000
-#: Places in a box at which the search for the nearest starts, at most.
-CROWD = 256
 
 
-def _edges(axis: DataFrame, v: str, period: Column | None = None, clip: tuple[float, float] | None = None) -> DataFrame:
+def _edges(axis: DataFrame, v: str, turn: float | None = None, clip: tuple[float, float] | None = None) -> DataFrame:
     """axis (one row for each distinct v) with lo and hi: midpoints to the neighbours; at the ends half a gap further, or
-    half of the gap around the circle where ``period`` says so; a single value gets one degree."""
-    w, all_ = Window.orderBy(v), Window.partitionBy()
-    x = axis.withColumn("_p", F.lag(v).over(w)).withColumn("_n", F.lead(v).over(w)).withColumn("_a", F.min(v).over(all_)).withColumn("_b", F.max(v).over(all_))
+    half of the gap around the circle where the axis spans more than ``turn``; a single value gets one degree."""
+    x = beside(axis, v)
     round_ = (F.col("_a") + 360.0 - F.col("_b")) * 0.5
     open_lo = F.coalesce(F.col(v) - 0.5 * (F.col("_n") - F.col(v)), F.col(v) - 0.5)
     open_hi = F.coalesce(F.col(v) + 0.5 * (F.col(v) - F.col("_p")), F.col(v) + 0.5)
-    around = F.coalesce(period, F.lit(False)) if period is not None else F.lit(False)
+    around = F.col("_b") - F.col("_a") > turn if turn is not None else F.lit(False)
     lo = F.coalesce((F.col("_p") + F.col(v)) * 0.5, F.when(around, F.col(v) - round_).otherwise(open_lo))
     hi = F.coalesce((F.col("_n") + F.col(v)) * 0.5, F.when(around, F.col(v) + round_).otherwise(open_hi))
     if clip:
@@ -47,9 +44,7 @@ def lat_bands(points: DataFrame) -> DataFrame:
 
 def lon_cells(points: DataFrame) -> DataFrame:
     """lon, cell: width in radians of each distinct longitude; the axis is a circle where it spans more than 180."""
-    axis = points.select("lon").distinct()
-    span = F.max("lon").over(Window.partitionBy()) - F.min("lon").over(Window.partitionBy())
-    axis = _edges(axis.withColumn("_round", span > 180.0), "lon", period=F.col("_round"))
+    axis = _edges(points.select("lon").distinct(), "lon", turn=180.0)
     return axis.select("lon", F.radians(F.col("hi") - F.col("lo")).alias("cell"))
 
 
@@ -82,14 +77,10 @@ def glq_grid(spark: SparkSession, nmax: int) -> DataFrame:
     return cells.select((F.col("ilat") * n + F.col("ilon")).cast("long").alias("point_id"), "ilat", "ilon", "lat", (F.col("ilon") * F.lit(360.0 / n)).alias("lon"), (F.col("g") * F.lit(2.0 * np.pi / n)).alias("w"))
 
 
-def _gaps(points: DataFrame, v: str) -> DataFrame:
-    axis = points.select(v).distinct()
-    return axis.select((F.lead(v).over(Window.orderBy(v)) - F.col(v)).alias("gap")).where("gap is not null")
-
-
 def lattice_step(points: DataFrame, v: str) -> DataFrame:
     """One row: step, the median of the gaps of at most 1.5 times the least; null with fewer than three values."""
-    g = _gaps(points, v).withColumn("low", F.min("gap").over(Window.partitionBy()))
+    gaps = beside(points.select(v).distinct(), v).select((F.col("_n") - F.col(v)).alias("gap")).where("gap is not null")
+    g = gaps.join(F.broadcast(gaps.agg(F.min("gap").alias("low"))))
     return g.agg(F.when(F.count("*") >= 2, F.median(F.when(F.col("gap") <= 1.5 * F.col("low"), F.col("gap")))).alias("step"))
 
 
@@ -104,138 +95,92 @@ def lattice(points: DataFrame) -> DataFrame:
 
 def uniform(points: DataFrame) -> DataFrame:
     """4 pi shared by all points."""
-    n = points.agg(F.count("*").alias("_n"))
+    n = sites(points).agg(F.count("*").alias("_n"))
     return points.join(F.broadcast(n)).withColumn("w", F.lit(FOUR_PI) / F.col("_n")).drop("_n")
 
 
-def _gathered(points: DataFrame, areas) -> DataFrame:
-    """Rules on the hull of all points: their coordinates go to the driver, GATHER of them at most."""
-    rows = points.select("point_id", "lat", "lon").limit(GATHER + 1).toPandas()
-    if len(rows) > GATHER:
-        raise ValueError(f"this rule needs the hull of all points at once and takes {GATHER} at most")
-    rows["w"] = areas(rows["lat"].to_numpy(), rows["lon"].to_numpy())
-    found = points.sparkSession.createDataFrame(rows[["point_id", "w"]], "point_id long, w double")
-    return points.join(found, "point_id")
-
-
 def voronoi(points: DataFrame) -> DataFrame:
     """Areas of the spherical Voronoi cells; they sum to 4 pi even on a cap. Coinciding points are refused."""
-    return _gathered(points, hull.voronoi_areas)
+    spots = places.spots(points)
+    if spots.where("n > 1").take(1):
+        raise ValueError("coinciding points have no Voronoi cells")
+    return _at_places(points, mesh.areas(spots).select("la", "lo", F.col("voronoi").alias("w")))
 
 
 def delaunay(points: DataFrame) -> DataFrame:
-    """A third of each adjoining facet of the convex hull that the centre sees from inside the points' side."""
-    return _gathered(points, hull.delaunay_areas)
-
-
-def _spot(points: DataFrame) -> DataFrame:
-    """The points with lat and lon of their place as la and lo: one longitude for each place, 0 at the poles."""
-    return points.withColumn("la", F.col("lat") + 0.0).withColumn("lo", F.when(F.abs("lat") >= 90.0, 0.0).otherwise(F.pmod(F.col("lon") + 0.0, F.lit(360.0))))
-
-
-def _spots(points: DataFrame) -> DataFrame:
-    """la, lo, n: the distinct places and how many points are there."""
-    whole = _spot(points).where("la is not null and lo is not null and not isnan(la) and not isnan(lo)")
-    return stored(whole.groupBy("la", "lo").agg(F.count("*").alias("n")), "spots")
-
+    """A third of each adjoining facet of the convex hull that the centre sees from inside the points' side. Coinciding
+    points share."""
+    spots = places.spots(points)
+    return _at_places(points, mesh.areas(spots).join(spots, ["la", "lo"]).select("la", "lo", (F.col("delaunay") / F.col("n")).alias("w")))
 
-def _boxes(box: float):
-    """Columns i and j of la and lo in boxes of ``box`` degrees; those of the box itself and of all that hold places within
-    that distance. A band's boxes are as wide as the distance is at its edge next to the pole."""
-    i = F.floor((F.col("la") + 90.0) / box).cast("long")
-    edge = lambda i: F.greatest(F.abs(i * box - 90.0), F.abs((i + 1) * box - 90.0)) + box
-    across = lambda i: F.when(edge(i) >= 90.0, F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(360.0 * F.cos(F.radians(edge(i))) / box))).cast("long")
-    place = lambda k: F.least(k - 1, F.floor(F.col("lo") / 360.0 * k).cast("long"))
 
-    def own(df: DataFrame) -> DataFrame:
-        return df.withColumn("i", i).withColumn("j", place(across(F.col("i"))))
-
-    def near(df: DataFrame) -> DataFrame:
-        df = df.withColumn("i", F.explode(F.array(i - 1, i, i + 1))).withColumn("_k", across(F.col("i")))
-        j = place(F.col("_k"))
-        return df.withColumn("j", F.explode(F.array_distinct(F.transform(F.array(j - 1, j, j + 1), lambda x: F.pmod(x, F.col("_k")))))).drop("_k")
-
-    return own, near
-
-
-def _others(spots: DataFrame) -> DataFrame:
-    return spots.select(F.col("la").alias("la2"), F.col("lo").alias("lo2"), *[c for c in spots.columns if c not in ("la", "lo")])
-
-
-def _same() -> Column:
-    return (F.col("la") == F.col("la2")) & (F.col("lo") == F.col("lo2"))
+def _at_places(points: DataFrame, w: DataFrame) -> DataFrame:
+    return places.spot(points).join(w, ["la", "lo"]).select(*points.columns, "w")
 
 
 def cap_density(points: DataFrame, radius_deg: float) -> DataFrame:
     """Cap area by number of neighbours within the radius (the point itself counts). Places meet in boxes of the radius,
     each once with its number of points; pairs are added up where they meet."""
     area = 2.0 * np.pi * (1.0 - np.cos(np.radians(float(radius_deg))))
-    spots = _spots(points)
-    own, near = _boxes(float(radius_deg))
+    spots = places.spots(points)
+    own, near = places.boxes(float(radius_deg))
     a, b = F.radians("la"), F.radians("la2")
     cosine = F.sin(a) * F.sin(b) + F.cos(a) * F.cos(b) * F.cos(F.radians("lo") - F.radians("lo2"))
-    pairs = near(spots.drop("n")).join(_others(own(spots)), ["i", "j"]).where((cosine >= float(np.cos(np.radians(float(radius_deg))))) | _same())
-    n = pairs.groupBy("la", "lo").agg(F.sum("n").alias("_n"))
-    return _spot(points).join(n, ["la", "lo"]).withColumn("w", F.lit(float(area)) / F.col("_n")).select(*points.columns, "w")
-
-
-def spacing(points: DataFrame) -> DataFrame:
-    """point_id, degrees: distance to the nearest other point, however far; null without another one.
-
-    Places meet in boxes, from a size at which no box holds more than CROWD of them. Those without another place within
-    the box's size meet in boxes of twice the size; as they are so far apart, few of them meet any one place."""
-    spots = _spots(points)
-    m = spots.count()
-    box = min(180.0, float(np.sqrt(41253.0 / max(1, m))))
-    while m and box > 1e-9 and _boxes(box)[0](spots).groupBy("i", "j").count().agg(F.max("count")).first()[0] > CROWD:
-        box /= 4.0
-    left = spots.where("n = 1").select("la", "lo")
-    found, open_ = [spots.where("n > 1").select("la", "lo", F.lit(0.0).alias("degrees"))], left.count() if m > 1 else 0
-    while open_:
-        own, near = _boxes(box)
-        chunks = int(min(64, max(1, m // open_)))  # of a large box's places
-        chunk = F.pmod(F.xxhash64("la", "lo"), F.lit(chunks))
-        asking = near(left).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
-        half = lambda x, y: F.pow(F.sin((F.radians(x) - F.radians(y)) / 2.0), 2.0)
-        chord = half("la", "la2") + F.cos(F.radians("la")) * F.cos(F.radians("la2")) * half("lo", "lo2")
-        best = asking.join(_others(own(spots.select("la", "lo")).withColumn("chunk", chunk)), ["i", "j", "chunk"]).where(~_same()).groupBy("la", "lo").agg(F.min(chord).alias("chord"))
-        best = best.select("la", "lo", F.degrees(2.0 * F.asin(F.sqrt(F.least(F.lit(1.0), "chord")))).alias("degrees"))
-        if box < 180.0:
-            best = best.where(F.col("degrees") <= box * (1.0 - 1e-9))
-        best = stored(best, "nearest")
-        found.append(best)
-        if box >= 180.0:
-            break
-        left = stored(left.join(best, ["la", "lo"], "left_anti"), "isolated")
-        open_, box = left.count(), min(180.0, box * 2.0)
-    return _spot(points).join(reduce(DataFrame.unionByName, found), ["la", "lo"], "left").select("point_id", "degrees")
+    pairs = near(spots.drop("n")).join(places.others(own(spots)), ["i", "j"]).where((cosine >= float(np.cos(np.radians(float(radius_deg))))) | places.same())
+    return _at_places(points, pairs.groupBy("la", "lo").agg((F.lit(float(area)) / F.sum("n")).alias("w")))
+
+
+def once(weighted: DataFrame) -> DataFrame:
+    """Of a series each point with its weight once; points without epochs as they are."""
+    if "epoch_id" not in weighted.columns:
+        return weighted
+    return weighted.groupBy(*(["point_id"] if "point_id" in weighted.columns else ["lat", "lon"])).agg(F.max("w").alias("w"))
 
 
 def normalised(weighted: DataFrame) -> DataFrame:
-    """Weights scaled to a sum of 4 pi."""
-    total = weighted.agg(F.sum("w").alias("_t"))
+    """Weights scaled to a sum of 4 pi over the points."""
+    total = once(weighted).agg(F.sum("w").alias("_t"))
     return weighted.join(F.broadcast(total)).withColumn("w", F.col("w") * F.lit(FOUR_PI) / F.col("_t")).drop("_t")
 
 
 def report(weighted: DataFrame) -> DataFrame:
     """One row: n_points, total, coverage (of 4 pi), heterogeneity (largest by least positive weight)."""
-    return weighted.agg(
+    return once(weighted).agg(
         F.count("*").alias("n_points"), F.sum("w").alias("total"), (F.sum("w") / F.lit(FOUR_PI)).alias("coverage"),
         (F.max("w") / F.min(F.when(F.col("w") > 0, F.col("w")))).alias("heterogeneity"),
     )
 
 
-def weigh(points: DataFrame, rule: str = "auto", normalise: str = "auto", user: str = "w") -> DataFrame:
+def notes(row: dict) -> list[str]:
+    """Remarks on one row of ``report``."""
+    out = []
+    if row["coverage"] is not None and row["coverage"] < 0.999:
+        out.append(f"the weights cover {row['coverage']:.4g} of the sphere")
+    if row["coverage"] is not None and row["coverage"] > 1.001:
+        out.append(f"the weights are {row['coverage']:.4g} times the sphere")
+    if row["heterogeneity"] is not None and row["heterogeneity"] > 100:
+        out.append(f"the largest weight is {row['heterogeneity']:.3g} times the least")
+    return out
+
+
+def weigh(points: DataFrame, rule: str = "auto", normalise: str = "auto", user: str | DataFrame = "w", subset: Column | None = None) -> DataFrame:
     """points with w by rule. normalise: global scales to 4 pi; region and none leave areas; auto scales none but user
-    weights never. ``user`` names the column of the rule user."""
+    weights never. ``user`` is for the rule of that name the column of weights, or a table (point_id, w) that has one for
+    every point. ``subset`` keeps some of the points, and they share the sphere as if there were no others."""
     from orbweave.plans.planner import guess_rule
 
+    if subset is not None:
+        points = points.where(subset)
     if rule == "auto":
         rule = guess_rule(points)
     if rule == "glq":
         raise ValueError("points of a Gauss-Legendre grid come with their weights from glq_grid")
     rules = {"dh": dh, "grid": grid, "lattice": lattice, "voronoi": voronoi, "delaunay": delaunay, "uniform": uniform}
-    if rule == "user":
+    if rule == "user" and isinstance(user, DataFrame):
+        given = points.drop("w").join(user.select("point_id", "w"), "point_id", "left")
+        missing = F.raise_error(F.concat(F.lit("no weight for point "), F.col("point_id").cast("string"))).cast("double")
+        out = given.withColumn("w", F.coalesce("w", missing))
+    elif rule == "user":
         out = points.withColumn("w", F.col(user))
     elif rule in rules:
         out = rules[rule](points)

@@ -4,23 +4,26 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orbweave.operators.places import beside
+
 
 def layout(points: DataFrame) -> DataFrame:
-    """One row: n, nlat, nlon, lat_min, lat_max, lon_span, is_grid, is_lattice."""
-    row = points.agg(F.count("*").alias("n"), F.countDistinct("lat").alias("nlat"), F.countDistinct("lon").alias("nlon"), F.min("lat").alias("lat_min"), F.max("lat").alias("lat_max"), (F.max("lon") - F.min("lon")).alias("lon_span"))
+    """One row about the distinct places: n, nlat, nlon, lat_min, lat_max, lon_span, is_grid, is_lattice. The points of a
+    series are those of all its epochs."""
+    places = points.select("lat", "lon").distinct()
+    row = places.agg(F.count("*").alias("n"), F.countDistinct("lat").alias("nlat"), F.countDistinct("lon").alias("nlon"), F.min("lat").alias("lat_min"), F.max("lat").alias("lat_max"), (F.max("lon") - F.min("lon")).alias("lon_span"))
     row = row.withColumn("is_grid", F.col("nlat") * F.col("nlon") == F.col("n"))
-    a, b = (_regular(points, v).withColumnRenamed("regular", f"_{v}") for v in ("lat", "lon"))
+    a, b = (_regular(places, v).withColumnRenamed("regular", f"_{v}") for v in ("lat", "lon"))
     return row.join(a).join(b).withColumn("is_lattice", F.col("_lat") & F.col("_lon")).drop("_lat", "_lon")  # rows of one
 
 
-def _regular(points: DataFrame, v: str) -> DataFrame:
+def _regular(places: DataFrame, v: str) -> DataFrame:
     """One row: regular, whether four fifths of the gaps are within 1.5 times the least and those within 5 %."""
-    axis = points.select(v).distinct()
-    gaps = axis.select((F.lead(v).over(Window.orderBy(v)) - F.col(v)).alias("g")).where("g is not null")
-    gaps = gaps.withColumn("low", F.min("g").over(Window.partitionBy())).withColumn("base", F.col("g") <= 1.5 * F.col("low"))
+    gaps = beside(places.select(v).distinct(), v).select((F.col("_n") - F.col(v)).alias("g")).where("g is not null")
+    gaps = gaps.join(F.broadcast(gaps.agg(F.min("g").alias("low")))).withColumn("base", F.col("g") <= 1.5 * F.col("low"))
     share, spread = F.avg(F.col("base").cast("double")), F.max(F.when(F.col("base"), F.col("g"))) / F.min("g") - 1.0
     return gaps.agg(F.coalesce((F.count("*") >= 2) & (F.min("g") > 0) & (share >= 0.8) & (spread <= 0.05), F.lit(False)).alias("regular"))
 
@@ -41,16 +44,20 @@ def guess_rule(points: DataFrame) -> str:
 class LongitudePlan:
     path: str  # fft or direct
     reason: str
+    first_lon: float = 0.0
+    nlon: int = 0
 
 
 def plan_longitude(points: DataFrame, nmax: int, wanted: str = "auto") -> LongitudePlan:
     """fft needs a full grid with evenly spaced longitudes around the whole circle and more than 2 nmax of them. Where it
-    doesn't fit, ``fft`` raises and ``auto`` goes the direct way with the reason."""
+    doesn't fit, ``fft`` raises and ``auto`` goes the direct way with the reason. points: distinct lat and lon."""
+    if wanted not in ("auto", "fft", "direct"):
+        raise ValueError(f"unknown way {wanted!r}")
     if wanted == "direct":
         return LongitudePlan("direct", "asked for")
     row = points.agg(F.count("*").alias("n"), F.countDistinct("lat").alias("nlat"), F.countDistinct("lon").alias("nlon"), F.min("lon").alias("lo"), F.max("lon").alias("hi")).first()
     reason = ""
-    if row["nlat"] * row["nlon"] != row["n"]:
+    if not row["n"] or row["nlat"] * row["nlon"] != row["n"]:
         reason = "the points are no full grid"
     elif row["nlon"] <= 2 * nmax:
         reason = f"{row['nlon']} longitudes don't resolve order {nmax}"
@@ -63,11 +70,12 @@ def plan_longitude(points: DataFrame, nmax: int, wanted: str = "auto") -> Longit
             reason = "" if off <= 360.0 * 1e-9 else "the longitudes are uneven"
     if reason and wanted == "fft":
         raise ValueError(reason)
-    return LongitudePlan("direct", reason) if reason else LongitudePlan("fft", "full even circle")
+    return LongitudePlan("direct", reason) if reason else LongitudePlan("fft", "full even circle", row["lo"], row["nlon"])
 
 
 def choose_method(gram_deviation: float, coverage: float, points: int, unknowns: int, dense: int = 4000) -> str:
-    """quadrature where it is exact enough, projection on a part of the sphere, else least squares."""
+    """quadrature where it is exact enough, projection on a part of the sphere, else least squares. Exactness and points
+    are those of the epoch that is worst off."""
     if gram_deviation < 1e-2 and abs(coverage - 1.0) < 1e-3 and points >= 2 * unknowns:
         return "quadrature"
     if coverage < 0.999:

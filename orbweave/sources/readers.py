@@ -116,9 +116,10 @@ def read_grid_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def with_axes(points: DataFrame) -> DataFrame:
     """points with ilat and ilon, the places of their coordinates on ascending axes."""
+    from orbweave.operators.places import ordinals
+
     for v, i in (("lat", "ilat"), ("lon", "ilon")):
-        axis = points.select(v).distinct().groupBy().agg(F.sort_array(F.collect_set(v)).alias("_a"))  # one axis
-        points = points.join(F.broadcast(axis)).withColumn(i, (F.array_position("_a", F.col(v)) - 1).cast("int")).drop("_a")
+        points = points.join(ordinals(points.select(v).distinct(), v).withColumnRenamed("at", i), v)
     return points
 
 
@@ -258,7 +259,7 @@ def read_series(spark: SparkSession, paths: str | list[str], nmax: int | None =
     epochs = epochs.sort_values(["ts", "file"], kind="stable").reset_index(drop=True)
     table = spark.createDataFrame([(k, r.file, r.ts.to_pydatetime(), float(r.decimal_year)) for k, r in enumerate(epochs.itertuples())], "epoch_id int, label string, ts timestamp_ntz, decimal_year double")
     table = resolve_duplicates(table, on_duplicate)
-    coeffs = read_gfc(spark, files, nmax).join(F.broadcast(table.select("epoch_id", F.col("label").alias("file"))), "file").select("epoch_id", "n", "m", "c", "s")
+    coeffs = read_gfc(spark, files, nmax).join(table.select("epoch_id", F.col("label").alias("file")), "file").select("epoch_id", "n", "m", "c", "s")
     tops = [r["t"] for r in coeffs.groupBy("epoch_id").agg(F.max("n").alias("t")).collect()]
     if strict_nmax and len(set(tops)) > 1:
         raise ValueError(f"files reach degrees {sorted(set(tops))}")

@@ -37,7 +37,9 @@ def test_slopes_against_differences():
     lat = np.array([-60.0, -10.0, 33.0, 70.0])
     h = 1e-5
     ref = -(kernels.triangle(lat + h, 12) - kernels.triangle(lat - h, 12)) / (2 * np.radians(h))
-    assert np.abs(kernels.slopes(lat, 12) - ref).max() < 1e-6
+    for m, d in kernels.slopes(lat, 12):
+        assert np.abs(d.T - ref[:, m:, m]).max() < 1e-6
+    assert [m for m, _ in kernels.slopes(lat, 0)] == [0]
 
 
 def test_over_sine_at_poles_and_elsewhere():
@@ -188,3 +190,152 @@ def test_methods_chosen():
     assert planner.choose_method(0.5, 0.4, 1000, 100) == "projection"
     assert planner.choose_method(0.5, 1.0, 1000, 100) == "wlsq"
     assert planner.choose_method(0.5, 1.0, 10**6, 5000) == "cg"
+
+
+def cells(spark):
+    return spark.range(18 * 36).select(F.col("id").alias("point_id"), (F.floor(F.col("id") / 36) * 10.0 - 85.0).alias("lat"), (F.col("id") % 36 * 10.0).alias("lon"))
+
+
+def gappy(spark, truth, nmax):
+    """Epochs 1, 2 and 5: a third of the points of 1 is not there and some of 2 are null or NaN; 5 has the points of 1."""
+    c = synthesis.synthesise(weights.grid(cells(spark)), truth, nmax)
+    by = {1: 2.0, 2: 1.0, 5: -3.0}
+    parts = [c.withColumn("epoch_id", F.lit(e)).withColumn("value", F.col("value") * k) for e, k in by.items()]
+    parts = [p.where("point_id % 3 <> 0") if e != 2 else p.withColumn("value", F.when(F.col("point_id") % 50 == 0, None).when(F.col("point_id") % 50 == 1, float("nan")).otherwise(F.col("value"))) for e, p in zip(by, parts)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]), by
+
+
+def worst(got, truth, by):
+    x = truth.toPandas().set_index(["n", "m"]).sort_index()[["c", "s"]]
+    rows = got.toPandas()
+    assert set(rows["epoch_id"]) == set(by)
+    return max(float(np.abs(g.set_index(["n", "m"]).sort_index()[["c", "s"]] - by[e] * x).to_numpy().max()) for e, g in rows.groupby("epoch_id"))
+
+
+def test_every_epoch_has_its_own_points(spark, monkeypatch):
+    truth = random_coeffs(spark, 3, 6)
+    series, by = gappy(spark, truth, 3)
+    assert analysis.point_sets(series) == {1: [1, 5], 2: [2]}
+    assert worst(analysis.least_squares(series, 3)[0], truth, by) < 1e-10
+    assert worst(analysis.conjugate_gradients(series, 3)[0], truth, by) < 1e-8
+    assert worst(analysis.projection(series, 3, 1e-6), truth, by) < 1e-8
+    assert worst(slepian.analyse(series, 3, 0.01), truth, by) < 1e-8
+    monkeypatch.setattr(analysis, "MATRICES", 1)  # a set at a time
+    assert worst(analysis.least_squares(series, 3)[0], truth, by) < 1e-10
+    monkeypatch.setattr(analysis, "LARGEST", 4)  # no matrix
+    assert worst(analysis.conjugate_gradients(series, 3, rtol=1e-8)[0], truth, by) < 1e-6
+    with pytest.raises(ValueError, match="unknowns"):
+        analysis.least_squares(series, 3)
+    left = analysis.residuals(series, analysis.conjugate_gradients(series, 3, rtol=1e-8)[0], 3).orderBy("epoch_id").collect()
+    assert [r["n_points"] for r in left] == [432, 622, 432] and max(r["residual_rms"] for r in left) < 1e-5
+
+
+def test_matrices_of_other_points_are_told_apart(spark):
+    series, _ = gappy(spark, random_coeffs(spark, 1), 1)
+    with pytest.raises(ValueError, match="2 different sets"):
+        analysis.gram(series, 1)
+    assert analysis.deviation(series, 1) == pytest.approx(float(np.abs(analysis.gram(series.where("epoch_id = 1"), 1) - np.eye(4)).max()))
+
+
+@pytest.mark.parametrize("start", [0.0, 3.0])
+def test_fft_with_gaps_equals_direct(spark, start):
+    series, by = gappy(spark, random_coeffs(spark, 6, 7), 6)
+    series = series.withColumn("lon", F.col("lon") + start).repartition(5)
+    fast, plan = analysis.quadrature_planned(series, 6)
+    assert plan.path == "fft"
+    both = fast.join(analysis.quadrature(series, 6).withColumnsRenamed({"c": "c2", "s": "s2"}), ["epoch_id", "n", "m"])
+    row = both.agg(F.count("*"), F.max(F.abs(F.col("c") - F.col("c2"))), F.max(F.abs(F.col("s") - F.col("s2")))).first()
+    assert row[0] == 3 * 28 and row[1] < 1e-12 and row[2] < 1e-12
+    holed = series.where("point_id <> 40")  # in no epoch
+    assert analysis.quadrature_planned(holed, 6)[1].reason == "the points are no full grid"
+    with pytest.raises(ValueError, match="full grid"):
+        analysis.quadrature_planned(holed, 6, "fft")
+
+
+def test_auto_is_the_same_for_one_epoch_and_for_several(spark):
+    truth = random_coeffs(spark, 3)
+    one = weights.dh(synthesis.synthesise(cells(spark).withColumn("lat", F.col("lat") - 5.0), truth, 3))
+    two = one.withColumn("epoch_id", F.explode(F.array(F.lit(0), F.lit(1))))
+    for w in (one, two):
+        x, method = analysis.analyse(w, 3)
+        assert method == "quadrature"
+        assert gap(x.where("epoch_id = 0"), truth) < 1e-8
+    series, _ = gappy(spark, truth, 3)
+    assert analysis.analyse(series, 3, tau=0.5, steps=2, alpha=None)[1] == "wlsq"  # options of other methods are passed over
+    assert analysis.analyse(series.where("lat > 0"), 3)[1] == "projection"
+    for wrong in ({"method": "hexagons"}, {"method": "quadrature", "tau": 0.5}, {"colour": 1}):
+        with pytest.raises(ValueError):
+            analysis.analyse(one, 3, **wrong)
+
+
+def test_order_0_stands_for_the_whole_matrix(spark, monkeypatch):
+    north = weights.grid(cells(spark)).where("lat > -20")
+    k = analysis.gram(north, 3)
+    monkeypatch.setattr(analysis, "LARGEST", 4)
+    assert analysis.deviation(north, 3) == pytest.approx(float(np.abs(np.diag(k)[:4] - 1).max()))
+
+
+def test_forward_formula(spark):
+    truth = random_coeffs(spark, 3)
+    field = weights.dh(synthesis.synthesis(cells(spark).withColumn("lat", F.col("lat") - 5.0), truth, 3, target="ewh"))
+    assert gap(analysis.analyse(field, 3, "quadrature", field_unit="ewh")[0], truth) < 1e-10
+    with pytest.raises(ValueError, match="physical"):
+        analysis.analyse(field, 3, "quadrature", field_unit="ewh", target_unit="scalar")
+    smooth = synthesis.synthesis(cells(spark), truth, 3, gaussian_km=1500.0)
+    want = synthesis.synthesise(cells(spark), coeffs.smoothed(truth, 1500.0, 3), 3)
+    assert smooth.exceptAll(want).count() == 0
+
+
+def test_kaula_goes_by_the_first_pass(spark):
+    truth = random_coeffs(spark, 4, 3)
+    field = weights.uniform(synthesis.synthesise(scatter(spark), truth, 4))
+    given = analysis.first_pass(field, 4)
+    a, b = analysis.least_squares(field, 4, "kaula", 1e-3)[0], analysis.least_squares(field, 4, "kaula", 1e-3, degree_rms=given)[0]
+    assert gap(a, b) < 1e-12 and gap(a, analysis.least_squares(field, 4, "kaula", 1e-3, scale=1e-5)[0]) > 1e-6
+    assert gap(a, truth) < 1e-2
+
+
+def test_gradients_of_a_series(spark):
+    a, b = random_coeffs(spark, 5, 1), random_coeffs(spark, 5, 2).withColumn("epoch_id", F.lit(4))
+    p = cells(spark).withColumn("epoch_id", F.explode(F.array(F.lit(0), F.lit(4), F.lit(9))))
+    both = synthesis.gradient(p, a.unionByName(b), 5)
+    assert both.where("epoch_id = 9 and (by_colat is not null or by_lon is not null)").count() == 0
+    rows = synthesis.gradient_rows(cells(spark).select("lat").distinct(), a.unionByName(b), 5, 36)
+    for e, one in ((0, a), (4, b.withColumn("epoch_id", F.lit(0)))):
+        want = synthesis.gradient(cells(spark), one, 5).toPandas().sort_values("point_id")
+        got = both.where(F.col("epoch_id") == e).toPandas().sort_values("point_id")
+        fast = rows.where(F.col("epoch_id") == e).toPandas().sort_values(["lat", "ilon"])
+        for c in ("by_colat", "by_lon"):
+            assert np.allclose(got[c], want[c]) and np.allclose(fast[c], want[c])
+
+
+def test_gradients_hold_a_few_orders_at_a_time():
+    import tracemalloc
+
+    lat = np.linspace(-90, 90, 20_000)
+    tracemalloc.start()
+    total = sum(float(d.sum()) for _, d in kernels.slopes(lat, 60)) + sum(float(q.sum()) for _, q in kernels.over_sine(lat, 60))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.isfinite(total) and peak < 100e6
+
+
+def test_sums_are_handed_on(spark, monkeypatch):
+    series, _ = gappy(spark, random_coeffs(spark, 3), 3)
+    want = analysis.quadrature(series, 3).toPandas()
+    monkeypatch.setattr(analysis, "HELD_BYTES", 1)
+    for got in (analysis.quadrature(series, 3), analysis.quadrature_planned(series, 3)[0]):
+        both = want.merge(got.toPandas(), on=["epoch_id", "n", "m"])
+        assert len(both) == len(want) and np.allclose(both["c_x"], both["c_y"]) and np.allclose(both["s_x"], both["s_y"])
+
+
+def test_guards_and_texts_of_units(spark):
+    love = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, -0.3, 0.1, 0.0), (2, -1.0, 0.02, -0.3)], "n int, h double, l double, k double")
+    x = random_coeffs(spark, 2)
+    with pytest.raises(ValueError, match="hold"):
+        units.convert(x, "radial_displacement", "geopotential", love)
+    empty = coeffs.without_mean(x)
+    assert gap(units.convert(units.convert(empty, "geopotential", "radial_displacement", love), "radial_displacement", "geopotential", love), empty) < 1e-12
+    text = units.describe_conversion(spark, 2)
+    assert len(text.splitlines()) == 4 and "ewh" in text and "1 + k'_n" in units.formula("ewh")
+    assert gap(units.canonical(x, "scalar"), x) == 0
