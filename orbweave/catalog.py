@@ -43,6 +43,39 @@ def rr(x: str, digits: int = 6) -> str:
     return f"round({x}, {digits}) + 0.0e0"
 
 
+def solved(source: str, keys: str, n: int, m: int = 1) -> str:
+    """CTEs x0, x1, ... that solve n equations by elimination: source has keys, a0_0 .. and b0_0 .. (right-hand sides). The
+    solutions are b0_0 .. of the last of them, ``x{n}``."""
+    a, b = [f"a{i}_{j}" for i in range(n) for j in range(n)], [f"b{i}_{j}" for i in range(n) for j in range(m)]
+    out = [f"x0 AS (SELECT {keys}{', ' if keys else ''}{', '.join(a + b)} FROM {source})"]
+    for k in range(n):
+        cols = []
+        for i in range(n):
+            for kind, wide in (("a", n), ("b", m)):
+                for j in range(wide):
+                    here = f"{kind}{i}_{j}"
+                    cols.append(f"{kind}{k}_{j} / a{k}_{k} AS {here}" if i == k else f"{here} - a{i}_{k} * {kind}{k}_{j} / a{k}_{k} AS {here}")
+        out.append(f"x{k + 1} AS (SELECT {keys}{', ' if keys else ''}{', '.join(cols)} FROM x{k})")
+    return ", ".join(out)
+
+
+BASIS4 = ["1.0e0", "sqrt(3.0e0) * t", "sqrt(3.0e0) * u * cos(l)", "sqrt(3.0e0) * u * sin(l)"]
+
+
+def normal4(source: str, keys: str = "", ridge: str = "0.0e0") -> str:
+    """CTE eq: the normal equations of the four unknowns up to degree 1 of source (w, value, t, u, l), by keys."""
+    cols = [f"sum(w * ({p}) * ({q})) + {ridge if i == j else '0.0e0'} AS a{i}_{j}" for i, p in enumerate(BASIS4) for j, q in enumerate(BASIS4)]
+    cols += [f"sum(w * value * ({p})) AS b{i}_0" for i, p in enumerate(BASIS4)]
+    return f"eq AS (SELECT {keys}{', ' if keys else ''}{', '.join(cols)} FROM {source} {'GROUP BY ' + keys if keys else ''})"
+
+
+def rows4(digits: int = 6, keys: str = "") -> str:
+    """The solutions of four unknowns as rows n, m, c, s."""
+    k = f"{keys}, " if keys else ""
+    parts = [f"SELECT {k}{n} AS n, {m} AS m, {rr(c, digits)} AS c, {rr(s, digits)} AS s FROM x4" for n, m, c, s in ((0, 0, "b0_0", "0.0e0"), (1, 0, "b1_0", "0.0e0"), (1, 1, "b2_0", "b3_0"))]
+    return " UNION ALL ".join(parts)
+
+
 # --- carriers in SQL -------------------------------------------------------------------------------------------------
 TURN = f"{np.pi * (1.0 + 5.0**0.5)!r}e0"
 TWO_PI, FOUR_PI = f"{2 * np.pi!r}e0", f"{4 * np.pi!r}e0"
@@ -57,6 +90,10 @@ YEARS = """g AS (
   SELECT epoch_id, ilat * 10.0e0 - 85.0e0 AS lat, ilon * 10.0e0 AS lon, value
   FROM (SELECT CAST(l_partkey % 18 AS INT) AS ilat, CAST(l_orderkey % 36 AS INT) AS ilon, CAST(year(l_shipdate) AS INT) AS epoch_id, avg(l_quantity) AS value
         FROM lineitem GROUP BY 1, 2, 3))"""
+MONTHLY = """g AS (
+  SELECT CAST(ilat * 36 + ilon AS BIGINT) AS point_id, epoch_id, ilat * 10.0e0 - 85.0e0 AS lat, ilon * 10.0e0 AS lon, value
+  FROM (SELECT CAST(l_partkey % 18 AS INT) AS ilat, CAST(l_orderkey % 36 AS INT) AS ilon, CAST(year(l_shipdate) * 12 + month(l_shipdate) - 1 AS INT) AS epoch_id, avg(l_quantity) AS value
+        FROM lineitem GROUP BY 1, 2, 3))"""
 #: Exact areas of the 10 degree cells; the outer bands reach the poles at -90 and 90.
 AREA = f"({float(np.radians(10.0))!r}e0 * (sin(radians(lat + 5.0e0)) - sin(radians(lat - 5.0e0))))"
 LOW = {(0, 0): "1.0e0", (1, 0): "sqrt(3.0e0) * t", (1, 1): "sqrt(3.0e0) * u", (2, 0): "sqrt(5.0e0) / 2.0e0 * (3.0e0 * t * t - 1.0e0)", (2, 1): "sqrt(15.0e0) * t * u", (2, 2): "sqrt(15.0e0) / 2.0e0 * u * u"}
@@ -127,9 +164,9 @@ def _(spark, sf):
     return area_grid(spark, sf).select("point_id", r("w", 10).alias("w"))
 
 
-@query("weights_lattice", f"WITH {GRID} SELECT point_id, {rr(AREA, 10)} AS w FROM g WHERE (ilat * 7 + ilon * 5) % 11 < 8")
+@query("weights_lattice", f"WITH {GRID} SELECT point_id, {rr(AREA, 10)} AS w FROM g")
 def _(spark, sf):
-    return weights.lattice(carriers.cells(spark, sf).where("(ilat * 7 + ilon * 5) % 11 < 8")).select("point_id", r("w", 10).alias("w"))
+    return weights.lattice(carriers.cells(spark, sf)).select("point_id", r("w", 10).alias("w"))
 
 
 @query("weights_dh", f"""WITH {GRID},
@@ -165,6 +202,52 @@ def _(spark, sf):
     return weights.delaunay(carriers.scatter(spark, sf)).select("point_id", "w")
 
 
+def tri(a: tuple[str, str, str], b: tuple[str, str, str], c: tuple[str, str, str]) -> str:
+    """Area of a spherical triangle of unit vectors in SQL."""
+    dot = lambda p, q: f"({p[0]} * {q[0]} + {p[1]} * {q[1]} + {p[2]} * {q[2]})"
+    triple = f"({a[0]} * ({b[1]} * {c[2]} - {b[2]} * {c[1]}) + {a[1]} * ({b[2]} * {c[0]} - {b[0]} * {c[2]}) + {a[2]} * ({b[0]} * {c[1]} - {b[1]} * {c[0]}))"
+    return f"(2.0e0 * atan2(abs({triple}), 1.0e0 + {dot(a, b)} + {dot(b, c)} + {dot(c, a)}))"
+
+
+def at(lat: str, lon: str) -> tuple[str, str, str]:
+    return f"(cos({lat}) * cos({lon}))", f"(cos({lat}) * sin({lon}))", f"sin({lat})"
+
+
+STEP = f"{float(np.radians(5.0))!r}e0"
+
+
+def _cell_sides() -> str:
+    """Cell of a point of the 10 degree grid around its own meridian: the corners are the middles of the circles through
+    four neighbours, or a pole."""
+    corner = lambda a, b: f"atan(cos({STEP}) * (cos({a}) - cos({b})) / (sin({b}) - sin({a})))"
+    phi, up, down = "radians(lat)", "radians(lat + 10.0e0)", "radians(lat - 10.0e0)"
+    north = f"CASE WHEN lat > 80 THEN {np.pi / 2!r}e0 ELSE {corner(phi, up)} END"
+    south = f"CASE WHEN lat < -80 THEN {-np.pi / 2!r}e0 ELSE {corner(down, phi)} END"
+    return f"v AS (SELECT lat, {phi} AS phi, {north} AS n, {south} AS s FROM (SELECT DISTINCT lat FROM g))"
+
+
+@query("voronoi_cells", f"""WITH {GRID}, {_cell_sides()}
+SELECT point_id, {rr(f"{tri(at('phi', '0.0e0'), at('n', STEP), at('n', '-' + STEP))} + 2.0e0 * {tri(at('phi', '0.0e0'), at('n', STEP), at('s', STEP))} + {tri(at('phi', '0.0e0'), at('s', STEP), at('s', '-' + STEP))}", 9)} AS w
+FROM g JOIN v USING (lat)""")
+def _(spark, sf):
+    return weights.voronoi(carriers.cells(spark, sf)).select("point_id", r("w", 9).alias("w"))
+
+
+WIDE = f"{float(np.radians(10.0))!r}e0"
+
+
+@query("delaunay_rows", f"""WITH {GRID}, b AS (SELECT DISTINCT lat, radians(lat) AS lo, radians(lat + 10.0e0) AS hi FROM g WHERE lat < 80),
+t AS (SELECT lat, {tri(at('lo', '0.0e0'), at('lo', WIDE), at('hi', '0.0e0'))} AS low, {tri(at('hi', '0.0e0'), at('hi', WIDE), at('lo', '0.0e0'))} AS high FROM b),
+p AS (SELECT lat, 36 * (low * 2 + high) / 3.0e0 AS w FROM t UNION ALL SELECT lat + 10.0e0, 36 * (low + high * 2) / 3.0e0 FROM t
+      UNION ALL SELECT lat, 36 * {tri(at('radians(abs(lat))', '0.0e0'), at('radians(abs(lat))', WIDE), ('0.0e0', '0.0e0', '1.0e0'))} FROM (SELECT DISTINCT lat FROM g WHERE abs(lat) > 80))
+SELECT {rr('lat')} AS lat, {rr('sum(w)', 8)} AS w, 36 AS n FROM p GROUP BY lat""")
+def _(spark, sf):
+    """Which way a square of four points on a circle is halved is open, but a row's sum is not; at a pole 36 points are on one
+    circle."""
+    w = weights.delaunay(carriers.cells(spark, sf)).groupBy("lat")
+    return w.agg(r(F.sum("w"), 8).alias("w"), F.count("*").cast("int").alias("n")).withColumn("lat", r("lat"))
+
+
 @query("weight_report", f"WITH {GRID} SELECT count(*) AS n_points, {rr(f'sum({AREA})')} AS total, {rr(f'sum({AREA}) / {FOUR_PI}')} AS coverage, {rr(f'max({AREA}) / min({AREA})')} AS heterogeneity FROM g")
 def _(spark, sf):
     return rounded(weights.report(area_grid(spark, sf)), 6, "total", "coverage", "heterogeneity")
@@ -188,6 +271,29 @@ def _(spark, sf):
     return a.unionByName(planner.rule_row(carriers.scatter(spark, sf)).select(F.lit("scatter").alias("carrier"), "n", "nlat", "nlon", "rule"))
 
 
+@query("rule_auto_series", f"""WITH {MONTHLY}, x AS (SELECT count(*) AS n, count(DISTINCT lat) AS nlat, count(DISTINCT lon) AS nlon, max(lon) - min(lon) AS span FROM (SELECT DISTINCT lat, lon FROM g))
+SELECT n, nlat, nlon, CASE WHEN nlat * nlon = n AND span > 300 AND nlon = 2 * nlat AND nlat % 2 = 0 THEN 'dh' END AS rule FROM x""")
+def _(spark, sf):
+    return planner.rule_row(carriers.monthly_cells(spark, sf)).select("n", "nlat", "nlon", "rule")
+
+
+@query("series_uniform", f"WITH {MONTHLY} SELECT epoch_id, point_id, {rr(f'{FOUR_PI} / (SELECT count(DISTINCT point_id) FROM g)', 12)} AS w FROM g")
+def _(spark, sf):
+    return weights.uniform(carriers.monthly_cells(spark, sf)).select("epoch_id", "point_id", r("w", 12).alias("w"))
+
+
+@query("series_cap_density", f"""WITH {MONTHLY}, p AS (SELECT DISTINCT point_id, radians(lat) AS la, radians(lon) AS lo FROM g),
+k AS (SELECT a.point_id, {rr(f'{float(2 * np.pi * (1 - np.cos(np.radians(13.0))))!r}e0 / count(*)', 10)} AS w FROM p a JOIN p b ON sin(a.la) * sin(b.la) + cos(a.la) * cos(b.la) * cos(a.lo - b.lo) >= {float(np.cos(np.radians(13.0)))!r}e0 GROUP BY a.point_id)
+SELECT epoch_id, point_id, w FROM g JOIN k USING (point_id)""")
+def _(spark, sf):
+    return weights.cap_density(carriers.monthly_cells(spark, sf), 13.0).select("epoch_id", "point_id", r("w", 10).alias("w"))
+
+
+@query("series_weight_report", f"WITH {MONTHLY}, p AS (SELECT DISTINCT point_id, lat, lon FROM g) SELECT count(*) AS n_points, {rr(f'sum({AREA}) / {FOUR_PI}')} AS coverage, {rr(f'max({AREA}) / min({AREA})')} AS heterogeneity FROM p")
+def _(spark, sf):
+    return rounded(weights.report(weights.grid(carriers.monthly_cells(spark, sf))).drop("total"), 6, "coverage", "heterogeneity")
+
+
 @query("lattice_test", f"""WITH {GRID}, v AS (SELECT 'lat' AS axis, lat AS v FROM g GROUP BY lat UNION ALL SELECT 'lon', lon FROM g GROUP BY lon),
 d AS (SELECT axis, lead(v) OVER (PARTITION BY axis ORDER BY v) - v AS gap FROM v),
 e AS (SELECT axis, gap, min(gap) OVER (PARTITION BY axis) AS low FROM d WHERE gap IS NOT NULL)
@@ -299,14 +405,32 @@ def _(spark, sf):
     return rounded(analysis.richardson(weights.uniform(carriers.scatter(spark, sf)), 1, 1), 6, "c", "s").drop("epoch_id")
 
 
-@query("wlsq_l1")
+UNIFORM4 = f"q AS (SELECT {FOUR_PI} / n AS w, value, sin(radians(lat)) AS t, cos(radians(lat)) AS u, radians(lon) AS l FROM p)"
+WLSQ = f"WITH {SCATTER}, {UNIFORM4}, {normal4('q')}, {solved('eq', '', 4)} {rows4()}"
+
+
+@query("wlsq_l1", WLSQ)
+def _(spark, sf):
+    return rounded(analysis.least_squares(weights.uniform(carriers.scatter(spark, sf)), 1)[0], 6, "c", "s").drop("epoch_id")
+
+
+@query("cg_l1", WLSQ)
 def _(spark, sf):
-    return analysis.least_squares(weights.uniform(carriers.scatter(spark, sf)), 1)[0]
+    return rounded(analysis.conjugate_gradients(weights.uniform(carriers.scatter(spark, sf)), 1, rtol=1e-14)[0], 6, "c", "s").drop("epoch_id")
 
 
-@query("tikhonov_l1")
+@query("tikhonov_l1", f"WITH {SCATTER}, {UNIFORM4}, {normal4('q', ridge='0.1e0 * 0.1e0')}, {solved('eq', '', 4)} {rows4()}")
 def _(spark, sf):
-    return analysis.least_squares(weights.uniform(carriers.scatter(spark, sf)), 1, "tikhonov", 0.1)[0]
+    return rounded(analysis.least_squares(weights.uniform(carriers.scatter(spark, sf)), 1, "tikhonov", 0.1)[0], 6, "c", "s").drop("epoch_id")
+
+
+KAULA = ["1.0e0", "pow(2.0e0, 4)", "pow(2.0e0, 4)", "pow(2.0e0, 4)"]  # (n + 1)**(2 * 2)
+
+
+@query("kaula_l1", f"""WITH {SCATTER}, {UNIFORM4}, {normal4('q')},
+kq AS (SELECT {', '.join(f"a{i}_{j}" + (f" + 0.25e0 * {KAULA[i]} AS a{i}_{j}" if i == j else "") for i in range(4) for j in range(4))}, b0_0, b1_0, b2_0, b3_0 FROM eq), {solved('kq', '', 4)} {rows4()}""")
+def _(spark, sf):
+    return rounded(analysis.least_squares(weights.uniform(carriers.scatter(spark, sf)), 1, "kaula", 0.5, scale=1.0)[0], 6, "c", "s").drop("epoch_id")
 
 
 @query("kaula_l4")
@@ -319,6 +443,61 @@ def _(spark, sf):
     return analysis.conjugate_gradients(weights.uniform(carriers.scatter(spark, sf)), 4)[0]
 
 
+GAPS4 = f"q AS (SELECT epoch_id, {AREA} AS w, value, sin(radians(lat)) AS t, cos(radians(lat)) AS u, radians(lon) AS l FROM g)"
+
+
+@query("series_gaps_wlsq", f"WITH {MONTHLY}, {GAPS4}, {normal4('q', 'epoch_id')}, {solved('eq', 'epoch_id', 4)} {rows4(6, 'epoch_id')}")
+def _(spark, sf):
+    """Months have values in some of the cells only, each in others."""
+    return rounded(analysis.least_squares(weights.grid(carriers.monthly_cells(spark, sf)), 1)[0], 6, "c", "s")
+
+
+@query("series_gaps_cg", ORACLES["series_gaps_wlsq"])
+def _(spark, sf):
+    return rounded(analysis.conjugate_gradients(weights.grid(carriers.monthly_cells(spark, sf)), 1, rtol=1e-14)[0], 6, "c", "s")
+
+
+@query("series_gaps_fft", f"""WITH RECURSIVE {MONTHLY}, {leg('SELECT lat FROM g', 4)}
+SELECT epoch_id, CAST(n AS INT) AS n, CAST(m AS INT) AS m, {rr(f'sum({AREA.replace("lat", "g.lat")} * value * p * cos(m * radians(lon))) / {FOUR_PI}', 8)} AS c,
+       {rr(f'sum({AREA.replace("lat", "g.lat")} * value * p * sin(m * radians(lon))) / {FOUR_PI}', 8)} AS s
+FROM g JOIN leg USING (lat) GROUP BY epoch_id, n, m""")
+def _(spark, sf):
+    return rounded(analysis.quadrature_planned(weights.grid(carriers.monthly_cells(spark, sf)), 4, "fft")[0], 8, "c", "s")
+
+
+#: On half of the grid the completeness matrix up to degree 1 is [[a, b], [b, d]] of c00 and c10, and e for c11 and s11.
+HALF = f"""h AS (SELECT {AREA} AS w, value, sin(radians(lat)) AS t, cos(radians(lat)) AS u, radians(lon) AS l FROM g WHERE lat > 0),
+k AS (SELECT sum(w) / {FOUR_PI} AS a, sum(w * sqrt(3.0e0) * t) / {FOUR_PI} AS b, sum(w * 3.0e0 * t * t) / {FOUR_PI} AS d, sum(w * 3.0e0 * u * u * cos(l) * cos(l)) / {FOUR_PI} AS e, sum(w * 3.0e0 * u * u * sin(l) * sin(l)) / {FOUR_PI} AS f,
+             {', '.join(f"sum(w * value * ({p})) / {FOUR_PI} AS r{i}" for i, p in enumerate(BASIS4))} FROM h),
+v AS (SELECT *, (a + d) / 2 + sqrt(pow((a - d) / 2, 2) + b * b) AS big, (a + d) / 2 - sqrt(pow((a - d) / 2, 2) + b * b) AS small FROM k),
+y AS (SELECT *, b / sqrt(b * b + pow(big - a, 2)) AS p, (big - a) / sqrt(b * b + pow(big - a, 2)) AS q FROM v)"""
+
+
+def _kept(least: float, more: str) -> str:
+    """The part of the right-hand side in the functions whose share is large: that of the larger root, and those of c11 and
+    s11 where they are."""
+    z = "(p * r0 + q * r1) / big"
+    one = lambda x, share: f"CASE WHEN {share} {more} {least!r}e0 THEN {x} / {share} ELSE 0.0e0 END"
+    low = f"CASE WHEN small {more} {least!r}e0 THEN (p * r1 - q * r0) / small ELSE 0.0e0 END"
+    return (f"SELECT 0 AS n, 0 AS m, {rr(f'p * {z} - q * ({low})')} AS c, 0.0e0 AS s FROM y UNION ALL SELECT 1, 0, {rr(f'q * {z} + p * ({low})')}, 0.0e0 FROM y"
+            f" UNION ALL SELECT 1, 1, {rr(one('r2', 'e'))}, {rr(one('r3', 'f'))} FROM y")
+
+
+@query("projection_tau_l1", f"WITH {GRID}, {HALF} {_kept(0.3, '>=')}")
+def _(spark, sf):
+    return rounded(analysis.projection(area_grid(spark, sf).where("lat > 0"), 1, 0.3), 6, "c", "s").drop("epoch_id")
+
+
+@query("slepian_l1", f"WITH {GRID}, {HALF} {_kept(0.7, '>')}")
+def _(spark, sf):
+    return rounded(slepian.analyse(area_grid(spark, sf).where("lat > 0"), 1, 0.7), 6, "c", "s").drop("epoch_id")
+
+
+@query("slepian_spectrum_l1", f"WITH {GRID}, {HALF}, z AS (SELECT unnest([big, small, e, f]) AS x FROM y) SELECT CAST(row_number() OVER (ORDER BY x DESC) - 1 AS INT) AS alpha, {rr('x')} AS lambda FROM z")
+def _(spark, sf):
+    return rounded(slepian.basis(area_grid(spark, sf).where("lat > 0"), 1).tables(spark)[0], 6, "lambda")
+
+
 @query("projection_tau")
 def _(spark, sf):
     north = area_grid(spark, sf).where("lat > 0")
@@ -335,9 +514,16 @@ def _(spark, sf):
     return slepian.basis(area_grid(spark, sf).where("lat > 0"), 4).tables(spark)[0]
 
 
-@query("analysis_auto")
+@query("analysis_auto", f"WITH RECURSIVE {L8} SELECT CAST(n AS INT) AS n, CAST(m AS INT) AS m, {rr('c')} AS c, {rr('s')} AS s, 'quadrature' AS method FROM k WHERE n <= 1")
+def _(spark, sf):
+    x, method = analysis.analyse(area_grid(spark, sf), 1)
+    return rounded(x, 6, "c", "s").drop("epoch_id").withColumn("method", F.lit(method))
+
+
+@query("completeness_order_0", f"""WITH RECURSIVE {GRID}, {leg('SELECT lat FROM g', 8)} SELECT {rr('max(abs(x - 1.0e0))', 9)} AS deviation FROM (
+  SELECT n, sum({AREA.replace('lat', 'g.lat')} * p * p) / {FOUR_PI} AS x FROM g JOIN leg USING (lat) WHERE m = 0 GROUP BY n)""")
 def _(spark, sf):
-    return analysis.analyse(area_grid(spark, sf), 4)[0]
+    return spark.createDataFrame([(analysis.diagonal_deviation(area_grid(spark, sf), 8),)], "deviation double").select(r("deviation", 9).alias("deviation"))
 
 
 @query("horizontal_l1", f"""WITH {GRID} SELECT point_id, {rr('sqrt(3.0e0) * cos(radians(lat)) * 2.0e0 - sqrt(3.0e0) * cos(radians(lon)) * sin(radians(lat))')} AS north, {rr('-sqrt(3.0e0) * sin(radians(lon))')} AS east FROM g""")
@@ -346,31 +532,56 @@ def _(spark, sf):
     return synthesis.horizontal(carriers.cells(spark, sf), unit, 1, scale=False).select("point_id", r("north").alias("north"), r("east").alias("east"))
 
 
+#: p at m + 1 and m - 1 give the slope; d holds them.
+GRADIENT = """SELECT {0}, round(sum(d * (k.c * cos(m * radians(lon)) + k.s * sin(m * radians(lon)))), 5) + 0.0e0 AS by_colat,
+       round(sum(p * m * (k.s * cos(m * radians(lon)) - k.c * sin(m * radians(lon)))) / cos(radians(any_value(g.lat))), 5) + 0.0e0 AS by_lon
+FROM g JOIN (SELECT a.lat, a.n, a.m, a.p,
+  CASE WHEN a.m = 0 THEN -sqrt(a.n * (a.n + 1) / 2.0e0) * coalesce(u.p, 0.0e0)
+       ELSE 0.5e0 * sqrt((a.n + a.m) * (a.n - a.m + 1) * CASE WHEN a.m = 1 THEN 2.0e0 ELSE 1.0e0 END) * coalesce(l.p, 0.0e0) - 0.5e0 * sqrt((a.n - a.m) * (a.n + a.m + 1.0e0)) * coalesce(u.p, 0.0e0) END AS d
+  FROM leg a LEFT JOIN leg u ON u.lat = a.lat AND u.n = a.n AND u.m = a.m + 1 LEFT JOIN leg l ON l.lat = a.lat AND l.n = a.n AND l.m = a.m - 1) leg USING (lat) JOIN k USING (n, m)"""
+
+
 @query("gradient_l8", f"""{SYNTH.replace('f AS (', 'f0 AS (')}
-SELECT g.point_id, {rr('sum(p * m * (k.s * cos(m * radians(lon)) - k.c * sin(m * radians(lon)))) / cos(radians(any_value(g.lat)))', 5)} AS by_lon FROM g JOIN leg USING (lat) JOIN k USING (n, m) GROUP BY g.point_id""")
+{GRADIENT.format('g.point_id')} GROUP BY g.point_id""")
 def _(spark, sf):
-    return synthesis.gradient(carriers.cells(spark, sf), l8(spark, sf), 8).select("point_id", r("by_lon", 5).alias("by_lon"))
+    return synthesis.gradient(carriers.cells(spark, sf), l8(spark, sf), 8).select("point_id", r("by_colat", 5).alias("by_colat"), r("by_lon", 5).alias("by_lon"))
 
 
 @query("gradient_fft", f"""{SYNTH.replace('f AS (', 'f0 AS (')}
-SELECT {rr('g.lat')} AS lat, CAST(any_value(ilon) AS INT) AS ilon, {rr('sum(p * m * (k.s * cos(m * radians(lon)) - k.c * sin(m * radians(lon)))) / cos(radians(any_value(g.lat)))', 5)} AS by_lon
-FROM g JOIN leg USING (lat) JOIN k USING (n, m) GROUP BY g.point_id, g.lat""")
+{GRADIENT.format(rr('g.lat') + ' AS lat, CAST(any_value(ilon) AS INT) AS ilon')} GROUP BY g.point_id, g.lat""")
 def _(spark, sf):
     lats = carriers.cells(spark, sf).select("lat").distinct()
-    return synthesis.gradient_rows(lats, l8(spark, sf), 8, 36).select(r("lat").alias("lat"), "ilon", r("by_lon", 5).alias("by_lon"))
+    return synthesis.gradient_rows(lats, l8(spark, sf), 8, 36).select(r("lat").alias("lat"), "ilon", r("by_colat", 5).alias("by_colat"), r("by_lon", 5).alias("by_lon"))
+
+
+LOVE = "love AS (SELECT CAST(n AS INT) AS n, 0.1e0 / (n + 1) AS lv, -0.2e0 / (n + 1) AS kv FROM range(9) AS t(n))"
+
+
+@query("horizontal_love", f"""{SYNTH.replace('f AS (', 'f0 AS (')}, {LOVE}, kk AS (SELECT k.n, m, c * 6378136.46e0 * lv / (1.0e0 + kv) / 1.0e6 AS c, s * 6378136.46e0 * lv / (1.0e0 + kv) / 1.0e6 AS s FROM k JOIN love USING (n)),
+z AS ({GRADIENT.format('g.point_id').replace('JOIN k USING', 'JOIN kk k USING')} GROUP BY g.point_id)
+SELECT point_id, {rr('-by_colat', 5)} AS north, {rr('by_lon', 5)} AS east FROM z""")
+def _(spark, sf):
+    """With load Love numbers made up by a rule, in thousands of km."""
+    love = spark.range(9).select(F.col("id").cast("int").alias("n"), F.lit(0.0).alias("h"), (0.1 / (F.col("id") + 1)).alias("l"), (-0.2 / (F.col("id") + 1)).alias("k"))
+    small = coeffs.scaled(l8(spark, sf), 1e-6)
+    out = synthesis.horizontal(carriers.cells(spark, sf), small, 8, "geopotential", love)
+    return rounded(out.select("point_id", "north", "east"), 5, "north", "east")
 
 
 @query("series_report", f"""WITH RECURSIVE {YEARS}, {leg('SELECT lat FROM g', 2)},
 h AS (SELECT row_number() OVER () AS id, *, {AREA} AS w FROM g),
 k AS (SELECT epoch_id, n, m, sum(w * value * p * cos(m * radians(lon))) / {FOUR_PI} AS c, sum(w * value * p * sin(m * radians(lon))) / {FOUR_PI} AS s FROM h JOIN leg USING (lat) GROUP BY epoch_id, n, m),
 f AS (SELECT h.id, any_value(h.epoch_id) AS epoch_id, any_value(value) AS value, any_value(w) AS w, sum(p * (k.c * cos(leg.m * radians(lon)) + k.s * sin(leg.m * radians(lon)))) AS fitted
-      FROM h JOIN leg USING (lat) JOIN k ON k.epoch_id = h.epoch_id AND k.n = leg.n AND k.m = leg.m GROUP BY h.id)
-SELECT f.epoch_id, count(*) AS n_points, {rr('sqrt(avg(value * value))')} AS data_rms, {rr('any_value(k.c)')} AS c00, {rr(f'sum(w) / {FOUR_PI}')} AS coverage, {rr('sqrt(avg((value - fitted) * (value - fitted)))')} AS residual_rms
-FROM f JOIN k ON k.epoch_id = f.epoch_id AND k.n = 0 GROUP BY f.epoch_id""")
+      FROM h JOIN leg USING (lat) JOIN k ON k.epoch_id = h.epoch_id AND k.n = leg.n AND k.m = leg.m GROUP BY h.id),
+e AS (SELECT f.epoch_id, count(*) AS n_points, sqrt(avg(value * value)) AS data_rms, any_value(k.c) AS c00, sum(w * value) / {FOUR_PI} AS dc_mean, sum(w) / {FOUR_PI} AS coverage, sqrt(avg((value - fitted) * (value - fitted))) AS residual_rms
+      FROM f JOIN k ON k.epoch_id = f.epoch_id AND k.n = 0 GROUP BY f.epoch_id),
+a AS (SELECT median(c00) AS mid FROM e), b AS (SELECT median(abs(c00 - mid)) AS mad FROM e, a)
+SELECT epoch_id, n_points, {rr('data_rms')} AS data_rms, {rr('c00')} AS c00, {rr('dc_mean')} AS dc_mean, {rr('coverage')} AS coverage, {rr('residual_rms')} AS residual_rms, {rr('residual_rms / data_rms')} AS fit_rmse_rel,
+       {rr('0.6745e0 * (c00 - mid) / mad', 4)} AS z, abs(0.6745e0 * (c00 - mid) / mad) > 3 AS outlier FROM e, a, b""")
 def _(spark, sf):
     y = weights.grid(carriers.yearly_cells(spark, sf))
-    out = report.series_report(y, analysis.quadrature(y, 2), 2).select("epoch_id", "n_points", "data_rms", "c00", "coverage", "residual_rms")
-    return rounded(out, 6, "data_rms", "c00", "coverage", "residual_rms")
+    out = report.series_report(y, analysis.quadrature(y, 2), 2)
+    return rounded(rounded(out, 6, "data_rms", "c00", "dc_mean", "coverage", "residual_rms", "fit_rmse_rel"), 4, "z")
 
 
 # --- spectra, units and filters --------------------------------------------------------------------------------------
@@ -401,9 +612,12 @@ def _(spark, sf):
     return spectrum.degree_for(l8(spark, sf), 0.03)
 
 
-@query("diagnose_nmax")
+@query("diagnose_nmax", f"""{TRUNC.replace('WITH RECURSIVE', 'WITH RECURSIVE')}, z AS (SELECT count(*) AS n, sum({AREA}) / {FOUR_PI} AS cov FROM g)
+SELECT (SELECT CAST(greatest(0, floor(sqrt(n / (cov * 2.0e0))) - 1) AS INT) FROM z) AS sampling_nmax, CAST(min(CASE WHEN retained >= 1.0e0 - 0.01e0 * 0.01e0 THEN n END) AS INT) AS power_nmax,
+       CASE WHEN max(CASE WHEN n > 0 THEN power END) / avg(CASE WHEN n > 0 THEN power END) < 3 THEN 'flat' WHEN max(CASE WHEN n > 0 THEN power END) / avg(CASE WHEN n > 0 THEN power END) > 20 THEN 'red' ELSE 'neither' END AS shape FROM e""")
 def _(spark, sf):
-    return spectrum.diagnose(l8(spark, sf), 648, 1.0)
+    row = weights.report(area_grid(spark, sf)).first()
+    return spectrum.diagnose(l8(spark, sf), row["n_points"], round(row["coverage"], 9))
 
 
 KN = "CASE n WHEN 1 THEN 0.02617e0 WHEN 2 THEN -0.30516e0 ELSE 0.0e0 END"
@@ -445,9 +659,20 @@ def _(spark, sf):
     return rounded(coeffs.smoothed(l2(spark, sf), 2000.0, 2, "frc"), 6, "c", "s").drop("epoch_id")
 
 
-@query("gaussian_glq")
+GLQ_B = float(np.log(2.0) / (1.0 - np.cos(300.0 / 6378.1363)))
+
+
+@query("gaussian_glq", f"""WITH RECURSIVE w AS (SELECT 0 AS n, 1.0e0 AS a, 1.0e0 - 1.0e0 / {GLQ_B!r}e0 AS b UNION ALL SELECT n + 1, b, a - (2.0e0 * (n + 1) + 1.0e0) / {GLQ_B!r}e0 * b FROM w WHERE n < 20)
+SELECT CAST(n AS INT) AS n, {rr('a', 7)} AS w FROM w""")
+def _(spark, sf):
+    """A narrow filter: there the upward recurrence of the SQL is accurate."""
+    return rounded(coeffs.degree_table(spark, coeffs.gaussian(300.0, 20)), 7, "w")
+
+
+@query("gaussian_applied", f"""WITH RECURSIVE w AS (SELECT 0 AS n, 1.0e0 AS a, 1.0e0 - 1.0e0 / {GLQ_B!r}e0 AS b UNION ALL SELECT n + 1, b, a - (2.0e0 * (n + 1) + 1.0e0) / {GLQ_B!r}e0 * b FROM w WHERE n < 8), {L8}
+SELECT CAST(k.n AS INT) AS n, CAST(m AS INT) AS m, {rr('c * a')} AS c, {rr('s * a')} AS s FROM k JOIN w ON w.n = k.n""")
 def _(spark, sf):
-    return coeffs.degree_table(spark, coeffs.gaussian(300.0, 60))
+    return rounded(coeffs.smoothed(l8(spark, sf), 300.0, 8), 6, "c", "s").drop("epoch_id")
 
 
 @query("truncate_pad", f"WITH {L2}, z AS (SELECT CAST(n AS INT) AS n, CAST(m AS INT) AS m FROM range(5) t(n), range(5) u(m) WHERE m <= n) SELECT n, m, {rr('coalesce(c, 0.0e0)')} AS c, {rr('coalesce(s, 0.0e0)')} AS s FROM z LEFT JOIN k USING (n, m)")
@@ -496,20 +721,23 @@ def months(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return x, x.select("epoch_id", "ts").distinct()
 
 
-def sparse_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return carriers.days(spark, sf_dir).where("epoch_id % 7 < 3")
+TICKS = "d AS (SELECT CAST(event_id AS INT) AS epoch_id, ts, date_diff('second', TIMESTAMP '1970-01-01', ts) - date_diff('second', TIMESTAMP '1970-01-01', lag(ts) OVER (ORDER BY ts, event_id)) AS seconds FROM events)"
+
+
+def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as an epoch, to the second: their gaps are as they come."""
+    return carriers.table(spark, sf_dir, "events").select(F.col("event_id").cast("int").alias("epoch_id"), F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
-@query("epoch_gaps", f"WITH {DAYS}, q AS (SELECT epoch_id, CAST(epoch_id - lag(epoch_id) OVER (ORDER BY ts) AS DOUBLE) AS gap_days FROM d WHERE epoch_id % 7 < 3) SELECT * FROM q WHERE gap_days > 3")
+@query("epoch_gaps", f"WITH {TICKS} SELECT epoch_id, {rr('seconds / 86400.0e0')} AS gap_days FROM d WHERE seconds > 864")
 def _(spark, sf):
-    return timeaxis.missing(sparse_days(spark, sf), 3.0).select("epoch_id", "gap_days")
+    return rounded(timeaxis.missing(ticks(spark, sf), 0.01).select("epoch_id", "gap_days"), 6, "gap_days")
 
 
-@query("epoch_duplicates", f"""WITH {DAYS}, q AS (SELECT epoch_id, ts, CAST(epoch_id - lag(epoch_id) OVER (ORDER BY ts) AS DOUBLE) AS gap_days FROM d WHERE epoch_id % 7 < 3),
-u AS (SELECT epoch_id, sum(CASE WHEN gap_days < 2 THEN 0 ELSE 1 END) OVER (ORDER BY ts) AS run FROM q)
+@query("epoch_duplicates", f"""WITH {TICKS}, u AS (SELECT epoch_id, sum(CASE WHEN seconds / 86400.0e0 < 0.0005e0 THEN 0 ELSE 1 END) OVER (ORDER BY ts, epoch_id) AS run FROM d)
 SELECT epoch_id, CAST(run AS BIGINT) AS run FROM u WHERE run IN (SELECT run FROM u GROUP BY run HAVING count(*) > 1)""")
 def _(spark, sf):
-    return timeaxis.duplicates(sparse_days(spark, sf), 2.0).select("epoch_id", "run")
+    return timeaxis.duplicates(ticks(spark, sf), 0.0005).select("epoch_id", "run")
 
 
 @query("epoch_regular", """WITH e AS (SELECT DISTINCT date_trunc('month', l_shipdate) AS ts FROM lineitem), q AS (SELECT CAST(date_diff('day', lag(ts) OVER (ORDER BY ts), ts) AS DOUBLE) AS gap FROM e)
@@ -556,13 +784,13 @@ def _(spark, sf):
     return timeaxis.between(carriers.days(spark, sf), ts("2024-01-10"), ts("2024-01-20")).select("epoch_id", r("value").alias("value"))
 
 
-@query("match_epochs", f"""WITH {DAYS}, a AS (SELECT epoch_id, epoch_id * 86400.0e0 AS x FROM d WHERE epoch_id % 2 = 0), b AS (SELECT epoch_id AS other_id, epoch_id * 86400.0e0 + 30000.0e0 AS y FROM d WHERE epoch_id % 3 = 0),
+@query("match_epochs", f"""WITH {DAYS}, a AS (SELECT epoch_id, epoch_id * 86400.0e0 AS x FROM d), b AS (SELECT epoch_id AS other_id, epoch_id * 86400.0e0 + 50000.0e0 AS y FROM d),
 q AS (SELECT epoch_id, other_id, abs(x - y) / 86400.0e0 AS gap, row_number() OVER (PARTITION BY epoch_id ORDER BY abs(x - y), other_id) AS k FROM a, b WHERE abs(x - y) <= 1.2e0 * 86400.0e0)
 SELECT epoch_id, other_id, {rr('gap')} AS gap_days FROM q WHERE k = 1""")
 def _(spark, sf):
     d = carriers.days(spark, sf)
-    late = d.where("epoch_id % 3 = 0").withColumn("ts", F.col("ts") + F.expr("interval 30000 seconds"))
-    return rounded(timeaxis.match(d.where("epoch_id % 2 = 0"), late, 1.2), 6, "gap_days")
+    late = d.withColumn("ts", F.col("ts") + F.expr("interval 50000 seconds"))
+    return rounded(timeaxis.match(d, late, 1.2), 6, "gap_days")
 
 
 @query("time_mean", f"WITH {MONTHS} SELECT n, m, {rr('avg(c)')} AS c, {rr('avg(s)', 8)} AS s FROM s GROUP BY n, m")
@@ -589,14 +817,47 @@ def _(spark, sf):
     return timeseries.detrended(*months(spark, sf), 1).select("epoch_id", "n", "m", r("c").alias("c"))
 
 
-@query("seasonal_fit")
+def fit_sql(source: str, keys: str, terms: list[str], values: list[str]) -> str:
+    """CTEs that fit terms (of x) to values by keys."""
+    k = f"{keys}, " if keys else ""
+    cols = [f"sum(({p}) * ({q})) AS a{i}_{j}" for i, p in enumerate(terms) for j, q in enumerate(terms)]
+    cols += [f"sum(({p}) * {v}) AS b{i}_{j}" for i, p in enumerate(terms) for j, v in enumerate(values)]
+    return f"eq AS (SELECT {k}{', '.join(cols)} FROM {source} GROUP BY {keys}), {solved('eq', keys, len(terms), len(values))}"
+
+
+def waves_of(*periods: float) -> list[str]:
+    return [f"{f}({2 * np.pi / p!r}e0 * x)" for p in periods for f in ("cos", "sin")]
+
+
+SEASONS = ["1.0e0", "x", *waves_of(1.0, 0.5)]
+
+
+@query("seasonal_fit", f"""WITH {MONTHS}, y AS (SELECT *, {YEARS_OF} AS x FROM s), {fit_sql('y', 'n, m', SEASONS, ['c', 's'])}
+{' UNION ALL '.join(f"SELECT '{t}' AS term, n, m, {rr(f'b{i}_0', 5)} AS c, {rr(f'b{i}_1', 7)} AS s FROM x6" for i, t in enumerate(['const', 'trend', 'cos1', 'sin1', 'cos0.5', 'sin0.5']))}""")
+def _(spark, sf):
+    return rounded(rounded(timeseries.fit(*months(spark, sf), 1, [1.0, 0.5]).frame, 5, "c"), 7, "s")
+
+
+@query("amplitude_phase", f"""WITH {MONTHS}, y AS (SELECT *, {YEARS_OF} AS x FROM s), {fit_sql('y', 'n, m', ['1.0e0', 'x', *waves_of(1.0)], ['c'])}
+SELECT n, m, {rr('sqrt(b2_0 * b2_0 + b3_0 * b3_0)', 5)} AS amplitude_c, {rr('atan2(b3_0, b2_0)', 4)} AS phase_c FROM x4""")
+def _(spark, sf):
+    out = timeseries.fit(*months(spark, sf), 1, [1.0]).amplitude_phase(1.0)
+    return rounded(rounded(out.select("n", "m", "amplitude_c", "phase_c"), 5, "amplitude_c"), 4, "phase_c")
+
+
+@query("deseasonalised", f"""WITH {MONTHS}, y AS (SELECT *, {YEARS_OF} AS x FROM s), {fit_sql('y', 'n, m', SEASONS, ['c'])}
+SELECT epoch_id, n, m, {rr(f"c - b2_0 * {SEASONS[2]} - b3_0 * {SEASONS[3]} - b4_0 * {SEASONS[4]} - b5_0 * {SEASONS[5]}", 5)} AS c FROM y JOIN x6 USING (n, m)""")
 def _(spark, sf):
-    return timeseries.fit(*months(spark, sf), 1, [1.0, 0.5]).frame
+    return timeseries.deseasonalised(*months(spark, sf), 1).select("epoch_id", "n", "m", r("c", 5).alias("c"))
 
 
-@query("amplitude_phase")
+@query("fit_evaluated", f"""WITH {MONTHS}, y AS (SELECT *, {YEARS_OF} AS x FROM s), f AS (SELECT n, m, regr_slope(c, x) AS b, regr_intercept(c, x) AS a FROM y GROUP BY n, m),
+w AS (SELECT unnest([1, 2]) AS epoch_id, unnest([TIMESTAMP '1998-03-01', TIMESTAMP '2030-01-01']) AS ts),
+v AS (SELECT epoch_id, {YEARS_OF} AS x FROM w) SELECT CAST(epoch_id AS INT) AS epoch_id, n, m, {rr('a + b * x', 5)} AS c, epoch_id = 2 AS extrapolated FROM v, f""")
 def _(spark, sf):
-    return timeseries.fit(*months(spark, sf), 1, [1.0]).amplitude_phase(1.0)
+    """The trend at a date inside the series and at one after it."""
+    at = spark.sql("SELECT 1 AS epoch_id, TIMESTAMP_NTZ '1998-03-01' AS ts UNION ALL SELECT 2, TIMESTAMP_NTZ '2030-01-01'")
+    return timeseries.fit(*months(spark, sf), 1).evaluate(at).select("epoch_id", "n", "m", r("c", 5).alias("c"), "extrapolated")
 
 
 SIGMA = f"{0.2 * 365.25 * 86400.0!r}e0"
@@ -630,11 +891,14 @@ def _(spark, sf):
     return timeseries.outliers(carriers.days(spark, sf), most=1.5).select("epoch_id", r("z").alias("z"), "outlier")
 
 
-@query("cell_trends")
+@query("cell_trends", f"""WITH {YEARS}, t AS (SELECT epoch_id, CAST(lat * 0 + (lat + 85.0e0) / 10.0e0 * 36 + lon / 10.0e0 AS BIGINT) AS point_id, value, date_diff('second', TIMESTAMP '1970-01-01', make_timestamp(CAST(epoch_id AS BIGINT), 7, 1, 0, 0, 0.0)) * 1.0e0 AS sec FROM g),
+y AS (SELECT *, (sec - (SELECT (min(sec) + max(sec)) / 2.0e0 FROM t)) / {86400.0 * 365.25!r}e0 AS x, (SELECT count(DISTINCT epoch_id) FROM t) AS years FROM t),
+f AS (SELECT point_id, count(*) AS n_used, any_value(years) AS years, regr_intercept(value, x) AS a, regr_slope(value, x) AS b FROM y GROUP BY point_id)
+SELECT point_id, unnest(['const', 'trend']) AS term, unnest([CASE WHEN n_used = years THEN {rr('a', 5)} END, CASE WHEN n_used = years THEN {rr('b', 5)} END]) AS value, n_used FROM f""")
 def _(spark, sf):
     y = carriers.yearly_cells(spark, sf)
     epochs = y.select("epoch_id").distinct().withColumn("ts", F.make_date("epoch_id", F.lit(7), F.lit(1)).cast("timestamp_ntz"))
-    return timeseries.cell_fits(y, epochs, 1)
+    return rounded(timeseries.cell_fits(y, epochs, 1), 5, "value").select("point_id", "term", "value", "n_used")
 
 
 @query("epoch_stats", f"WITH {YEARS} SELECT epoch_id, count(*) AS n, {rr('min(value)')} AS low, {rr('max(value)')} AS high, {rr('sqrt(avg(value * value))')} AS rms FROM g GROUP BY epoch_id")

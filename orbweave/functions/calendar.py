@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Fixed pattern of monthly model file names.
 NAME = r"(?i)^([A-Za-z]{3})-?(\d*)_?(\d{4})(\d{3})-(\d{4})(\d{3})_([A-Z]{4})_([A-Z]{5})_([A-Z]{2}\d{2})_(\d{4})"
+#: Fixed pattern of the period in such a file's header.
 PERIOD = r"(\d{8})\s*-\s*(\d{8})"
 DAYS = 86400.0
 

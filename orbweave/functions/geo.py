@@ -58,6 +58,22 @@ def unknowns(nmax: Column) -> Column:
     return (nmax + 1) * (nmax + 1)
 
 
+def sine_unknowns(nmax: Column) -> Column:
+    """Of the unknowns those of sines, m > 0."""
+    return nmax * (nmax + 1) / 2
+
+
+def degree_and_order(place: Column, nmax: int) -> tuple[Column, Column]:
+    """n and m of a place in ``triangle_index``."""
+    m = F.floor((2 * nmax + 3 - F.sqrt((2 * nmax + 3) * (2 * nmax + 3) - 8.0 * place)) / 2.0 + 1e-9).cast("long")
+    return place - (m * F.lit(nmax + 1) - (m * (m - 1) / 2).cast("long")) + m, m
+
+
+def lat_step(lon_step: Column, lat: Column) -> Column:
+    """The step in latitude that is as long on the ground as a step in longitude is at a latitude."""
+    return lon_step * F.cos(F.radians(lat))
+
+
 def triangle_index(n: Column, m: Column, nmax: int) -> Column:
     """Place of (n, m) when orders come one after another, each by degree."""
     return m * F.lit(nmax + 1) - (m * (m - 1) / 2).cast("long") + (n - m)

@@ -48,6 +48,22 @@ def diagnose(coeffs: DataFrame, points: int, coverage: float, tolerance: float =
     return row.select(F.lit(limit).cast("int").alias("sampling_nmax"), "power_nmax", shape.alias("shape"))
 
 
+def describe(coeffs: DataFrame, points: int, coverage: float, tolerance: float = 0.01) -> str:
+    """The three limits of the degree, as text: what truncation loses, what the points allow, and how many degrees of
+    freedom the region holds."""
+    table = truncation_table(coeffs).orderBy("n").collect()
+    row, top = diagnose(coeffs, points, coverage, tolerance).first(), table[-1]["n"]
+    out = ["degree  kept power  error       half wave (km)"]
+    out += [f"{r['n']:>6}  {r['retained']:>9.4%}  {r['error']:<10.4e}  {r['resolution_km']:.1f}" for r in table]
+    out.append(f"an error of {tolerance:.2%} needs degree {row['power_nmax']}" + (", the highest here: the field may reach further" if row["power_nmax"] == top else ""))
+    out.append("the points say nothing of the degree" if row["sampling_nmax"] is None else f"{points} points on {coverage:.4g} of the sphere allow degree {row['sampling_nmax']}")
+    if coverage < 0.999:
+        shannon = (top + 1) ** 2 * coverage
+        out.append(f"the region holds {shannon:.4g} of the {(top + 1) ** 2} unknowns; one is reached at degree {max(0, round(coverage**-0.5 - 1)) if coverage > 0 else 'none'}")
+    out.append({"flat": "the spectrum is flat: truncation loses evenly", "red": "the spectrum falls steeply: low degrees carry the field"}.get(row["shape"], "the spectrum is neither flat nor steep"))
+    return "\n".join(out)
+
+
 def warnings(row: dict) -> list[str]:
     """Remarks on one report row with the keys coverage, method, gram_deviation, c00, dc_mean, residual_rms, data_rms,
     condition_number, n_points, nmax; missing ones are passed over."""

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orbweave.functions.calendar import DAYS, date_of, decimal_year, name_fields, seconds
+from orbweave.functions.calendar import DAYS, date_of, decimal_year, name_fields, numeric_time, seconds
 
 MONTH_DAYS = 31.0
 
@@ -81,6 +83,82 @@ def from_index(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).select(F.col("id").cast("int").alias("epoch_id"), F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit("index").alias("kind"))
 
 
+def axis_from(spark: SparkSession, values, units: str | None = None) -> DataFrame | None:
+    """epochs (epoch_id, ts, kind, note) of whatever says when they are: an epoch table, a dictionary with values and
+    units, dates or texts of dates, numbers with units (seconds to days since a date), or numbers alone, which give an
+    axis without dates. Units without a fixed length give such an axis as well, with a note; texts that are no dates, and
+    nothing, give none."""
+    if isinstance(values, DataFrame):
+        return values
+    if isinstance(values, dict):
+        values, units = values.get("values"), values.get("units", units)
+    if values is None:
+        return None
+    values = list(values)
+    kinds = {type(v) for v in values}
+    schema = "epoch_id int, ts timestamp_ntz, kind string, note string"
+    if values and all(isinstance(v, (dt.date, dt.datetime)) for v in values):
+        rows = [(k, v if isinstance(v, dt.datetime) else dt.datetime.combine(v, dt.time()), "datetime", None) for k, v in enumerate(values)]
+        return spark.createDataFrame(rows, schema)
+    if kinds == {str}:
+        try:
+            return spark.createDataFrame([(k, dt.datetime.fromisoformat(_whole_date(v)), "datetime", None) for k, v in enumerate(values)], schema)
+        except ValueError:
+            return None
+    note = "only their order is known"
+    if units is not None:
+        try:
+            rows = spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)], "epoch_id int, v double")
+            return rows.select("epoch_id", numeric_time(F.col("v"), units).alias("ts"), F.lit("datetime").alias("kind"), F.lit(None).cast("string").alias("note"))
+        except ValueError as e:
+            note = str(e)
+    return from_index(spark, len(values)).withColumn("note", F.lit(note))
+
+
+def _whole_date(text: str) -> str:
+    text = text.strip().removesuffix("Z")
+    parts = text.split("-")
+    return "-".join([parts[0], *[p.zfill(2) for p in parts[1:]], *["01"] * (3 - len(parts))]) if len(parts) < 3 else text
+
+
+def to_dict(epochs: DataFrame) -> dict:
+    """An epoch table as plain values: kind, seconds since 1970 (none without a date), hints of decimal years, labels."""
+    rows = epochs.orderBy("epoch_id").collect()
+    has = lambda c: c in epochs.columns
+    zero = dt.datetime(1970, 1, 1)
+    return {
+        "kind": rows[0]["kind"] if rows and has("kind") else "datetime", "epoch_id": [r["epoch_id"] for r in rows],
+        "values_s": [None if r["ts"] is None else int((r["ts"] - zero).total_seconds()) for r in rows],
+        "decimal_year_hint": [r["decimal_year"] for r in rows] if has("decimal_year") else None, "labels": [r["label"] for r in rows] if has("label") else None,
+    }
+
+
+def from_dict(spark: SparkSession, d: dict) -> DataFrame:
+    """The table of ``to_dict``."""
+    n = len(d["values_s"])
+    ids, hints, labels = d.get("epoch_id") or range(n), d.get("decimal_year_hint") or [None] * n, d.get("labels") or [None] * n
+    zero = dt.datetime(1970, 1, 1)
+    rows = [(int(e), None if v is None else zero + dt.timedelta(seconds=v), d.get("kind", "datetime"), label, hint) for e, v, label, hint in zip(ids, d["values_s"], labels, hints)]
+    return spark.createDataFrame(rows, "epoch_id int, ts timestamp_ntz, kind string, label string, decimal_year double")
+
+
+def with_times(coeffs: DataFrame, epochs: DataFrame) -> DataFrame:
+    """coeffs with ts of their epochs; it is an error if the table lacks one of them or names one twice."""
+    have = coeffs.select("epoch_id").distinct()
+    if have.join(epochs, "epoch_id", "left_anti").take(1):
+        raise ValueError("an epoch of the series has no row in the epoch table")
+    if epochs.groupBy("epoch_id").count().where("count > 1").take(1):
+        raise ValueError("the epoch table names an epoch twice")
+    return coeffs.join(epochs.select("epoch_id", "ts"), "epoch_id")
+
+
+def conflicts(files: DataFrame, most_days: float = 1.0) -> DataFrame:
+    """Of files with two dates, by_name and by_header, those that differ by more than a day: file, by_name, by_header,
+    days."""
+    days = F.abs(seconds(F.col("by_name")) - seconds(F.col("by_header"))) / DAYS
+    return files.withColumn("days", days).where(F.col("days") > most_days).select("file", "by_name", "by_header", "days")
+
+
 def from_labels(labels: DataFrame) -> DataFrame:
     """epochs of (epoch_id, label) with labels YYYY, YYYY-MM, YYYY-MM-DD or a time of day; others are an error."""
     text = F.trim("label")
@@ -101,7 +179,7 @@ def legacy_table(epochs: DataFrame) -> DataFrame:
 
 
 def select_files(files: DataFrame, product: str | None = None, mission: str | None = None, center: str | None = None, rl: str | None = None, strict: bool = False) -> DataFrame:
-    """Files by the parts of their names. strict: a file that doesn't fit is an error."""
+    """Files by the parts of their names. strict, for files that were listed one by one: one that doesn't fit is an error."""
     keep = F.lit(True)
     for col, value in (("product", product), ("mission", mission), ("center", center), ("rl", rl)):
         if value is not None:

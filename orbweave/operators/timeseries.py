@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbweave.functions.calendar import DAYS, seconds
@@ -32,17 +32,22 @@ def anomaly(coeffs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
 
 @dataclass
 class Fit:
-    """terms: names; tref: seconds of the reference time; frame: term, n, m, c, s; solve: term, epoch_id, h; design:
-    term, epoch_id, x; cond and rank of the design; notes."""
+    """terms: names; tref: seconds of the reference time; span: seconds of the first and last epoch fitted; frame: term, n,
+    m, c, s; solve: term, epoch_id, h; design: term, epoch_id, x; cond and rank of the design; notes; used and excluded
+    epochs; coeffs: the series."""
 
     terms: list[str]
     tref: float
+    span: tuple[float, float]
     frame: DataFrame
     solve: DataFrame
     design: DataFrame
     cond: float
     rank: int
     notes: list[str]
+    used: list[int]
+    excluded: list[int]
+    coeffs: DataFrame
 
     def term(self, name: str) -> DataFrame:
         return self.frame.where(F.col("term") == name).select("n", "m", "c", "s")
@@ -64,6 +69,51 @@ class Fit:
         return self.frame.join(use, "term").groupBy("epoch_id", "n", "m").agg(*[F.sum(F.col(x) * F.col("x")).alias(x) for x in ("c", "s")])
 
 
+    def evaluate(self, at: DataFrame) -> DataFrame:
+        """epoch_id, n, m, c, s, extrapolated: the fitted terms at the dates of at (epoch_id, ts), which may lie outside the
+        span that was fitted. Terms from extra columns are taken from columns of at with their names."""
+        years = (seconds(F.col("ts")) - self.tref) / (DAYS * YEAR)
+        x = {name: _term(name, years) for name in self.terms}
+        out = (seconds(F.col("ts")) < self.span[0] - 1e-3) | (seconds(F.col("ts")) > self.span[1] + 1e-3)
+        parts = F.explode(F.array(*[F.struct(F.lit(k).alias("term"), v.cast("double").alias("x")) for k, v in x.items()])).alias("t")
+        rows = at.select("epoch_id", out.alias("extrapolated"), parts).select("epoch_id", "extrapolated", "t.term", "t.x")
+        sums = [F.sum(F.col(v) * F.col("x")).alias(v) for v in ("c", "s")]
+        return rows.join(self.frame, "term").groupBy("epoch_id", "n", "m").agg(*sums, F.first("extrapolated").alias("extrapolated"))
+
+    def summary(self) -> str:
+        """What the fit is worth, as text."""
+        left = anomaly_reduction(self.coeffs.where(F.col("epoch_id").isin(self.used)), self)
+        row = left.agg(F.median("residual_rms").alias("mid"), F.max("residual_rms").alias("most"), F.sqrt(F.avg(F.col("anomaly_rms") ** 2)).alias("anomaly"), F.sqrt(F.avg(F.col("residual_rms") ** 2)).alias("rest")).first()
+        gone = f" (without {self.excluded[:6]})" if self.excluded else ""
+        share = f"{100 * (1 - row['rest'] / row['anomaly']):.1f} %" if row["anomaly"] else "nothing"
+        lines = [
+            f"terms: {', '.join(self.terms)}", f"epochs: {len(self.used)} of {len(self.used) + len(self.excluded)}{gone}",
+            f"design: condition number {self.cond:.3g}, rank {self.rank} of {len(self.terms)}",
+            f"residual RMS: median {row['mid']:.6g}, most {row['most']:.6g}", f"anomaly RMS: {row['anomaly']:.6g}, of which the terms explain {share}",
+        ]
+        return "\n".join(lines + [f"note: {x}" for x in self.notes])
+
+
+def _term(name: str, years: Column) -> Column:
+    """A term as a function of the years from the reference time."""
+    if name in ("const", "trend"):
+        return F.lit(1.0) if name == "const" else years
+    if name.startswith("poly") and name[4:].isdigit():
+        return F.pow(years, F.lit(int(name[4:])))
+    for wave, f in (("cos", F.cos), ("sin", F.sin)):
+        if name.startswith(wave) and _number(name[3:]):
+            return f(years * (2 * np.pi / float(name[3:])))
+    return F.col(name)
+
+
+def _number(x: str) -> bool:
+    try:
+        float(x)
+    except ValueError:
+        return False
+    return True
+
+
 def _name(period: float) -> str:
     return f"{period:g}"
 
@@ -112,22 +162,32 @@ def _tables(spark, ids: np.ndarray, terms: list[str], x: np.ndarray, h: np.ndarr
     return long(h, "h"), long(x.T, "x")
 
 
-def fit(coeffs: DataFrame, epochs: DataFrame, order: int = 1, periods: list[float] | None = None, weights: DataFrame | None = None, keep: list[int] | None = None) -> Fit:
+def fit(
+    coeffs: DataFrame, epochs: DataFrame, order: int = 1, periods: list[float] | None = None, weights: DataFrame | None = None, keep: list[int] | None = None,
+    extra: DataFrame | None = None,
+) -> Fit:
     """Least squares of polynomial and periodic terms (periods in years) over the epochs that are kept and not missing.
-    An epoch that is missing in part is an error."""
+    extra: further terms as columns beside epoch_id, with a number for every epoch. An epoch with nulls or NaN in part is
+    an error; coefficients without a row count as 0, as they do everywhere."""
     odd = coeffs.groupBy("epoch_id").agg(F.count_if(F.isnan("c") | F.col("c").isNull()).alias("bad"), F.count("*").alias("n"))
     state = odd.toPandas()
     if ((state["bad"] > 0) & (state["bad"] < state["n"])).any():
         raise ValueError("an epoch lacks some of its coefficients")
     good = set(state.loc[state["bad"] == 0, "epoch_id"]) & (set(keep) if keep is not None else set(state["epoch_id"]))
     rows = epochs.select("epoch_id", seconds(F.col("ts")).alias("sec"))
-    rows = (rows.join(weights.select("epoch_id", "w"), "epoch_id") if weights is not None else rows.withColumn("w", F.lit(1.0))).orderBy("epoch_id").toPandas()
+    rows = rows.join(weights.select("epoch_id", "w"), "epoch_id") if weights is not None else rows.withColumn("w", F.lit(1.0))
+    names = [c for c in extra.columns if c != "epoch_id"] if extra is not None else []
+    rows = (rows.join(extra, "epoch_id", "left") if names else rows).orderBy("epoch_id").toPandas()
+    if names and not np.isfinite(rows[names].to_numpy(float)).all():
+        raise ValueError("an extra term has no number for some epoch")
     rows.loc[~rows["epoch_id"].isin(good), "w"] = 0.0
-    terms, tref, x, h, cond, rank, notes = operator(rows, order, periods or [])
+    terms, tref, x, h, cond, rank, notes = operator(rows, order, periods or [], {c: rows[c].to_numpy(float) for c in names})
     solve, design = _tables(coeffs.sparkSession, rows["epoch_id"].to_numpy(), terms, x, h)
     use = coeffs.where(F.col("epoch_id").isin([int(e) for e in good]))
     frame = use.join(solve, "epoch_id").groupBy("term", "n", "m").agg(*[F.sum(F.col(v) * F.col("h")).alias(v) for v in ("c", "s")])
-    return Fit(terms, tref, frame, solve, design, cond, rank, notes)
+    used = rows["w"] > 0
+    ids, sec = rows["epoch_id"].astype(int), rows["sec"]
+    return Fit(terms, tref, (float(sec[used].min()), float(sec[used].max())), frame, solve, design, cond, rank, notes, ids[used].tolist(), ids[~used].tolist(), coeffs)
 
 
 def detrended(coeffs: DataFrame, epochs: DataFrame, order: int = 1, periods: list[float] | None = None) -> DataFrame:

@@ -30,6 +30,11 @@ def yearly_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(spark, sf_dir, F.year("l_shipdate").alias("epoch_id"))
 
 
+def monthly_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells by month (months since year 0). On small tables months lack cells, each others."""
+    return cells(spark, sf_dir, (F.year("l_shipdate") * 12 + F.month("l_shipdate") - 1).alias("epoch_id"))
+
+
 def months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coefficient-like monthly series of order lines: epoch_id (months since year 0), ts (first of the month), n, m, c, s:
     mean quantity and discount by n = part key mod 3 and m = order key mod (n + 1); s is 0 where m is."""
