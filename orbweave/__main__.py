@@ -1,10 +1,14 @@
-"""python -m orbweave COMMAND ...: the operators on files. Tables are Parquet folders unless a command reads text."""
+"""python -m orbweave COMMAND ...: the operators on files. Tables are Parquet folders unless a command reads text.
+
+Exit codes: 0 done, 1 an error inside, 2 a wrong option, file or value, 130 interrupted.
+"""
 
 from __future__ import annotations
 
 import argparse
 import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +18,26 @@ from orbweave.sources import readers, writers
 
 
 def points_of(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    p = readers.read_surfer(spark, a.input) if a.input.endswith(".grd") else readers.read_points(spark, a.input)
-    return p if "point_id" in p.columns else p.withColumn("point_id", F.monotonically_increasing_id())
+    sigma = getattr(a, "sigma_col", None)
+    if a.input.endswith(".grd"):
+        p = readers.read_surfer(spark, a.input)
+        return p.withColumn("point_id", F.xxhash64("ilat", "ilon"))
+    return readers.read_points(spark, a.input, sigma=sigma)
+
+
+def weighed(points: DataFrame, spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """points with weights by the rule, or those of a file for the rule user: its last column, row by row by place."""
+    if a.rule != "user":
+        return weights.weigh(points, a.rule, getattr(a, "normalise", "auto"))
+    if not getattr(a, "weights", None):
+        raise ValueError("--rule user needs --weights FILE")
+    w = readers.read_points(spark, a.weights, value=-1).groupBy("lat", "lon").agg(F.first("value").alias("w"))
+    table = points.select("point_id", "lat", "lon").distinct().join(w, ["lat", "lon"]).select("point_id", "w")
+    return weights.weigh(points, "user", getattr(a, "normalise", "auto"), user=table)
+
+
+def love_of(spark: SparkSession, a: argparse.Namespace) -> DataFrame | None:
+    return readers.read_love(spark, a.love) if getattr(a, "love", None) else None
 
 
 def coeffs_of(spark: SparkSession, path: str) -> DataFrame:
@@ -38,21 +60,30 @@ def prepared(x: DataFrame, a: argparse.Namespace) -> DataFrame:
         x = coeffs.without_mean(x)
     if a.gaussian_km:
         x = coeffs.smoothed(x, a.gaussian_km, top(x))
-    return units.convert(x, a.field_unit, a.target_unit or a.field_unit)
+    x = units.convert(x, a.field_unit, a.target_unit or a.field_unit, love_of(x.sparkSession, a))
+    return coeffs.scaled(x, {"m": 1.0, "mm": 1000.0}[a.out_units])
 
 
 def weigh(spark, a):
-    w = weights.weigh(points_of(spark, a), a.rule, a.normalise)
+    w = weighed(points_of(spark, a), spark, a)
     w.write.parquet(a.out)
-    weights.report(w).show(truncate=False)
+    row = weights.report(w).first().asDict()
+    print(writers.report_markdown(row), *weights.notes(row), sep="\n")
 
 
 def analyze(spark, a):
-    w = weights.weigh(points_of(spark, a), a.rule)
-    how = {k: v for k, v in (("reg", a.reg), ("alpha", a.alpha)) if v is not None} if a.method == "wlsq" else {"tau": a.tau, "steps": a.niter}
+    w = weighed(points_of(spark, a), spark, a)
+    how = {"tau": a.tau, "steps": a.niter, "reg": a.reg, "alpha": a.alpha, "sigma": "sigma" if a.sigma_col else None}
+    if a.method != "auto":
+        how = {k: v for k, v in how.items() if k in analysis.OPTIONS.get(a.method, ())}
+    a.target_unit = a.target_unit or a.field_unit
     x, method = analysis.analyse(w, a.nmax, a.method, a.longitude_fft, **how)
     row = report.report_row(w, x, a.nmax, method, a.rule)
-    writers.save(a.out, units.convert(x, a.field_unit, "geopotential") if a.field_unit not in units.ABSTRACT else x, row)
+    row["weight_notes"] = weights.notes(weights.report(w).first().asDict())
+    row |= {"field_unit": a.field_unit, "forward_formula": f"C = a / f, f = {units.formula(a.field_unit)}", "inverse_formula": f"field = C f, f = {units.formula(a.target_unit)}"}
+    if a.field_unit != a.target_unit:
+        units.require_convertible(a.field_unit, a.target_unit)
+    writers.save(a.out, units.canonical(x, a.field_unit, love_of(spark, a)), row)
     print(writers.report_markdown(row))
 
 
@@ -65,6 +96,7 @@ def synth(spark, a):
 def roundtrip(spark, a):
     truth = spark.createDataFrame([(0, n, m, 1.0 / (n + 1) ** 2, 0.5 * (m > 0) / (n + 1) ** 2) for n in range(a.nmax + 1) for m in range(n + 1)], analysis.COEFFS)
     p = geo.fibonacci(spark.range(a.npoints).withColumnRenamed("id", "point_id"), "point_id", a.npoints)
+    truth = truth.withColumn("c", F.col("c") * (1.0 + 0.1 * F.sin(F.lit(float(a.seed)) * (F.col("n") + 1)))) if a.seed else truth
     w = weights.uniform(synthesis.synthesise(p, truth, a.nmax))
     x, method = analysis.analyse(w, a.nmax, a.method)
     d = coeffs.combine(x, truth, -1)
@@ -82,28 +114,42 @@ def info(spark, a):
 
 def nmax(spark, a):
     x = coeffs_of(spark, a.input)
-    spectrum.truncation_table(x).orderBy("n").show(500)
-    spectrum.diagnose(x, a.npoints, a.coverage, a.tol).show()
+    print(spectrum.describe(x, a.npoints, a.coverage, a.tol))
 
 
 def series_read(spark, a):
     keep = {k: v for k, v in (("product", a.product), ("mission", a.mission), ("center", a.center), ("rl", a.rl)) if v}
-    x, e = readers.read_series(spark, a.input, a.nmax, a.strict_nmax, a.epoch_from, a.on_duplicate, **keep)
+    paths = readers.read_manifest(spark, a.input) if a.input.endswith(".txt") else a.input
+    x, e = readers.read_series(spark, paths, a.nmax, a.strict_nmax, a.epoch_from, a.on_duplicate, a.sort, a.on_missing, **keep)
     x.write.parquet(f"{a.out}/coeffs")
     e.write.parquet(f"{a.out}/epochs")
 
 
 def analyze_series(spark, a):
-    w = weights.weigh(points_of(spark, a).where("value is not null"), a.rule)
-    x = analysis.quadrature(w, a.nmax)
+    p = points_of(spark, a)
+    if a.epochs:
+        first, _, end = a.epochs.partition(":")
+        p = p.where(F.col("epoch_id") >= int(first or 0))
+        p = p.where(F.col("epoch_id") < int(end)) if end else p
+    w = weighed(p, spark, a)
+    if a.method == "quadrature":
+        x, plan = analysis.quadrature_planned(w, a.nmax, a.longitude_fft)
+        print(f"longitudes: {plan.path}, {plan.reason}")
+    else:
+        x, plan = analysis.analyse(w, a.nmax, a.method, a.longitude_fft)[0], None
+    if a.gaussian_km:
+        x = coeffs.smoothed(x, a.gaussian_km, a.nmax)
+    x = coeffs.held(units.canonical(x, a.field_unit, love_of(spark, a)))
     x.write.parquet(f"{a.out}/coeffs")
-    report.series_report(w, x, a.nmax).write.csv(f"{a.out}/epochs", header=True)
+    if a.report_fit:
+        fitted = units.convert(x, "geopotential", a.field_unit, love_of(spark, a)) if a.field_unit not in units.ABSTRACT else x
+        report.series_report(w, fitted, a.nmax, plan).write.csv(f"{a.out}/epochs", header=True)
 
 
 def timefit(spark, a):
     f = timeseries.fit(coeffs_of(spark, f"{a.input}/coeffs"), epochs_of(spark, f"{a.input}/epochs"), a.poly_order, a.periods)
     f.frame.write.parquet(a.out)
-    print(f"condition number {f.cond:.3g}", *f.notes, sep="; ")
+    print(f.summary())
 
 
 def time_filter(spark, a):
@@ -123,7 +169,8 @@ def series_points(spark, a):
 
 def basin_average(spark, a):
     x = prepared(coeffs_of(spark, f"{a.input}/coeffs"), a)
-    p = weights.weigh(points_of(spark, argparse.Namespace(input=a.points)).select("point_id", "lat", "lon").distinct(), a.rule).withColumn("basin", F.lit("basin"))
+    p = points_of(spark, argparse.Namespace(input=a.points)).select("point_id", "lat", "lon").distinct()
+    p = weighed(p, spark, a).withColumn("basin", F.lit("basin"))
     timeseries.basin_average(synthesis.over_epochs(p, x, top(x))).orderBy("epoch_id").write.csv(a.out, header=True)
 
 
@@ -141,33 +188,43 @@ def parser() -> argparse.ArgumentParser:
         for flag, how in options:
             p.add_argument(flag, **how)
 
-    n, rule = ("--nmax", {"type": int, "default": 20}), ("--rule", {"default": "auto"})
-    unit = [("--field-unit", {"default": "scalar"}), ("--target-unit", {}), ("--gaussian-km", {"type": float, "default": 0.0}), ("--drop-c00", {"action": "store_true"}), ("--remove-time-mean", {"action": "store_true"})]
+    n, rule = ("--nmax", {"type": int, "default": 20}), ("--rule", {"default": "auto", "choices": weights.RULES})
+    given, love, longitude = ("--weights", {}), ("--love", {}), ("--longitude-fft", {"default": "auto", "choices": ("auto", "fft", "direct")})
+    in_unit, out_unit = ("--field-unit", {"default": "scalar", "choices": units.UNITS}), ("--target-unit", {"choices": units.UNITS})
+    unit = [in_unit, out_unit, love, ("--out-units", {"default": "m", "choices": ("m", "mm")}), ("--gaussian-km", {"type": float, "default": 0.0}), ("--drop-c00", {"action": "store_true"}), ("--remove-time-mean", {"action": "store_true"})]
     step, points = ("--step", {"type": float, "default": 1.0}), ("--points", {})
-    command("weights", weigh, rule, ("--normalise", {"default": "auto"}))
-    command("analyze", analyze, n, rule, ("--method", {"default": "auto"}), ("--tau", {"type": float}), ("--niter", {"type": int, "default": 3}), ("--reg", {}), ("--alpha", {"type": float}), ("--longitude-fft", {"default": "auto"}), ("--field-unit", {"default": "scalar"}))
+    command("weights", weigh, rule, given, ("--normalise", {"default": "auto"}))
+    command("analyze", analyze, n, rule, given, love, longitude, in_unit, out_unit, ("--method", {"default": "auto"}), ("--tau", {"type": float}), ("--niter", {"type": int}), ("--reg", {}), ("--alpha", {"type": float}), ("--sigma-col", {}))
     command("synth", synth, step, points, *unit)
-    command("roundtrip", roundtrip, n, ("--npoints", {"type": int, "default": 3000}), ("--method", {"default": "auto"}), out=False, source=False)
+    command("roundtrip", roundtrip, n, ("--npoints", {"type": int, "default": 3000}), ("--seed", {"type": int, "default": 0}), ("--method", {"default": "auto"}), out=False, source=False)
     command("glq-grid", glq_grid, n, source=False)
     command("info", info, out=False)
     command("nmax", nmax, ("--npoints", {"type": int, "required": True}), ("--coverage", {"type": float, "default": 1.0}), ("--tol", {"type": float, "default": 0.01}), out=False)
-    command("series-read", series_read, ("--nmax", {"type": int}), ("--product", {"default": "GSM"}), ("--mission", {}), ("--center", {}), ("--rl", {}), ("--strict-nmax", {"action": "store_true"}), ("--epoch-from", {"default": "auto"}), ("--on-duplicate", {"default": "error"}))
-    command("analyze-series", analyze_series, n, rule)
+    command("series-read", series_read, ("--nmax", {"type": int}), ("--product", {"default": "GSM"}), ("--mission", {}), ("--center", {}), ("--rl", {}), ("--strict-nmax", {"action": "store_true"}), ("--epoch-from", {"default": "auto"}), ("--on-duplicate", {"default": "error"}), ("--sort", {"default": "time", "choices": ("time", "name", "none")}), ("--on-missing", {"default": "warn", "choices": ("ignore", "warn", "error")}))
+    command("analyze-series", analyze_series, n, rule, given, love, longitude, in_unit, ("--method", {"default": "quadrature"}), ("--epochs", {}), ("--report-fit", {"action": "store_true"}), ("--gaussian-km", {"type": float, "default": 0.0}))
     command("timefit", timefit, ("--poly-order", {"type": int, "default": 1}), ("--periods", {"type": float, "nargs": "*", "default": [1.0]}))
     command("time-filter", time_filter, ("--sigma", {"type": float, "required": True}), ("--truncate", {"type": float, "default": 4.0}))
     command("series-grid", series_grid, step, *unit)
     command("series-points", series_points, ("--points", {"required": True}), *unit)
-    command("basin-average", basin_average, ("--points", {"required": True}), rule, *unit)
+    command("basin-average", basin_average, ("--points", {"required": True}), rule, given, *unit)
     return top_level
 
 
 def main(argv: list[str] | None = None) -> int:
-    a = parser().parse_args(argv)
+    try:
+        a = parser().parse_args(argv)
+    except SystemExit as e:
+        return int(e.code or 0)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
         a.run(spark, a)
-    except ValueError as e:
+    except KeyboardInterrupt:
+        return 130
+    except (ValueError, FileNotFoundError, AnalysisException) as e:
         print(e, file=sys.stderr)
+        return 2
+    except Exception as e:  # noqa: BLE001  said in one line, as all the others
+        print(f"{type(e).__name__}: {e}", file=sys.stderr)
         return 1
     return 0
 

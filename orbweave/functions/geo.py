@@ -69,9 +69,9 @@ def degree_and_order(place: Column, nmax: int) -> tuple[Column, Column]:
     return place - (m * F.lit(nmax + 1) - (m * (m - 1) / 2).cast("long")) + m, m
 
 
-def lat_step(lon_step: Column, lat: Column) -> Column:
-    """The step in latitude that is as long on the ground as a step in longitude is at a latitude."""
-    return lon_step * F.cos(F.radians(lat))
+def equivalent_lat_step(mean_weight: Column) -> Column:
+    """The latitude (degrees) at which a cell of one degree by one has this mean weight; 0 for larger ones, null for none."""
+    return F.when(mean_weight > 0, F.degrees(F.acos(F.least(F.lit(1.0), mean_weight / F.lit(0.017453292519943295**2)))))
 
 
 def triangle_index(n: Column, m: Column, nmax: int) -> Column:

@@ -492,9 +492,11 @@ def projection(weighted: DataFrame, nmax: int, tau: float | None = None) -> Data
     return to_coeffs(weighted.sparkSession, nmax, solved)
 
 
-def residuals(weighted: DataFrame, coeffs: DataFrame, nmax: int) -> DataFrame:
-    """By epoch, over the measured points: n_points, data_rms, residual_rms, residual_rms_weighted, dc_mean, total weight."""
-    both = synthesise(measured(weighted), coeffs, nmax, out="fitted")
+def residuals(weighted: DataFrame, coeffs: DataFrame, nmax: int, plan: planner.LongitudePlan | None = None) -> DataFrame:
+    """By epoch, over the measured points: n_points, data_rms, residual_rms, residual_rms_weighted, dc_mean, total weight.
+    plan: that of the quadrature; where it went by FFT, so does the synthesis."""
+    circle = (plan.first_lon, plan.nlon) if plan is not None and plan.path == "fft" else None
+    both = synthesise(measured(weighted), coeffs, nmax, out="fitted", circle=circle)
     d = F.col("value") - F.col("fitted")
     return both.groupBy("epoch_id").agg(
         F.count("*").alias("n_points"), F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("data_rms"), F.sqrt(F.avg(d * d)).alias("residual_rms"),

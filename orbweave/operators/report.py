@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from orbweave.functions.geo import FOUR_PI, MEAN_RADIUS_KM
 from orbweave.operators import analysis, spectrum
 from orbweave.operators.timeseries import outliers
+from orbweave.plans.planner import LongitudePlan
 
 
 def report_row(weighted: DataFrame, coeffs: DataFrame, nmax: int, method: str, rule: str = "", extra: dict | None = None) -> dict:
@@ -30,9 +31,9 @@ def report_row(weighted: DataFrame, coeffs: DataFrame, nmax: int, method: str, r
     return out | {"warnings": spectrum.warnings(out)}
 
 
-def series_report(weighted: DataFrame, coeffs: DataFrame, nmax: int) -> DataFrame:
+def series_report(weighted: DataFrame, coeffs: DataFrame, nmax: int, plan: LongitudePlan | None = None) -> DataFrame:
     """epoch_id, n_points, data_rms, c00, dc_mean, coverage, residual_rms, fit_rmse_rel, z and outlier (of c00)."""
-    r = analysis.residuals(weighted, coeffs, nmax)
+    r = analysis.residuals(weighted, coeffs, nmax, plan)
     c00 = coeffs.where("n = 0").select("epoch_id", F.col("c").alias("c00"))
     out = r.join(c00, "epoch_id").select(
         "epoch_id", "n_points", "data_rms", "c00", "dc_mean", (F.col("weight_sum") / F.lit(FOUR_PI)).alias("coverage"), "residual_rms",

@@ -44,16 +44,22 @@ def _mapped(points: DataFrame, names: list[str], run, nmax: int) -> DataFrame:
     return points.mapInArrow(each, StructType([*points.schema.fields, *[StructField(n, DoubleType()) for n in names]]))
 
 
-def synthesise(points: DataFrame, coeffs: DataFrame, nmax: int, out: str = "value") -> DataFrame:
+def synthesise(points: DataFrame, coeffs: DataFrame, nmax: int, out: str = "value", circle: tuple[float, int] | None = None) -> DataFrame:
     """points (lat, lon and, for series, epoch_id) with the field. Without epoch_id the coefficients are one set.
-    Points of an epoch without coefficients get null."""
+    Points of an epoch without coefficients get null. ``circle`` says that all longitudes are a first one plus whole steps
+    of a part of the circle: then each circle of latitude is one inverse FFT, of which the points take their places."""
     sets = _sets(coeffs, nmax)
     single = "epoch_id" not in points.columns or list(sets) == [0]
+    if circle is not None and circle[1] <= 2 * nmax:
+        raise ValueError(f"{circle[1]} longitudes don't resolve order {nmax}")
+
+    def epochs_of(b: pa.RecordBatch, n: int) -> np.ndarray:
+        return np.zeros(n, int) if single else b.column("epoch_id").to_numpy(zero_copy_only=False)
 
     def run(b: pa.RecordBatch) -> list[np.ndarray]:
         lat, lon = (b.column(c).to_numpy(zero_copy_only=False) for c in ("lat", "lon"))
         cos, sin = waves(lon, nmax)
-        epoch = np.zeros(len(lat), int) if single else b.column("epoch_id").to_numpy(zero_copy_only=False)
+        epoch = epochs_of(b, len(lat))
         at = {e: np.flatnonzero(epoch == e) for e in np.unique(epoch).tolist()}
         v = np.zeros(len(lat))
         for m, p in columns(lat, nmax):
@@ -66,7 +72,33 @@ def synthesise(points: DataFrame, coeffs: DataFrame, nmax: int, out: str = "valu
             v[np.concatenate(missing)] = np.nan
         return [v]
 
-    return _mapped(points, [out], run, nmax).withColumn(out, F.when(~F.isnan(out), F.col(out)))
+    def run_circles(b: pa.RecordBatch) -> list[np.ndarray]:
+        first_lon, nlon = circle
+        lat, lon = (b.column(c).to_numpy(zero_copy_only=False) for c in ("lat", "lon"))
+        epoch = epochs_of(b, len(lat))
+        at = np.rint((lon - first_lon) / (360.0 / nlon)).astype(np.int64) % nlon
+        order = np.lexsort((lat, epoch))
+        fresh = np.ones(len(lat), bool)
+        fresh[1:] = (lat[order][1:] != lat[order][:-1]) | (epoch[order][1:] != epoch[order][:-1])
+        heads = order[fresh]
+        lats, place = np.unique(lat[heads], return_inverse=True)
+        mine = {e: np.flatnonzero(epoch[heads] == e) for e in np.unique(epoch).tolist()}
+        z = np.zeros((len(heads), nlon // 2 + 1), complex)
+        for m, p in columns(lats, nmax):
+            turn = np.exp(1j * m * np.radians(first_lon)) / (1 if m == 0 else 2)
+            for e, rows in mine.items():
+                if e in sets:
+                    c, s = sets[e]
+                    z[rows, m] = ((c[m:, m] - 1j * s[m:, m]) @ p)[place[rows]] * turn
+        field = np.fft.irfft(z, nlon, axis=1) * nlon
+        for e, rows in mine.items():
+            if e not in sets:
+                field[rows] = np.nan
+        v = np.empty(len(lat))
+        v[order] = field[np.cumsum(fresh) - 1, at[order]]
+        return [v]
+
+    return _mapped(points, [out], run_circles if circle else run, nmax).withColumn(out, F.when(~F.isnan(out), F.col(out)))
 
 
 def over_epochs(points: DataFrame, coeffs: DataFrame, nmax: int, out: str = "value") -> DataFrame:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 import re
+import warnings
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbweave.functions.calendar import header_period, midpoint, name_fields
 from orbweave.functions.geo import wrapped
 
+#: Fixed names that columns of points go by.
 LAT_NAMES = ("lat", "latitude", "phi", "y", "纬度")
 LON_NAMES = ("lon", "long", "longitude", "lng", "lambda", "x", "经度")
 VALUE_NAMES = ("value", "val", "z", "data", "f", "obs", "值")
@@ -86,8 +88,8 @@ def _value(k: int) -> Column:
 
 
 def read_points(spark: SparkSession, path: str, lat: str | int | None = None, lon: str | int | None = None, value: str | int | None = None, sigma: str | int | None = None) -> DataFrame:
-    """point_id, lat, lon, epoch_id, label, value [, sigma]: one row for each point and epoch. Columns named like dates are
-    epochs. Without names the first three columns are lon, lat, value. Rows without finite coordinates are left out."""
+    """point_id, lat, lon, epoch_id, label, value [, sigma]: one row for each point and epoch. point_id is a hash of what the
+    row says, so that it is the same however the file is split. Columns named like dates are epochs. Without names the first three columns are lon, lat, value. Rows without finite coordinates are left out."""
     rows, names = _rows(spark, path)
     i, j = resolve(names, lat, LAT_NAMES), resolve(names, lon, LON_NAMES)
     j = 0 if j is None else j
@@ -99,7 +101,10 @@ def read_points(spark: SparkSession, path: str, lat: str | int | None = None, lo
     use = epochs if value is None and len(epochs) > 1 and look_like_dates([names[x] for x in epochs]) else [k if k is not None else rest[0]]
     out = rows.select(_value(i).alias("lat"), _value(j).alias("lon"), *([_value(s).alias("sigma")] if s is not None else []), F.array(*[_value(x) for x in use]).alias("v"))
     out = out.where("lat between -90 and 90 and lon is not null and not isnan(lat) and not isnan(lon)")
-    out = out.withColumn("point_id", F.monotonically_increasing_id()).withColumn("lon", wrapped(F.col("lon")))
+    out = out.withColumn("lon", wrapped(F.col("lon")))
+    # one id for each row, whatever the layout of the file: rows alike in everything are numbered
+    same = Window.partitionBy("lat", "lon", "v").orderBy(F.lit(0))
+    out = out.withColumn("_k", F.row_number().over(same)).withColumn("point_id", F.xxhash64("lat", "lon", F.col("v").cast("string"), "_k")).drop("_k")
     label = F.element_at(F.array(*[F.lit(names[x]) for x in use]), F.col("epoch_id") + 1)
     keep = ["point_id", "lat", "lon"] + (["sigma"] if s is not None else [])
     return out.select(*keep, F.posexplode("v").alias("epoch_id", "value")).withColumn("label", label)
@@ -155,6 +160,34 @@ def read_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return text.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), start.alias("start"), last.alias("last"))
 
 
+def read_meta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """file, key, value of the fields in headers: lines before end_of_head of model files, and lines that start with # of
+    triangles, each as a name and the rest, parted by white space, a colon or an equals sign."""
+    text = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", BOM, "").alias("value"))
+    model = F.substring_index("value", "end_of_head", 1)
+    lines = F.when(F.contains("value", F.lit("end_of_head")), F.split(model, r"\r?\n")).otherwise(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x).startswith("#")))
+    rows = text.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.explode(lines).alias("line"))
+    form = r"^[#\s]*([A-Za-z_][\w.]*)\s*[:=\s]\s*(.+?)\s*$"
+    return rows.where(F.col("line").rlike(form)).select("file", F.lower(F.regexp_extract("line", form, 1)).alias("key"), F.regexp_extract("line", form, 2).alias("value"))
+
+
+def read_field_series(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | None]:
+    """(fields, epochs) as ``writers.write_field`` leaves them: epoch_id, lat, lon in 0..360, value. A filter on epoch_id
+    opens the folders of these epochs alone. Without an epoch table epochs are none."""
+    field = spark.read.parquet(path).select("epoch_id", "lat", wrapped(F.col("lon")).alias("lon"), F.col("value").cast("double").alias("value"))
+    beside = f"{path.rstrip('/')}-epochs"
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(beside)
+    return field, spark.read.parquet(beside) if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
+
+
+def read_manifest(spark: SparkSession, path: str) -> list[str]:
+    """Paths listed in a text file, one a line; those that aren't absolute are taken from the list's folder."""
+    folder = path.rsplit("/", 1)[0] if "/" in path else "."
+    lines = [r[0].lstrip(BOM).strip() for r in spark.read.text(path).collect()]
+    return [x if re.match(r"^(/|[a-z0-9]+:)", x) else f"{folder}/{x}" for x in lines if x and not x.startswith("#")]
+
+
 def degree_of(rows: int) -> int:
     """nmax of a triangle with 2 * (L+1)(L+2)/2 rows."""
     n = (math.isqrt(1 + 4 * rows) - 3) // 2
@@ -232,33 +265,50 @@ def looks_tidy(points: DataFrame) -> bool:
     return row["n"] > 0 and row["k"] < 0.6 * row["n"]
 
 
-def read_series(spark: SparkSession, paths: str | list[str], nmax: int | None = None, strict_nmax: bool = False, epoch_from: str = "auto", on_duplicate: str = "error", **select) -> tuple[DataFrame, DataFrame]:
+def read_series(
+    spark: SparkSession, paths: str | list[str], nmax: int | None = None, strict_nmax: bool = False, epoch_from: str = "auto", on_duplicate: str = "error",
+    order: str = "time", on_missing: str = "ignore", **select,
+) -> tuple[DataFrame, DataFrame]:
     """(coeffs, epochs) of monthly model files, all read in one scan. Epochs come from headers or names (auto: headers
-    first), sorted by time; files go by the parts of their names before they are opened. Degrees that a file lacks are
-    zeros, or with strict_nmax an error."""
+    first); files go by the parts of their names before they are opened, and of files listed one by one each must fit.
+    order: time, name or none (as listed). Degrees that a file lacks are zeros, or with strict_nmax an error. on_missing,
+    for months without a file: ignore, warn or error. What is odd is said in warnings: dates of name and header that differ
+    by over a day, and gaps."""
+    from orbweave.operators import timeaxis
     from orbweave.operators.coeffs import truncate
-    from orbweave.operators.timeaxis import resolve_duplicates, select_files
 
     listed = spark.read.format("binaryFile").load(paths).select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("file"))
-    fields = name_fields(F.col("file"))
-    for key, col in fields.items():
+    for key, col in name_fields(F.col("file")).items():
         listed = listed.withColumn(key, col)
-    chosen = select_files(listed, **select).toPandas()  # one row a file
+    chosen = timeaxis.select_files(listed, strict=isinstance(paths, list), **select).toPandas()  # one row a file
     if not len(chosen):
         raise ValueError("no file fits")
     files = list(chosen["path"])
-    heads = read_headers(spark, files)
     mid, year = midpoint(F.col("start"), F.col("last"))
     named = spark.createDataFrame([(f,) for f in chosen["file"]], "file string")
     by_name = name_fields(F.col("file"))
-    both = named.join(heads, "file", "left").select("file", mid.alias("_hm"), year.alias("_hy"), by_name["mid"].alias("_nm"), by_name["decimal_year"].alias("_ny"))
-    order = {"auto": ("h", "n"), "header": ("h",), "filename": ("n",)}[epoch_from]
-    epochs = both.select("file", F.coalesce(*[F.col(f"_{o}m") for o in order]).alias("ts"), F.coalesce(*[F.col(f"_{o}y") for o in order]).alias("decimal_year")).toPandas()
+    both = named.join(read_headers(spark, files), "file", "left").select("file", mid.alias("_hm"), year.alias("_hy"), by_name["mid"].alias("_nm"), by_name["decimal_year"].alias("_ny"))
+    sources = {"auto": ("h", "n"), "header": ("h",), "filename": ("n",)}[epoch_from]
+    dated = both.select("file", "_hm", "_nm", F.coalesce(*[F.col(f"_{o}m") for o in sources]).alias("ts"), F.coalesce(*[F.col(f"_{o}y") for o in sources]).alias("decimal_year"))
+    epochs = dated.toPandas()
     if epochs["ts"].isna().any():
         raise ValueError("a file has no epoch")
-    epochs = epochs.sort_values(["ts", "file"], kind="stable").reset_index(drop=True)
+    odd = timeaxis.conflicts(dated.select("file", F.col("_nm").alias("by_name"), F.col("_hm").alias("by_header"))).orderBy("file").limit(3).collect()
+    if odd:
+        warnings.warn(f"names and headers differ by over a day: {', '.join(r['file'] for r in odd)}", stacklevel=2)
+    if order == "none":
+        epochs = epochs.set_index("file").loc[chosen["file"]].reset_index()
+    else:
+        epochs = epochs.sort_values({"time": ["ts", "file"], "name": ["file"]}[order], kind="stable").reset_index(drop=True)
     table = spark.createDataFrame([(k, r.file, r.ts.to_pydatetime(), float(r.decimal_year)) for k, r in enumerate(epochs.itertuples())], "epoch_id int, label string, ts timestamp_ntz, decimal_year double")
-    table = resolve_duplicates(table, on_duplicate)
+    table = timeaxis.resolve_duplicates(table, on_duplicate)
+    if on_missing != "ignore":
+        gaps = timeaxis.missing(table).orderBy("ts").collect()
+        said = "; ".join(f"{r['gap_days']:.0f} days before {r['label']}" for r in gaps)
+        if gaps and on_missing == "error":
+            raise ValueError(f"months are missing: {said}")
+        if gaps:
+            warnings.warn(f"months are missing: {said}", stacklevel=2)
     coeffs = read_gfc(spark, files, nmax).join(table.select("epoch_id", F.col("label").alias("file")), "file").select("epoch_id", "n", "m", "c", "s")
     tops = [r["t"] for r in coeffs.groupBy("epoch_id").agg(F.max("n").alias("t")).collect()]
     if strict_nmax and len(set(tops)) > 1:

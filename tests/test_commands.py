@@ -21,11 +21,42 @@ def test_from_points_to_coefficients_and_back(spark, tmp_path):
     assert np.abs(got[["c", "s"]] - want[["c", "s"]]).to_numpy().max() < 1e-9
     assert main(["synth", str(tmp_path / "a/coeffs"), "--step", "30", "--out", str(tmp_path / "s")]) == 0
     assert spark.read.parquet(str(tmp_path / "s")).count() == 7 * 12
-    assert main(["synth", str(tmp_path / "a/coeffs"), "--target-unit", "ewh", "--out", str(tmp_path / "x")]) == 1
+    assert main(["synth", str(tmp_path / "a/coeffs"), "--target-unit", "ewh", "--out", str(tmp_path / "x")]) == 2
     assert main(["roundtrip", "--nmax", "3", "--npoints", "400"]) == 0
     assert main(["nmax", str(tmp_path / "a/coeffs"), "--npoints", "500"]) == 0
 
 
+def test_series_and_exits(spark, tmp_path, capsys, monkeypatch):
+    """A wide table of a full grid with a gap in one month, with all options at their defaults and then with others."""
+    cells = [(lat, lon) for lat in range(-85, 90, 10) for lon in range(0, 360, 10)]
+    lines = ["lon,lat,2002-01,2002-02,2002-03"] + [f"{lon},{lat},{2 + lat / 90},{'' if (lat, lon) == (5, 40) else 3.0},1.0" for lat, lon in cells]
+    (tmp_path / "s.csv").write_text("\n".join(lines))
+    assert main(["analyze-series", str(tmp_path / "s.csv"), "--nmax", "2", "--out", str(tmp_path / "a"), "--report-fit"]) == 0
+    assert "fft" in capsys.readouterr().out
+    c00 = {r["epoch_id"]: r["c"] for r in spark.read.parquet(str(tmp_path / "a/coeffs")).where("n = 0").collect()}
+    assert c00[2] == pytest.approx(1.0, abs=2e-3) and c00[1] == pytest.approx(3.0, abs=2e-2) and c00[0] == pytest.approx(2.0, abs=1e-2)
+    assert spark.read.csv(str(tmp_path / "a/epochs"), header=True).count() == 3
+    assert main(["analyze-series", str(tmp_path / "s.csv"), "--nmax", "2", "--rule", "grid", "--epochs", "1:2", "--method", "wlsq", "--field-unit", "ewh", "--out", str(tmp_path / "b")]) == 0
+    assert {r["epoch_id"] for r in spark.read.parquet(str(tmp_path / "b/coeffs")).collect()} == {1}
+    one = "\n".join(["lon,lat,value,err"] + [f"{lon},{lat},{2 + lat / 90},0.5" for lat, lon in cells])
+    (tmp_path / "p.csv").write_text(one)
+    (tmp_path / "w.csv").write_text("\n".join(["lon,lat,w"] + [f"{lon},{lat},0.5" for lat, lon in cells]))
+    assert main(["analyze", str(tmp_path / "p.csv"), "--nmax", "2", "--rule", "uniform", "--out", str(tmp_path / "c")]) == 0
+    assert "| method | wlsq |" in capsys.readouterr().out
+    assert main(["analyze", str(tmp_path / "p.csv"), "--nmax", "2", "--rule", "user", "--weights", str(tmp_path / "w.csv"), "--sigma-col", "err", "--method", "wlsq", "--out", str(tmp_path / "d")]) == 0
+    assert main(["nmax", str(tmp_path / "c/coeffs"), "--npoints", "648", "--coverage", "0.5"]) == 0
+    assert "allow degree" in capsys.readouterr().out
+    assert main(["analyze", str(tmp_path / "none.csv"), "--out", str(tmp_path / "e")]) == 2
+    assert main(["analyze", str(tmp_path / "p.csv"), "--rule", "hexagons", "--out", str(tmp_path / "e")]) == 2
+    assert main(["analyze", str(tmp_path / "p.csv"), "--rule", "user", "--out", str(tmp_path / "e")]) == 2
+
+    def stop(*_):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr("orbweave.__main__.points_of", stop)
+    assert main(["weights", str(tmp_path / "p.csv"), "--out", str(tmp_path / "e")]) == 130
+
+
 def test_sql_functions(spark):
     udfs.register(spark)
     row = spark.sql("SELECT sh_legendre(30.0D, 3) AS p").first()["p"]

@@ -167,3 +167,113 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = stream.low_degrees(rows.withColumn("start", F.window("ts", "30 minutes")["start"]), ["start"]).collect()
     assert len(got) == len(batch) == 12
     assert all(got[(r["start"], r["n"], r["m"])] == pytest.approx(r["c"]) for r in batch)
+
+
+def test_fit_at_other_dates(spark):
+    e = epochs(spark)
+    start = dt.datetime(1970, 1, 1)
+    sec = np.array([(r["ts"] - start).total_seconds() for r in e.orderBy("epoch_id").collect()])
+    years = (sec - (sec.min() + sec.max()) / 2) / (86400 * 365.25)
+    kick = [float(k % 3 == 0) for k in range(len(years))]
+    series = spark.createDataFrame([(k, 1, 0, float(1 + 2 * y + 0.5 * np.cos(2 * np.pi * y) + 0.7 * z), 0.0) for k, (y, z) in enumerate(zip(years, kick))], analysis.COEFFS)
+    extra = spark.createDataFrame([(k, z) for k, z in enumerate(kick)], "epoch_id int, kick double")
+    f = timeseries.fit(series, e, 1, [1.0], extra=extra)
+    assert f.term("kick").first()["c"] == pytest.approx(0.7)
+    later = dt.datetime(2010, 7, 1)
+    at = spark.createDataFrame([(1, dt.datetime(2003, 1, 1), 0.0), (2, later, 1.0)], "epoch_id int, ts timestamp_ntz, kick double")
+    got = {r["epoch_id"]: r for r in f.evaluate(at).collect()}
+    y = ((later - start).total_seconds() - f.tref) / (86400 * 365.25)
+    assert got[2]["c"] == pytest.approx(1 + 2 * y + 0.5 * np.cos(2 * np.pi * y) + 0.7) and got[2]["extrapolated"] and not got[1]["extrapolated"]
+    text = f.summary()
+    assert "kick" in text and "24 of 24" in text and "100.0 %" in text
+    with pytest.raises(ValueError, match="extra term"):
+        timeseries.fit(series, e, 1, extra=extra.where("epoch_id > 0"))
+
+
+def test_axes_from_anything(spark):
+    assert timeaxis.axis_from(spark, None) is None and timeaxis.axis_from(spark, ["spring"]) is None
+    first = lambda x: x.orderBy("epoch_id").first()
+    assert first(timeaxis.axis_from(spark, ["2002-03", "2002-04-05T12:00:00Z"]))["ts"] == dt.datetime(2002, 3, 1)
+    assert first(timeaxis.axis_from(spark, [dt.date(2002, 3, 4)]))["ts"] == dt.datetime(2002, 3, 4)
+    assert first(timeaxis.axis_from(spark, {"values": [129.5], "units": "days since 2002-01-01"}))["ts"] == dt.datetime(2002, 5, 10, 12)
+    for values, units in (([1.0, 2.0], None), ([1.0], "months since 2002-01-01")):
+        row = first(timeaxis.axis_from(spark, values, units))
+        assert row["ts"] is None and row["kind"] == "index" and row["note"]
+    e = timeaxis.axis_from(spark, ["2002-03-01", "2002-04-01"])
+    again = timeaxis.from_dict(spark, timeaxis.to_dict(e))
+    assert again.select("epoch_id", "ts", "kind").exceptAll(e.select("epoch_id", "ts", "kind")).count() == 0
+    x = spark.createDataFrame([(k, 0, 0, 1.0, 0.0) for k in range(2)], analysis.COEFFS)
+    assert timeaxis.with_times(x, e).count() == 2
+    with pytest.raises(ValueError, match="no row"):
+        timeaxis.with_times(x, e.where("epoch_id = 0"))
+    with pytest.raises(ValueError, match="twice"):
+        timeaxis.with_times(x, e.unionByName(e))
+
+
+def test_headers_sigmas_and_field_series(spark, tmp_path):
+    x = spark.createDataFrame([(0, n, m, n + m / 10, m * 1.5, 0.1, 0.2) for n in range(3) for m in range(n + 1)], "epoch_id int, n int, m int, c double, s double, sc double, ss double")
+    writers.write_lines(writers.gfc_lines(x, 2, meta={"unit": "ewh"}), str(tmp_path / "g"))
+    back = readers.read_gfc(spark, str(tmp_path / "g"))
+    assert back.select("n", "m", "c", "s", "sc", "ss").exceptAll(x.drop("epoch_id")).count() == 0
+    meta = {r["key"]: r["value"] for r in readers.read_meta(spark, str(tmp_path / "g")).collect()}
+    assert meta["unit"] == "ewh" and meta["max_degree"] == "2" and meta["errors"] == "formal"
+    two = x.drop("sc", "ss").unionByName(x.drop("sc", "ss").withColumn("epoch_id", F.lit(1)).withColumn("c", F.col("c") * 2))
+    for lines, read in ((writers.coeff_csv_lines(two, 2), readers.read_coeff_csv), (writers.triangle_lines(two, 2, {0: "2002 01", 1: "2002 02"}), readers.read_triangle)):
+        path = str(tmp_path / read.__name__)
+        writers.write_lines(lines, path)
+        assert read(spark, path).exceptAll(two).count() == 0
+    field = spark.createDataFrame([(e, lat, lon, float(e)) for e in range(2) for lat in (-10.0, 10.0) for lon in (0.0, 190.0)], "epoch_id int, lat double, lon double, value double")
+    e = epochs(spark, 2)
+    writers.write_field(field, str(tmp_path / "f"), e)
+    got, table = readers.read_field_series(spark, str(tmp_path / "f"))
+    assert got.exceptAll(field).count() == 0 and table.exceptAll(e).count() == 0
+    assert "PartitionFilters: [isnotnull(epoch_id" in got.where("epoch_id = 1")._jdf.queryExecution().toString()
+    with pytest.raises(ValueError, match="rise"):
+        writers.write_field(field, str(tmp_path / "h"), e.withColumn("ts", F.lit("2002-01-01").cast("timestamp_ntz")))
+
+
+def test_ids_follow_the_rows(spark, tmp_path):
+    lines = [f"{k % 360},{k % 90},{k}" for k in range(200)] + ["5,5,1.0", "5,5,1.0"]
+    for name, parts in (("a", 1), ("b", 5)):
+        spark.createDataFrame([(x,) for x in lines], "value string").repartition(parts).write.text(str(tmp_path / name))
+    a, b = (readers.read_points(spark, str(tmp_path / x)).select("point_id", "lat", "lon", "value") for x in "ab")
+    assert a.exceptAll(b).count() == 0 and a.select("point_id").distinct().count() == 202
+
+
+def test_order_gaps_and_conflicts_of_files(spark, tmp_path):
+    import warnings as w
+
+    names = ["GSM-2_2002095-2002120_GRAC_UTCSR_BA01_0600.gfc", "GSM-2_2002305-2002334_GRAC_UTCSR_BA01_0600.gfc"]
+    for name in names:
+        head = "time_period_of_data 20020601 - 20020630\n" if "095" in name else ""
+        (tmp_path / name).write_text(f"{head}max_degree 0\nend_of_head\ngfc 0 0 1 0\n")
+    with w.catch_warnings(record=True) as said:
+        w.simplefilter("always")
+        _, e = readers.read_series(spark, str(tmp_path), on_missing="warn", order="name")
+    assert [r["label"] for r in e.orderBy("epoch_id").collect()] == names
+    assert any("differ" in str(x.message) for x in said) and any("missing" in str(x.message) for x in said)
+    with pytest.raises(ValueError, match="missing"), w.catch_warnings():
+        w.simplefilter("ignore")
+        readers.read_series(spark, str(tmp_path), on_missing="error", epoch_from="filename")
+    (tmp_path / "list.txt").write_text("# files\n" + "\n".join(names))
+    listed = readers.read_manifest(spark, str(tmp_path / "list.txt"))
+    assert readers.read_series(spark, listed, product="GSM", epoch_from="filename")[1].count() == 2
+    with pytest.raises(ValueError, match="fit"):
+        readers.read_series(spark, listed, product="GAC")
+
+
+def test_places_in_the_triangle(spark):
+    from orbweave.functions import geo
+
+    rows = spark.createDataFrame([(n, m) for n in range(7) for m in range(n + 1)], "n int, m int").withColumn("k", geo.triangle_index(F.col("n"), F.col("m"), 6))
+    n, m = geo.degree_and_order(F.col("k"), 6)
+    assert rows.where((n != F.col("n")) | (m != F.col("m"))).count() == 0 and rows.select("k").distinct().count() == 28
+    cell = np.radians(1.0) ** 2
+    got = spark.createDataFrame([(cell / 2,), (cell * 2,), (0.0,)], "w double").select(geo.equivalent_lat_step(F.col("w")).alias("x")).collect()
+    assert got[0]["x"] == pytest.approx(60.0) and got[1]["x"] == 0.0 and got[2]["x"] is None
+
+
+def test_axes_of_grids(spark, tmp_path):
+    (tmp_path / "g.csv").write_text("lat,lon,z\n10,350,1\n-10,0,2\n10,0,3\n-10,350,4\n")
+    got = {(r["ilat"], r["ilon"]): r["value"] for r in readers.read_grid_csv(spark, str(tmp_path / "g.csv")).collect()}
+    assert got == {(0, 0): 2.0, (0, 1): 4.0, (1, 0): 3.0, (1, 1): 1.0}

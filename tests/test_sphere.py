@@ -339,3 +339,14 @@ def test_guards_and_texts_of_units(spark):
     text = units.describe_conversion(spark, 2)
     assert len(text.splitlines()) == 4 and "ewh" in text and "1 + k'_n" in units.formula("ewh")
     assert gap(units.canonical(x, "scalar"), x) == 0
+
+
+def test_circles_equal_points(spark):
+    """Synthesis by circles of latitude at points with gaps, in any order, for several epochs."""
+    a, b = random_coeffs(spark, 5, 1), random_coeffs(spark, 5, 2).withColumn("epoch_id", F.lit(4))
+    p = cells(spark).where("point_id % 7 <> 3").withColumn("lon", F.pmod(F.col("lon") + 3.0, F.lit(360.0))).withColumn("epoch_id", F.explode(F.array(F.lit(0), F.lit(4), F.lit(9)))).repartition(5)
+    direct = synthesis.synthesise(p, a.unionByName(b), 5).toPandas().sort_values(["epoch_id", "point_id"])
+    fast = synthesis.synthesise(p, a.unionByName(b), 5, circle=(3.0, 36)).toPandas().sort_values(["epoch_id", "point_id"])
+    assert np.allclose(direct["value"], fast["value"], equal_nan=True) and fast["value"].isna().sum() == len(p.where("epoch_id = 9").collect())
+    with pytest.raises(ValueError, match="order"):
+        synthesis.synthesise(p, a, 5, circle=(3.0, 10))
