@@ -8,8 +8,9 @@ in blocks of the next level together with ten that each block holds back, until
 Those twelve documents are landed by the best balanced of their 4096 outcomes.
 
 A null source is a source of its own, sorted last. Null and empty texts have size 0. All draws come from a hash of the
-document, so reruns agree; repeated rows (equal doc_id and text) count as rows of their own and, being equal, may swap
-places. Empty tables give empty results. Other columns stay as they are.
+doc_id and the text, so reruns agree, and rows that share a doc_id, or have none, are dealt to blocks like others;
+repeated rows (equal doc_id and text) count as rows of their own and, being equal, may swap places. A text of any length
+is counted whole. Empty tables give empty results. Other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -92,7 +93,7 @@ def landed(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _flown(pdf: pd.DataFrame, land: bool) -> pd.DataFrame:
-    pdf = pdf.drop(columns="block").sort_values(["draw", "doc_id", "row"])
+    pdf = pdf.drop(columns="block").sort_values(["draw", "doc_id", "text_hash", "row"])
     pi, size = pdf["pi"].to_numpy(float).copy(), pdf["size"].to_numpy(float)
     fresh = np.modf(pdf["draw"].to_numpy() * 1048576.0)[0]
     settled = (pi <= _EPS) | (pi >= 1 - _EPS)
@@ -115,11 +116,11 @@ def _land(pdf: pd.DataFrame) -> pd.DataFrame:
     return _flown(pdf, True)
 
 
-_FIELDS = "source string, doc_id long, row long, size long, draw double, pi double"
+_FIELDS = "source string, doc_id long, text_hash long, row long, size long, draw double, pi double"
 
 
 def balanced(units: DataFrame, block: int = BLOCK, levels: int = LEVELS) -> DataFrame:
-    """units: source, doc_id, row, size, draw (0 to 1), pi. The same with pi 0 or 1. ``levels`` passes over blocks of
+    """units: source, doc_id, text_hash, row, size, draw (0 to 1), pi. The same with pi 0 or 1. ``levels`` passes over blocks of
     about ``block`` units; each pass leaves at most twelve open units of a block, so levels=4 serve 10**11 units."""
     settled = None
     for level in range(levels):
@@ -129,7 +130,7 @@ def balanced(units: DataFrame, block: int = BLOCK, levels: int = LEVELS) -> Data
         else:
             counts = units.groupBy("source").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(block))).cast("long").alias("n"))
             counts = stored(counts.withColumnRenamed("source", "s"), f"mix-blocks-{level}")  # one row per source; Spark sees its size
-            keyed = units.join(counts, F.col("source").eqNullSafe(F.col("s"))).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(level)), "n")).drop("s", "n")
+            keyed = units.join(counts, F.col("source").eqNullSafe(F.col("s"))).withColumn("block", F.pmod(F.xxhash64("doc_id", "text_hash", "row", F.lit(level)), "n")).drop("s", "n")
 
         keyed = keyed.select("block", *[c.split(" ")[0] for c in _FIELDS.split(", ")])
         done = stored(keyed.groupBy("source", "block").applyInPandas(_land if last else _fly, _FIELDS), f"mix-{level}")
@@ -139,30 +140,35 @@ def balanced(units: DataFrame, block: int = BLOCK, levels: int = LEVELS) -> Data
     return settled
 
 
+def _repeated():
+    """Rows that repeat a doc_id and a text; they may differ in source."""
+    return Window.partitionBy("doc_id", "text_hash").orderBy("source")
+
+
 def copies(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), budget: float = 1.5, most: float = 2.0) -> DataFrame:
-    """doc_id, row, size, source_size, target, copies. row: which of the rows with the same doc_id, from 0."""
-    base = stored(sized(docs).select("doc_id", "source", "size"), "mix-sizes")
-    ranked = base.withColumn("row", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size")).cast("long") - 1)
+    """doc_id, text_hash, row, source, size, source_size, target, copies. row: which of the rows with the same doc_id and
+    text, from 0."""
+    base = stored(sized(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), "source", "size"), "mix-sizes")
+    ranked = base.withColumn("row", F.row_number().over(_repeated()).cast("long") - 1)
     goal = targets(base, weights, budget, most).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     goal = stored(goal, "mix-targets")
     units = ranked.join(goal.select(F.col("source").alias("s"), "rate"), F.col("source").eqNullSafe(F.col("s")))
-    draw = F.pmod(F.xxhash64("doc_id", "row", F.lit("draw")), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    draw = F.pmod(F.xxhash64("doc_id", "text_hash", "row", F.lit("draw")), F.lit(1 << 52)) / F.lit(float(1 << 52))
     whole = F.floor(F.col("rate") + 1e-12)
-    units = units.select("source", "doc_id", "row", "size", draw.alias("draw"), F.greatest(F.lit(0.0), F.col("rate") - whole).alias("pi"))
+    units = units.select("source", "doc_id", "text_hash", "row", "size", draw.alias("draw"), F.greatest(F.lit(0.0), F.col("rate") - whole).alias("pi"))
     chosen = balanced(stored(units, "mix-units"))
     goal = goal.withColumnRenamed("source", "s")
-    return chosen.join(goal, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "row", "source", "size", "source_size", "target", (whole + F.col("pi")).cast("int").alias("copies"))
+    return chosen.join(goal, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "text_hash", "row", "source", "size", "source_size", "target", (whole + F.col("pi")).cast("int").alias("copies"))
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The documents, each as often as the mix takes it."""
-    chosen = copies(docs, **how).where("copies > 0").select("doc_id", "row", "copies")
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = whole(docs, doc_id=F.col("doc_id"), source=F.col("source"), size=size)
-    rows = rows.withColumn("row", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size")).cast("long") - 1)
-    rows = rows.withColumnsRenamed({"doc_id": "own_id", "row": "own_row"})
-    taken = rows.join(chosen, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_row") == F.col("row")))
-    return taken.select("r", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("r.*")
+    chosen = copies(docs, **how).where("copies > 0").select("doc_id", "text_hash", "row", "copies")
+    rows = whole(docs, doc_id=F.col("doc_id"), text_hash=F.xxhash64("text"), source=F.col("source"))
+    rows = rows.withColumn("row", F.row_number().over(_repeated()).cast("long") - 1)
+    rows = rows.select("r", *[F.col(c).alias(f"own_{c}") for c in ("doc_id", "text_hash", "row")])
+    same = F.col("own_doc_id").eqNullSafe(F.col("doc_id")) & (F.col("own_text_hash") == F.col("text_hash")) & (F.col("own_row") == F.col("row"))
+    return rows.join(chosen, same).select("r", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("r.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -353,6 +353,21 @@ def test_mix_targets_and_balance(spark):
     assert (out["taken"] <= 2 * out["size"]).all()
 
 
+def test_rows_without_ids_are_dealt_to_blocks(spark):
+    """Two thirds of all rows share a doc_id or have none: no block holds them together, and sources keep their targets."""
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, " ".join(["w"] * (1 + k % 50)) + f" {k}", "ab"[k % 2]) for k in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    out = cube_mix.copies(df)
+    per = out.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target")).collect()
+    assert out.count() == 6000 and all(abs(r["taken"] - r["target"]) < 60 for r in per)
+    h = out.where("doc_id is null").select(F.pmod(F.xxhash64("doc_id", "text_hash", "row", F.lit(0)), F.lit(10)).alias("block")).groupBy("block").count().agg(F.max("count")).first()[0]
+    assert h < 300  # of 2000
+    again = cube_mix.copies(df.repartition(3))
+    same = ["doc_id", "text_hash", "row", "copies"]
+    assert out.select(*same).exceptAll(again.select(*same)).count() == 0
+    assert cube_mix.mixed(df).count() == out.agg(F.sum("copies")).first()[0]
+
+
 def test_flight_keeps_constraints():
     rng = np.random.default_rng(0)
     pi, size, draw = rng.uniform(0.1, 0.9, 500), rng.integers(1, 1000, 500), rng.uniform(size=500)
