@@ -246,19 +246,24 @@ def _known(labels: DataFrame) -> DataFrame:
     return labels.where("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
 
 
-def logits(docs: DataFrame, model: Classifier) -> DataFrame:
-    """doc_id, told (the language) and z of each row; texts stay where they are."""
+def logits(docs: DataFrame, model: Classifier, carry: bool = False) -> DataFrame:
+    """doc_id, told (the language) and z of each row. Texts stay where they are, or with ``carry`` the whole row comes
+    along as the struct r."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
-    docs = docs.select("doc_id", "text")
+    rows = whole(docs if carry else docs.select("doc_id", "text"))
+    keep = ["r"] if carry else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part in slices(batch, most=1 << 19):
+            r = batch.column("r")
+            wide = pa.RecordBatch.from_arrays([r, r.field("doc_id"), r.field("text")], names=["r", "doc_id", "text"])
+            for part in slices(wide, most=1 << 19):
                 z, told = model.logits(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(told, pa.string()), pa.array(z, pa.float64())], names=["doc_id", "told", "z"])
+                cols = [*[part.column(c) for c in keep], part.column("doc_id"), pa.array(told, pa.string()), pa.array(z, pa.float64())]
+                yield pa.RecordBatch.from_arrays(cols, names=[*keep, "doc_id", "told", "z"])
 
-    return docs.mapInArrow(run, StructType([docs.schema["doc_id"], StructField("told", StringType()), StructField("z", DoubleType())]))
+    return rows.mapInArrow(run, StructType([*[rows.schema[c] for c in keep], docs.schema["doc_id"], StructField("told", StringType()), StructField("z", DoubleType())]))
 
 
 def calibrated(model: Classifier, found: DataFrame, labels: DataFrame, trained: pa.Array) -> Classifier:
@@ -319,9 +324,18 @@ def scored(docs: DataFrame, model: Classifier) -> DataFrame:
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
 
 
-def kept(docs: DataFrame, model: Classifier) -> DataFrame:
-    """The rows that the classifier doesn't reject, with all their columns and no others."""
-    return scored(docs, model).where("predicted = 0").select("r.*")
+def kept(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int = SAMPLE_BYTES) -> DataFrame:
+    """The rows that a classifier fitted to them and their labels doesn't reject, with all their columns and no others.
+    Rows are stored with their logits, so that texts are scored once, for the thresholds and for the decision."""
+    model, trained = learned(docs, labels, sample, size)
+    if model.net is None:
+        return docs.where(F.lit(model.share < CUT))
+    found = stored(logits(docs, model, carry=True), "logits")
+    model = calibrated(model, found.select("doc_id", "told", "z"), labels, trained)
+    cut = F.lit(model.cut)
+    for name, own in model.cuts.items():
+        cut = F.when(F.col("told") == name, F.lit(own)).otherwise(cut)
+    return found.where(F.col("z") < cut).select("r.*")
 
 
 def from_logits(found: DataFrame, model: Classifier) -> DataFrame:

@@ -132,11 +132,12 @@ def test_toxicity(docs, none, labels):
 
 def test_toxicity_keeps_rows_whole(docs, none, labels):
     model = toxic_cnn.fit(docs, labels)
-    kept = toxic_cnn.kept(docs, model)
+    kept = toxic_cnn.kept(docs, labels)
     assert kept.schema == docs.schema and {r["score"] for r in kept.collect()} == {r["predicted"] for r in kept.collect()} == {"clash"}
     scores = {r["doc_id"]: r["score"] for r in toxic_cnn.score(docs, model).collect() if r["doc_id"] is not None}
     assert {r["doc_id"] for r in kept.collect() if r["doc_id"] is not None} == {i for i, s in scores.items() if s < 0.7}
-    assert toxic_cnn.kept(none, model).count() == 0
+    assert toxic_cnn.kept(none, labels).count() == 0
+    assert toxic_cnn.kept(docs, labels.where("toxic = 0")).count() == docs.count() and toxic_cnn.kept(docs, labels.where("toxic = 1")).count() == 0
 
 
 def test_samples_bound_bytes_of_whole_texts(spark):
