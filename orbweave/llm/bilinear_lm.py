@@ -315,7 +315,7 @@ def fit(learn: DataFrame, vocabulary: Vocabulary, sample: int = SAMPLE, rate: fl
     kind = "team int, block int, tokens double, params array<double>"
     h = F.xxhash64("doc_id", "text", F.lit("shard"))
     dealt = learn.select(F.pmod(h, F.lit(shards)).cast("int").alias("shard"), h.alias("h"), "text")
-    dealt = dealt.repartition(min(shards, 4 * partitions(spark)), "shard").sortWithinPartitions("shard", "h").drop("h")
+    dealt = dealt.repartitionById(min(shards, 4 * partitions(spark)), "shard").sortWithinPartitions("shard", "h").drop("h")
     sums = dealt.mapInArrow(run, kind).groupBy("team", "block").applyInPandas(add, kind)
     sums = sums.groupBy("block").applyInPandas(add, kind).orderBy("block").toPandas()
     if len(sums):
