@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by shifted Hilbert curves.
 
-Vectors are projected to a few dimensions, shifted and put in the order of a Hilbert curve, several times with other
-projections and shifts. Each order is range-partitioned in Spark and cut into windows of as many rows; a query is
-compared with all rows of its own window and of the two beside it, in double precision on the original vectors, and
-what the curves find is merged and ranked again.
+The nearest are those of the largest inner product. Vectors get one more coordinate that lifts them to one length, that
+of the 99th percentile, longer ones being shortened to it; queries are stretched to that length and get 0 there. Then
+near in space is large in product. All are projected to a few dimensions, shifted and put in the order of a Hilbert curve,
+several times with other projections and shifts. Each order is range-partitioned in Spark and cut into windows of as many
+rows; a query is compared with all rows of its own window and of the two beside it, in double precision on the original
+vectors, and what the curves find is merged and ranked again.
 
 The window is the smallest, of powers of two from 512 rows on, with which the curves find ``recall`` of the true
 neighbours of a bounded sample of queries; these are found by comparing the sample with every row. On vectors that
@@ -130,19 +132,37 @@ def exact(points: DataFrame, queries: np.ndarray, vectors: np.ndarray, k: int) -
     return found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "point"))).where(F.col("n") <= k).drop("n")
 
 
+def lifted(v: np.ndarray, length: float) -> np.ndarray:
+    """The vectors with a coordinate that brings them to ``length``; longer ones are shortened to it."""
+    size = np.linalg.norm(v, axis=1)
+    short = v * np.minimum(1.0, length / size)[:, None]
+    return np.concatenate([short, np.sqrt(np.maximum(0.0, length**2 - size**2))[:, None]], 1)
+
+
+def stretched(v: np.ndarray, length: float) -> np.ndarray:
+    """Queries at ``length``, with 0 for the coordinate more."""
+    return np.concatenate([v * (length / np.linalg.norm(v, axis=1))[:, None], np.zeros((len(v), 1))], 1)
+
+
 def ordered(points: DataFrame, width: int, curves: int) -> DataFrame:
-    """(curve, point, place): the place of every point in every order."""
+    """(curve, point, asks, place): the place of every point in every order, and again, with asks, of those that ask, as
+    queries."""
     spark = points.sparkSession
-    stats = points.agg(F.avg(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()
-    spread = 6 * float(np.sqrt((stats[0] or 1.0) / width)) or 1.0  # a component's deviation in a random direction
-    shared = spark.sparkContext.broadcast(projections(width, curves))
+    size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    length = float(points.agg(F.percentile_approx(size, 0.99)).first()[0] or 1.0)
+    spread = 6 * length / float(np.sqrt(width + 1))  # six times a component's deviation in a random direction
+    shared = spark.sparkContext.broadcast(projections(width + 1, curves))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v, ids = _matrix(batch.column("v")), batch.column("point")
-            for c, (p, shift) in enumerate(shared.value if len(v) else ()):
-                cells = np.clip((v @ p / spread + 0.5 + shift) * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), c, np.int32)), pa.array(hilbert(cells, BITS)), ids], names=["curve", "key", "point"])
+            if not batch.num_rows:
+                continue
+            v, ids, asks = _matrix(batch.column("v")), batch.column("point").to_numpy(), np.array(batch.column("asks").to_pylist(), bool)
+            every = np.concatenate([lifted(v, length), stretched(v[asks], length)])
+            who, role = np.concatenate([ids, ids[asks]]), np.repeat([False, True], [len(ids), int(asks.sum())])
+            for c, (p, shift) in enumerate(shared.value):
+                cells = np.clip((every @ p / spread + 0.5 + shift) * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), c, np.int32)), pa.array(hilbert(cells, BITS)), pa.array(who), pa.array(role)], names=["curve", "key", "point", "asks"])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = np.zeros(curves, np.int64)
@@ -154,18 +174,20 @@ def ordered(points: DataFrame, width: int, curves: int) -> DataFrame:
                 at = np.flatnonzero(c == k)
                 place[at] = done[k] + np.arange(len(at))
                 done[k] += len(at)
-            yield pa.RecordBatch.from_arrays([batch.column("curve"), batch.column("point"), pa.array(place), pa.array(np.full(len(c), me, np.int32))], names=["curve", "point", "place", "part"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in ("curve", "point", "asks")], pa.array(place), pa.array(np.full(len(c), me, np.int32))], names=["curve", "point", "asks", "place", "part"])
 
-    line = points.select("point", "v").mapInArrow(keys, "curve int, key long, point long")
-    line = line.repartitionByRange(partitions(spark), "curve", "key", "point").sortWithinPartitions("curve", "key", "point")
-    line = stored(line.mapInArrow(number, "curve int, point long, place long, part int"), "ann-order")
+    line = points.select("point", "v", "asks").mapInArrow(keys, "curve int, key long, point long, asks boolean")
+    line = line.repartitionByRange(partitions(spark), "curve", "key", "point", "asks").sortWithinPartitions("curve", "key", "point", "asks")
+    line = stored(line.mapInArrow(number, "curve int, point long, asks boolean, place long, part int"), "ann-order")
     counts = line.groupBy("curve", "part").count().orderBy("curve", "part").collect()  # a partition and curve each
     before, rows = {}, []
     for r in counts:
         rows.append((r["curve"], r["part"], before.get(r["curve"], 0)))
         before[r["curve"]] = before.get(r["curve"], 0) + r["count"]
-    offsets = spark.createDataFrame(rows, "curve int, part int, before long")
-    return line.join(F.broadcast(offsets), ["curve", "part"]).select("curve", "point", (F.col("place") + F.col("before")).alias("place"))  # a row for each curve and partition
+    offsets = spark.createDataFrame(rows, "curve int, part int, before long")  # a row for each curve and partition
+    out = stored(line.join(F.broadcast(offsets), ["curve", "part"]).select("curve", "point", "asks", (F.col("place") + F.col("before")).alias("place")), "ann-places")
+    discard(line)
+    return out
 
 
 def window_for(truth: list[tuple[np.ndarray, np.ndarray]], most: int, recall: float) -> int:
@@ -189,25 +211,25 @@ def search(rows: DataFrame, queries, k: int = K, curves: int = CURVES, recall: f
     n = points.count()
     head = points.select(F.size("v").alias("w")).first()
     width = head["w"] if head else 1
-    line = stored(ordered(points, width, curves), "ann-places")
+    line = ordered(points, width, curves)
     if window is None:
         some = hashed_sample(points.where("asks").select("point", "v"), sample, "point").toPandas()
         window = LEAST
         if len(some) and n > LEAST:
-            near = exact(points, some["point"].to_numpy(), np.array(some["v"].tolist()), k + 1).select("q", "point")
-            near = near.where("q <> point").unionByName(points.sparkSession.createDataFrame([(int(p), int(p)) for p in some["point"]], "q long, point long"))
-            at = near.join(line, "point").toPandas()  # sample * (k + 1) * curves numbers
+            near = exact(points, some["point"].to_numpy(), np.array(some["v"].tolist()), k + 1).select("q", "point").where("q <> point")
+            spots = near.join(line.where("not asks"), "point").select("q", "point", "curve", "place")
+            own = line.where("asks").join(near.select(F.col("q").alias("point")).distinct(), "point").select(F.col("point").alias("q"), F.lit(None).cast("long").alias("point"), "curve", "place")
             truth = []
-            for q, g in at.groupby("q"):
-                table = g.pivot(index="point", columns="curve", values="place")
-                truth.append((table.loc[q].to_numpy(), table.drop(index=q).to_numpy()))
+            for _, g in spots.unionByName(own).toPandas().groupby("q"):  # sample * (k + 1) * curves numbers
+                mine, others = g[g["point"].isna()], g[g["point"].notna()]
+                truth.append((mine.sort_values("curve")["place"].to_numpy(), others.pivot(index="point", columns="curve", values="place").to_numpy()))
             window = window_for(truth, n, recall)
     windows = line.withColumn("window", F.floor(F.col("place") / F.lit(window)))
-    seats = windows.groupBy("point").agg(F.collect_list(F.struct("curve", "window")).alias("seats"))  # one a curve
-    seated = points.join(seats, "point").select("point", "v", "asks", F.explode("seats").alias("s")).select("point", "v", "asks", F.col("s.curve").alias("curve"), F.col("s.window").alias("window"))
+    seats = windows.groupBy("point").agg(F.collect_list(F.struct("curve", "window", "asks")).alias("seats"))  # two a curve at most
+    seated = points.join(seats, "point").select("point", "v", F.explode("seats").alias("s")).select("point", "v", "s.curve", "s.window", "s.asks")
     shares = -(-window // POOL)
     share = F.pmod(F.xxhash64("point"), F.lit(shares)).cast("int")
-    pool = seated.select("curve", "window", share.alias("share"), F.lit(0).alias("role"), "point", "v")
+    pool = seated.where("not asks").select("curve", "window", share.alias("share"), F.lit(0).alias("role"), "point", "v")
     asking = seated.where("asks").select("curve", F.explode(F.array(F.col("window") - 1, F.col("window"), F.col("window") + 1)).alias("window"), F.lit(1).alias("role"), "point", "v")
     asking = asking.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
     groups = pool.unionByName(asking).repartition(parts, "curve", "window", "share").sortWithinPartitions("curve", "window", "share", "role")

@@ -69,6 +69,24 @@ def test_neighbours_recall(spark):
     assert hits / (20 * out["query_id"].nunique()) >= 0.9
 
 
+def test_lengths_of_vectors_count(spark):
+    """Isotropic vectors of very different lengths, with the least window: lifting finds the long ones."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(6000, 64)) * np.exp(rng.normal(0, 0.5, 6000))[:, None]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = curve_ann.search(df, F.col("vec_id") % 40 == 0, window=512).toPandas()
+    hits = 0
+    for q, g in out.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20]) & set(g["vec_id"]))
+    assert hits / (20 * 150) > 0.98
+    up = curve_ann.lifted(x, 9.0)
+    assert np.allclose(np.linalg.norm(up, axis=1), 9.0) and np.allclose(np.linalg.norm(curve_ann.stretched(x, 9.0), axis=1), 9.0)
+    short = np.linalg.norm(x, axis=1) < 9.0
+    assert np.allclose((up[short] @ curve_ann.stretched(x[:5], 9.0).T), x[short] @ x[:5].T * 9.0 / np.linalg.norm(x[:5], axis=1))
+
+
 def test_hilbert_steps():
     n = 8
     cells = np.array([[a, b] for a in range(n) for b in range(n)])
