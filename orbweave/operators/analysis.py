@@ -168,8 +168,11 @@ def quadrature_fft(weighted: DataFrame, nmax: int, first_lon: float, nlon: int)
 def quadrature_planned(weighted: DataFrame, nmax: int, longitude: str = "auto") -> tuple[DataFrame, planner.LongitudePlan]:
     """Quadrature by FFT where the places of the points make a full even grid, else directly. Values may be missing, and
     epochs of a series may lack some of the places."""
-    places = measured(weighted.drop("value")).select("lat", "lon").distinct()
-    plan = planner.plan_longitude(places, nmax, longitude)
+    places = measured(weighted.drop("value")).select("lat", "lon").distinct().persist()  # looked at twice
+    try:
+        plan = planner.plan_longitude(places, nmax, longitude)
+    finally:
+        places.unpersist()
     if plan.path == "fft":
         return quadrature_fft(weighted, nmax, plan.first_lon, plan.nlon), plan
     return quadrature(weighted, nmax), plan
