@@ -22,11 +22,10 @@ from pyspark.sql import functions as F
 from orbweave.functions import units
 from orbweave.functions.geo import FOUR_PI
 from orbweave.functions.kernels import columns, design, ordinals, waves
-from orbweave.operators.synthesis import dense, synthesise
+from orbweave.operators.synthesis import dense, evaluator, few, synthesise
 from orbweave.plans import planner
 
 COEFFS = "epoch_id int, n int, m int, c double, s double"
-ROWS = 20_000  # of a kernel call
 #: Circles of latitude that are transformed together.
 CIRCLES = 2048
 #: Bytes of sums that a task holds before it hands them on.
@@ -53,14 +52,6 @@ def _rows(weighted: DataFrame) -> DataFrame:
     return measured(weighted).select(*[F.col(c).cast("int" if c == "epoch_id" else "double").alias(c) for c in ("lat", "lon", "value", "w", "epoch_id")])
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], nmax: int) -> Iterator[pa.RecordBatch]:
-    """Runs of rows for which the values of one order stay within a few MB."""
-    most = max(500, min(ROWS, 1_000_000 // (nmax + 1)))
-    for b in batches:
-        for k in range(0, b.num_rows, most):
-            yield b.slice(k, most)
-
-
 class _Sums:
     """Sums by epoch, handed on when they exceed HELD_BYTES."""
 
@@ -89,7 +80,7 @@ def quadrature(weighted: DataFrame, nmax: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = _Sums(nmax)
-        for b in _chunks(batches, nmax):
+        for b in few(batches, nmax):
             lat, lon, value, w, epoch = (b.column(c).to_numpy(zero_copy_only=False) for c in ("lat", "lon", "value", "w", "epoch_id"))
             order = np.argsort(epoch, kind="stable")
             lat, lon, f = lat[order], lon[order], (value * w)[order]
@@ -328,7 +319,7 @@ def diagonal_deviation(weighted: DataFrame, nmax: int) -> float:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
-        for b in _chunks(batches, nmax):
+        for b in few(batches, nmax):
             lat, w, epoch = (b.column(c).to_numpy(zero_copy_only=False) for c in ("lat", "w", "epoch_id"))
             _, p = next(columns(lat, nmax, 0))
             for e in np.unique(epoch).tolist():
@@ -497,13 +488,30 @@ def projection(weighted: DataFrame, nmax: int, tau: float | None = None) -> Data
 
 def residuals(weighted: DataFrame, coeffs: DataFrame, nmax: int, plan: planner.LongitudePlan | None = None) -> DataFrame:
     """By epoch, over the measured points: n_points, data_rms, residual_rms, residual_rms_weighted, dc_mean, total weight.
-    plan: that of the quadrature; where it went by FFT, so does the synthesis."""
+    plan: that of the quadrature; where it went by FFT, so does the synthesis. Tasks hand on sums, not points."""
     circle = (plan.first_lon, plan.nlon) if plan is not None and plan.path == "fft" else None
-    both = synthesise(measured(weighted), coeffs, nmax, out="fitted", circle=circle)
-    d = F.col("value") - F.col("fitted")
-    return both.groupBy("epoch_id").agg(
-        F.count("*").alias("n_points"), F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("data_rms"), F.sqrt(F.avg(d * d)).alias("residual_rms"),
-        F.sqrt(F.sum(F.col("w") * d * d) / F.sum("w")).alias("residual_rms_weighted"), (F.sum(F.col("w") * F.col("value")) / F.lit(FOUR_PI)).alias("dc_mean"), F.sum("w").alias("weight_sum"),
+    field = evaluator(coeffs, nmax, "epoch_id" in weighted.columns, circle)
+    names = ["n", "ff", "dd", "wdd", "wf", "w"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in few(batches, nmax):
+            epoch, f, w = (b.column(c).to_numpy(zero_copy_only=False) for c in ("epoch_id", "value", "w"))
+            d = f - field(b)
+            kinds, back = np.unique(epoch, return_inverse=True)
+            sums = np.stack([np.bincount(back, weights=x, minlength=len(kinds)) for x in (np.ones(len(f)), f * f, d * d, w * d * d, w * f, w)], 1)
+            for e, x in zip(kinds.tolist(), sums):
+                held[e] = held.get(e, 0.0) + x
+        if held:
+            cols = [pa.array(list(held), pa.int32()), *[pa.array(x) for x in np.stack(list(held.values()), 1)]]
+            yield pa.RecordBatch.from_arrays(cols, names=["epoch_id", *names])
+
+    rows = _rows(weighted).mapInArrow(run, "epoch_id int, " + ", ".join(f"{c} double" for c in names))
+    total = rows.groupBy("epoch_id").agg(*[F.sum(c).alias(c) for c in names])
+    known = lambda x: F.when(~F.isnan(x), x)  # noqa: E731  null where an epoch has no coefficients
+    return total.select(
+        "epoch_id", F.col("n").cast("long").alias("n_points"), F.sqrt(F.col("ff") / F.col("n")).alias("data_rms"), known(F.sqrt(F.col("dd") / F.col("n"))).alias("residual_rms"),
+        known(F.sqrt(F.col("wdd") / F.nullif("w", F.lit(0.0)))).alias("residual_rms_weighted"), (F.col("wf") / F.lit(FOUR_PI)).alias("dc_mean"), F.col("w").alias("weight_sum"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,7 +38,7 @@ def _mapped(points: DataFrame, names: list[str], run, nmax: int) -> DataFrame:
     points = points.select(*keep)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _few(batches, nmax):
+        for b in few(batches, nmax):
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(v) for v in run(b)]], names=[*keep, *names])
 
     return points.mapInArrow(each, StructType([*points.schema.fields, *[StructField(n, DoubleType()) for n in names]]))
@@ -48,15 +48,21 @@ def synthesise(points: DataFrame, coeffs: DataFrame, nmax: int, out: str = "valu
     """points (lat, lon and, for series, epoch_id) with the field. Without epoch_id the coefficients are one set.
     Points of an epoch without coefficients get null. ``circle`` says that all longitudes are a first one plus whole steps
     of a part of the circle: then each circle of latitude is one inverse FFT, of which the points take their places."""
+    field = evaluator(coeffs, nmax, "epoch_id" in points.columns, circle)
+    return _mapped(points, [out], lambda b: [field(b)], nmax).withColumn(out, F.when(~F.isnan(out), F.col(out)))
+
+
+def evaluator(coeffs: DataFrame, nmax: int, by_epoch: bool, circle: tuple[float, int] | None = None) -> Callable[[pa.RecordBatch], np.ndarray]:
+    """A function of batches (lat, lon, epoch_id) to the field's values there, NaN for epochs without coefficients."""
     sets = _sets(coeffs, nmax)
-    single = "epoch_id" not in points.columns or list(sets) == [0]
+    single = not by_epoch or list(sets) == [0]
     if circle is not None and circle[1] <= 2 * nmax:
         raise ValueError(f"{circle[1]} longitudes don't resolve order {nmax}")
 
     def epochs_of(b: pa.RecordBatch, n: int) -> np.ndarray:
         return np.zeros(n, int) if single else b.column("epoch_id").to_numpy(zero_copy_only=False)
 
-    def run(b: pa.RecordBatch) -> list[np.ndarray]:
+    def run(b: pa.RecordBatch) -> np.ndarray:
         lat, lon = (b.column(c).to_numpy(zero_copy_only=False) for c in ("lat", "lon"))
         cos, sin = waves(lon, nmax)
         epoch = epochs_of(b, len(lat))
@@ -70,9 +76,9 @@ def synthesise(points: DataFrame, coeffs: DataFrame, nmax: int, out: str = "valu
         missing = [rows for e, rows in at.items() if e not in sets]
         if missing:
             v[np.concatenate(missing)] = np.nan
-        return [v]
+        return v
 
-    def run_circles(b: pa.RecordBatch) -> list[np.ndarray]:
+    def run_circles(b: pa.RecordBatch) -> np.ndarray:
         first_lon, nlon = circle
         lat, lon = (b.column(c).to_numpy(zero_copy_only=False) for c in ("lat", "lon"))
         epoch = epochs_of(b, len(lat))
@@ -96,9 +102,9 @@ def synthesise(points: DataFrame, coeffs: DataFrame, nmax: int, out: str = "valu
                 field[rows] = np.nan
         v = np.empty(len(lat))
         v[order] = field[np.cumsum(fresh) - 1, at[order]]
-        return [v]
+        return v
 
-    return _mapped(points, [out], run_circles if circle else run, nmax).withColumn(out, F.when(~F.isnan(out), F.col(out)))
+    return run_circles if circle else run
 
 
 def over_epochs(points: DataFrame, coeffs: DataFrame, nmax: int, out: str = "value") -> DataFrame:
@@ -123,7 +129,7 @@ def synthesise_rows(lats: DataFrame, coeffs: DataFrame, nmax: int, nlon: int, fi
         raise ValueError(f"{nlon} longitudes don't resolve order {nmax}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _few(batches, nmax):
+        for b in few(batches, nmax):
             lat = b.column("lat").to_numpy()
             z = {e: np.zeros((len(lat), nlon // 2 + 1), complex) for e in sets}
             for m, p in columns(lat, nmax):
@@ -179,7 +185,7 @@ def gradient_rows(lats: DataFrame, coeffs: DataFrame, nmax: int, nlon: int, firs
     turn = np.exp(1j * np.radians(first_lon) * np.arange(nmax + 1)) * np.where(np.arange(nmax + 1) == 0, 1.0, 0.5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _few(batches, nmax):
+        for b in few(batches, nmax):
             lat = b.column("lat").to_numpy()
             z = {e: np.zeros((2, len(lat), nlon // 2 + 1), complex) for e in sets}
             for m, d in slopes(lat, nmax):
@@ -196,7 +202,7 @@ def gradient_rows(lats: DataFrame, coeffs: DataFrame, nmax: int, nlon: int, firs
     return lats.select("lat").mapInArrow(run, "lat double, ilon int, lon double, epoch_id int, by_colat double, by_lon double")
 
 
-def _few(batches: Iterator[pa.RecordBatch], nmax: int) -> Iterator[pa.RecordBatch]:
+def few(batches: Iterator[pa.RecordBatch], nmax: int) -> Iterator[pa.RecordBatch]:
     """Runs of rows for which the values of one order stay within a few MB."""
     most = max(64, min(20_000, 1_000_000 // (nmax + 1)))
     for batch in batches:
