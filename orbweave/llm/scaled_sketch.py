@@ -6,7 +6,9 @@ Shingles are five words (A-Z as a-z) of the text set between four marks on eithe
 Where no hash is below the threshold, the smallest stays, so that every text with a word has a fingerprint.
 
 A null text is empty; an empty text has the empty fingerprint, which is like itself (1) and unlike all others (0).
-Equal texts have equal fingerprints. Among rows with one doc_id the order is by text; rows without a doc_id come first.
+Equal texts have equal fingerprints. Among rows with one doc_id the order is by a hash of the text and then the text; rows
+without a doc_id come first. Where very many share a doc_id or have none, ranges of that hash part them. A text of any
+length is taken whole; only doc_id and text are read, so other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -102,18 +104,26 @@ def in_order(docs: DataFrame, parts: int) -> DataFrame:
     doc_id of each range, n numbers, go through the driver."""
     n = 4 * parts  # several small ranges to a partition even its size out
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    inner = docs.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10_000)).first()[0] if n > 1 else []
+    docs = docs.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1 << 20)))
+    per_id = docs.groupBy("doc_id").count().agg(F.max("count").alias("most"), F.sum("count").alias("all"), F.min("doc_id").alias("least")).first()
+    hot = (per_id["most"] or 0) * n > max(4000, per_id["all"] or 0)  # more rows of one doc_id than a range should have
+    least = float(per_id["least"] if per_id["least"] is not None else 0)
+    x = F.coalesce(F.col("doc_id").cast("double"), F.lit(least - 2.0))
+    x = x + F.col("h") / F.lit(float(1 << 20)) if hot else x
+    inner = docs.select(F.percentile_approx(x, [k / n for k in range(1, n)], 10_000)).first()[0] if n > 1 else []
     splits = [float("-inf"), *sorted({float(b) for b in inner or ()}), float("inf")]
     if len(splits) > 2:
-        keyed = Bucketizer(splits=splits, inputCol="x", outputCol="y").transform(docs.withColumn("x", F.coalesce(F.col("doc_id").cast("double"), F.lit(-1e300))))
-        keyed = keyed.select("doc_id", "text", F.col("y").cast("int").alias("bucket"))
+        keyed = Bucketizer(splits=splits, inputCol="x", outputCol="y").transform(docs.withColumn("x", x))
+        keyed = keyed.select("doc_id", "text", "h", F.col("y").cast("int").alias("bucket"))
     else:
         keyed = docs.withColumn("bucket", F.lit(0))
-    heads = keyed.groupBy("bucket").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("head")).orderBy("bucket").collect()
-    goes = [(row["head"], heads[k - 1]["bucket"]) for k, row in enumerate(heads)]
-    small = docs.sparkSession.createDataFrame(goes, "head long, before int")
-    tails = docs.join(F.broadcast(small), F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("head")).select("doc_id", "text", F.col("before").alias("bucket"), F.lit(True).alias("tail"))
-    return keyed.withColumn("tail", F.lit(False)).unionByName(tails).repartition(parts, "bucket").sortWithinPartitions("bucket", "tail", "doc_id", "text")
+    id_, part = F.coalesce("doc_id", F.lit(-(1 << 63))), F.col("h") if hot else F.lit(0).cast("long")
+    heads = keyed.groupBy("bucket").agg(F.min(F.struct(id_.alias("id"), part.alias("part"))).alias("head")).orderBy("bucket").collect()
+    goes = [(row["head"]["id"], row["head"]["part"], heads[k - 1]["bucket"]) for k, row in enumerate(heads)]
+    small = docs.sparkSession.createDataFrame(goes, "head long, part long, before int")
+    tails = docs.join(F.broadcast(small), (id_ == F.col("head")) & (part == F.col("part"))).select("doc_id", "text", "h", F.col("before").alias("bucket"), F.lit(True).alias("tail"))
+    rows = keyed.withColumn("tail", F.lit(False)).unionByName(tails).repartition(parts, "bucket")
+    return rows.sortWithinPartitions("bucket", "tail", "doc_id", "h", "text").drop("h")
 
 
 def with_edits(docs: DataFrame, scale: int = SCALE) -> DataFrame:

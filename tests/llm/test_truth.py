@@ -150,6 +150,22 @@ def test_sketch_against_sets(spark, docs):
     assert (out["near_edited"] > out["near_next"]).mean() > 0.98
 
 
+def test_sketch_where_many_share_an_id(spark):
+    """A third of the rows have no doc_id and a third have the same: ranges part them, and each row meets the next."""
+    rng = random.Random(9)
+    rows = [(None if k % 3 == 0 else 500 if k % 3 == 1 else k, " ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(rng.randrange(0, 12)))) for k in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sizes = [r["count"] for r in scaled_sketch.in_order(df, 8).where("not tail").groupBy("bucket").count().collect()]
+    assert sum(sizes) == 6000 and max(sizes) < 600
+    order = [(r["doc_id"], r["text"]) for r in df.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1 << 20))).orderBy(F.col("doc_id").asc_nulls_first(), "h", "text").collect()]
+    want = []
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        want.append((i is None, i or 0, len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest()))
+    out = scaled_sketch.with_edits(df).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_chars"], r["edited_sha256"]) for r in out) == sorted(want)
+
+
 def test_sketches_merge():
     rng = random.Random(0)
     a, b = (" ".join(str(rng.randrange(10_000)) for _ in range(4000)) for _ in range(2))
