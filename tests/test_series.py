@@ -268,7 +268,7 @@ def test_places_in_the_triangle(spark):
     rows = spark.createDataFrame([(n, m) for n in range(7) for m in range(n + 1)], "n int, m int").withColumn("k", geo.triangle_index(F.col("n"), F.col("m"), 6))
     n, m = geo.degree_and_order(F.col("k"), 6)
     assert rows.where((n != F.col("n")) | (m != F.col("m"))).count() == 0 and rows.select("k").distinct().count() == 28
-    cell = np.radians(1.0) ** 2
+    cell = float(np.radians(1.0)) ** 2
     got = spark.createDataFrame([(cell / 2,), (cell * 2,), (0.0,)], "w double").select(geo.equivalent_lat_step(F.col("w")).alias("x")).collect()
     assert got[0]["x"] == pytest.approx(60.0) and got[1]["x"] == 0.0 and got[2]["x"] is None
 
