@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,11 +119,12 @@ class LanguageMasks:
         most = kept.groupBy("lang").count().agg(F.max("count")).first()[0]
         slots = slots_for(most or 1)
 
-        def bits(pdf: pd.DataFrame) -> pd.DataFrame:
-            packed = np.packbits(bits_of(pdf["gram"].to_numpy().astype(U), slots)).tobytes()
-            return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "bits": [packed], "reached": [pdf["n"].sum() / pdf["total"].iloc[0]]})
+        def bits(rows: pa.Table) -> pa.Table:
+            packed = np.packbits(bits_of(rows.column("gram").to_numpy().astype(U), slots)).tobytes()
+            reached = rows.column("n").to_numpy().sum() / rows.column("total")[0].as_py()
+            return pa.table({"lang": [rows.column("lang")[0].as_py()], "bits": pa.array([packed], pa.binary()), "reached": [float(reached)]})
 
-        rows = kept.groupBy("lang").applyInPandas(bits, "lang string, bits binary, reached double").collect()  # slots / 8 bytes a language
+        rows = kept.groupBy("lang").applyInArrow(bits, "lang string, bits binary, reached double").collect()  # slots / 8 bytes a language
         discard(n)
         return LanguageMasks.beside([(r["lang"], np.frombuffer(bytes(r["bits"]), np.uint8), r["reached"]) for r in rows], slots)
 

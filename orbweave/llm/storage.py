@@ -28,9 +28,9 @@ def bounded_texts(rows: DataFrame, most: int = SAMPLE_BYTES) -> pa.Table:
     text of more than a sixteenth of that, or that doesn't fit any more, is passed over, never cut."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 64
     kept = stored(rows.withColumn("_size", size).withColumn("_key", F.xxhash64(*rows.columns, F.lit("bounded"))), "sample")
-    sizes = kept.groupBy("_key").agg(F.sum("_size").alias("size"), F.max("_size").alias("one")).orderBy("_key").toPandas()
+    sizes = kept.groupBy("_key").agg(F.sum("_size").alias("size"), F.max("_size").alias("one")).orderBy("_key").collect()
     left, take = most, []
-    for key, all_, one in zip(sizes["_key"], sizes["size"], sizes["one"]):
+    for key, all_, one in sizes:
         if one <= most // 16 and all_ <= left:
             take.append((int(key),))
             left -= all_
