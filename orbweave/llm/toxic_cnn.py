@@ -102,10 +102,13 @@ class Net:
 
 def common(ids: np.ndarray, counts: np.ndarray, least: int = 4) -> np.ndarray:
     """The rows of the embedding that ``least`` texts use; the others stay zero, as they would only be learned by heart."""
-    doc = np.repeat(np.arange(len(counts)), counts)
+    first = np.concatenate([[0], np.cumsum(counts)])
     n = np.zeros(BUCKETS, np.int64)
-    for k in range(ids.shape[1]):
-        n += np.bincount(np.unique(doc * BUCKETS + ids[:, k]) % BUCKETS, minlength=BUCKETS)
+    for a in range(0, len(counts), 512):
+        some = counts[a : a + 512]
+        doc, mine = np.repeat(np.arange(len(some)), some), ids[first[a] : first[a + len(some)]]
+        for k in range(ids.shape[1]):
+            n += np.bincount(np.unique(doc * BUCKETS + mine[:, k]) % BUCKETS, minlength=BUCKETS)
     return n >= least
 
 
@@ -236,9 +239,11 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int
         w = words(p.column("text"), letters=True)
         ids.append(features(w))
         counts.append(w.counts)
+    del rows, parts, p, w  # the texts
     ids, counts = np.concatenate(ids), np.concatenate(counts)
     held = np.arange(len(label)) % 4 == 0
-    net = train(ids[~np.repeat(held, counts)], counts[~held], label[~held])
+    ids = ids[~np.repeat(held, counts)]
+    net = train(ids, counts[~held], label[~held])
     return Classifier(net, masks, {}, 0.0, share), doc_ids.filter(pa.array(~held)).unique()
 
 
