@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orbweave.llm import bilinear_lm, cube_mix, curve_ann, lang_masks, ngram_join, pair_index_bpe, scaled_sketch, suffix_dedup, toxic_cnn, warc_split
+from orbweave.llm import bilinear_lm, cube_mix, curve_ann, lang_masks, ngram_join, pair_index_bpe, scaled_sketch, suffix_dedup, token_fertility, toxic_cnn, warc_split
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc_split": warc_split.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bilinear_lm": bilinear_lm.query,
     "op1_curve_ann": curve_ann.query,
     "op8_pair_index_bpe": pair_index_bpe.query,
+    "op13_token_fertility": token_fertility.query,
 }
 
 ORACLES: dict[str, str] = {
