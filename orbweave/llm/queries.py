@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orbweave.llm import bilinear_lm, cube_mix, curve_ann, lang_masks, ngram_join, pair_index_bpe, scaled_sketch, suffix_dedup, target_resampling, token_fertility, toxic_cnn, warc_split
+from orbweave.llm import bilinear_lm, cube_mix, curve_ann, lang_masks, ngram_join, pair_index_bpe, scaled_sketch, suffix_dedup, target_resampling, token_alignment, token_fertility, toxic_cnn, warc_split
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc_split": warc_split.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bilinear_lm": bilinear_lm.query,
     "op1_curve_ann": curve_ann.query,
     "op8_pair_index_bpe": pair_index_bpe.query,
+    "op11_token_alignment": token_alignment.query,
     "op12_target_resampling": target_resampling.query,
     "op13_token_fertility": token_fertility.query,
 }
@@ -27,5 +28,6 @@ ORACLES: dict[str, str] = {
     "op10_warc_split": warc_split.SQL,
     "op4_ngram_join": ngram_join.SQL,
     "op5_suffix_dedup": suffix_dedup.SQL,
+    "op11_token_alignment": token_alignment.query,
     "op12_target_resampling": target_resampling.SQL,
 }
