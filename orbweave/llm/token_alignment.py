@@ -21,12 +21,12 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,7 +38,9 @@ from orbweave.llm.vocabularies import Coders, coders, default_paths
 #: Text bytes of a block.
 BLOCK = 4 << 20
 #: Units that a worker keeps, and moves of its transducer.
-CACHE, MOVES = 200_000, 2_000_000
+CACHE, MOVES = 300_000, 2_000_000
+#: Links of a group that are listed one by one; those of a larger one are counted by its different ids.
+WIDE = 4096
 #: Pairs of a dictionary in one row.
 DICTIONARY = 1 << 16
 DOC = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
@@ -83,46 +85,48 @@ class Transducer:
             self.waits.append(1 - lead)
         return self.known[key]
 
-    def groups(self, a: list[int], b: list[int]) -> list[tuple[int, int]] | None:
-        """How many tokens of either side each group ends after; None where the sides differ."""
+    def groups(self, a: list[int], b: list[int]) -> np.ndarray | None:
+        """How many tokens of either side each group ends after, a row for each; None where the sides differ."""
         if len(self.moves) > MOVES:
             self.clear()
         moves, waits, width = self.moves, self.waits, self.width
-        out, i, j, state, ends = [], 0, 0, 0, (len(a), len(b))
-        while i < ends[0]:
-            while True:
-                if waits[state]:
-                    if j == ends[1]:
-                        return None
-                    token, j = b[j], j + 1
-                else:
-                    if i == ends[0]:
-                        return None
-                    token, i = a[i], i + 1
-                to = moves.get(state * width + token)
-                state = self.move(state, token) if to is None else to
-                if state <= 0:
-                    break
-            if state < 0:
-                return None
-            out.append((i, j))
-        return out if j == ends[1] else None
-
-
-def links(a: list[int], b: list[int], ends: list[tuple[int, int]], base: int) -> Counter:
-    """How often each pair a * base + b shares a group."""
-    out: Counter = Counter()
-    i = j = 0
-    for k, m in ends:
-        if k - i == 1 and m - j == 1:
-            out[a[i] * base + b[j]] += 1
-        else:
-            other = Counter(b[j:m]).items()
-            for x, cx in Counter(a[i:k]).items():
-                for y, cy in other:
-                    out[x * base + y] += cx * cy
-        i, j = k, m
-    return out
+        out_i, out_j, i, j, state, n_a, n_b = [], [], 0, 0, 0, len(a), len(b)
+        while i < n_a or state:
+            if waits[state]:
+                if j == n_b:
+                    return None
+                key = state * width + b[j]
+                j += 1
+            else:
+                if i == n_a:
+                    return None
+                key = state * width + a[i]
+                i += 1
+            to = moves.get(key)
+            state = self.move(state, key % width) if to is None else to
+            if state <= 0:
+                if state < 0:
+                    return None
+                out_i.append(i)
+                out_j.append(j)
+        return np.array([out_i, out_j], np.int64).T if j == n_b else None
+
+
+def links(a: np.ndarray, b: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, a * base + b, times) of the pairs in each group; those of a large group are counted by their ids."""
+    starts = np.concatenate([np.zeros((1, 2), np.int64), ends[:-1]])
+    size = ends - starts
+    many = size[:, 0] * size[:, 1]
+    small = np.flatnonzero(many <= WIDE)
+    n = many[small]
+    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    group = np.repeat(small, n)
+    i, j = np.divmod(at, size[group, 1])
+    found = [(group, a[starts[group, 0] + i] * base + b[starts[group, 1] + j], np.ones(len(group), np.int64))]
+    for g in np.flatnonzero(many > WIDE).tolist():
+        (x, cx), (y, cy) = (np.unique(v[s:e], return_counts=True) for v, s, e in zip((a, b), starts[g], ends[g]))
+        found.append((np.full(len(x) * len(y), g), (x[:, None] * base + y).ravel(), np.outer(cx, cy).ravel()))
+    return tuple(np.concatenate(c) for c in zip(*found))
 
 
 class Units:
@@ -150,51 +154,53 @@ class Units:
         good = [p for p in new if p and p.strip() == p]
         plain.update(dict.fromkeys(new, -1))
         if good:
-            plain.update(zip(good, self._learn(good, *self._encoded(good))))
+            (a, a_bounds), (b, b_bounds) = self.coders(" ".join(good))
+            plain.update(zip(good, self._learn(good, a, a_bounds, b, b_bounds)))
         out = [[plain[p] for p in ps] for ps in parts]
         for k, places in enumerate(out):
             if -1 in places:
-                units = [u[1:] for u in _CUTS.split(" " + texts[k])]
-                new_odd = [u for u in dict.fromkeys(units) if u not in self.odd]
-                if new_odd:
-                    both = [self.coders.one(u) for u in new_odd]
-                    self.odd.update(zip(new_odd, self._learn(new_odd, [a for a, _ in both], [b for _, b in both])))
-                out[k] = [self.odd[u] for u in units]
+                pieces = [u[1:] for u in _CUTS.split(" " + texts[k])]
+                fresh = [u for u in dict.fromkeys(pieces) if u not in self.odd]
+                if fresh:
+                    sides = []
+                    for ids in zip(*[self.coders.one(u) for u in fresh]):
+                        sides += [np.array([x for one in ids for x in one], np.int64), np.append(0, np.cumsum([len(one) for one in ids]))]
+                    self.odd.update(zip(fresh, self._learn(fresh, *sides)))
+                out[k] = [self.odd[u] for u in pieces]
         return out
 
-    def _encoded(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        out = []
-        for ids, bounds in self.coders(" ".join(units)):
-            ids, bounds = ids.tolist(), bounds.tolist()
-            out.append([ids[x:y] for x, y in zip(bounds, bounds[1:])])
-        return out[0], out[1]
-
-    def _learn(self, units: list[str], a_ids: list[list[int]], b_ids: list[list[int]]) -> range:
-        sums, sizes, pairs, times = [], [], [], []
-        tokens, first = self.coders.byte_tokens, len(self.text)
-        for u, a, b in zip(units, a_ids, b_ids):
-            ends = self.transducer.groups(a, b) if b"".join([tokens[x] for x in a]) == b" " + u.encode() else None
-            if ends is None:
-                self.text.append(None)
-                sums.append((0, 0, 0, 0))
-                sizes.append(0)
-                continue
-            sa, sb = list(map(str, a)), list(map(str, b))
-            i = j = 0
-            shown = []
-            for k, m in ends:
-                shown.append(",".join(sa[i:k]) + "|" + ",".join(sb[j:m]))
-                i, j = k, m
-            self.text.append(";".join(shown))
-            held = links(a, b, ends, self.base)
-            sums.append((len(a), len(b), len(ends), sum(held.values())))
-            sizes.append(len(held))
-            pairs.extend(held)
-            times.extend(held.values())
-        self.sums = np.concatenate([self.sums, np.array(sums, np.int64)])
-        self.pairs, self.times = np.append(self.pairs, np.array(pairs, np.int64)), np.append(self.times, np.array(times, np.int64))
-        self.bounds = np.append(self.bounds, self.bounds[-1] + np.cumsum(sizes))
-        return range(first, len(self.text))
+    def _learn(self, units: list[str], a: np.ndarray, a_bounds: np.ndarray, b: np.ndarray, b_bounds: np.ndarray) -> range:
+        """The transducer runs over all units in one go; where the sides differ somewhere, over either half of them."""
+        first, n = len(self.text), len(units)
+        tokens = self.coders.byte_tokens
+        ends = self.transducer.groups(a.tolist(), b.tolist()) if b"".join([tokens[x] for x in a.tolist()]) == "".join([" " + u for u in units]).encode() else None
+        if ends is not None:
+            last = np.searchsorted(ends[:, 0], a_bounds[1:])
+            if (ends[last] != np.stack([a_bounds[1:], b_bounds[1:]], 1)).any():
+                ends = None
+        if ends is None and n > 1:
+            h = n // 2
+            self._learn(units[:h], a[: a_bounds[h]], a_bounds[: h + 1], b[: b_bounds[h]], b_bounds[: h + 1])
+            self._learn(units[h:], a[a_bounds[h] :], a_bounds[h:] - a_bounds[h], b[b_bounds[h] :], b_bounds[h:] - b_bounds[h])
+            return range(first, first + n)
+        if ends is None:
+            self.text.append(None)
+            self.sums, self.bounds = np.concatenate([self.sums, np.zeros((1, 4), np.int64)]), np.append(self.bounds, self.bounds[-1])
+            return range(first, first + 1)
+        cuts = np.append(0, last + 1)
+        sides = [pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, ends[:, k]), pa.int32()), pa.array(ids).cast(pa.string())), ",") for k, ids in enumerate((a, b))]
+        shown = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pc.binary_join_element_wise(*sides, "|"))
+        self.text += pc.binary_join(shown, ";").to_pylist()
+        group, pair, times = links(a, b, ends, self.base)
+        unit = np.repeat(np.arange(n), np.diff(cuts))[group]
+        order = np.lexsort((pair, unit))
+        pair, unit, times = pair[order], unit[order], times[order]
+        heads = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (unit[1:] != unit[:-1])))
+        n_links = np.diff(np.append(0, np.cumsum(times))[np.searchsorted(unit, np.arange(n + 1))])
+        self.sums = np.concatenate([self.sums, np.stack([np.diff(a_bounds), np.diff(b_bounds), np.diff(cuts), n_links], 1)])
+        self.pairs, self.times = np.append(self.pairs, pair[heads]), np.append(self.times, np.add.reduceat(times, heads))
+        self.bounds = np.append(self.bounds, self.bounds[-1] + np.searchsorted(unit[heads], np.arange(1, n + 1)))
+        return range(first, first + n)
 
 
 @cache
