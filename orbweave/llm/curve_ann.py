@@ -12,9 +12,10 @@ neighbours of a bounded sample of queries; these are found by comparing the samp
 have structure windows stay small. On isotropic vectors of many dimensions no order keeps neighbours together, and
 windows grow with the table.
 
-Equal vectors are one point of the curves; its least ``k`` + 1 ids stand for all. Vectors that are null, zero, of another
-length than most, or hold null or non-finite components take no part, nor do rows without a vec_id. Rows with the same
-vec_id count once, as the least of their vectors. Ties go to the smaller vec_id. Extra columns play no part.
+Equal vectors are one point of the curves; its first ``k`` + 1 rows stand for all. Vectors that are null, zero, of another
+length than most, or hold null or non-finite components take no part, nor do rows without a vec_id. Rows are numbered
+in the order of vec_id; those that share one are rows like others, each asks for itself and is found by the others. Ties
+go to the smaller vec_id. An empty table gives an empty one. Extra columns play no part.
 """
 
 from __future__ import annotations
@@ -72,11 +73,13 @@ def projections(width: int, curves: int, seed: int = 5) -> list[tuple[np.ndarray
 
 
 def valid(rows: DataFrame, vector: str) -> DataFrame:
-    """vec_id and v (array<double>), one row for each vec_id that takes part."""
+    """row, vec_id and v (array<double>) of the rows that take part; ``row`` ascends with vec_id. Ranges of vec_id are sorted
+    side by side; a hot vec_id is parted by the rows' places in the table."""
     v = F.col(vector)
     odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & ~odd & F.exists(v, lambda x: x != 0)).select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<double>").alias("v"))
-    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows = rows.withColumn("at", F.monotonically_increasing_id()).repartitionByRange("vec_id", "at").sortWithinPartitions("vec_id", "at")
+    rows = stored(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v"), "ann-rows")
     most = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return rows.where(F.size("v") == F.lit(most["n"] if most else 0))
 
@@ -205,8 +208,8 @@ def search(rows: DataFrame, queries, k: int = K, curves: int = CURVES, recall: f
     """queries: a condition on vec_id. To (query_id, rank, vec_id, score): the k nearest found of each query."""
     spark = rows.sparkSession
     parts = partitions(spark)
-    rows = stored(valid(rows, vector).withColumn("asks", queries), "ann-rows")
-    points = rows.groupBy("v").agg(F.min("vec_id").alias("point"), F.max("asks").alias("asks"))
+    rows = valid(rows, vector).withColumn("asks", queries)
+    points = rows.groupBy("v").agg(F.min("row").alias("point"), F.max("asks").alias("asks"))
     points = stored(points, "ann-points")
     n = points.count()
     head = points.select(F.size("v").alias("w")).first()
@@ -260,13 +263,13 @@ def search(rows: DataFrame, queries, k: int = K, curves: int = CURVES, recall: f
     found = stored(found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n"), "ann-found")
     discard(line)
     named = points.select("point", "v")
-    ids = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= k + 1)
-    ids = ids.join(named, "v").select("point", "vec_id")
-    near = found.join(ids, "point").select("q", "vec_id", "score")
-    near = near.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1).drop("n")
-    asked = rows.where("asks").join(named, "v").select(F.col("point").alias("q"), F.col("vec_id").alias("query_id"))
-    pairs = asked.join(near, "q").where("vec_id <> query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    ids = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("row"))).where(F.col("n") <= k + 1)
+    ids = ids.join(named, "v").select("point", "row", "vec_id")
+    near = found.join(ids, "point").select("q", "row", "vec_id", "score")
+    near = near.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "row"))).where(F.col("n") <= k + 1).drop("n")
+    asked = rows.where("asks").join(named, "v").select(F.col("point").alias("q"), F.col("vec_id").alias("query_id"), F.col("row").alias("own"))
+    pairs = asked.join(near, "q").where("row <> own")
+    rank = F.row_number().over(Window.partitionBy("own").orderBy(F.desc("score"), "row"))
     return pairs.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbweave.llm.components import components
@@ -68,11 +68,18 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key string, bands array<long>")
 
 
+def text_key(text: str = "text") -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def identified(docs: DataFrame) -> DataFrame:
-    """The rows with doc_id, text and key filled."""
-    text = F.coalesce("text", F.lit(""))
-    rest = [c for c in docs.columns if c not in ("doc_id", "text", "key")]
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), text.alias("text"), F.md5(text.cast("binary")).alias("key"), *rest)
+    """doc_id, text and key of each row, text and key filled."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), text_key().alias("key"))
+
+
+def named(doc_id: Column, key: Column) -> Column:
+    """What a text is called: its doc_id, or a number by its hash."""
+    return F.coalesce(doc_id, F.lit(1 << 62) + F.pmod(F.xxhash64(key), F.lit(1 << 62)))
 
 
 class Group:
@@ -184,7 +191,7 @@ def classes(docs: DataFrame, threshold: float = LIKE, recall: float = RECALL, si
     bands, rows = banding(threshold, recall)
     docs = identified(docs)
     signed = stored(signatures(docs, size, bands, rows), "ngram-signatures")
-    texts = stored(signed.groupBy("key").agg(F.min("doc_id").alias("text_id"), F.count("*").alias("n_copies"), F.first("bands").alias("bands")), "ngram-texts")
+    texts = stored(signed.groupBy("key").agg(named(F.min("doc_id"), F.col("key")).alias("text_id"), F.count("*").alias("n_copies"), F.first("bands").alias("bands")), "ngram-texts")
     placed = texts.select("text_id", F.explode("bands").alias("bucket"))
     buckets = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("text_id").alias("low"), F.bit_xor(F.xxhash64("text_id")).alias("x"), F.bit_xor(F.xxhash64("text_id", F.lit(1))).alias("y"))
     # buckets with the same members are verified once, as the least of them
@@ -192,7 +199,7 @@ def classes(docs: DataFrame, threshold: float = LIKE, recall: float = RECALL, si
     meeting = placed.join(buckets, "bucket").groupBy("text_id").agg(F.collect_list(F.struct("bucket", "n")).alias("in"))
     meeting = meeting.join(texts.select("text_id", "key"), "text_id")  # at most one bucket a band: short lists
     meeting = stored(meeting, "ngram-meeting")
-    found = docs.select(F.col("doc_id").alias("text_id"), "key", "text").join(meeting, ["text_id", "key"])
+    found = docs.select(named(F.col("doc_id"), F.col("key")).alias("text_id"), "key", "text").join(meeting, ["text_id", "key"])
     each = found.select(F.col("text_id").alias("doc_id"), "text", F.col("in.bucket").alias("meets"), F.explode("in").alias("b"))
     each = each.select("doc_id", "text", "meets", F.col("b.bucket").alias("bucket"), F.greatest(F.lit(1), F.ceil(F.col("b.n") / F.lit(block))).cast("int").alias("blocks"))
     each = each.withColumn("own", F.pmod(F.xxhash64("doc_id", "bucket"), F.col("blocks")).cast("int"))
@@ -218,8 +225,7 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """Of each component the document with the least doc_id; of repeated rows one, of several texts under that doc_id each."""
     _, texts = classes(docs, **how)
     keep = texts.where("text_id = group_id").select("text_id", F.col("key").alias("kept"))
-    text_id, key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    rows = whole(docs, text_id=text_id, key=key).join(keep, "text_id").where("key = kept")
+    rows = whole(docs, text_id=named(F.col("doc_id").cast("long"), text_key()), key=text_key()).join(keep, "text_id").where("key = kept")
     first = F.row_number().over(Window.partitionBy("text_id", "key").orderBy("text_id"))
     return rows.withColumn("n", first).where("n = 1").select("r.*")
 

@@ -28,6 +28,5 @@ ORACLES: dict[str, str] = {
     "op10_warc_split": warc_split.SQL,
     "op4_ngram_join": ngram_join.SQL,
     "op5_suffix_dedup": suffix_dedup.SQL,
-    "op11_token_alignment": token_alignment.query,
     "op12_target_resampling": target_resampling.SQL,
 }

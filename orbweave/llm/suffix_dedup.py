@@ -13,8 +13,9 @@ texts would make a shard without bound; its windows are told by 128-bit hashes i
 it, which gives the same spans.
 
 Equal texts are decided once: a copy of a text with a window goes as a whole if a smaller doc_id has the text. Rows with
-the same doc_id don't remove each other's words. Null and empty texts have no words; rows without a doc_id count as
-doc_id -2**63. Empty tables give empty results; extra columns play no part.
+the same doc_id don't remove each other's words. Null and empty texts have no words. A row without a doc_id is neither
+before nor after another: it loses nothing and takes nothing. Empty tables give empty results; extra columns play no
+part.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm.ngram_join import identified
+from orbweave.llm.ngram_join import identified, text_key
 from orbweave.llm.storage import discard, partitions, stored, whole
 from orbweave.llm.textcols import U, Words, mix, powers, slices, words
 
@@ -379,7 +380,7 @@ def removals(docs: DataFrame, length: int = LENGTH, size: int = ANCHOR, shard: i
     spark = docs.sparkSession
     docs = identified(docs)
     scan = stored(scanned(docs, length, size), "dedup-scan")
-    texts = stored(scan.groupBy("key").agg(F.min("doc_id").alias("text_id")), "dedup-texts")
+    texts = stored(scan.where("doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("text_id")), "dedup-texts")
     own = scan.join(texts.withColumnRenamed("text_id", "doc_id"), ["doc_id", "key"])
     placed = own.where("size(anchors) > 0").select("doc_id", "key", F.explode(F.arrays_zip("anchors", "begins", "windows")).alias("x"))
     placed = placed.select("doc_id", "key", F.col("x.anchors").alias("code"), F.col("x.begins").alias("begin"), F.col("x.windows").alias("windows"))
@@ -397,7 +398,7 @@ def removals(docs: DataFrame, length: int = LENGTH, size: int = ANCHOR, shard: i
     changed = stored(changed, "dedup-changed")
     discard(placed, often, involved)
     copies = texts.withColumnRenamed("key", "_key")
-    rows = scan.drop("anchors", "begins", "windows").join(copies, F.col("key") == F.col("_key")).withColumn("copy", F.col("doc_id") > F.col("text_id"))
+    rows = scan.drop("anchors", "begins", "windows").join(copies, F.col("key") == F.col("_key"), "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("text_id"), F.lit(False)))
     return rows.drop("_key", "text_id"), changed
 
 
@@ -418,8 +419,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
     rows, changed = removals(docs, length, with_text=True, **how)
     gone = rows.where(F.col("copy") & (F.col("n_words") >= length)).select("doc_id", "key", F.lit("").alias("kept")).distinct()
     changed = changed.select("doc_id", "key", "kept").unionByName(gone)
-    doc_id, key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    out = whole(docs, doc_id=doc_id, key=key).join(changed, ["doc_id", "key"], "left")
+    out = whole(docs, doc_id=F.col("doc_id").cast("long"), key=text_key()).join(changed, ["doc_id", "key"], "left")
     return out.select(*[F.coalesce("kept", "r.text").alias(c) if c == "text" else F.col(f"r.`{c}`") for c in docs.columns])
 
 
@@ -429,16 +429,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (
-  SELECT doc_id, k, list_aggregate(ws[k : k + 49], 'string_agg', ' ') AS w
-  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS k FROM d WHERE len(ws) >= 50)),
-f AS (SELECT doc_id, k FROM (SELECT doc_id, k, min(doc_id) OVER (PARTITION BY w) AS low FROM s) WHERE doc_id > low),
-g AS (SELECT DISTINCT doc_id, unnest(range(k, k + 50)) AS k FROM f),
-w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k FROM d),
+  SELECT row, doc_id, k, list_aggregate(ws[k : k + 49], 'string_agg', ' ') AS w
+  FROM (SELECT row, doc_id, ws, unnest(range(1, len(ws) - 48)) AS k FROM d WHERE len(ws) >= 50)),
+f AS (SELECT row, k FROM (SELECT row, doc_id, k, min(doc_id) OVER (PARTITION BY w) AS low FROM s) WHERE doc_id > low),
+g AS (SELECT DISTINCT row, unnest(range(k, k + 50)) AS k FROM f),
+w AS (SELECT row, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k FROM d),
 r AS (
-  SELECT w.doc_id, count(g.k) AS n_removed, string_agg(CASE WHEN g.k IS NULL THEN word END, ' ' ORDER BY w.k) AS kept
-  FROM w LEFT JOIN g ON g.doc_id = w.doc_id AND g.k = w.k GROUP BY w.doc_id)
+  SELECT w.row, count(g.k) AS n_removed, string_agg(CASE WHEN g.k IS NULL THEN word END, ' ' ORDER BY w.k) AS kept
+  FROM w LEFT JOIN g ON g.row = w.row AND g.k = w.k GROUP BY w.row)
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
-FROM d LEFT JOIN r USING (doc_id)
+FROM d LEFT JOIN r USING (row)
 """

@@ -36,11 +36,12 @@ def words(text: Column) -> Column:
 
 
 def runs(ws: Column, longest: int) -> Column:
-    """All runs of 1 to ``longest`` words, joined by a space."""
-    if longest == 1:
-        return ws
-    every = [F.transform(F.sequence(F.lit(1), F.size(ws) - (k - 1)), lambda i, k=k: F.array_join(F.slice(ws, i, k), " ")) for k in range(2, longest + 1)]
-    return F.concat(ws, *[F.when(F.size(ws) >= k, e).otherwise(F.array().cast("array<string>")) for k, e in enumerate(every, 2)])
+    """All runs of 1 to ``longest`` words, joined by a space: those of k words are those of k - 1 and the word after each."""
+    found = [ws]
+    for k in range(2, longest + 1):
+        n = F.greatest(F.size(ws) - (k - 1), F.lit(0))
+        found.append(F.zip_with(F.slice(found[-1], F.lit(1), n), F.slice(ws, F.lit(k), n), lambda x, y: F.concat(x, F.lit(" "), y)))
+    return F.concat(*found) if longest > 1 else ws
 
 
 def bucket(feature: Column, buckets: int) -> Column:
@@ -69,8 +70,11 @@ def gains(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, longest: i
 def weighed(docs: DataFrame, gain: DataFrame, buckets: int = BUCKETS, longest: int = LONGEST) -> DataFrame:
     """doc_id, n_words, n_features, weight, text_hash and row, its place in the table, of each row."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("ws"))
-    own = own.select("row", "doc_id", "text_hash", F.size("ws").cast("long").alias("n_words"), runs(F.col("ws"), longest).alias("features"))
-    each = own.select("row", "doc_id", "text_hash", "n_words", F.size("features").cast("long").alias("n_features"), F.explode_outer("features").alias("feature"))
+    own = own.withColumn("n_words", F.size("ws").cast("long"))
+    n_features = sum((F.greatest(F.col("n_words") - k, F.lit(0)) for k in range(1, longest)), F.col("n_words"))
+    # no array beside the exploded one: it would be copied into every row
+    each = own.select("row", "doc_id", "text_hash", "n_words", n_features.alias("n_features"), runs(F.col("ws"), longest).alias("features"))
+    each = each.select("row", "doc_id", "text_hash", "n_words", "n_features", F.explode_outer("features").alias("feature"))
     each = each.select("row", "doc_id", "text_hash", "n_words", "n_features", bucket(F.col("feature"), buckets).alias("bucket"))
     each = each.join(F.broadcast(gain), "bucket", "left")  # a row for each bucket
     keys = ["row", "doc_id", "text_hash", "n_words", "n_features"]

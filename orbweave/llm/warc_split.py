@@ -6,8 +6,9 @@ followed by another member or the file's end; it owns the records that start ins
 end for the last of them. Writers put each task's records into files of their own and return them as rows; those rows,
 stored once, are the list of files that count, so files of failed attempts are never read.
 
-Null html is an empty payload, a null url leaves the target out, and a null page_id stays null. Rows that repeat a
-page_id and payload are each written as the response. Empty tables give no file. Extra columns are left out. A payload of
+Null html is an empty payload, a null url leaves the target out. A null page_id stays null and is never the largest: such
+a page revisits one with a page_id, and pages without one that share a payload among themselves alone are all responses.
+Rows that repeat the largest page_id and its payload are each written as the response. Empty tables give no file. Extra columns are left out. A payload of
 any length is one record, which the task that owns its start reads to its end.
 Archives lie in any store that ``pyarrow.fs`` reaches; the schemes of Spark's paths are told to it by their own names
 there. A task holds one range and one record in memory.
@@ -33,8 +34,6 @@ from orbweave.llm.storage import new_dir, stored
 #: Fixed values of the formats.
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Pages that one task decides of a payload that very many share, about.
-SHARE = 100_000
 #: Schemes of Spark's paths by the names that pyarrow has for them.
 SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfss", "gs": "gs", "hdfs": "hdfs"}
 
@@ -49,16 +48,14 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
 
 def with_decisions(pages: DataFrame, least: int = 1000) -> DataFrame:
     """page_id, url, html, digest (hex), refers_to. Of the pages with equal payloads of ``least`` bytes or more, that
-    with the largest page_id is kept, and the others refer to it."""
+    with the largest page_id is kept, and the others refer to it. Pages of a payload that very many share are one skewed
+    key of a join, which Spark splits as it runs."""
     html = F.coalesce("html", F.lit(""))
     pages = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
     groups = pages.where(F.octet_length("html") >= least).groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n"))
-    groups = stored(groups.where("n > 1"), "warc-groups")
-    salts = min(1024, (groups.agg(F.max("n")).first()[0] or 0) // SHARE + 1)  # one, where no payload is that common
-    groups = groups.select("digest", "kept", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    salted = pages.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int"))
-    refers = F.when(F.col("page_id") < F.col("kept"), F.col("kept"))
-    return salted.join(groups, ["digest", "salt"], "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"))
+    groups = groups.where("n > 1 AND kept IS NOT NULL").select("digest", "kept")
+    refers = F.when(~F.col("page_id").eqNullSafe(F.col("kept")), F.col("kept"))
+    return pages.join(groups, "digest", "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"))
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
@@ -233,7 +230,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
-       CASE WHEN strlen(html) >= 1000 AND page_id < kept THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN strlen(html) >= 1000 AND page_id < kept THEN kept END AS refers_to
+       CASE WHEN strlen(html) >= 1000 AND kept IS NOT NULL AND page_id IS DISTINCT FROM kept THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN strlen(html) >= 1000 AND page_id IS DISTINCT FROM kept THEN kept END AS refers_to
 FROM (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS kept FROM pages)
 """

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from orbweave.llm import bilinear_lm, cube_mix, curve_ann, lang_masks, ngram_join, pair_index_bpe, scaled_sketch, suffix_dedup, toxic_cnn, warc_split
+from orbweave.llm import bilinear_lm, cube_mix, curve_ann, lang_masks, ngram_join, pair_index_bpe, scaled_sketch, suffix_dedup, target_resampling, token_alignment, token_fertility, toxic_cnn, warc_split
 from orbweave.llm.storage import bounded_texts
 
-CLASH = ["key", "size", "row", "copies", "bands", "score", "predicted", "n", "spans", "kept", "bucket", "tail", "digest", "held_out", "target", "pi", "block", "_id", "_key", "_n", "_copy", "text_id", "lettered", "at"]
+CLASH = ["key", "size", "row", "copies", "bands", "score", "predicted", "n", "spans", "kept", "bucket", "tail", "digest", "held_out", "target", "pi", "block", "_id", "_key", "_n", "_copy", "text_id", "lettered", "at", "weight", "rank", "feature", "kind", "script", "places", "times", "pairs"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASH)
 
 
@@ -76,7 +77,12 @@ def test_ngram_join(docs, none):
     assert by[206][0]["class_id"] == 3 and len(by[3]) == 2 and by[3][0]["n_copies"] == 3
     assert by[200][0]["class_id"] == by[201][0]["class_id"]
     assert by[205][0]["class_id"] == by[205][0]["text_id"] == 205 and by[205][0]["n_links"] == 0
+    assert len(by[None]) == 2 and {r["class_id"] for r in by[None] if r["n_copies"] == 1} == {r["text_id"] for r in by[None] if r["n_copies"] == 1}
+    assert {r["class_id"] for r in by[None] if r["n_copies"] > 1} == {200}  # the empty text of rows with ids
     assert ngram_join.near_copies(none).count() == 0
+    alone = docs.where("doc_id in (100, 104)").withColumn("doc_id", F.when(F.col("doc_id") == 104, F.col("doc_id")))
+    assert {(r["doc_id"], r["class_id"]) for r in ngram_join.near_copies(alone).collect()} == {(None, 104), (104, 104)}
+    assert [r["doc_id"] for r in ngram_join.one_of_each(alone).collect()] == [104]
     kept = ngram_join.one_of_each(docs)
     assert kept.columns == docs.columns
     assert kept.where("doc_id in (100, 101, 102, 103, 104, 105)").count() == 1 and kept.where("doc_id = 3").count() == 1
@@ -85,19 +91,23 @@ def test_ngram_join(docs, none):
 
 def test_dedup(docs, none):
     want, first = [], {}
-    rows = [(-(1 << 63) if i is None else i, (t or "").split()) for i, t in texts()]
+    rows = [(i, (t or "").split()) for i, t in texts()]
+    rows += [(None, w) for i, w in rows if i == 100] + [(300, w) for i, w in rows if i is None and w]  # null ids on either side
+    more = docs.unionByName(docs.where("doc_id = 100").withColumn("doc_id", F.lit(None).cast("long")))
+    more = more.unionByName(docs.where("doc_id is null and length(text) > 0").withColumn("doc_id", F.lit(300).cast("long")))
     for i, w in rows:
         for k in range(len(w) - 49):
             at = tuple(w[k : k + 50])
-            first[at] = min(i, first.get(at, i))
+            first[at] = min(math.inf if i is None else i, first.get(at, math.inf))
     for i, w in rows:
         gone = set()
         for k in range(len(w) - 49):
-            if first[tuple(w[k : k + 50])] < i:
+            if i is not None and first[tuple(w[k : k + 50])] < i:
                 gone.update(range(k, k + 50))
-        want.append((i, len(w), len(gone)))
-    out = suffix_dedup.dedup(docs, shard=2)
-    assert sorted((-(1 << 63) if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_removed"]) for r in out.collect()) == sorted(want)
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        want.append((str(i), len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    out = suffix_dedup.dedup(more, shard=2)
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in out.collect()) == sorted(want)
     assert suffix_dedup.dedup(none).count() == 0
     text = suffix_dedup.without_repeats(docs)
     assert text.columns == docs.columns and text.count() == docs.count()
@@ -177,10 +187,10 @@ def test_mixing(docs, none):
 
 def test_warc(spark, none, tmp_path):
     long, huge = "<p>" + "y" * 2000, "".join(map(str, range(500_000)))
-    rows = [(1, "http://a/ä b?x=1\r\n", long, "k"), (2, None, long, "k"), (2, None, long, "k"), (3, "u", None, "k"), (4, "u", "", "k"), (5, "u", "short", "k"), (6, "u", "short", "k"), (None, "u", "z", "k"), (7, "u", huge, "k")]
+    rows = [(1, "http://a/ä b?x=1\r\n", long, "k"), (2, None, long, "k"), (2, None, long, "k"), (3, "u", None, "k"), (4, "u", "", "k"), (5, "u", "short", "k"), (6, "u", "short", "k"), (None, "u", "z", "k"), (None, "u", long, "k"), (None, "v", long + "w", "k"), (None, "w", long + "w", "k"), (7, "u", huge, "k")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string")
     out = warc_split.read(warc_split.write(pages, f"file://{tmp_path}/w"), payloads=True).collect()
-    want = [(0, "response", None), (1, "revisit", 2), *[(k, "response", None) for k in (2, 2, 3, 4, 5, 6, 7)]]
+    want = [(0, "response", None), (0, "revisit", 2), (0, "response", None), (0, "response", None), (1, "revisit", 2), *[(k, "response", None) for k in (2, 2, 3, 4, 5, 6, 7)]]
     assert sorted(((r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in out), key=str) == sorted(want, key=str)
     by = {r["page_id"]: r for r in out}
     assert by[1]["payload_bytes"] == 2003 and bytes(by[7]["payload"]) == huge.encode() and by[7]["payload_digest"] == hashlib.sha1(huge.encode()).hexdigest()
@@ -199,15 +209,17 @@ def test_neighbours(spark):
     v = lambda: [rng.gauss(0, 1) for _ in range(8)]
     same = v()
     rows = [(k, same if k % 4 == 0 else v(), 0) for k in range(120)]
-    rows += [(200, None, 0), (201, [0.0] * 8, 0), (202, [1.0, None] + [0.0] * 6, 0), (203, [float("nan")] * 8, 0), (204, [1.0] * 3, 0), (None, v(), 0), (205, [float("inf")] * 8, 0), (20, same, 0)]
+    rows += [(200, None, 0), (201, [0.0] * 8, 0), (202, [1.0, None] + [0.0] * 6, 0), (203, [float("nan")] * 8, 0), (204, [1.0] * 3, 0), (None, v(), 0), (205, [float("inf")] * 8, 0)]
+    rows += [(20, same, 0), (3, [9 * x for x in same], 0), (3, v(), 0), (40, v(), 0)]  # ids that repeat, with equal and with other vectors
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
     out = curve_ann.search(df, F.col("vec_id") % 20 == 0).collect()
-    assert {r["query_id"] for r in out} == {0, 20, 40, 60, 80, 100}
-    good = {k: e for k, e, _ in rows if k is not None and k < 200}
-    for q in (0, 20, 100):
-        score = {k: sum(x * y for x, y in zip(good[q], e)) for k, e in good.items() if k != q}
-        want = sorted(score, key=lambda k: (-round(score[k], 9), k))[:20]
-        assert [r["vec_id"] for r in sorted((r for r in out if r["query_id"] == q), key=lambda r: r["rank"])] == want
+    good = [(k, e) for k, e, _ in rows if k is not None and k < 200]
+    want = []
+    for n, (q, own) in enumerate(good):
+        if q % 20 == 0:
+            score = [(-round(sum(x * y for x, y in zip(own, e)), 9), k) for m, (k, e) in enumerate(good) if m != n]
+            want += [(q, r, k) for r, (_, k) in enumerate(sorted(score)[:20], 1)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in out) == sorted(want)
     assert curve_ann.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     before, curve_ann.POOL = curve_ann.POOL, 40  # windows dealt to several groups
     try:
@@ -216,6 +228,49 @@ def test_neighbours(spark):
         curve_ann.POOL = before
 
 
+def test_alignment(docs, none):
+    out = token_alignment.alignments(docs).collect()
+    assert sorted((str(r["doc_id"]), r["n_a"] == 0) for r in out) == sorted((str(i), not t) for i, t in texts())
+    assert all(r["n_links"] == r["n_best"] == r["count_sum"] == 0 and r["groups_sha256"] == "" for r in out if r["n_a"] == 0)
+    long = next(r for r in out if r["doc_id"] == 205)
+    assert long["n_groups"] == 1_200_000 // 2 + 1 and long["n_best"] <= long["n_links"]  # the last space is a group of its own
+    assert len({tuple(r)[1:] for r in out if r["doc_id"] in (3, 206) and r["groups_sha256"] == next(x["groups_sha256"] for x in out if x["doc_id"] == 206)}) == 1
+    assert token_alignment.alignments(none).count() == 0
+
+
+def test_resampling(docs, none):
+    target = docs.where("doc_id in (5, 206, 200)")
+    out = target_resampling.resampled(docs, target).collect()
+    assert sorted(str(r["doc_id"]) for r in out) == sorted(str(i) for i, _ in texts())
+    words = lambda t: "".join(c if c.isalnum() and ord(c) < 128 or ord(c) > 127 else " " for c in (t or "")).split()
+    assert sorted((str(r["doc_id"]), r["n_features"]) for r in out) == sorted((str(i), len(words(t))) for i, t in texts())
+    n = sum(len(words(t)) >= 20 for _, t in texts())
+    drawn = sorted((r for r in out if r["rank"] is not None), key=lambda r: r["rank"])
+    assert [r["rank"] for r in drawn] == list(range(1, n // 10 + 1)) and all(r["n_features"] >= 20 for r in drawn)
+    assert min(r["score"] for r in drawn) >= max(r["score"] for r in out if r["rank"] is None and r["n_features"] >= 20)
+    assert all(r["weight"] == 0 for r in out if r["n_features"] == 0)
+    assert target_resampling.resampled(none, target).count() == 0
+    assert target_resampling.resampled(docs, none, percent=100).where("rank is not null").count() == n
+    tied = docs.select("doc_id", F.lit("a b c " * 10).alias("text")).unionByName(docs.select(F.lit(7).cast("long").alias("doc_id"), F.lit("a b c " * 10).alias("text")))
+    ranks = sorted(r["rank"] for r in target_resampling.resampled(tied, none, percent=100).collect())
+    assert ranks == list(range(1, 2 * docs.count() + 1))
+    pairs = target_resampling.resampled(docs, target, longest=2).where("doc_id = 5").first()
+    assert pairs["n_features"] == 2 * len(words(dict(texts())[5])) - 1
+
+
+def test_fertility(docs, none):
+    out = token_fertility.judged(docs).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"]) for r in out) == sorted((str(i), len((t or "").split())) for i, t in texts())
+    by = {r["doc_id"]: r for r in out}
+    assert by[200]["entropy"] == by[200]["byte_share"] == by[200]["chars_per_piece"] == 0 and by[200]["base_failed"] and not by[200]["kept"]
+    assert by[205]["n_repeat_words"] == 600_000 and by[205]["base_failed"]
+    assert by[207]["script"] in ("latin", "kana_han") and by[203]["script"] == "none"
+    assert len({(r["entropy"], r["kept"]) for r in out if r["n_words"] == by[206]["n_words"] and r["word_chars"] == by[206]["word_chars"]}) == 1
+    assert token_fertility.judged(none).count() == 0
+    few = docs.where("doc_id in (100, 101, 102)")
+    assert {(r["base_failed"], r["kept"]) for r in token_fertility.judged(few).collect()} == {(False, True)}
+
+
 def test_stages(spark, docs, none, labels, tmp_path):
     """Every stage on rows with nulls, repeats, a text of over a MB and clashing names, and on an empty table."""
     import corpus_pipeline

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from orbweave.llm import bilinear_lm, cube_mix, curve_ann, lang_masks, ngram_join, pair_index_bpe, queries, scaled_sketch, suffix_dedup, textcols, toxic_cnn, warc_split
+from orbweave.llm import bilinear_lm, cube_mix, curve_ann, lang_masks, ngram_join, pair_index_bpe, queries, scaled_sketch, suffix_dedup, textcols, token_alignment, token_fertility, toxic_cnn, vocabularies, warc_split
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -31,7 +31,7 @@ def docs(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     got = con.execute(queries.ORACLES[name])
@@ -436,3 +436,122 @@ def test_pipeline(spark, docs):
     cut = stage["substring_dedup"](spark, spark.createDataFrame(unique, frame.schema), SF)
     assert cut.count() == len(unique)
     assert stage["bpe"](spark, stage["mixing"](spark, cut, SF), SF).count() > 0
+
+
+def odd_texts() -> list[str | None]:
+    rng = random.Random(9)
+    pool = "ab é\u0301ß日本\u3000 \xa0\t\n\r\x0b\x1c\x85\u2028'<|endoftext|></s>▁ 👍🏽".split(" ") + [" ", "  ", "\n", "'s", "12", "…", "don't"]
+    return [None, "", " ", "  a  b ", "a b\n c\n\nd", "x " * 40, "▁ a", "a▁b c"] + ["".join(rng.choice(pool) + rng.choice(["", " ", " "]) for _ in range(rng.randrange(1, 40))) for _ in range(300)]
+
+
+def aligned(texts: list[str | None]) -> list[tuple]:
+    """The contract of op11 by the libraries, byte offsets and loops."""
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    first = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    first.encode_special_tokens = True
+    second = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    letters = {c: b for b, c in enumerate(pair_index_bpe.byte_letters())}
+    piece = lambda i: bytes([int(second.id_to_piece(i)[3:5], 16)]) if second.is_byte(i) else second.id_to_piece(i).replace("\u2581", " ").encode()
+    rows, held = [], Counter()
+    for t in texts:
+        a = first.encode(" " + t, add_special_tokens=False).ids if t else []
+        b = second.encode(t) if t else []
+        spans = [[bytes(letters[c] for c in first.id_to_token(i)) for i in a], [piece(i) for i in b]]
+        if not t or any(b"".join(s) != (" " + t).encode() for s in spans):
+            rows.append((0, 0, [], Counter()))
+            continue
+        ends = [np.cumsum([len(x) for x in s]).tolist() for s in spans]
+        groups, links, i, j = [], Counter(), 0, 0
+        for c in sorted(set(ends[0]) & set(ends[1])):
+            k, m = ends[0].index(c) + 1, ends[1].index(c) + 1
+            groups.append((a[i:k], b[j:m]))
+            links.update((x, y) for x in a[i:k] for y in b[j:m])
+            i, j = k, m
+        held.update(links.keys())
+        rows.append((len(a), len(b), groups, links))
+    most: dict[int, int] = {}
+    for (x, _), n in held.items():
+        most[x] = max(n, most.get(x, 0))
+    out = []
+    for n_a, n_b, groups, links in rows:
+        shown = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+        best = sum(n for p, n in links.items() if held[p] == most[p[0]])
+        out.append((n_a, n_b, len(groups), sum(links.values()), hashlib.sha256(shown.encode()).hexdigest() if shown else "", best, sum(n * held[p] for p, n in links.items())))
+    return out
+
+
+def test_alignment_as_the_libraries(spark, docs):
+    texts = odd_texts() + docs["text"].tolist()[:150]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    before, token_alignment.BLOCK = token_alignment.BLOCK, 20_000  # several blocks
+    try:
+        rows = token_alignment.alignments(df).orderBy("doc_id").collect()
+    finally:
+        token_alignment.BLOCK = before
+    assert [tuple(r)[1:] for r in rows] == aligned(texts)
+
+
+def test_alignment_query(spark, docs):
+    rows = queries.QUERIES["op11_token_alignment"](spark, SF).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in rows] == aligned(docs["text"].tolist())
+
+
+def test_transducer_on_streams_that_differ():
+    t = token_alignment.Transducer([b"ab", b"c", b"abc", b""], [b"a", b"bc", b"abcabc", b"x"])
+    ends = lambda a, b: t.groups(a, b).tolist()
+    assert ends([0, 1], [0, 1]) == [[2, 2]] and ends([2, 0, 1], [2]) == [[3, 1]] and ends([2, 2], [0, 1, 0, 1]) == [[1, 2], [2, 4]] and ends([], []) == []
+    assert all(t.groups(*x) is None for x in (([2], [0]), ([0], [0, 1]), ([2], [3]), ([3], [0]), ([], [0])))
+
+
+def test_links_of_wide_groups():
+    a, b, ends = np.array([1, 2, 1, 3, 4]), np.array([5, 6, 5, 5, 7]), np.array([[3, 4], [5, 5]])
+    want = Counter((0, x * 10 + y) for x in a[:3].tolist() for y in b[:4].tolist()) + Counter((1, x * 10 + y) for x in a[3:].tolist() for y in b[4:].tolist())
+    before = token_alignment.WIDE
+    try:
+        for token_alignment.WIDE in (4096, 4):
+            got = Counter()
+            for g, p, n in zip(*token_alignment.links(a, b, ends, 10)):
+                got[int(g), int(p)] += int(n)
+            assert got == want
+    finally:
+        token_alignment.WIDE = before
+
+
+def test_fertility_against_counts(spark, docs):
+    """Every figure by plain loops, with each word encoded by itself."""
+    import public_tokenizers
+    import sentencepiece
+    import tiktoken
+
+    coder = vocabularies.Coders(*vocabularies.default_paths())
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert isinstance(coder.bytes_, tiktoken.Encoding)
+    texts = odd_texts() + ["line one\nline one\n \nline one \n\nline one", "a b c a b c a b", "#a $% |x| <>&*"] + docs["text"].tolist()[:200]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = token_fertility.measures(df).orderBy("doc_id").collect()
+    for t, r in zip(texts, got):
+        t = t or ""
+        ws = WORD.findall(t)
+        threes = Counter(tuple(ws[k : k + 3]) for k in range(len(ws) - 2))
+        covered = {k + j for k in range(len(ws) - 2) if threes[tuple(ws[k : k + 3])] > 1 for j in range(3)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        base = (len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered))
+        assert base == tuple(r[c] for c in token_fertility.BASE)
+        assert r["base_failed"] == (len(ws) < 50 or 100 * len(covered) > 50 * len(ws))
+        ids = [i for w in ws for i in pieces.encode(w)]
+        assert r["n_pieces"] == len(ids) and r["n_byte_tokens"] == sum(len(coder.bytes_.encode_ordinary(" " + w)) for w in ws)
+        n = max(1, len(ids))
+        assert r["byte_share"] == pytest.approx(sum(map(pieces.is_byte, ids)) / n)
+        assert r["entropy"] == pytest.approx(-sum(c / n * math.log2(c / n) for c in Counter(ids).values()) + 0.0, abs=1e-9)
+
+
+def test_fertility_keeps_clean_documents(spark):
+    """Held against the labels of quality, which play no part: nearly all good documents that pass the base rules stay, and
+    most of the bad go."""
+    out = queries.QUERIES["op13_token_fertility"](spark, SF.replace("0.01", "0.1"))
+    labelled = out.join(spark.read.parquet(f"{SF.replace('0.01', '0.1')}/labels.parquet"), "doc_id").where("not base_failed")
+    share = {r["quality"]: r["kept"] for r in labelled.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert share[1] > 0.995 and share[0] < 0.3
