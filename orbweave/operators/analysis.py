@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 from orbweave.functions import units
 from orbweave.functions.geo import FOUR_PI
 from orbweave.functions.kernels import columns, design, ordinals, waves
-from orbweave.operators.synthesis import dense, evaluator, few, synthesise
+from orbweave.operators.blocks import Block, analysed, blocked, blocks_in, synthesised
+from orbweave.operators.synthesis import _sets, few
 from orbweave.plans import planner
+from orbweave.sources.storage import discard, stored
 
 COEFFS = "epoch_id int, n int, m int, c double, s double"
-#: Circles of latitude that are transformed together.
-CIRCLES = 2048
 #: Bytes of sums that a task holds before it hands them on.
 HELD_BYTES = 1 << 26
 #: Epochs of one call that needs normal matrices.
@@ -49,19 +49,35 @@ def measured(weighted: DataFrame) -> DataFrame:
 
 
 def _rows(weighted: DataFrame) -> DataFrame:
+    if "vals" in weighted.columns:  # stored blocks
+        return weighted
     return measured(weighted).select(*[F.col(c).cast("int" if c == "epoch_id" else "double").alias(c) for c in ("lat", "lon", "value", "w", "epoch_id")])
 
 
+def held_blocks(weighted: DataFrame) -> DataFrame:
+    """The measured points as stored blocks, for what passes over them several times: places with a vector of epochs each,
+    a fraction of the rows' size, and handed to Python a block at a time. quadrature, quadrature_planned, residuals and
+    the iterations take them in place of points."""
+    return stored(blocked(_rows(weighted)), "blocks")
+
+
+def places(weighted: DataFrame) -> DataFrame:
+    """lat, lon of the different places."""
+    if "vals" in weighted.columns:
+        return weighted.select(F.explode(F.arrays_zip("lat", "lon")).alias("p")).select("p.lat", "p.lon").distinct()
+    return measured(weighted.drop("value")).select("lat", "lon").distinct()
+
+
 class _Sums:
     """Sums by epoch, handed on when they exceed HELD_BYTES."""
 
     def __init__(self, nmax: int):
         self.nmax, self.held = nmax, {}
 
-    def of(self, e: int) -> np.ndarray:
-        if e not in self.held:
-            self.held[e] = np.zeros((2, self.nmax + 1, self.nmax + 1))
-        return self.held[e]
+    def add(self, epochs: np.ndarray, sums: np.ndarray) -> None:
+        """2 x degrees x orders x epochs."""
+        for k, e in enumerate(epochs.tolist()):
+            self.held[e] = self.held[e] + sums[..., k] if e in self.held else np.ascontiguousarray(sums[..., k])
 
     def full(self) -> bool:
         return len(self.held) * 16 * (self.nmax + 1) ** 2 > HELD_BYTES
@@ -74,25 +90,15 @@ class _Sums:
         self.held = {}
 
 
-def quadrature(weighted: DataFrame, nmax: int) -> DataFrame:
+def quadrature(weighted: DataFrame, nmax: int, circle: tuple[float, int] | None = None) -> DataFrame:
     """coeffs (epoch_id, n, m, c, s): sums of w * value * basis over the points, by 4 pi. weighted: lat, lon, value, w
-    and epoch_id if there are several. Rows with a null or NaN in these are left out."""
+    and epoch_id if there are several, or stored blocks. Rows with a null or NaN in these are left out. The basis of a
+    task's places serves all epochs that it has there. circle: as in ``quadrature_fft``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = _Sums(nmax)
-        for b in few(batches, nmax):
-            lat, lon, value, w, epoch = (b.column(c).to_numpy(zero_copy_only=False) for c in ("lat", "lon", "value", "w", "epoch_id"))
-            order = np.argsort(epoch, kind="stable")
-            lat, lon, f = lat[order], lon[order], (value * w)[order]
-            kinds, first = np.unique(epoch[order], return_index=True)
-            outs = [sums.of(int(e)) for e in kinds]
-            cos, sin = waves(lon, nmax)
-            for m, p in columns(lat, nmax):
-                for part, wave in ((0, cos), (1, sin)):
-                    fw = f * wave[m]
-                    by = (p @ fw)[:, None] if len(kinds) == 1 else np.add.reduceat(p * fw, first, axis=1)
-                    for k, out in enumerate(outs):
-                        out[part, m:, m] += by[:, k]
+        for block in blocks_in(batches):
+            sums.add(block.epochs, analysed(block, nmax, circle=circle))
             if sums.full():
                 yield from sums.drain()
         yield from sums.drain()
@@ -109,61 +115,17 @@ def quadrature_fft(weighted: DataFrame, nmax: int, first_lon: float, nlon: int)
     """The same where all longitudes are first_lon plus whole steps of 360 / nlon. What a task has of a circle of latitude
     is one row of nlon numbers, zero elsewhere; an FFT gives all orders at once, the start of the circle turns their
     phases. The transform being linear, parts of a circle add up, and points may be missing: nothing is shuffled but sums."""
-    step = 360.0 / nlon
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums(nmax)
-        turn = np.exp(-1j * np.radians(first_lon) * np.arange(nmax + 1))
-        held, size = [], 0
-        for b in batches:
-            lat, lon, value, w, epoch = (b.column(c).to_numpy(zero_copy_only=False) for c in ("lat", "lon", "value", "w", "epoch_id"))
-            at = np.rint((lon - first_lon) / step).astype(np.int64) % nlon
-            order = np.lexsort((lat, epoch))
-            lat, epoch, at, f = lat[order], epoch[order], at[order], (value * w)[order]
-            fresh = np.ones(len(lat), bool)
-            fresh[1:] = (lat[1:] != lat[:-1]) | (epoch[1:] != epoch[:-1])
-            heads = np.flatnonzero(fresh)
-            for k in range(0, len(heads), CIRCLES):
-                mine = heads[k : k + CIRCLES]
-                end = heads[k + CIRCLES] if k + CIRCLES < len(heads) else len(lat)
-                row = np.cumsum(fresh[mine[0] : end]) - 1
-                dense = np.bincount(row * nlon + at[mine[0] : end], weights=f[mine[0] : end], minlength=len(mine) * nlon).reshape(-1, nlon)
-                held.append((epoch[mine], lat[mine], np.fft.rfft(dense, axis=1)[:, : nmax + 1] * turn))
-                size += len(mine)
-                if size >= CIRCLES:
-                    add(sums, held)
-                    held, size = [], 0
-            if sums.full():
-                yield from sums.drain()
-        if held:
-            add(sums, held)
-        yield from sums.drain()
-
-    def add(sums: _Sums, held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
-        epoch, lat, z = (np.concatenate(x) for x in zip(*held))
-        order = np.argsort(epoch, kind="stable")
-        epoch, lat, z = epoch[order], lat[order], z[order]
-        kinds, first = np.unique(epoch, return_index=True)
-        lats, circle = np.unique(lat, return_inverse=True)
-        outs = [sums.of(int(e)) for e in kinds]
-        for m, p in columns(lats, nmax):
-            by = p[:, circle]
-            re, im = np.add.reduceat(by * z[:, m].real, first, axis=1), np.add.reduceat(by * z[:, m].imag, first, axis=1)
-            for k, out in enumerate(outs):
-                out[0, m:, m] += re[:, k]
-                out[1, m:, m] -= im[:, k]
-
-    return _total(_rows(weighted).mapInArrow(run, COEFFS))
+    return quadrature(weighted, nmax, (first_lon, nlon))
 
 
 def quadrature_planned(weighted: DataFrame, nmax: int, longitude: str = "auto") -> tuple[DataFrame, planner.LongitudePlan]:
     """Quadrature by FFT where the places of the points make a full even grid, else directly. Values may be missing, and
     epochs of a series may lack some of the places."""
-    places = measured(weighted.drop("value")).select("lat", "lon").distinct().persist()  # looked at twice
+    found = places(weighted).persist()  # looked at twice
     try:
-        plan = planner.plan_longitude(places, nmax, longitude)
+        plan = planner.plan_longitude(found, nmax, longitude)
     finally:
-        places.unpersist()
+        found.unpersist()
     if plan.path == "fft":
         return quadrature_fft(weighted, nmax, plan.first_lon, plan.nlon), plan
     return quadrature(weighted, nmax), plan
@@ -172,14 +134,33 @@ def quadrature_planned(weighted: DataFrame, nmax: int, longitude: str = "auto")
 def richardson(weighted: DataFrame, nmax: int, steps: int = 1) -> DataFrame:
     """Quadrature, then ``steps`` times the quadrature of what is left added to it. The coefficients, nmax squared numbers
     an epoch, come to the driver between steps, which keeps the plans short."""
-    spark = weighted.sparkSession
-    x = quadrature(weighted, nmax)
+    spark, points = weighted.sparkSession, held_blocks(weighted)
+    x = flat(quadrature(points, nmax), nmax)
     for _ in range(steps):
-        x = spark.createDataFrame(x.toPandas(), COEFFS)
-        fitted = synthesise(measured(weighted), x, nmax, out="fitted")
-        rest = quadrature(fitted.withColumn("value", F.col("value") - F.col("fitted")), nmax)
-        x = x.unionByName(rest).groupBy("epoch_id", "n", "m").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
-    return x
+        rest = _passed(points, nmax, x, lambda block, v: block.weighted() - np.where(np.isnan(block.vals), 0.0, v) * block.w[:, None])
+        x = {e: v + rest.get(e, 0.0) for e, v in x.items()}
+    discard(points)
+    return to_coeffs(spark, nmax, x)
+
+
+def _passed(points: DataFrame, nmax: int, x: dict[int, np.ndarray], what) -> dict[int, np.ndarray]:
+    """One pass over the epochs of x: the field of x at the places of a block, what(block, field), and its quadrature."""
+    sets = {e: squared(v, nmax) for e, v in x.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums(nmax)
+        for block in blocks_in(batches):
+            mine = [k for k, e in enumerate(block.epochs.tolist()) if e in sets]
+            if not mine:
+                continue
+            block = Block(block.lat, block.lon, block.w, block.epochs[mine], block.vals[:, mine])
+            field = synthesised(block, np.stack([sets[e] for e in block.epochs.tolist()], -1))
+            sums.add(block.epochs, analysed(block, nmax, what(block, field)))
+            if sums.full():
+                yield from sums.drain()
+        yield from sums.drain()
+
+    return flat(_total(_rows(points).mapInArrow(run, COEFFS)), nmax)
 
 
 #: Unknowns for which normal matrices are formed at most.
@@ -342,13 +323,11 @@ def gram_rows(weighted: DataFrame, nmax: int) -> DataFrame:
 
 def to_coeffs(spark, nmax: int, solved: dict[int, np.ndarray]) -> DataFrame:
     """Flat solutions by epoch as coeffs."""
-    rows = []
-    for e, x in solved.items():
-        c, s = np.zeros((nmax + 1, nmax + 1)), np.zeros((nmax + 1, nmax + 1))
-        for (part, n, m), v in zip(ordinals(nmax), x):
-            (c if part == "c" else s)[n, m] = v
-        rows += [(e, n, m, float(c[n, m]), float(s[n, m])) for n in range(nmax + 1) for m in range(n + 1)]
-    return spark.createDataFrame(rows, COEFFS)
+    n, m = np.tril_indices(nmax + 1)
+    both = [squared(x, nmax)[:, n, m] for x in solved.values()]
+    cols = [np.repeat(np.array(list(solved), np.int32), len(n)), np.tile(n.astype(np.int32), len(both)), np.tile(m.astype(np.int32), len(both))]
+    cols += [np.concatenate([b[k] for b in both]) if both else np.zeros(0) for k in range(2)]
+    return spark.createDataFrame(pa.table([pa.array(c) for c in cols], names=["epoch_id", "n", "m", "c", "s"]), COEFFS)
 
 
 def penalty(kind: str, nmax: int, degree_rms: np.ndarray | None = None, power: float = 2.0, scale: float = 1e-5) -> np.ndarray:
@@ -393,7 +372,9 @@ def least_squares(
     """Weighted least squares from distributed normal matrices, one for each set of points that epochs have. reg none,
     tikhonov or kaula, with penalty alpha**2 r**2; without alpha it comes from the L-curve of a set's first epoch (1e-6
     beyond 2500 unknowns). kaula goes by degree_rms, by the absolute law with ``scale``, or by the spectrum of a first
-    quadrature. sigma: column of standard deviations; rows weigh w / sigma**2. The figures are those of the worst set."""
+    quadrature. sigma: column of standard deviations; rows weigh w / sigma**2. The figures are those of the worst set.
+    Beyond LARGEST unknowns no matrix is formed: ``krylov.solve`` iterates, and condition_number is that of its
+    preconditioned system."""
     if sigma:
         weighted = weighted.withColumn("w", F.col("w") / (F.col(sigma) * F.col(sigma)))
     if alpha is not None and reg == "none":
@@ -403,6 +384,13 @@ def least_squares(
         if reg == "kaula" and degree_rms is None and scale is None:
             degree_rms = first_pass(weighted, nmax)
         r = penalty(reg, nmax, degree_rms, power, scale or 1e-5)
+    if (nmax + 1) ** 2 > LARGEST:
+        from orbweave.operators import krylov
+
+        used, points = (alpha if alpha is not None else 1e-6) if r is not None else None, held_blocks(weighted)
+        done = krylov.solve(points, nmax, None if r is None else used * r)
+        discard(points)
+        return to_coeffs(weighted.sparkSession, nmax, done.x), {"alpha": used, "regularization": reg, "condition_number": done.condition, "iterations": done.steps}
     solved, used, cond = {}, alpha, 0.0
     for eq in normals(weighted, nmax):
         g = eq.matrix
@@ -423,8 +411,8 @@ def least_squares(
 
 def conjugate_gradients(weighted: DataFrame, nmax: int, rtol: float = 1e-10, most: int | None = None) -> tuple[DataFrame, int]:
     """Least squares with W on both sides, by iterations. Up to LARGEST unknowns they run on the driver with the matrix of
-    each set of points; beyond, no matrix is formed, and an iteration is one synthesis and one sum over all points for
-    all epochs that are not yet done. Either way each epoch's own points count."""
+    each set of points; beyond, no matrix is formed, and an iteration is one pass over stored blocks of the points for all
+    epochs that are not yet done. Either way each epoch's own points count."""
     spark, size = weighted.sparkSession, (nmax + 1) ** 2
     most = most or min(2000, 20 * size)
     if size <= LARGEST:
@@ -433,16 +421,12 @@ def conjugate_gradients(weighted: DataFrame, nmax: int, rtol: float = 1e-10, mos
             x, k = _iterate(lambda v, g=eq.matrix: {e: g @ y for e, y in v.items()}, eq.rhs, rtol, most)
             solved, done = solved | x, max(done, k)
         return to_coeffs(spark, nmax, solved), done
-    rows = measured(weighted)
+    from orbweave.operators import krylov
 
-    def apply(v: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
-        x = to_coeffs(spark, nmax, v)
-        points = rows.where(F.col("epoch_id").isin(list(v))).drop("value")
-        return {e: y * FOUR_PI for e, y in flat(quadrature(synthesise(points, x, nmax, out="value"), nmax).toPandas(), nmax).items()}
-
-    rhs = {e: b * FOUR_PI for e, b in flat(quadrature(rows, nmax).toPandas(), nmax).items()}
-    solved, done = _iterate(apply, rhs, rtol, most)
-    return to_coeffs(spark, nmax, solved), done
+    points = held_blocks(weighted)
+    out = krylov.solve(points, nmax, rtol=rtol, most=most)
+    discard(points)
+    return to_coeffs(spark, nmax, out.x), out.steps
 
 
 def _iterate(apply, rhs: dict[int, np.ndarray], rtol: float, most: int) -> tuple[dict[int, np.ndarray], int]:
@@ -463,14 +447,25 @@ def _iterate(apply, rhs: dict[int, np.ndarray], rtol: float, most: int) -> tuple
     return x, most
 
 
-def flat(coeffs: pd.DataFrame, nmax: int) -> dict[int, np.ndarray]:
-    out = {}
-    for e, g in coeffs.groupby("epoch_id"):
-        c, s = dense(g, nmax)
-        out[int(e)] = np.array([(c if part == "c" else s)[n, m] for part, n, m in ordinals(nmax)])
+def flat(coeffs: DataFrame, nmax: int) -> dict[int, np.ndarray]:
+    """Solutions by epoch in the order of ``ordinals``; of a bounded number of coefficients."""
+    at = spots(nmax)
+    return {e: v[at] for e, v in _sets(coeffs, nmax).items()}
+
+
+def squared(x: np.ndarray, nmax: int) -> np.ndarray:
+    """A flat solution as 2 x degrees x orders."""
+    out = np.zeros((2, nmax + 1, nmax + 1))
+    out[spots(nmax)] = x
     return out
 
 
+def spots(nmax: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(0 for cosines, 1 for sines; n; m) of ``ordinals``."""
+    part, n, m = zip(*ordinals(nmax))
+    return np.array([int(p == "s") for p in part]), np.array(n), np.array(m)
+
+
 def projection(weighted: DataFrame, nmax: int, tau: float | None = None) -> DataFrame:
     """A'Wf / 4 pi with the weights as areas. tau in (0, 1]: divides by the eigenvalues of the completeness matrix that
     reach tau, and drops the others; each set of points has its own."""
@@ -486,22 +481,25 @@ def projection(weighted: DataFrame, nmax: int, tau: float | None = None) -> Data
     return to_coeffs(weighted.sparkSession, nmax, solved)
 
 
-def residuals(weighted: DataFrame, coeffs: DataFrame, nmax: int, plan: planner.LongitudePlan | None = None) -> DataFrame:
+def residuals(weighted: DataFrame, coeffs: DataFrame, nmax: int) -> DataFrame:
     """By epoch, over the measured points: n_points, data_rms, residual_rms, residual_rms_weighted, dc_mean, total weight.
-    plan: that of the quadrature; where it went by FFT, so does the synthesis. Tasks hand on sums, not points."""
-    circle = (plan.first_lon, plan.nlon) if plan is not None and plan.path == "fft" else None
-    field = evaluator(coeffs, nmax, "epoch_id" in weighted.columns, circle)
+    One set of coefficients with epoch 0 serves all epochs. Tasks hand on sums, not points."""
+    sets = _sets(coeffs, nmax)
+    single = list(sets) == [0]
     names = ["n", "ff", "dd", "wdd", "wf", "w"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
-        for b in few(batches, nmax):
-            epoch, f, w = (b.column(c).to_numpy(zero_copy_only=False) for c in ("epoch_id", "value", "w"))
-            d = f - field(b)
-            kinds, back = np.unique(epoch, return_inverse=True)
-            sums = np.stack([np.bincount(back, weights=x, minlength=len(kinds)) for x in (np.ones(len(f)), f * f, d * d, w * d * d, w * f, w)], 1)
-            for e, x in zip(kinds.tolist(), sums):
-                held[e] = held.get(e, 0.0) + x
+        unknown = np.full((2, nmax + 1, nmax + 1), np.nan)
+        for block in blocks_in(batches):
+            x = np.stack([sets.get(0 if single else e, unknown) for e in block.epochs.tolist()], -1)
+            f, w = block.vals, block.w[:, None]
+            d = f - synthesised(block, x)
+            there = ~np.isnan(f)
+            f, d, w = np.where(there, f, 0.0), np.where(there, d, 0.0), w * there
+            sums = np.stack([there.sum(0), (f * f).sum(0), (d * d).sum(0), (w * d * d).sum(0), (w * f).sum(0), w.sum(0)], 1)
+            for e, v in zip(block.epochs.tolist(), sums):
+                held[e] = held.get(e, 0.0) + v
         if held:
             cols = [pa.array(list(held), pa.int32()), *[pa.array(x) for x in np.stack(list(held.values()), 1)]]
             yield pa.RecordBatch.from_arrays(cols, names=["epoch_id", *names])

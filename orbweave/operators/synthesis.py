@@ -24,12 +24,18 @@ def dense(coeffs: pd.DataFrame, nmax: int) -> tuple[np.ndarray, np.ndarray]:
     return c, s
 
 
-def _sets(coeffs: DataFrame, nmax: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def _sets(coeffs: DataFrame, nmax: int) -> dict[int, np.ndarray]:
+    """By epoch the cosine and sine parts, 2 x degrees x orders. What is lazy is computed once."""
     coeffs = coeffs if "epoch_id" in coeffs.columns else coeffs.withColumn("epoch_id", F.lit(0))
-    epochs = coeffs.select("epoch_id").distinct().count()
-    if epochs * (nmax + 1) ** 2 > SENT:
-        raise ValueError("too many coefficients for one call; filter epochs first")
-    return {int(e): dense(g, nmax) for e, g in coeffs.where(F.col("n") <= nmax).select("epoch_id", "n", "m", "c", "s").toPandas().groupby("epoch_id")}
+    most = SENT // 2
+    rows = coeffs.where(F.col("n") <= nmax).select("epoch_id", "n", "m", "c", "s").limit(most + 1).toArrow()
+    if rows.num_rows > most:
+        raise ValueError(f"more than {most} coefficients for one call; filter epochs first")
+    epoch, n, m, c, s = (x.to_numpy() for x in rows.columns)
+    kinds, at = np.unique(epoch, return_inverse=True)
+    out = np.zeros((len(kinds), 2, nmax + 1, nmax + 1))
+    out[at, 0, n, m], out[at, 1, n, m] = c, s
+    return {int(e): v for e, v in zip(kinds, out)}
 
 
 def _mapped(points: DataFrame, names: list[str], run, nmax: int) -> DataFrame:

@@ -224,8 +224,10 @@ def test_every_epoch_has_its_own_points(spark, monkeypatch):
     assert worst(analysis.least_squares(series, 3)[0], truth, by) < 1e-10
     monkeypatch.setattr(analysis, "LARGEST", 4)  # no matrix
     assert worst(analysis.conjugate_gradients(series, 3, rtol=1e-8)[0], truth, by) < 1e-6
+    assert worst(analysis.least_squares(series, 3)[0], truth, by) < 1e-9
+    assert worst(analysis.richardson(series.where("epoch_id = 2"), 3, 60), truth, {2: by[2]}) < 1e-6
     with pytest.raises(ValueError, match="unknowns"):
-        analysis.least_squares(series, 3)
+        analysis.projection(series, 3, 0.5)
     left = analysis.residuals(series, analysis.conjugate_gradients(series, 3, rtol=1e-8)[0], 3).orderBy("epoch_id").collect()
     assert [r["n_points"] for r in left] == [432, 622, 432] and max(r["residual_rms"] for r in left) < 1e-5
 
