@@ -78,6 +78,7 @@ def analyze(spark, a):
         how = {k: v for k, v in how.items() if k in analysis.OPTIONS.get(a.method, ())}
     a.target_unit = a.target_unit or a.field_unit
     x, method = analysis.analyse(w, a.nmax, a.method, a.longitude_fft, **how)
+    x = coeffs.held(x)
     row = report.report_row(w, x, a.nmax, method, a.rule)
     row["weight_notes"] = weights.notes(weights.report(w).first().asDict())
     row |= {"field_unit": a.field_unit, "forward_formula": f"C = a / f, f = {units.formula(a.field_unit)}", "inverse_formula": f"field = C f, f = {units.formula(a.target_unit)}"}
@@ -143,7 +144,7 @@ def analyze_series(spark, a):
     x.write.parquet(f"{a.out}/coeffs")
     if a.report_fit:
         fitted = units.convert(x, "geopotential", a.field_unit, love_of(spark, a)) if a.field_unit not in units.ABSTRACT else x
-        report.series_report(w, fitted, a.nmax, plan).write.csv(f"{a.out}/epochs", header=True)
+        report.series_report(w, fitted, a.nmax).write.csv(f"{a.out}/epochs", header=True)
 
 
 def timefit(spark, a):

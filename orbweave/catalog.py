@@ -721,12 +721,12 @@ def months(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return x, x.select("epoch_id", "ts").distinct()
 
 
-TICKS = "d AS (SELECT CAST(event_id AS INT) AS epoch_id, ts, date_diff('second', TIMESTAMP '1970-01-01', ts) - date_diff('second', TIMESTAMP '1970-01-01', lag(ts) OVER (ORDER BY ts, event_id)) AS seconds FROM events)"
+TICKS = "d AS (SELECT CAST(event_id AS BIGINT) AS epoch_id, ts, date_diff('second', TIMESTAMP '1970-01-01', ts) - date_diff('second', TIMESTAMP '1970-01-01', lag(ts) OVER (ORDER BY ts, event_id)) AS seconds FROM events)"
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as an epoch, to the second: their gaps are as they come."""
-    return carriers.table(spark, sf_dir, "events").select(F.col("event_id").cast("int").alias("epoch_id"), F.col("ts").cast("timestamp_ntz").alias("ts"))
+    return carriers.table(spark, sf_dir, "events").select(F.col("event_id").cast("long").alias("epoch_id"), F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @query("epoch_gaps", f"WITH {TICKS} SELECT epoch_id, {rr('seconds / 86400.0e0')} AS gap_days FROM d WHERE seconds > 864")

@@ -23,7 +23,7 @@ from orbweave.functions import units
 from orbweave.functions.geo import FOUR_PI
 from orbweave.functions.kernels import columns, design, ordinals, waves
 from orbweave.operators.blocks import Block, analysed, blocked, blocks_in, synthesised
-from orbweave.operators.synthesis import _sets, few
+from orbweave.operators.synthesis import _sets
 from orbweave.plans import planner
 from orbweave.sources.storage import discard, stored
 
@@ -169,6 +169,7 @@ LARGEST = 4000
 MATRICES = 1 << 28
 
 
+
 @dataclass
 class Normal:
     """A'WA of one set of points, and of each epoch that has this set A'Wf and f'Wf."""
@@ -179,98 +180,131 @@ class Normal:
     power: dict[int, float] = field(default_factory=dict)
 
 
+def _hashes(*x: np.ndarray) -> list[np.ndarray]:
+    """Two numbers below 2**31 for each place."""
+    out = []
+    for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        h = np.full(len(x[0]), seed, np.uint64)
+        for v in x:
+            h = (h ^ (v + 0.0).view(np.uint64)) * np.uint64(0xFF51AFD7ED558CCD)
+            h ^= h >> np.uint64(32)
+        out.append((h >> np.uint64(33)).astype(np.int64))
+    return out
+
+
 def point_sets(weighted: DataFrame) -> dict[int, list[int]]:
     """The epochs that have the same points and weights: the least of them to all of them. One row an epoch comes to the
     driver; sets are told apart by their number of points and two sums of hashes."""
-    rows = measured(weighted)
-    h = [F.xxhash64(F.col("lat").cast("double"), F.col("lon").cast("double"), F.col("w").cast("double"), F.lit(k)) for k in range(2)]
-    marks = rows.groupBy("epoch_id").agg(F.count("*").alias("n"), *[F.sum(F.pmod(x, F.lit(1 << 31))).alias(f"h{k}") for k, x in enumerate(h)])
+    kind = "epoch_id int, n long, h0 long, h1 long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks_in(batches):
+            there = (~np.isnan(block.vals)).astype(np.int64)
+            cols = [block.epochs.astype(np.int32), there.sum(0), *[h @ there for h in _hashes(block.lat, block.lon, block.w)]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["epoch_id", "n", "h0", "h1"])
+
+    marks = _any_values(weighted).mapInArrow(run, kind).groupBy("epoch_id").agg(*[F.sum(c).alias(c) for c in ("n", "h0", "h1")]).where("n > 0")
     marks = marks.orderBy("epoch_id").limit(EPOCHS + 1).toPandas()
     if len(marks) > EPOCHS:
         raise ValueError(f"more than {EPOCHS} epochs for one call; filter epochs first")
     return {int(g["epoch_id"].iloc[0]): [int(e) for e in g["epoch_id"]] for _, g in marks.groupby(["n", "h0", "h1"])}
 
 
-def _blocks(weighted: DataFrame, nmax: int, rhs: bool, sets: dict[int, list[int]]) -> DataFrame:
-    """Sums of A'WA (row blocks of 64 unknowns, kind 0) by set and, if asked for, of A'Wf by epoch (kind 1). Partial sums
-    meet by teams of tasks first, so no group gathers more than a few hundred."""
-    size = (nmax + 1) ** 2
-    kind = "key int, kind int, block int, team int, v array<double>"
+def _any_values(weighted: DataFrame) -> DataFrame:
+    """Rows for blocks, with a value of 0 where the points have none at all."""
+    return _rows(weighted if "value" in weighted.columns or "vals" in weighted.columns else weighted.withColumn("value", F.lit(0.0)))
+
+
+#: Unknowns of a tile of a normal matrix, on either side.
+TILE = 256
+
+
+def _tiles(points: DataFrame, nmax: int, rhs: bool, sets: dict[int, list[int]]) -> DataFrame:
+    """Sums over stored blocks: of A'WA, in tiles on and above the diagonal, by set (row >= 0), and if asked for of A'Wf and
+    f'Wf by epoch (row -1). A task hands on each tile once; sums meet first in as many teams as the root of the tasks, so
+    that neither step of the adding gathers more than that root."""
+    size, firsts = (nmax + 1) ** 2, sorted(sets)
+    belongs = {e: f for f, epochs in sets.items() for e in epochs}
+    kind = "key int, row int, col int, team int, v array<double>"
+    teams = max(1, int(np.sqrt(points.rdd.getNumPartitions())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, at, r = np.zeros((size, size)), None, {}
-        team = TaskContext.get().partitionId() % 64
-        for b in batches:
-            for k in range(0, b.num_rows, 2000):
-                part = b.slice(k, 2000)
-                lat, lon, w, of, epoch = (part.column(c).to_numpy(zero_copy_only=False) for c in ("lat", "lon", "w", "set", "epoch_id"))
-                a = design(lat, lon, nmax)
-                aw = a * w[:, None]
-                for one in np.unique(of).tolist():  # sets come one after another
-                    if at is not None and one != at:
-                        yield from emit(at, 0, g, team)
-                        g[:] = 0
-                    at = one
-                    mine = (of == one) & (epoch == one)  # of the epochs with these points the first
-                    g += aw[mine].T @ a[mine]
-                if rhs:
-                    f = part.column("value").to_numpy(zero_copy_only=False)
-                    for e in np.unique(epoch).tolist():
-                        mine = epoch == e
-                        v = r.setdefault(e, np.zeros(size + 1))
-                        v[:size] += f[mine] @ aw[mine]
-                        v[size] += (w[mine] * f[mine] ** 2).sum()
+        g, r = {}, {}
+        team = TaskContext.get().partitionId() % teams
+        for block in blocks_in(batches):
+            there = ~np.isnan(block.vals)
+            at = {e: k for k, e in enumerate(block.epochs.tolist())}
+            mine = [k for e, k in at.items() if e in belongs] if rhs else []
+            masks: dict[bytes, list[int]] = {}
+            for f in firsts:
+                if f in at and there[:, at[f]].any():
+                    masks.setdefault(np.packbits(there[:, at[f]]).tobytes(), []).append(f)
+            weighed = block.weighted()[:, mine]
+            power = (weighed * np.where(there, block.vals, 0.0)[:, mine]).sum(0)
+            own = np.zeros((len(mine), size))
+            for k in range(0, len(block.lat), 2000):
+                part = slice(k, k + 2000)
+                a = design(block.lat[part], block.lon[part], nmax)
+                for held in masks.values():
+                    here = there[part, at[held[0]]]
+                    half = (a[here] * block.w[part][here][:, None]).T
+                    sums = [half[i : i + TILE] @ a[here][:, i:] for i in range(0, size, TILE)]
+                    for f in held:
+                        g[f] = [x + y for x, y in zip(g[f], sums)] if f in g else sums
+                if mine:
+                    own += weighed[part].T @ a
+            for k, v, p in zip(mine, own, power):
+                e = int(block.epochs[k])
+                r[e] = r.get(e, 0.0) + np.append(v, p)
             if len(r) * size * 8 > HELD_BYTES:
                 for e, v in r.items():
-                    yield from emit(e, 1, v[None, :], team)
+                    yield emit([(e, -1, 0, v)], team)
                 r = {}
-        if at is not None:
-            yield from emit(at, 0, g, team)
+        for f, rows in g.items():
+            yield emit([(f, i * TILE, j, x[:, j - i * TILE : j - i * TILE + TILE].ravel()) for i, x in enumerate(rows) for j in range(i * TILE, size, TILE)], team)
         for e, v in r.items():
-            yield from emit(e, 1, v[None, :], team)
+            yield emit([(e, -1, 0, v)], team)
 
-    def emit(key: int, what: int, v: np.ndarray, team: int) -> Iterator[pa.RecordBatch]:
-        step = 64 if what == 0 else 1
-        rows = [v[k : k + step].ravel() for k in range(0, len(v), step)]
-        n = len(rows)
-        cols = [pa.array([key] * n, pa.int32()), pa.array([what] * n, pa.int32()), pa.array([k * step for k in range(n)], pa.int32()), pa.array([team] * n, pa.int32()), pa.array(rows, pa.list_(pa.float64()))]
-        yield pa.RecordBatch.from_arrays(cols, names=["key", "kind", "block", "team", "v"])
+    def emit(rows: list[tuple], team: int) -> pa.RecordBatch:
+        key, row, col, v = zip(*rows)
+        cols = [pa.array(x, pa.int32()) for x in (key, row, col, [team] * len(rows))]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(v, pa.list_(pa.float64()))], names=["key", "row", "col", "team", "v"])
 
     def added(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.sum(np.stack(pdf["v"].to_numpy()), axis=0)
-        return pd.DataFrame({c: [pdf[c].iloc[0]] for c in ("key", "kind", "block")} | {"team": [0], "v": [total]})
-
-    table = [(e, first) for first, epochs in sets.items() for e in epochs]
-    spark = weighted.sparkSession
-    named = F.broadcast(spark.createDataFrame(table, "epoch_id int, set int"))  # EPOCHS rows at most
-    rows = measured(weighted).select("lat", "lon", "w", F.col("epoch_id").cast("int").alias("epoch_id"), *(["value"] if rhs else []))
-    rows = rows.join(named, "epoch_id")
-    if not rhs:
-        rows = rows.where("epoch_id = set")
-    if len(sets) > 1:
-        rows = rows.sortWithinPartitions("set")
-    out = rows.select("lat", "lon", "w", "epoch_id", "set", *(["value"] if rhs else [])).mapInArrow(run, kind)
-    out = out.groupBy("key", "kind", "block", "team").applyInPandas(added, kind)
-    return out.groupBy("key", "kind", "block").applyInPandas(added, kind)
+        return pd.DataFrame({c: [pdf[c].iloc[0]] for c in ("key", "row", "col")} | {"team": [0], "v": [total]})
+
+    out = points.mapInArrow(run, kind)
+    out = out.groupBy("key", "row", "col", "team").applyInPandas(added, kind)
+    return out.groupBy("key", "row", "col").applyInPandas(added, kind)
 
 
 def normals(weighted: DataFrame, nmax: int, rhs: bool = True) -> Iterator[Normal]:
-    """The normal equations of each set of points, some of them at a time."""
+    """The normal equations of each set of points, some of them at a time. The points are looked at once, however many sets
+    there are; what follows passes over their blocks."""
     size = (nmax + 1) ** 2
     if size > LARGEST:
         raise ValueError(f"{size} unknowns; normal matrices are formed for {LARGEST} at most")
-    sets = point_sets(weighted)
+    points = weighted if "vals" in weighted.columns else stored(blocked(_any_values(weighted)), "blocks")
+    sets = point_sets(points)
     firsts, some = sorted(sets), max(1, MATRICES // (8 * size * size))
     for k in range(0, len(firsts), some):
         now = {f: sets[f] for f in firsts[k : k + some]}
-        rows = _blocks(weighted, nmax, rhs, now).toPandas()
+        rows = _tiles(points, nmax, rhs, now).toArrow().to_pandas()
+        sums = rows[rows["row"] < 0]
         for first, epochs in now.items():
-            g = rows[(rows["kind"] == 0) & (rows["key"] == first)].sort_values("block")
-            out = Normal(nmax, np.concatenate([np.asarray(v) for v in g["v"]]).reshape(size, size))
-            for e, v in zip(rows["key"][rows["kind"] == 1], rows["v"][rows["kind"] == 1]):
+            out = Normal(nmax, np.zeros((size, size)))
+            for t in rows[(rows["row"] >= 0) & (rows["key"] == first)].itertuples():
+                i, j = min(TILE, size - t.row), min(TILE, size - t.col)
+                tile = np.asarray(t.v).reshape(i, j)
+                out.matrix[t.row : t.row + i, t.col : t.col + j] = tile
+                out.matrix[t.col : t.col + j, t.row : t.row + i] = tile.T
+            for e, v in zip(sums["key"], sums["v"]):
                 if e in epochs:
                     out.rhs[int(e)], out.power[int(e)] = np.asarray(v)[:size], float(np.asarray(v)[size])
             yield out
+    if points is not weighted:
+        discard(points)
 
 
 def normal(weighted: DataFrame, nmax: int, rhs: bool = True) -> Normal:
@@ -287,12 +321,71 @@ def gram(weighted: DataFrame, nmax: int) -> np.ndarray:
     return normal(weighted, nmax, rhs=False).matrix / FOUR_PI
 
 
+#: Multiplications that are spent to judge completeness: by the whole matrix, and by probes.
+WHOLE, PROBED = 1e11, 1e13
+#: Random vectors of a probe.
+PROBES = 8
+
+
+def judged_by(points: int, sets: int, nmax: int) -> str:
+    """full, probe or order 0: how completeness is judged, by the multiplications that it takes over so many points."""
+    size = (nmax + 1) ** 2
+    if size <= LARGEST and points * sets * size * size <= WHOLE:
+        return "full"
+    return "probe" if 4 * points * sets * size * PROBES <= PROBED else "order 0"
+
+
+def checked_deviation(weighted: DataFrame, nmax: int) -> tuple[float, str]:
+    """How far the completeness matrix is from the identity, over all sets of points, and what was looked at: ``full``, all
+    of it, its largest entry; ``probe``, the largest root mean square of a row's product with random signs, which is the
+    row's length on average and so no less than its largest entry; ``order 0``, the diagonal of order 0 alone."""
+    points = weighted if "vals" in weighted.columns else stored(blocked(_any_values(weighted)), "blocks")
+    sets = point_sets(points)
+    most = points.select(F.explode(F.zip_with("epochs", F.transform("epochs", lambda e: F.size("lat")), lambda e, n: F.struct(e.alias("e"), n.alias("n")))).alias("x"))
+    n = most.groupBy("x.e").agg(F.sum("x.n").alias("n")).agg(F.max("n")).first()[0] or 0
+    how = judged_by(n, len(sets), nmax)
+    if how == "full":
+        out = max((float(np.abs(eq.matrix / FOUR_PI - np.eye(len(eq.matrix))).max()) for eq in normals(points, nmax, rhs=False)), default=float("nan"))
+    else:
+        out = probed_deviation(points, nmax, sorted(sets)) if how == "probe" else diagonal_deviation(points, nmax)
+    if points is not weighted:
+        discard(points)
+    return out, how
+
+
 def deviation(weighted: DataFrame, nmax: int) -> float:
-    """How far the completeness matrix is from the identity at most, over all sets of points. Beyond LARGEST unknowns only
-    its diagonal of order 0 is looked at: a grouped sum by degree, in one pass."""
-    if (nmax + 1) ** 2 <= LARGEST:
-        return max((float(np.abs(eq.matrix / FOUR_PI - np.eye(len(eq.matrix))).max()) for eq in normals(weighted, nmax, rhs=False)), default=float("nan"))
-    return diagonal_deviation(weighted, nmax)
+    return checked_deviation(weighted, nmax)[0]
+
+
+def probed_deviation(points: DataFrame, nmax: int, firsts: list[int], seed: int = 0) -> float:
+    """The largest length of a row of the completeness matrix less the identity, from PROBES products of it with vectors of
+    random signs, for the epochs ``firsts`` in one pass over stored blocks."""
+    signs = np.random.default_rng(seed).choice([-1.0, 1.0], ((nmax + 1) ** 2, PROBES))
+    sets = np.stack([squared(v, nmax) for v in signs.T], -1)
+    worst = 0.0
+    for k in range(0, len(firsts), 256):
+        some = firsts[k : k + 256]
+
+        def run(batches: Iterator[pa.RecordBatch], some: list[int] = some) -> Iterator[pa.RecordBatch]:
+            sums = _Sums(nmax)
+            for block in blocks_in(batches):
+                at = {e: c for c, e in enumerate(block.epochs.tolist())}
+                mine = [e for e in some if e in at]
+                if not mine:
+                    continue
+                field = synthesised(block, sets) * block.w[:, None]
+                for e in mine:
+                    keys = np.arange(PROBES) + PROBES * some.index(e)
+                    sums.add(keys, analysed(block, nmax, np.where(np.isnan(block.vals[:, at[e]])[:, None], 0.0, field)))
+                if sums.full():
+                    yield from sums.drain()
+            yield from sums.drain()
+
+        got = flat(_total(points.mapInArrow(run, COEFFS)), nmax)
+        for i in range(len(some)):
+            off = np.stack([got.get(PROBES * i + j, np.zeros(len(signs))) - signs[:, j] for j in range(PROBES)])
+            worst = max(worst, float(np.sqrt((off**2).mean(0)).max()))
+    return worst
 
 
 def diagonal_deviation(weighted: DataFrame, nmax: int) -> float:
@@ -300,17 +393,18 @@ def diagonal_deviation(weighted: DataFrame, nmax: int) -> float:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
-        for b in few(batches, nmax):
-            lat, w, epoch = (b.column(c).to_numpy(zero_copy_only=False) for c in ("lat", "w", "epoch_id"))
-            _, p = next(columns(lat, nmax, 0))
-            for e in np.unique(epoch).tolist():
-                mine = epoch == e
-                held[e] = held.get(e, 0.0) + (p[:, mine] ** 2) @ w[mine]
+        for block in blocks_in(batches):
+            lats, i = np.unique(block.lat, return_inverse=True)
+            w = np.zeros((len(lats), len(block.epochs)))
+            np.add.at(w, i, ~np.isnan(block.vals) * block.w[:, None])
+            for k in range(0, len(lats), 20_000):
+                _, p = next(columns(lats[k : k + 20_000], nmax, 0))
+                for e, v in zip(block.epochs.tolist(), (p**2 @ w[k : k + 20_000]).T):
+                    held[e] = held.get(e, 0.0) + v
         for e, v in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([e] * len(v), pa.int32()), pa.array(range(len(v)), pa.int32()), pa.array(v)], names=["epoch_id", "n", "v"])
 
-    rows = measured(weighted).select("lat", "w", F.col("epoch_id").cast("int").alias("epoch_id"))
-    sums = rows.mapInArrow(run, "epoch_id int, n int, v double").groupBy("epoch_id", "n").agg(F.sum("v").alias("v"))
+    sums = _any_values(weighted).mapInArrow(run, "epoch_id int, n int, v double").groupBy("epoch_id", "n").agg(F.sum("v").alias("v"))
     return sums.agg(F.max(F.abs(F.col("v") / FOUR_PI - 1.0))).first()[0]
 
 
@@ -384,7 +478,8 @@ def least_squares(
         if reg == "kaula" and degree_rms is None and scale is None:
             degree_rms = first_pass(weighted, nmax)
         r = penalty(reg, nmax, degree_rms, power, scale or 1e-5)
-    if (nmax + 1) ** 2 > LARGEST:
+    size = (nmax + 1) ** 2
+    if size > LARGEST:
         from orbweave.operators import krylov
 
         used, points = (alpha if alpha is not None else 1e-6) if r is not None else None, held_blocks(weighted)

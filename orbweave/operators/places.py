@@ -40,6 +40,15 @@ def beside(axis: DataFrame, v: str) -> DataFrame:
     return rows.withColumn("_p", F.coalesce("_p", "_below")).withColumn("_n", F.coalesce("_n", "_above")).drop("_r", "_below", "_above")
 
 
+def in_order(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows with _range, a stretch of the order by the keys, and _at, the place in it from 0. Stretches are sorted side by
+    side and stored; equal values of the first keys are parted by the last."""
+    bits = 33  # of monotonically_increasing_id, which number the rows of a partition
+    at = F.monotonically_increasing_id()
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", at)
+    return stored(ordered.withColumn("_range", F.shiftright("_at", bits).cast("int")).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << bits) - 1))), "in-order")
+
+
 def ordinals(axis: DataFrame, v: str) -> DataFrame:
     """v and at, its place (from 0) among the distinct values in ascending order; ranges are counted side by side."""
     axis = axis.where(F.col(v).isNotNull())

@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 
 from orbweave.functions.geo import FOUR_PI, MEAN_RADIUS_KM
 from orbweave.operators import analysis, spectrum
+from orbweave.operators.coeffs import held
 from orbweave.operators.timeseries import outliers
-from orbweave.plans.planner import LongitudePlan
+from orbweave.sources.storage import discard
 
 
 def report_row(weighted: DataFrame, coeffs: DataFrame, nmax: int, method: str, rule: str = "", extra: dict | None = None) -> dict:
-    """The figures of one analysis, of a series those of its first epoch, and its warnings. Beyond LARGEST unknowns
-    gram_deviation is that of order 0, and gram_checked says so."""
-    size = (nmax + 1) ** 2
-    r = analysis.residuals(weighted, coeffs, nmax).orderBy("epoch_id").first().asDict()
+    """The figures of one analysis, of a series those of its first epoch, and its warnings. gram_checked says what of the
+    completeness matrix gram_deviation is from. Lazy coefficients are computed once, and the points are looked at once more."""
+    size, points, coeffs = (nmax + 1) ** 2, analysis.held_blocks(weighted), held(coeffs)
+    r = analysis.residuals(points, coeffs, nmax).orderBy("epoch_id").first().asDict()
     c00 = coeffs.where("n = 0").orderBy("epoch_id").first()["c"]
     coverage = r["weight_sum"] / FOUR_PI
     out = {
@@ -25,15 +26,16 @@ def report_row(weighted: DataFrame, coeffs: DataFrame, nmax: int, method: str, r
         "data_rms": r["data_rms"], "dc_mean": r["dc_mean"], "c00": c00, "fit_rmse_rel": r["residual_rms"] / r["data_rms"] if r["data_rms"] else None,
         "lmax_recommended": max(0, int((r["n_points"] / (coverage * 2)) ** 0.5) - 1) if coverage > 0 else None, "resolution_km": np.pi * MEAN_RADIUS_KM / nmax if nmax else float("inf"),
     }
-    out["gram_deviation"] = analysis.deviation(weighted, nmax)
-    out["gram_checked"] = "full" if size <= analysis.LARGEST else "order 0"
+    out["gram_deviation"], out["gram_checked"] = analysis.checked_deviation(points, nmax)
+    discard(points)
     out |= extra or {}
     return out | {"warnings": spectrum.warnings(out)}
 
 
-def series_report(weighted: DataFrame, coeffs: DataFrame, nmax: int, plan: LongitudePlan | None = None) -> DataFrame:
+def series_report(weighted: DataFrame, coeffs: DataFrame, nmax: int) -> DataFrame:
     """epoch_id, n_points, data_rms, c00, dc_mean, coverage, residual_rms, fit_rmse_rel, z and outlier (of c00)."""
-    r = analysis.residuals(weighted, coeffs, nmax)
+    coeffs = held(coeffs)  # lazy ones are computed once
+    r = held(analysis.residuals(weighted, coeffs, nmax))  # a row an epoch, which outliers looks at several times
     c00 = coeffs.where("n = 0").select("epoch_id", F.col("c").alias("c00"))
     out = r.join(c00, "epoch_id").select(
         "epoch_id", "n_points", "data_rms", "c00", "dc_mean", (F.col("weight_sum") / F.lit(FOUR_PI)).alias("coverage"), "residual_rms",

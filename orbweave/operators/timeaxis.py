@@ -8,14 +8,40 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbweave.functions.calendar import DAYS, date_of, decimal_year, name_fields, numeric_time, seconds
+from orbweave.operators.places import in_order
 
 MONTH_DAYS = 31.0
 
 
+def _beside(epochs: DataFrame, least: float | None = None) -> DataFrame:
+    """epochs with gap_days to the epoch before, _next to the one after and, for runs of gaps below ``least``, run. Stretches of
+    the axis are looked at side by side; what each needs of the others, its neighbours' ends and the runs before it, is
+    a row a stretch, which the driver adds up."""
+    x = seconds(F.col("ts"))
+    rows, inside = in_order(epochs, "ts", "epoch_id"), Window.partitionBy("_range").orderBy("_at")
+    first, last = F.col("_at") == 0, F.lead("_at").over(inside).isNull()
+    rows = rows.withColumn("_gap", (x - F.lag(x).over(inside)) / DAYS).withColumn("_next", (F.lead(x).over(inside) - x) / DAYS).withColumn("_last", last)
+    fresh = F.coalesce((F.col("_gap") >= least).cast("long"), F.lit(1).cast("long")) if least is not None else F.lit(0).cast("long")
+    ends = rows.groupBy("_range").agg(F.min_by(x, "_at").alias("lo"), F.max_by(x, "_at").alias("hi"), F.sum(F.when(~first, fresh)).alias("runs")).orderBy("_range").collect()
+    table, runs = [], 0
+    for k, e in enumerate(ends):
+        before = ends[k - 1]["hi"] if k else None
+        after = ends[k + 1]["lo"] if k + 1 < len(ends) else None
+        gap = (e["lo"] - before) / DAYS if before is not None and e["lo"] is not None else None
+        runs += int(least is not None and (gap is None or gap >= least))
+        table.append((e["_range"], gap, (after - e["hi"]) / DAYS if after is not None and e["hi"] is not None else None, runs))
+        runs += e["runs"] or 0
+    edges = F.broadcast(epochs.sparkSession.createDataFrame(table, "_range int, _before double, _after double, _runs long"))  # a row a stretch
+    out = rows.join(edges, "_range")
+    if least is not None:
+        out = out.withColumn("run", F.col("_runs") + F.coalesce(F.sum(F.when(~first, fresh)).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    out = out.withColumn("gap_days", F.when(first, F.col("_before")).otherwise(F.col("_gap"))).withColumn("_next", F.when(F.col("_last"), F.col("_after")).otherwise(F.col("_next")))
+    return out.drop("_range", "_at", "_gap", "_last", "_before", "_after", "_runs")
+
+
 def with_gaps(epochs: DataFrame) -> DataFrame:
     """epochs with gap_days to the epoch before."""
-    before = F.lag(seconds(F.col("ts"))).over(Window.orderBy("ts", "epoch_id"))
-    return epochs.withColumn("gap_days", (seconds(F.col("ts")) - before) / DAYS)
+    return _beside(epochs).drop("_next")
 
 
 def missing(epochs: DataFrame, most: float = MONTH_DAYS + 6) -> DataFrame:
@@ -25,10 +51,7 @@ def missing(epochs: DataFrame, most: float = MONTH_DAYS + 6) -> DataFrame:
 
 def duplicates(epochs: DataFrame, least: float = 1.0) -> DataFrame:
     """epochs in runs of gaps below ``least`` days, with run, the number of the run."""
-    order = Window.orderBy("ts", "epoch_id")
-    fresh = F.coalesce((F.col("gap_days") >= least).cast("int"), F.lit(1))
-    runs = with_gaps(epochs).withColumn("run", F.sum(fresh).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.withColumn("_n", F.count("*").over(Window.partitionBy("run"))).where("_n > 1").drop("_n")
+    return _beside(epochs, least).where((F.col("gap_days") < least) | (F.col("_next") < least)).drop("_next")
 
 
 def regular(epochs: DataFrame, tolerance: float = 3.0) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orbweave.functions.kernels import design, ordinals
-from orbweave.operators import analysis, blocks, krylov, slepian, synthesis, weights
+from orbweave.operators import analysis, blocks, report, slepian, synthesis, timeaxis, weights
 
 
 def rows_of(kind: str, rng) -> list[np.ndarray]:
@@ -133,3 +133,74 @@ def test_batches_of_rows_or_of_blocks():
     one = next(blocks.blocks_in(iter([batch.slice(0, 50), batch.slice(50)])))
     assert int((~np.isnan(one.vals)).sum()) == len(rows[0])
     assert list(blocks.blocks_in(iter([]))) == []
+
+
+def counted(points):
+    """The points, and how often their rows have been read so far."""
+    spark = points.sparkSession
+    n, seen = points.count(), spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return points.mapInArrow(run, points.schema), lambda: seen.value / n
+
+
+def test_points_are_read_once_or_twice(series):
+    points, times = counted(series.select("lat", "lon", "w", "value", "epoch_id"))
+    report.series_report(points, analysis.quadrature(points, 4), 4).collect()
+    assert times() <= 2
+    points, times = counted(series.select("lat", "lon", "w", "value", "epoch_id"))
+    row = report.report_row(points, analysis.quadrature(points, 4), 4, "quadrature")
+    assert times() <= 2 and row["gram_checked"] == "full"
+    points, times = counted(series.select("lat", "lon", "w", "value", "epoch_id"))
+    assert len(list(analysis.normals(points, 4))) == 2  # sets of points
+    assert times() <= 1
+
+
+def test_tiles_make_the_matrix(series, monkeypatch):
+    monkeypatch.setattr(analysis, "TILE", 7)
+    monkeypatch.setattr(blocks, "PLACES", 300)
+    rows = series.toPandas()
+    found = list(analysis.normals(series, 5))
+    assert sorted(e for eq in found for e in eq.rhs) == [1, 2, 4]
+    for eq in found:
+        for e, b in eq.rhs.items():
+            mine = rows[rows["epoch_id"] == e]
+            a, w, f = design(mine["lat"].to_numpy(), mine["lon"].to_numpy(), 5), mine["w"].to_numpy(), mine["value"].to_numpy()
+            assert np.allclose(eq.matrix, (a * w[:, None]).T @ a, atol=1e-10) and np.allclose(b, (w * f) @ a, atol=1e-10) and np.isclose(eq.power[e], (w * f * f).sum())
+
+
+def test_probes_stand_for_the_matrix(series, monkeypatch):
+    whole, how = analysis.checked_deviation(series, 6)
+    assert how == "full"
+    monkeypatch.setattr(analysis, "WHOLE", 0)
+    probed, how = analysis.checked_deviation(series, 6)
+    assert how == "probe"
+    rows = max(np.linalg.norm(eq.matrix / (4 * np.pi) - np.eye(49), axis=1).max() for eq in analysis.normals(series, 6, rhs=False))
+    assert whole * 0.9 < probed < 3 * rows and 0.3 * rows < probed
+    monkeypatch.undo()
+    assert analysis.judged_by(65_160, 1, 60) == "probe" and analysis.judged_by(648, 1, 8) == "full" and analysis.judged_by(10**10, 1, 60) == "order 0"
+
+
+def test_runs_on_an_axis_without_a_single_task(spark):
+    """Against one pass over the sorted rows, whatever the ranges; equal dates among them."""
+    rng = np.random.default_rng(4)
+    secs = np.concatenate([rng.integers(0, 400_000, 300), np.full(100, 5000), [7, 8]]) * 60
+    rows = spark.createDataFrame([(k, int(s)) for k, s in enumerate(secs)], "epoch_id long, s long").select("epoch_id", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts")).repartition(4)
+    order = sorted(range(len(secs)), key=lambda k: (secs[k], k))
+    gaps = {k: (secs[k] - secs[order[i - 1]]) / 86400 if i else None for i, k in enumerate(order)}
+    got = {r["epoch_id"]: r["gap_days"] for r in timeaxis.with_gaps(rows).collect()}
+    assert got.keys() == gaps.keys() and all((g is None and got[k] is None) or got[k] == pytest.approx(g) for k, g in gaps.items())
+    run, runs = 0, {}
+    for k in order:
+        run += gaps[k] is None or gaps[k] >= 0.5
+        runs.setdefault(run, []).append(k)
+    want = {k: n for n, of in runs.items() if len(of) > 1 for k in of}
+    found = timeaxis.duplicates(rows, 0.5)
+    assert {r["epoch_id"]: r["run"] for r in found.collect()} == want
+    assert "SinglePartition" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["epoch_id"] for r in timeaxis.missing(rows, 1.0).collect()} == {k for k, g in gaps.items() if g is not None and g > 1.0}
+    assert timeaxis.with_gaps(rows.limit(0)).count() == timeaxis.duplicates(rows.limit(0)).count() == 0

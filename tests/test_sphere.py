@@ -274,7 +274,8 @@ def test_order_0_stands_for_the_whole_matrix(spark, monkeypatch):
     north = weights.grid(cells(spark)).where("lat > -20")
     k = analysis.gram(north, 3)
     monkeypatch.setattr(analysis, "LARGEST", 4)
-    assert analysis.deviation(north, 3) == pytest.approx(float(np.abs(np.diag(k)[:4] - 1).max()))
+    monkeypatch.setattr(analysis, "PROBED", 0)
+    assert analysis.checked_deviation(north, 3) == (pytest.approx(float(np.abs(np.diag(k)[:4] - 1).max())), "order 0")
 
 
 def test_forward_formula(spark):
