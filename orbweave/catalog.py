@@ -913,3 +913,14 @@ def _(spark, sf):
     e = carriers.table(spark, sf, "events").select("ts", "value", (F.col("user_id") % 997).alias("u"))
     e = geo.fibonacci(e, "u", 997).withColumn("w", F.lit(1.0)).withColumn("start", F.date_trunc("day", "ts").cast("timestamp_ntz"))
     return rounded(stream.low_degrees(e, ["start"]), 6, "c", "s")
+
+
+@query("window_stream", ORACLES["window_quadrature"])
+def _(spark, sf):
+    """The same windows by a stream over the table and the kernel of any degree."""
+    kind = carriers.table(spark, sf, "events").schema
+    e = spark.readStream.schema(kind).parquet(f"{sf}/events.parque[t]")  # a pattern: the table may be one file
+    e = e.select("ts", "value", (F.col("user_id") % 997).alias("u"))
+    e = geo.fibonacci(e, "u", 997).withColumn("w", F.lit(1.0)).withColumn("ts", F.col("ts").cast("timestamp_ntz").cast("timestamp"))
+    out = stream.drained(spark, stream.windowed_degrees(e, 2, 86_400, "0 seconds"))
+    return rounded(out.withColumn("start", F.col("start").cast("timestamp_ntz")), 6, "c", "s")

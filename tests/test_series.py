@@ -169,6 +169,31 @@ def test_stream_equals_batch(spark, tmp_path):
     assert all(got[(r["start"], r["n"], r["m"])] == pytest.approx(r["c"]) for r in batch)
 
 
+def test_stream_of_degree_8_restarts_and_leaves_late_rows_out(spark, tmp_path):
+    from orbweave.operators import analysis
+
+    rng = np.random.default_rng(6)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(start + dt.timedelta(minutes=float(t)), float(a), float(b), float(v), 0.5) for t, a, b, v in zip(np.sort(rng.uniform(0, 120, 300)), rng.uniform(-90, 90, 300), rng.uniform(0, 360, 300), rng.normal(size=300))]
+    schema = "ts timestamp, lat double, lon double, value double, w double"
+    late = [(start + dt.timedelta(minutes=1), 10.0, 10.0, 1e6, 1.0)]
+    odd = [(None, 1.0, 1.0, 1.0, 1.0), (start, None, 1.0, 1.0, 1.0), (start, 1.0, 1.0, float("nan"), 1.0)]
+    parts = [rows[:140:2] + rows[140:150] + odd, rows[150:] + rows[1:140:2], [(start + dt.timedelta(minutes=400), 0.0, 0.0, 1.0, 1.0)], late]
+    out = {}
+    for k, part in enumerate(parts):  # each a run of its own: the state comes from the checkpoint
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        s = stream.windowed_degrees(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 8, 1800, "100 minutes")
+        q = s.writeStream.outputMode("append").trigger(availableNow=True).format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).start()
+        q.awaitTermination()
+    for r in spark.read.parquet(str(tmp_path / "out")).collect():
+        assert (r["start"], r["n"], r["m"]) not in out
+        out[r["start"], r["n"], r["m"]] = (r["c"], r["s"])
+    df = spark.createDataFrame(rows, schema).withColumn("epoch_id", F.floor(F.unix_seconds("ts") / 1800).cast("int"))
+    want = {(r["start"], r["n"], r["m"]): (r["c"], r["s"]) for r in analysis.quadrature(df, 8).withColumn("start", F.timestamp_seconds(F.col("epoch_id") * 1800)).collect()}
+    assert out.keys() == want.keys() and len(want) == 4 * 45
+    assert all(np.allclose(out[k], want[k], atol=1e-10) for k in want)
+
+
 def test_fit_at_other_dates(spark):
     e = epochs(spark)
     start = dt.datetime(1970, 1, 1)
