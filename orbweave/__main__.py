@@ -7,14 +7,17 @@ from __future__ import annotations
 
 import argparse
 import sys
+from collections.abc import Iterator
 
+import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.functions import geo, units
+from orbweave.functions.kernels import ordinals
 from orbweave.operators import analysis, coeffs, report, spectrum, synthesis, timeseries, weights
-from orbweave.sources import readers, writers
+from orbweave.sources import arrays, readers, writers
 
 
 def points_of(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -22,7 +25,10 @@ def points_of(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     if a.input.endswith(".grd"):
         p = readers.read_surfer(spark, a.input)
         return p.withColumn("point_id", F.xxhash64("ilat", "ilon"))
-    return readers.read_points(spark, a.input, sigma=sigma)
+    p = readers.read_points(spark, a.input, sigma=sigma)
+    if readers.looks_tidy(p.where("epoch_id = 0")):
+        print("warning: most rows repeat the coordinates of others, as a table with a row for each time does; they count as points", file=sys.stderr)
+    return p
 
 
 def weighed(points: DataFrame, spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -41,6 +47,8 @@ def love_of(spark: SparkSession, a: argparse.Namespace) -> DataFrame | None:
 
 
 def coeffs_of(spark: SparkSession, path: str) -> DataFrame:
+    if path.endswith((".npy", ".npz")):
+        return arrays.read_coeff_arrays(spark, path)
     return readers.read_coeffs(spark, path) if path.endswith((".gfc", ".csv", ".sh", ".txt", ".dat")) else spark.read.parquet(path)
 
 
@@ -95,9 +103,10 @@ def synth(spark, a):
 
 
 def roundtrip(spark, a):
-    truth = spark.createDataFrame([(0, n, m, 1.0 / (n + 1) ** 2, 0.5 * (m > 0) / (n + 1) ** 2) for n in range(a.nmax + 1) for m in range(n + 1)], analysis.COEFFS)
+    draw = np.random.default_rng(a.seed)
+    fall = np.array([n + 1.0 for _, n, _ in ordinals(a.nmax)]) ** 2
+    truth = analysis.to_coeffs(spark, a.nmax, {0: draw.normal(size=len(fall)) / fall})
     p = geo.fibonacci(spark.range(a.npoints).withColumnRenamed("id", "point_id"), "point_id", a.npoints)
-    truth = truth.withColumn("c", F.col("c") * (1.0 + 0.1 * F.sin(F.lit(float(a.seed)) * (F.col("n") + 1)))) if a.seed else truth
     w = weights.uniform(synthesis.synthesise(p, truth, a.nmax))
     x, method = analysis.analyse(w, a.nmax, a.method)
     d = coeffs.combine(x, truth, -1)
@@ -133,20 +142,34 @@ def analyze_series(spark, a):
         p = p.where(F.col("epoch_id") >= int(first or 0))
         p = p.where(F.col("epoch_id") < int(end)) if end else p
     w = weighed(p, spark, a)
-    if a.method == "quadrature":
-        x, plan = analysis.quadrature_planned(w, a.nmax, a.longitude_fft)
-        print(f"longitudes: {plan.path}, {plan.reason}")
-    else:
-        x, plan = analysis.analyse(w, a.nmax, a.method, a.longitude_fft)[0], None
-    if a.gaussian_km:
-        x = coeffs.smoothed(x, a.gaussian_km, a.nmax)
-    x = coeffs.held(units.canonical(x, a.field_unit, love_of(spark, a)))
-    x.write.parquet(f"{a.out}/coeffs")
+    for k, part in enumerate(in_chunks(w, a.epoch_chunk)):
+        if a.method == "quadrature":
+            x, plan = analysis.quadrature_planned(part, a.nmax, a.longitude_fft)
+            if k == 0:
+                print(f"longitudes: {plan.path}, {plan.reason}")
+        else:
+            x = analysis.analyse(part, a.nmax, a.method, a.longitude_fft)[0]
+        if a.gaussian_km:
+            x = coeffs.smoothed(x, a.gaussian_km, a.nmax)
+        units.canonical(x, a.field_unit, love_of(spark, a)).write.mode("append" if k else "error").parquet(f"{a.out}/coeffs")
     if a.report_fit:
+        x = spark.read.parquet(f"{a.out}/coeffs")
         fitted = units.convert(x, "geopotential", a.field_unit, love_of(spark, a)) if a.field_unit not in units.ABSTRACT else x
         report.series_report(w, fitted, a.nmax).write.csv(f"{a.out}/epochs", header=True)
 
 
+def in_chunks(w: DataFrame, many: int | None) -> Iterator[DataFrame]:
+    """The points of ``many`` epochs at a time, which bounds what is solved at once; all of them without a number."""
+    if not many:
+        yield w
+        return
+    epochs = sorted(r[0] for r in w.select("epoch_id").distinct().limit(analysis.EPOCHS + 1).collect())
+    if many < 1 or len(epochs) > analysis.EPOCHS:
+        raise ValueError(f"a chunk has an epoch at least, and a call {analysis.EPOCHS} at most")
+    for k in range(0, len(epochs), many):
+        yield w.where(F.col("epoch_id").between(epochs[k], epochs[min(k + many, len(epochs)) - 1]))
+
+
 def timefit(spark, a):
     f = timeseries.fit(coeffs_of(spark, f"{a.input}/coeffs"), epochs_of(spark, f"{a.input}/epochs"), a.poly_order, a.periods)
     f.frame.write.parquet(a.out)
@@ -202,7 +225,7 @@ def parser() -> argparse.ArgumentParser:
     command("info", info, out=False)
     command("nmax", nmax, ("--npoints", {"type": int, "required": True}), ("--coverage", {"type": float, "default": 1.0}), ("--tol", {"type": float, "default": 0.01}), out=False)
     command("series-read", series_read, ("--nmax", {"type": int}), ("--product", {"default": "GSM"}), ("--mission", {}), ("--center", {}), ("--rl", {}), ("--strict-nmax", {"action": "store_true"}), ("--epoch-from", {"default": "auto"}), ("--on-duplicate", {"default": "error"}), ("--sort", {"default": "time", "choices": ("time", "name", "none")}), ("--on-missing", {"default": "warn", "choices": ("ignore", "warn", "error")}))
-    command("analyze-series", analyze_series, n, rule, given, love, longitude, in_unit, ("--method", {"default": "quadrature"}), ("--epochs", {}), ("--report-fit", {"action": "store_true"}), ("--gaussian-km", {"type": float, "default": 0.0}))
+    command("analyze-series", analyze_series, n, rule, given, love, longitude, in_unit, ("--method", {"default": "quadrature"}), ("--epochs", {}), ("--epoch-chunk", {"type": int}), ("--report-fit", {"action": "store_true"}), ("--gaussian-km", {"type": float, "default": 0.0}))
     command("timefit", timefit, ("--poly-order", {"type": int, "default": 1}), ("--periods", {"type": float, "nargs": "*", "default": [1.0]}))
     command("time-filter", time_filter, ("--sigma", {"type": float, "required": True}), ("--truncate", {"type": float, "default": 4.0}))
     command("series-grid", series_grid, step, *unit)

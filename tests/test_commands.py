@@ -38,12 +38,24 @@ def test_series_and_exits(spark, tmp_path, capsys, monkeypatch):
     assert spark.read.csv(str(tmp_path / "a/epochs"), header=True).count() == 3
     assert main(["analyze-series", str(tmp_path / "s.csv"), "--nmax", "2", "--rule", "grid", "--epochs", "1:2", "--method", "wlsq", "--field-unit", "ewh", "--out", str(tmp_path / "b")]) == 0
     assert {r["epoch_id"] for r in spark.read.parquet(str(tmp_path / "b/coeffs")).collect()} == {1}
+    assert main(["analyze-series", str(tmp_path / "s.csv"), "--nmax", "2", "--epoch-chunk", "2", "--out", str(tmp_path / "k"), "--report-fit"]) == 0
+    rows = lambda x: sorted(map(tuple, spark.read.parquet(str(tmp_path / x / "coeffs")).collect()))
+    assert np.allclose(rows("a"), rows("k"), atol=1e-12) and spark.read.csv(str(tmp_path / "k/epochs"), header=True).count() == 3
+    assert main(["analyze-series", str(tmp_path / "s.csv"), "--epoch-chunk", "-1", "--out", str(tmp_path / "l")]) == 2
+    capsys.readouterr()
     one = "\n".join(["lon,lat,value,err"] + [f"{lon},{lat},{2 + lat / 90},0.5" for lat, lon in cells])
     (tmp_path / "p.csv").write_text(one)
     (tmp_path / "w.csv").write_text("\n".join(["lon,lat,w"] + [f"{lon},{lat},0.5" for lat, lon in cells]))
     assert main(["analyze", str(tmp_path / "p.csv"), "--nmax", "2", "--rule", "uniform", "--out", str(tmp_path / "c")]) == 0
     assert "| method | wlsq |" in capsys.readouterr().out
     assert main(["analyze", str(tmp_path / "p.csv"), "--nmax", "2", "--rule", "user", "--weights", str(tmp_path / "w.csv"), "--sigma-col", "err", "--method", "wlsq", "--out", str(tmp_path / "d")]) == 0
+    assert "warning" not in capsys.readouterr().err
+    (tmp_path / "tidy.csv").write_text("\n".join(["lon,lat,value"] + [f"{lon},{lat},{t}" for t in range(3) for lat, lon in cells]))
+    assert main(["weights", str(tmp_path / "tidy.csv"), "--rule", "uniform", "--out", str(tmp_path / "t")]) == 0
+    assert "repeat the coordinates" in capsys.readouterr().err
+    np.save(tmp_path / "m.npy", np.stack([np.eye(3), np.zeros((3, 3))]))
+    assert main(["nmax", str(tmp_path / "m.npy"), "--npoints", "648"]) == 0
+    capsys.readouterr()
     assert main(["nmax", str(tmp_path / "c/coeffs"), "--npoints", "648", "--coverage", "0.5"]) == 0
     assert "allow degree" in capsys.readouterr().out
     assert main(["analyze", str(tmp_path / "none.csv"), "--out", str(tmp_path / "e")]) == 2
