@@ -15,9 +15,9 @@ and for each class's symbols. Scoring is by batched matrix products with explici
 Counts cover all learning texts and stay distributed. A text's rarer words meet their counts in one shuffle of packed
 arrays by word hash, and only sums come back. Words are told apart by 64-bit hashes.
 
-Null and empty texts have one token, the end. Each row gives one row; repeated rows score alike, and count as often in
-learning. A text of any length is scored whole. With nothing to learn from, N = V = 0. Only doc_id and text are read, so
-other columns, whatever their names, play no part.
+An empty table gives an empty one. Null and empty texts have one token, the end. Each row gives one row; repeated rows
+score alike, and count as often in learning. A text of any length is scored whole. With nothing to learn from, N = V =
+0. Only doc_id and text are read, so other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations

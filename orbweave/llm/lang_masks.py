@@ -9,8 +9,8 @@ corrected for the filter's false positives, and relative to what texts of the la
 
 A null text, or one without a letter, is ``und`` with score 0. Ties go to the first language by name. Rows without a
 language are not learned from. With nothing to learn from, all is ``und``. Every row gives one row; repeated rows give
-the same, and count as often in learning. A text of any length is judged as a whole. Only doc_id, text and lang are read,
-so other columns, whatever their names, play no part.
+the same, and count as often in learning. A text of any length is judged as a whole. Only doc_id, text and lang are
+read, so other columns, whatever their names, play no part. An empty table gives an empty one.
 """
 
 from __future__ import annotations

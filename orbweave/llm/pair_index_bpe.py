@@ -4,9 +4,9 @@ Each task gathers the distinct pre-tokens of an Arrow batch into one array of sy
 its positions there, and applies the active ranks in ascending order. A merge touches only the pair's own positions,
 and adds the pairs that it makes to the lists of their ranks. Documents then look their pre-tokens up.
 
-Null and empty texts have no ids. Repeated rows are encoded each for itself; extra columns, whatever their names, are left
-out. A text of any length is encoded whole; one longer than a slice is a slice of its own. Of equal ranks in a word the
-leftmost pair merges first.
+Null and empty texts have no ids, and an empty table gives an empty one. Repeated rows are encoded each for itself;
+extra columns, whatever their names, are left out. A text of any length is encoded whole; one longer than a slice is a
+slice of its own. Of equal ranks in a word the leftmost pair merges first.
 """
 
 from __future__ import annotations

@@ -6,6 +6,7 @@ Shingles are five words (A-Z as a-z) of the text set between four marks on eithe
 Where no hash is below the threshold, the smallest stays, so that every text with a word has a fingerprint.
 
 A null text is empty; an empty text has the empty fingerprint, which is like itself (1) and unlike all others (0).
+An empty table gives an empty one.
 Equal texts have equal fingerprints. Among rows with one doc_id the order is by a hash of the text and then the text; rows
 without a doc_id come first. Where very many share a doc_id or have none, ranges of that hash part them. A text of any
 length is taken whole; only doc_id and text are read, so other columns, whatever their names, play no part.

@@ -9,10 +9,11 @@ For each language the threshold is that with the best F1, with the labels in the
 labelled rows of the language, those trained on among them, and scores are shifted so that it is at 0.7. Languages with
 few texts of a label to calibrate take the threshold of all together, and where these are few as well, it is at even odds.
 
-Null and empty texts are scored as texts without words; a text of any length is one text to all filters. Labels that
-are null are no labels; a doc_id labelled twice counts with each label. Without labels of both kinds, every score is the
-share of label 1 (0 if there are none). Equal texts have equal scores, and a score on the threshold is toxic. Every row
-gives one row, repeated or not; rows are carried whole in a struct ``r``, so that columns named like ours stay apart.
+An empty table gives an empty one. Null and empty texts are scored as texts without words; a text of any length is one
+text to all filters. Labels that are null are no labels; a doc_id labelled twice counts with each label. Without labels
+of both kinds, every score is the share of label 1 (0 if there are none). Equal texts have equal scores, and a score on
+the threshold is toxic. Every row gives one row, repeated or not; rows are carried whole in a struct ``r``, so that
+columns named like ours stay apart.
 """
 
 from __future__ import annotations

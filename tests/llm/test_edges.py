@@ -285,6 +285,72 @@ def test_stages(spark, docs, none, labels, tmp_path):
             assert n == 0 if frame is none else 0 < n <= 2 * docs.count()
 
 
+def five_word_sets(rows):
+    """By text (null: empty) its runs of five words, a shorter text's one run."""
+    out = {}
+    for _, t in rows:
+        w = (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).split()
+        out[t or ""] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    return out
+
+
+def one_of_each_by_hand(rows):
+    sets, names = five_word_sets(rows), {}
+    for i, t in rows:
+        names[t or ""] = min(names.get(t or "", math.inf), math.inf if i is None else i)
+    left, kept = set(sets), []
+    while left:
+        group, todo = set(), [left.pop()]
+        while todo:
+            a = todo.pop()
+            group.add(a)
+            near = {b for b in left if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9}
+            left -= near
+            todo += near
+        best = min(names[t] for t in group)
+        kept += [(None if best == math.inf else best, t) for t in group if names[t] == best]
+    return kept
+
+
+def without_repeats_by_hand(rows, size=50):
+    first, out = {}, []
+    for i, t in rows:
+        w = (t or "").split()
+        for k in range(len(w) - size + 1):
+            at = tuple(w[k : k + size])
+            first[at] = min(first.get(at, math.inf), math.inf if i is None else i)
+    for i, t in rows:
+        w = (t or "").split()
+        gone = {j for k in range(len(w) - size + 1) if i is not None and first[tuple(w[k : k + size])] < i for j in range(k, k + size)}
+        out.append((i, " ".join(x for k, x in enumerate(w) if k not in gone) if gone else t))
+    return out
+
+
+def test_rows_of_stages_by_hand(spark, docs, tmp_path):
+    """Similarity join, passages, mixing and encoding on the same rows, each against plain loops or the library."""
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    stage = dict(corpus_pipeline.STAGES)
+    pairs = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()), key=str)
+    unique = stage["ngram_jaccard"](spark, docs, str(tmp_path)).persist()
+    assert sorted(((i, t or "") for i, t in pairs(unique)), key=str) == sorted(one_of_each_by_hand(texts()), key=str)
+    cut = stage["substring_dedup"](spark, unique, str(tmp_path)).persist()
+    assert pairs(cut) == sorted(without_repeats_by_hand(pairs(unique)), key=str)
+    mixed = stage["mixing"](spark, cut, str(tmp_path)).persist()
+    times = {}
+    for x in pairs(mixed):
+        times[x] = times.get(x, 0) + 1
+    assert set(times) <= set(pairs(cut)) and max(times.values()) <= 2
+    taken = {tuple(r)[:2]: r[2] for r in cube_mix.copies(cut).groupBy("doc_id", "source").agg(F.sum("copies")).collect()}
+    assert taken == {k: 0 for k in taken} | {tuple(r)[:2]: r[2] for r in mixed.groupBy("doc_id", "source").count().collect()}
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    library.no_truncation()
+    want = [(i, hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in library.encode(t or "", add_special_tokens=False).ids)).hexdigest()) for i, t in pairs(mixed)]
+    assert sorted(((r["doc_id"], r["ids_sha256"]) for r in stage["bpe"](spark, mixed, str(tmp_path)).collect()), key=str) == sorted(want, key=str)
+
+
 def test_run(spark, docs, none, labels, tmp_path):
     import corpus_pipeline
 
