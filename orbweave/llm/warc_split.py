@@ -53,7 +53,7 @@ def with_decisions(pages: DataFrame, least: int = 1000) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     pages = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
     groups = pages.where(F.octet_length("html") >= least).groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n"))
-    groups = groups.where("n > 1 AND kept IS NOT NULL").select("digest", "kept")
+    groups = stored(groups.where("n > 1 AND kept IS NOT NULL").select("digest", "kept"), "warc-groups")  # of a known size
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("kept")), F.col("kept"))
     return pages.join(groups, "digest", "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"))
 
