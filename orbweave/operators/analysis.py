@@ -23,7 +23,7 @@ from orbweave.functions import units
 from orbweave.functions.geo import FOUR_PI
 from orbweave.functions.kernels import columns, design, ordinals, waves
 from orbweave.operators.blocks import Block, analysed, blocked, blocks_in, synthesised
-from orbweave.operators.synthesis import _sets
+from orbweave.operators.synthesis import sets_of
 from orbweave.plans import planner
 from orbweave.sources.storage import discard, stored
 
@@ -545,7 +545,7 @@ def _iterate(apply, rhs: dict[int, np.ndarray], rtol: float, most: int) -> tuple
 def flat(coeffs: DataFrame, nmax: int) -> dict[int, np.ndarray]:
     """Solutions by epoch in the order of ``ordinals``; of a bounded number of coefficients."""
     at = spots(nmax)
-    return {e: v[at] for e, v in _sets(coeffs, nmax).items()}
+    return {e: v[at] for e, v in sets_of(coeffs, nmax).items()}
 
 
 def squared(x: np.ndarray, nmax: int) -> np.ndarray:
@@ -576,10 +576,11 @@ def projection(weighted: DataFrame, nmax: int, tau: float | None = None) -> Data
     return to_coeffs(weighted.sparkSession, nmax, solved)
 
 
-def residuals(weighted: DataFrame, coeffs: DataFrame, nmax: int) -> DataFrame:
+def residuals(weighted: DataFrame, coeffs: DataFrame | dict[int, np.ndarray], nmax: int) -> DataFrame:
     """By epoch, over the measured points: n_points, data_rms, residual_rms, residual_rms_weighted, dc_mean, total weight.
-    One set of coefficients with epoch 0 serves all epochs. Tasks hand on sums, not points."""
-    sets = _sets(coeffs, nmax)
+    One set of coefficients with epoch 0 serves all epochs; sets may be given as ``synthesis.sets_of`` has them. Tasks hand on
+    sums, not points."""
+    sets = coeffs if isinstance(coeffs, dict) else sets_of(coeffs, nmax)
     single = list(sets) == [0]
     names = ["n", "ff", "dd", "wdd", "wf", "w"]
 

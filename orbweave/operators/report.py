@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from orbweave.functions.geo import FOUR_PI, MEAN_RADIUS_KM
 from orbweave.operators import analysis, spectrum
 from orbweave.operators.coeffs import held
+from orbweave.operators.synthesis import sets_of
 from orbweave.operators.timeseries import outliers
 from orbweave.sources.storage import discard
 
@@ -16,9 +17,9 @@ from orbweave.sources.storage import discard
 def report_row(weighted: DataFrame, coeffs: DataFrame, nmax: int, method: str, rule: str = "", extra: dict | None = None) -> dict:
     """The figures of one analysis, of a series those of its first epoch, and its warnings. gram_checked says what of the
     completeness matrix gram_deviation is from. Lazy coefficients are computed once, and the points are looked at once more."""
-    size, points, coeffs = (nmax + 1) ** 2, analysis.held_blocks(weighted), held(coeffs)
-    r = analysis.residuals(points, coeffs, nmax).orderBy("epoch_id").first().asDict()
-    c00 = coeffs.where("n = 0").orderBy("epoch_id").first()["c"]
+    size, points, sets = (nmax + 1) ** 2, analysis.held_blocks(weighted), sets_of(coeffs, nmax)
+    r = analysis.residuals(points, sets, nmax).orderBy("epoch_id").first().asDict()
+    c00 = float(sets[min(sets)][0, 0, 0])
     coverage = r["weight_sum"] / FOUR_PI
     out = {
         "method": method, "weight_rule": rule, "n_points": r["n_points"], "nmax": nmax, "ncoef": size, "weight_sum": r["weight_sum"], "coverage": coverage,
@@ -34,9 +35,9 @@ def report_row(weighted: DataFrame, coeffs: DataFrame, nmax: int, method: str, r
 
 def series_report(weighted: DataFrame, coeffs: DataFrame, nmax: int) -> DataFrame:
     """epoch_id, n_points, data_rms, c00, dc_mean, coverage, residual_rms, fit_rmse_rel, z and outlier (of c00)."""
-    coeffs = held(coeffs)  # lazy ones are computed once
-    r = held(analysis.residuals(weighted, coeffs, nmax))  # a row an epoch, which outliers looks at several times
-    c00 = coeffs.where("n = 0").select("epoch_id", F.col("c").alias("c00"))
+    sets = sets_of(coeffs, nmax)  # lazy coefficients are computed once
+    r = held(analysis.residuals(weighted, sets, nmax))  # a row an epoch, which outliers looks at several times
+    c00 = weighted.sparkSession.createDataFrame([(e, float(x[0, 0, 0])) for e, x in sets.items()], "epoch_id int, c00 double")
     out = r.join(c00, "epoch_id").select(
         "epoch_id", "n_points", "data_rms", "c00", "dc_mean", (F.col("weight_sum") / F.lit(FOUR_PI)).alias("coverage"), "residual_rms",
         F.when(F.col("data_rms") > 0, F.col("residual_rms") / F.col("data_rms")).alias("fit_rmse_rel"),

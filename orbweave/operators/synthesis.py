@@ -24,7 +24,7 @@ def dense(coeffs: pd.DataFrame, nmax: int) -> tuple[np.ndarray, np.ndarray]:
     return c, s
 
 
-def _sets(coeffs: DataFrame, nmax: int) -> dict[int, np.ndarray]:
+def sets_of(coeffs: DataFrame, nmax: int) -> dict[int, np.ndarray]:
     """By epoch the cosine and sine parts, 2 x degrees x orders. What is lazy is computed once."""
     coeffs = coeffs if "epoch_id" in coeffs.columns else coeffs.withColumn("epoch_id", F.lit(0))
     most = SENT // 2
@@ -60,7 +60,7 @@ def synthesise(points: DataFrame, coeffs: DataFrame, nmax: int, out: str = "valu
 
 def evaluator(coeffs: DataFrame, nmax: int, by_epoch: bool, circle: tuple[float, int] | None = None) -> Callable[[pa.RecordBatch], np.ndarray]:
     """A function of batches (lat, lon, epoch_id) to the field's values there, NaN for epochs without coefficients."""
-    sets = _sets(coeffs, nmax)
+    sets = sets_of(coeffs, nmax)
     single = not by_epoch or list(sets) == [0]
     if circle is not None and circle[1] <= 2 * nmax:
         raise ValueError(f"{circle[1]} longitudes don't resolve order {nmax}")
@@ -130,7 +130,7 @@ def grid_points(spark: SparkSession, lat_step: float, lon_step: float, closed: b
 
 def synthesise_rows(lats: DataFrame, coeffs: DataFrame, nmax: int, nlon: int, first_lon: float = 0.0) -> DataFrame:
     """A full even grid by one inverse FFT for each latitude of lats (lat): rows lat, ilon, lon, epoch_id, value."""
-    sets = _sets(coeffs, nmax)
+    sets = sets_of(coeffs, nmax)
     if nlon <= 2 * nmax:
         raise ValueError(f"{nlon} longitudes don't resolve order {nmax}")
 
@@ -153,7 +153,7 @@ def synthesise_rows(lats: DataFrame, coeffs: DataFrame, nmax: int, nlon: int, fi
 def gradient(points: DataFrame, coeffs: DataFrame, nmax: int) -> DataFrame:
     """points with by_colat = df/d(colatitude) and by_lon = df/d(lon) / sin(colatitude), defined at the poles too. Points of
     a series (epoch_id) meet their own epoch's coefficients, as in ``synthesise``."""
-    sets = _sets(coeffs, nmax)
+    sets = sets_of(coeffs, nmax)
     single = "epoch_id" not in points.columns or list(sets) == [0]
     if single and len(sets) > 1:
         raise ValueError("points without epochs meet one set of coefficients")
@@ -185,7 +185,7 @@ def gradient(points: DataFrame, coeffs: DataFrame, nmax: int) -> DataFrame:
 
 def gradient_rows(lats: DataFrame, coeffs: DataFrame, nmax: int, nlon: int, first_lon: float = 0.0) -> DataFrame:
     """The gradient on a full even grid by two inverse FFTs for each latitude: lat, ilon, lon, epoch_id, by_colat, by_lon."""
-    sets = _sets(coeffs, nmax)
+    sets = sets_of(coeffs, nmax)
     if nlon <= 2 * nmax:
         raise ValueError(f"{nlon} longitudes don't resolve order {nmax}")
     turn = np.exp(1j * np.radians(first_lon) * np.arange(nmax + 1)) * np.where(np.arange(nmax + 1) == 0, 1.0, 0.5)

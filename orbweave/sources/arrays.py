@@ -168,9 +168,9 @@ def read_coeff_arrays(spark: SparkSession, path: str, **options: int) -> DataFra
 
 def write_coeff_arrays(coeffs: DataFrame, path: str, nmax: int) -> None:
     """The matrix of read_coeff_arrays, of a set of a bounded size: npy, or npz with C and S. Epochs are numbered in order."""
-    from orbweave.operators.synthesis import _sets
+    from orbweave.operators.synthesis import sets_of
 
-    sets = _sets(coeffs, nmax)
+    sets = sets_of(coeffs, nmax)
     x = np.stack([sets[e] for e in sorted(sets)], -1)
     store, name = opened(path)
     with store.open_output_stream(name, compression=None) as out:
