@@ -116,7 +116,9 @@ def evaluator(coeffs: DataFrame, nmax: int, by_epoch: bool, circle: tuple[float,
 def over_epochs(points: DataFrame, coeffs: DataFrame, nmax: int, out: str = "value") -> DataFrame:
     """Every point at every epoch of the coefficients."""
     epochs = sorted(r[0] for r in coeffs.select("epoch_id").distinct().limit(SENT + 1).collect())
-    every = F.explode(F.array(*[F.lit(int(e)) for e in epochs])).alias("epoch_id")
+    if len(epochs) > SENT // (nmax + 1) ** 2:
+        raise ValueError(f"{len(epochs)} epochs have too many coefficients for one call; filter epochs first")
+    every = F.explode(F.split(F.lit(",".join(map(str, epochs))), ",").cast("array<int>") if epochs else F.array().cast("array<int>")).alias("epoch_id")
     return synthesise(points.drop("epoch_id").select("*", every), coeffs, nmax, out)
 
 

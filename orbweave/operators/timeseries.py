@@ -162,6 +162,18 @@ def _tables(spark, ids: np.ndarray, terms: list[str], x: np.ndarray, h: np.ndarr
     return long(h, "h"), long(x.T, "x")
 
 
+#: Epochs of one fit.
+EPOCHS = 100_000
+
+
+def _known(rows: DataFrame) -> pd.DataFrame:
+    """A row an epoch, on the driver."""
+    table = rows.limit(EPOCHS + 1).toPandas()
+    if len(table) > EPOCHS:
+        raise ValueError(f"more than {EPOCHS} epochs for one fit; filter epochs first")
+    return table
+
+
 def fit(
     coeffs: DataFrame, epochs: DataFrame, order: int = 1, periods: list[float] | None = None, weights: DataFrame | None = None, keep: list[int] | None = None,
     extra: DataFrame | None = None,
@@ -170,21 +182,23 @@ def fit(
     extra: further terms as columns beside epoch_id, with a number for every epoch. An epoch with nulls or NaN in part is
     an error; coefficients without a row count as 0, as they do everywhere."""
     odd = coeffs.groupBy("epoch_id").agg(F.count_if(F.isnan("c") | F.col("c").isNull()).alias("bad"), F.count("*").alias("n"))
-    state = odd.toPandas()
+    state = _known(odd)
     if ((state["bad"] > 0) & (state["bad"] < state["n"])).any():
         raise ValueError("an epoch lacks some of its coefficients")
     good = set(state.loc[state["bad"] == 0, "epoch_id"]) & (set(keep) if keep is not None else set(state["epoch_id"]))
     rows = epochs.select("epoch_id", seconds(F.col("ts")).alias("sec"))
     rows = rows.join(weights.select("epoch_id", "w"), "epoch_id") if weights is not None else rows.withColumn("w", F.lit(1.0))
     names = [c for c in extra.columns if c != "epoch_id"] if extra is not None else []
-    rows = (rows.join(extra, "epoch_id", "left") if names else rows).orderBy("epoch_id").toPandas()
+    rows = rows.join(extra, "epoch_id", "left") if names else rows
+    rows = _known(rows).sort_values("epoch_id", ignore_index=True)
     if names and not np.isfinite(rows[names].to_numpy(float)).all():
         raise ValueError("an extra term has no number for some epoch")
     rows.loc[~rows["epoch_id"].isin(good), "w"] = 0.0
     terms, tref, x, h, cond, rank, notes = operator(rows, order, periods or [], {c: rows[c].to_numpy(float) for c in names})
-    solve, design = _tables(coeffs.sparkSession, rows["epoch_id"].to_numpy(), terms, x, h)
-    use = coeffs.where(F.col("epoch_id").isin([int(e) for e in good]))
-    frame = use.join(solve, "epoch_id").groupBy("term", "n", "m").agg(*[F.sum(F.col(v) * F.col("h")).alias(v) for v in ("c", "s")])
+    ids, some = rows["epoch_id"].to_numpy(), rows["epoch_id"].isin(good).to_numpy()
+    _, design = _tables(coeffs.sparkSession, ids, terms, x, h)
+    solve, _ = _tables(coeffs.sparkSession, ids[some], terms, x[some], h[:, some])
+    frame = coeffs.join(solve, "epoch_id").groupBy("term", "n", "m").agg(*[F.sum(F.col(v) * F.col("h")).alias(v) for v in ("c", "s")])
     used = rows["w"] > 0
     ids, sec = rows["epoch_id"].astype(int), rows["sec"]
     return Fit(terms, tref, (float(sec[used].min()), float(sec[used].max())), frame, solve, design, cond, rank, notes, ids[used].tolist(), ids[~used].tolist(), coeffs)
@@ -252,10 +266,13 @@ def basin_average(field: DataFrame, key: str = "basin") -> DataFrame:
 def cell_fits(field: DataFrame, epochs: DataFrame, order: int = 1, periods: list[float] | None = None, cell: str = "point_id") -> DataFrame:
     """cell, term, value, n_used: the same fit for each cell of a field (cell, epoch_id, value); a cell with a gap gets
     nulls."""
-    rows = epochs.select("epoch_id", seconds(F.col("ts")).alias("sec")).withColumn("w", F.lit(1.0)).orderBy("epoch_id").toPandas()
+    rows = _known(epochs.select("epoch_id", seconds(F.col("ts")).alias("sec")).withColumn("w", F.lit(1.0))).sort_values("epoch_id", ignore_index=True)
     terms, _, x, h, *_ = operator(rows, order, periods or [])
-    solve, _ = _tables(field.sparkSession, rows["epoch_id"].to_numpy(), terms, x, h)
-    out = field.join(solve, "epoch_id").groupBy(cell, "term").agg(F.sum(F.col("value") * F.col("h")).alias("value"), F.count_if(F.col("value").isNotNull() & ~F.isnan("value")).alias("n_used"))
+    wide = field.sparkSession.createDataFrame([(int(e), *map(float, h[:, k])) for k, e in enumerate(rows["epoch_id"])], "epoch_id int, " + ", ".join(f"_h{j} double" for j in range(len(terms))))
+    sums = [F.sum(F.col("value") * F.col(f"_h{j}")).alias(f"_t{j}") for j in range(len(terms))]
+    out = field.join(wide, "epoch_id").groupBy(cell).agg(*sums, F.count_if(F.col("value").isNotNull() & ~F.isnan("value")).alias("n_used"))
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"_t{j}").alias("value")) for j, t in enumerate(terms)])).alias("x")
+    out = out.select(cell, "n_used", each).select(cell, "x.term", "x.value", "n_used")
     return out.withColumn("value", F.when(F.col("n_used") == len(rows), F.col("value")))
 
 
