@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.functions.geo import FOUR_PI
-from orbweave.operators import mesh, places
+from orbweave.operators import caps, mesh, places
 from orbweave.operators.places import beside, sites, spacing
 
 __all__ = ["RULES", "cap_density", "delaunay", "dh", "glq_grid", "grid", "lattice", "normalised", "report", "spacing", "uniform", "voronoi", "weigh"]
@@ -119,15 +119,10 @@ def _at_places(points: DataFrame, w: DataFrame) -> DataFrame:
 
 
 def cap_density(points: DataFrame, radius_deg: float) -> DataFrame:
-    """Cap area by number of neighbours within the radius (the point itself counts). Places meet in boxes of the radius,
-    each once with its number of points; pairs are added up where they meet."""
+    """Cap area by number of neighbours within the radius (the point itself counts), which ``caps`` counts by places."""
     area = 2.0 * np.pi * (1.0 - np.cos(np.radians(float(radius_deg))))
-    spots = places.spots(points)
-    own, near = places.boxes(float(radius_deg))
-    a, b = F.radians("la"), F.radians("la2")
-    cosine = F.sin(a) * F.sin(b) + F.cos(a) * F.cos(b) * F.cos(F.radians("lo") - F.radians("lo2"))
-    pairs = near(spots.drop("n")).join(places.others(own(spots)), ["i", "j"]).where((cosine >= float(np.cos(np.radians(float(radius_deg))))) | places.same())
-    return _at_places(points, pairs.groupBy("la", "lo").agg((F.lit(float(area)) / F.sum("n")).alias("w")))
+    n = caps.counts(places.spots(points), float(radius_deg))
+    return _at_places(points, n.select("la", "lo", (F.lit(float(area)) / F.col("n")).alias("w")))
 
 
 def once(weighted: DataFrame) -> DataFrame:
